@@ -31,9 +31,10 @@ from . import common as c
 
 WINDOW, GRAM = 13, 4
 #: Text bytes of which a map task drops repeated windows before the shuffle.
-MAP_BYTES = 12 << 20
+MAP_BYTES = 8 << 20
 
 _ROWS = "bucket int, docs array<bigint>, marks array<bigint>, blob binary, starts array<array<int>>, sizes array<array<int>>"
+_SHARDED = "shard int, docs array<bigint>, marks array<bigint>, starts array<array<int>>, sizes array<array<int>>"
 _MARKS = "doc_id bigint, mark bigint, starts array<int>, sizes array<int>"
 
 
@@ -138,7 +139,7 @@ def _map(buckets: int):
     return run
 
 
-def _parse(table: pa.Table) -> pa.Table:
+def _parse(table: pa.Table, shards: int) -> pa.Table:
     """Parses the runs of one block against all of them: the spans that start in smaller ids. Ready spans pass."""
     fields: list[list] = [[np.zeros(0, t)] for t in (c.U64, np.int64, np.int64, np.int64, np.int64, np.uint32)]
     ready: list[tuple] = []
@@ -163,10 +164,28 @@ def _parse(table: pa.Table) -> pa.Table:
     new[1:] = (docs[run][1:] != docs[run][:-1]) | (marks[run][1:] != marks[run][:-1])
     heads = run[new]
     a, b, _ = _spans(np.cumsum(new), start)
-    names = ["doc_id", "mark", "starts", "sizes"]
-    made = pa.table([pa.array(docs[heads]), pa.array(marks[heads]), a, b], names)
+    # one row for each shard of documents
+    docs, marks = docs[heads], marks[heads]
+    found = [(d, k, x, y) for d, k, x, y in zip(docs.tolist(), marks.tolist(), a.to_pylist(), b.to_pylist(), strict=True)] + ready
+    by: dict[int, list[tuple]] = {}
+    for row in found:
+        by.setdefault(row[0] % shards, []).append(row)
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
+    cols = [pa.array([[r[i] for r in rows] for rows in by.values()], k) for i, k in enumerate(kinds)]
+    return pa.table([pa.array(list(by), pa.int32()), *cols], ["shard", "docs", "marks", "starts", "sizes"])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a shard."""
+    by: dict[tuple, tuple[list, list]] = {}
+    for row in table.select(["docs", "marks", "starts", "sizes"]).to_batches(max_chunksize=1):
+        for d, k, a, z in zip(*(row.column(i)[0].as_py() for i in range(4)), strict=True):
+            starts, sizes = by.setdefault((d, k), ([], []))
+            starts += a
+            sizes += z
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    return pa.concat_tables([made, pa.table([pa.array([r[i] for r in ready], k) for i, k in enumerate(kinds)], names)])
+    cols = ([k[0] for k in by], [k[1] for k in by], [v[0] for v in by.values()], [v[1] for v in by.values()])
+    return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "mark", "starts", "sizes"])
 
 
 def duplicate_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -179,7 +198,8 @@ def duplicate_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     c.small_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return docs.mapInArrow(_map(buckets), _ROWS).groupBy("bucket").applyInArrow(_parse, _MARKS)
+    found = docs.mapInArrow(_map(buckets), _ROWS).groupBy("bucket").applyInArrow(lambda t: _parse(t, buckets), _SHARDED)
+    return found.groupBy("shard").applyInArrow(_gather, _MARKS)
 
 
 def _keep(texts: list[bytes | None], starts: list, sizes: list) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -200,11 +220,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces as text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    spans = (
-        duplicate_spans(docs).groupBy("doc_id", "mark")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
-    )
-    joined = _marked(docs).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "sizes")
+    joined = _marked(docs).join(duplicate_spans(docs), ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
