@@ -89,9 +89,9 @@ def split_words(texts: Iterable[bytes | None], lower: bool = False) -> tuple[lis
 
 def number(words: list) -> tuple[np.ndarray, list]:
     """Each word's place in the list of different words, and that list."""
-    ids: dict = {}
-    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    return at, list(ids)
+    different = list(dict.fromkeys(words))
+    ids = dict(zip(different, range(len(different))))
+    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), different
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
