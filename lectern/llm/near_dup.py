@@ -7,14 +7,15 @@ agrees with probability equal to the Jaccard similarity, with the concentration
 
 Equal sets are one class. Among class representatives:
 
-* Documents that agree on a band of the sketch meet in a bucket. Only the smallest id of a bucket (its
-  leader) is compared with the others, on full sets: as many comparisons as members, never all pairs.
-* A link between two members of which one is not linked to the leader L needs common elements in their
-  differences from L. With A = L minus x, B = x minus L and t = 85/185, two members x (not linked to L)
-  and y link only if their differences share more than t|B_y| + (1-t)|A_y| elements, and at least
-  ceil(t(|x|+|L|)) - |x and L| elements. So by the prefix principle they share an element among the
-  first few of their differences (B before A): those are the next round's buckets. Rounds go on until
-  no bucket holds an open member; each drops the leader, so they end, and no link is lost.
+* Documents that agree on a band of the sketch meet. Only the smallest id of a bucket (its leader) is
+  compared with the others, on full sets: as many comparisons as members, never all pairs of a group.
+* What may be missed is a link of x and y of which one, say x, is not linked to the leader L. A leader's
+  members are settled pair by pair where they are at most SMALL. Of a larger group, only members that share
+  a difference from L meet again. With A = L minus x, B = x minus L and t = 85/185, x and y link if
+  |Ax and Ay| + |Bx and By| >= t(|Bx|+|By|) + (1-t)(|Ax|+|Ay|) - (1-2t)|L|, and x is not linked to L if
+  g(x) = t|Bx| + (1-t)|Ax| - (1-2t)|L| > 0. So without a common element of B they link only if
+  g(x) <= t(|Ay|-|By|), and then share one of the first |Ay| - floor(t|By|+(1-t)|Ay|) elements of Ay.
+  Members meet by these elements, with a new leader. A leader leaves its group for good, so rounds end.
 
 Null or blank text: empty set, linked with nothing. Null doc_id: own row, never linked, component_id null,
 kept true. Repeated rows of one doc_id give one row each. Under five words: the whole sequence is one shingle.
@@ -22,6 +23,8 @@ kept true. Repeated rows of one doc_id give one row each. Under five words: the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +36,8 @@ from . import common as c
 SHINGLE, BANDS, ROWS = 5, 32, 6
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Members of a leader that are settled pair by pair.
+SMALL = 32
 
 _SEEDS = c.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=c.U64) * c.U64(0x9E3779B97F4A7C15))
 _FULL = c.U64(0xFFFFFFFFFFFFFFFF)
@@ -109,49 +114,61 @@ def _judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "doc").join(b, "lo").withColumn("i", F.size(F.array_intersect("x", "l")))
 
 
-def _open_buckets(judged: DataFrame, sets: DataFrame) -> DataFrame:
-    """The next round's (key, doc, indexed, open): prefixes of the members' differences from their leader."""
-    hard = judged.groupBy("lo").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).where("n > 1 and far > 0").select("lo")
+def _linked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("linked", F.lit(100) * F.col("i") >= PERCENT * (F.size("x") + F.size("l") - F.col("i")))
+
+
+def _meet_again(far: DataFrame, sets: DataFrame) -> DataFrame:
+    """The next round's (key, chain, doc, indexed, open) of large groups; far: (chain, lo, doc, linked)."""
     t = F.lit(PERCENT / (100 + PERCENT))
-    rows = _judge(judged.join(hard, "lo"), sets).select(
-        "lo", "doc", "linked", "i", F.size("x").alias("nx"), F.size("l").alias("nl"),
-        F.concat(F.array_except("x", "l"), F.array_except("l", "x")).alias("d"),
-    )
-    b, a = F.col("nx") - F.col("i"), F.col("nl") - F.col("i")
-    indexed = (a + b - F.floor(t * b + (1 - t) * a + F.lit(1e-9) * -1)).cast("int")
-    lacking = F.ceil(t * (F.col("nx") + F.col("nl")) - F.lit(1e-9)) - F.col("i")
-    probed = F.when(F.col("linked"), indexed).otherwise(F.greatest(indexed, (a + b - lacking + 1).cast("int")))
-    return (
-        rows.withColumns({"ni": F.least(indexed, F.size("d")), "np": F.least(probed, F.size("d"))}).where("np > 0")
-        .select("lo", "doc", "linked", "ni", F.posexplode(F.slice("d", 1, F.col("np"))).alias("at", "e"))
-        .select(F.xxhash64("lo", "e").alias("key"), "doc", (F.col("at") < F.col("ni")).alias("indexed"), (~F.col("linked")).alias("open"))
+    rows = _judge(far, sets).select(
+        F.xxhash64("chain", "lo").alias("chain"), "doc", "linked", F.size("l").alias("nl"), F.array_except("x", "l").alias("b"), F.array_except("l", "x").alias("a"),
     )
+    nb, na, eps = F.size("b"), F.size("a"), F.lit(1e-6)
+    rows = c.store(rows.withColumns({"g": t * nb + (1 - t) * na - (1 - 2 * t) * F.col("nl"), "na": na - nb, "first": F.greatest(F.lit(0), na - F.floor(t * nb + (1 - t) * na - eps)).cast("int")}), "differences")
+    most = rows.groupBy("chain").agg(F.max("na").alias("most"))
+    rows = rows.join(most, "chain").withColumn("near", ~F.col("linked") & (F.col("g") <= t * F.col("most") + eps))
+    mark = lambda e, indexed: F.transform(e, lambda x: F.struct(x.alias("e"), F.lit(indexed).alias("indexed")))
+    elements = F.concat(
+        mark(F.col("b"), True), mark(F.slice("a", 1, F.col("first")), True), F.when(F.col("near"), mark(F.col("a"), False)).otherwise(F.array().cast("array<struct<e:bigint,indexed:boolean>>")),
+    )
+    return (
+        rows.select("chain", "doc", (~F.col("linked")).alias("open"), F.explode(elements).alias("m"))
+        .select(F.xxhash64("chain", "m.e").alias("key"), "chain", "doc", "m.indexed", "open")
+    )
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) of verified links that connect all linked classes; reps: (doc, bands), docs: (doc_id, text)."""
-    members = reps.select(F.explode("bands").alias("key"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("open"))
-    sets, found, level = None, None, 0
+    members = reps.select(F.explode("bands").alias("key"), F.lit(0).cast("bigint").alias("chain"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("open"))
+    sets, found, singles, level = None, [], [], 0
     while True:
         leaders = (
             members.groupBy("key")
             .agg(F.count("*").alias("n"), F.min(F.when(F.col("indexed"), F.col("doc"))).alias("lo"), F.bool_or("open").alias("o"))
             .where("n > 1 and o and lo is not null").select("key", "lo")
         )
-        pairs = c.store(members.join(leaders, "key").where("doc <> lo").select("lo", "doc").distinct(), f"pairs-{level}")
+        pairs = c.store(members.join(leaders, "key").where("doc <> lo").select("chain", "lo", "doc").distinct(), f"pairs-{level}")
         if sets is None:
             wanted = pairs.select(F.explode(F.array("lo", "doc")).alias("doc_id")).distinct()
             sets = c.store(c.map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "s array<bigint>"), "sets")
-        judged = c.store(
-            _judge(pairs, sets).select("lo", "doc", (F.lit(100) * F.col("i") >= PERCENT * (F.size("x") + F.size("l") - F.col("i"))).alias("linked")),
-            f"judged-{level}",
+        judged = c.store(_linked(_judge(pairs, sets)).select("chain", "lo", "doc", "linked"), f"judged-{level}")
+        found.append(judged.where("linked").select(F.col("lo").alias("u"), F.col("doc").alias("v")))
+        groups = c.store(judged.groupBy("chain", "lo").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).where("n > 1 and far > 0"), f"groups-{level}")
+        few = judged.join(groups.where(F.col("n") <= SMALL).select("chain", "lo"), ["chain", "lo"])
+        other = few.select("chain", "lo", F.col("doc").alias("y"), F.col("linked").alias("y_linked"))
+        singles.append(
+            few.where(~F.col("linked")).join(other, ["chain", "lo"]).where((F.col("doc") < F.col("y")) | (F.col("y_linked") & (F.col("doc") > F.col("y"))))
+            .select(F.least("doc", "y").alias("lo"), F.greatest("doc", "y").alias("doc"))
         )
-        new = judged.where("linked").select(F.col("lo").alias("u"), F.col("doc").alias("v"))
-        found = new if found is None else found.unionByName(new)
-        members = c.store(_open_buckets(judged, sets), f"open-{level}")
+        many = groups.where(F.col("n") > SMALL).select("chain", "lo")
+        if many.isEmpty():
+            break
+        members = c.store(_meet_again(judged.join(many, ["chain", "lo"]), sets), f"members-{level}")
         level += 1
-        if members.isEmpty():
-            return found
+    last = reduce(DataFrame.unionByName, singles).distinct()
+    found.append(_linked(_judge(last, sets)).where("linked").select(F.col("lo").alias("u"), F.col("doc").alias("v")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
