@@ -9,13 +9,12 @@ Equal sets are one class. Among class representatives:
 
 * Documents that agree on a band of the sketch meet. Only the smallest id of a bucket (its leader) is
   compared with the others, on full sets: as many comparisons as members, never all pairs of a group.
-* What may be missed is a link of x and y of which one, say x, is not linked to the leader L. A leader's
-  members are settled pair by pair where they are at most SMALL. Of a larger group, only members that share
-  a difference from L meet again. With A = L minus x, B = x minus L and t = 85/185, x and y link if
-  |Ax and Ay| + |Bx and By| >= t(|Bx|+|By|) + (1-t)(|Ax|+|Ay|) - (1-2t)|L|, and x is not linked to L if
-  g(x) = t|Bx| + (1-t)|Ax| - (1-2t)|L| > 0. So without a common element of B they link only if
-  g(x) <= t(|Ay|-|By|), and then share one of the first |Ay| - floor(t|By|+(1-t)|Ay|) elements of Ay.
-  Members meet by these elements, with a new leader. A leader leaves its group for good, so rounds end.
+* What may be missed is a link of two members of which one is not linked to the leader. A leader's open
+  members (those not linked to it) are compared with its other members: pair by pair where the leader has
+  at most SMALL members, else in blocks of BLOCK open members by BLOCK members, each block a task of bounded
+  size that counts intersections over one flat array and emits a spanning forest of the links it finds, so
+  no more rows than members. Only groups of near copies with open members get there; the comparisons grow
+  with open members times members, the rows with members.
 
 Null or blank text: empty set, linked with nothing. Null doc_id: own row, never linked, component_id null,
 kept true. Repeated rows of one doc_id give one row each. Under five words: the whole sequence is one shingle.
@@ -23,8 +22,6 @@ kept true. Repeated rows of one doc_id give one row each. Under five words: the
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +33,8 @@ from . import common as c
 SHINGLE, BANDS, ROWS = 5, 32, 6
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Members of a leader that are settled pair by pair.
-SMALL = 32
+#: Members of a leader that are settled pair by pair, and members in a block of a larger group.
+SMALL, BLOCK = 32, 2048
 
 _SEEDS = c.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=c.U64) * c.U64(0x9E3779B97F4A7C15))
 _FULL = c.U64(0xFFFFFFFFFFFFFFFF)
@@ -118,57 +115,67 @@ def _linked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("linked", F.lit(100) * F.col("i") >= PERCENT * (F.size("x") + F.size("l") - F.col("i")))
 
 
-def _meet_again(far: DataFrame, sets: DataFrame) -> DataFrame:
-    """The next round's (key, chain, doc, indexed, open) of large groups; far: (chain, lo, doc, linked)."""
-    t = F.lit(PERCENT / (100 + PERCENT))
-    rows = _judge(far, sets).select(
-        F.xxhash64("chain", "lo").alias("chain"), "doc", "linked", F.size("l").alias("nl"), F.array_except("x", "l").alias("b"), F.array_except("l", "x").alias("a"),
-    )
-    nb, na, eps = F.size("b"), F.size("a"), F.lit(1e-6)
-    rows = c.store(rows.withColumns({"g": t * nb + (1 - t) * na - (1 - 2 * t) * F.col("nl"), "na": na - nb, "first": F.greatest(F.lit(0), na - F.floor(t * nb + (1 - t) * na - eps)).cast("int")}), "differences")
-    most = rows.groupBy("chain").agg(F.max("na").alias("most"))
-    rows = rows.join(most, "chain").withColumn("near", ~F.col("linked") & (F.col("g") <= t * F.col("most") + eps))
-    mark = lambda e, indexed: F.transform(e, lambda x: F.struct(x.alias("e"), F.lit(indexed).alias("indexed")))
-    elements = F.concat(
-        mark(F.col("b"), True), mark(F.slice("a", 1, F.col("first")), True), F.when(F.col("near"), mark(F.col("a"), False)).otherwise(F.array().cast("array<struct<e:bigint,indexed:boolean>>")),
-    )
-    return (
-        rows.select("chain", "doc", (~F.col("linked")).alias("open"), F.explode(elements).alias("m"))
-        .select(F.xxhash64("chain", "m.e").alias("key"), "chain", "doc", "m.indexed", "open")
+def _compare(table: pa.Table) -> pa.Table:
+    """(u, v) of links between a block of open members and a block of members, without those that close a circle."""
+    table = table.combine_chunks()
+    doc, is_open, tied = (table.column(k).to_numpy() for k in ("doc", "is_open", "linked"))
+    sets = table.column("s").combine_chunks()
+    first, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+    other = np.flatnonzero(~is_open)
+    sizes = np.diff(first)
+    run, inside = c.places(sizes[other])
+    _, at = np.unique(flat, return_inverse=True)
+    elements = at[first[other][run] + inside]
+    starts = np.cumsum(sizes[other]) - sizes[other]
+    has = np.zeros(len(flat) + 1, bool)
+    where = {d: i for i, d in enumerate(doc[other].tolist())}
+    # tied members hang together by the leader; open members outside this block get labels of their own
+    label = np.arange(len(other) + int(is_open.sum()))
+    label[: len(other)][tied[other]] = len(label)
+    out = []
+    for k, x in enumerate(np.flatnonzero(is_open)):
+        own = at[first[x] : first[x + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[elements].astype(np.int64), starts) if len(elements) else np.zeros(0, np.int64)
+        has[own] = False
+        near = np.flatnonzero(100 * both >= PERCENT * (len(own) + sizes[other] - both))
+        me = where.get(int(doc[x]), len(other) + k)
+        for y in near:
+            if label[y] != label[me] and doc[other[y]] != doc[x]:
+                out.append((int(doc[x]), int(doc[other[y]])))
+                label[label == label[y]] = label[me]
+    return pa.table([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
+def _large(judged: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within groups of more than SMALL members, block by block."""
+    rows = (
+        judged.join(groups.where(F.col("n") > SMALL).select("lo", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lo")
+        .join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1))
+    opens = rows.where(~F.col("linked")).select("lo", F.col("own").alias("bx"), every.alias("by"), "doc", F.lit(True).alias("is_open"), "linked", "s")
+    others = rows.select("lo", every.alias("bx"), F.col("own").alias("by"), "doc", F.lit(False).alias("is_open"), "linked", "s")
+    return opens.unionByName(others).groupBy("lo", "bx", "by").applyInArrow(_compare, "u bigint, v bigint")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) of verified links that connect all linked classes; reps: (doc, bands), docs: (doc_id, text)."""
-    members = reps.select(F.explode("bands").alias("key"), F.lit(0).cast("bigint").alias("chain"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("open"))
-    sets, found, singles, level = None, [], [], 0
-    while True:
-        leaders = (
-            members.groupBy("key")
-            .agg(F.count("*").alias("n"), F.min(F.when(F.col("indexed"), F.col("doc"))).alias("lo"), F.bool_or("open").alias("o"))
-            .where("n > 1 and o and lo is not null").select("key", "lo")
-        )
-        pairs = c.store(members.join(leaders, "key").where("doc <> lo").select("chain", "lo", "doc").distinct(), f"pairs-{level}")
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("lo", "doc")).alias("doc_id")).distinct()
-            sets = c.store(c.map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "s array<bigint>"), "sets")
-        judged = c.store(_linked(_judge(pairs, sets)).select("chain", "lo", "doc", "linked"), f"judged-{level}")
-        found.append(judged.where("linked").select(F.col("lo").alias("u"), F.col("doc").alias("v")))
-        groups = c.store(judged.groupBy("chain", "lo").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).where("n > 1 and far > 0"), f"groups-{level}")
-        few = judged.join(groups.where(F.col("n") <= SMALL).select("chain", "lo"), ["chain", "lo"])
-        other = few.select("chain", "lo", F.col("doc").alias("y"), F.col("linked").alias("y_linked"))
-        singles.append(
-            few.where(~F.col("linked")).join(other, ["chain", "lo"]).where((F.col("doc") < F.col("y")) | (F.col("y_linked") & (F.col("doc") > F.col("y"))))
-            .select(F.least("doc", "y").alias("lo"), F.greatest("doc", "y").alias("doc"))
-        )
-        many = groups.where(F.col("n") > SMALL).select("chain", "lo")
-        if many.isEmpty():
-            break
-        members = c.store(_meet_again(judged.join(many, ["chain", "lo"]), sets), f"members-{level}")
-        level += 1
-    last = reduce(DataFrame.unionByName, singles).distinct()
-    found.append(_linked(_judge(last, sets)).where("linked").select(F.col("lo").alias("u"), F.col("doc").alias("v")))
-    return reduce(DataFrame.unionByName, found)
+    members = reps.select(F.explode("bands").alias("key"), "doc")
+    leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo")).where("n > 1").select("key", "lo")
+    pairs = c.store(members.join(leaders, "key").where("doc <> lo").select("lo", "doc").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("lo", "doc")).alias("doc_id")).distinct()
+    sets = c.store(c.map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "s array<bigint>").groupBy("doc_id").agg(F.min("s").alias("s")), "sets")
+    judged = c.store(_linked(_judge(pairs, sets)).select("lo", "doc", "linked"), "judged")
+    groups = c.store(judged.groupBy("lo").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).where("n > 1 and far > 0"), "groups")
+    few = judged.join(groups.where(F.col("n") <= SMALL).select("lo"), "lo")
+    other = few.select("lo", F.col("doc").alias("y"), F.col("linked").alias("y_linked"))
+    single = (
+        few.where(~F.col("linked")).join(other, "lo").where((F.col("doc") < F.col("y")) | (F.col("y_linked") & (F.col("doc") > F.col("y"))))
+        .select(F.least("doc", "y").alias("lo"), F.greatest("doc", "y").alias("doc")).distinct()
+    )
+    as_edge = lambda x: x.where("linked").select(F.col("lo").alias("u"), F.col("doc").alias("v"))
+    return as_edge(judged).unionByName(as_edge(_linked(_judge(single, sets)))).unionByName(_large(judged, groups, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
