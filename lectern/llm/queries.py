@@ -5,14 +5,17 @@ from __future__ import annotations
 from .fertility import op2_tokeniser_fertility
 from .langid import op3_word_first_backoff
 from .near_dup import op7_fast_sketch_dedup
+from .patience import op1_patience_licenses
 from .pii import op6_feistel_pseudonyms
 from .pieces import op4_nbest_pieces
 from .rlz import op10_relative_lz
 from .templates import op5_template_windows
+from .warc import op9_warc_derivatives
 from .zstd_quality import op8_zstd_dictionaries
 
 QUERIES = {f.__name__: f for f in (
-    op2_tokeniser_fertility, op3_word_first_backoff, op4_nbest_pieces, op5_template_windows,
-    op6_feistel_pseudonyms, op7_fast_sketch_dedup, op8_zstd_dictionaries, op10_relative_lz,
+    op1_patience_licenses, op2_tokeniser_fertility, op3_word_first_backoff, op4_nbest_pieces, op5_template_windows,
+    op6_feistel_pseudonyms, op7_fast_sketch_dedup, op8_zstd_dictionaries,
+    op9_warc_derivatives, op10_relative_lz,
 )}
 ORACLES: dict[str, str] = {}
