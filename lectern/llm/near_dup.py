@@ -202,3 +202,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op7_fast_sketch_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(c.read(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs of which the document stays, with all their columns; the others go.
+
+    Equal rows of one doc_id stay together.
+    """
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone"), "left_anti")
