@@ -43,25 +43,17 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n, gram, times): n 0 for words."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n = 0, gram = word, times)."""
     held: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, raw in held.items():
-            words: Counter = Counter()
+            words: dict[str, int] = {}
             for w, k in raw.items():
                 for x in letters(w):
-                    words[x] += k
-            by: dict[int, Counter] = {0: words} | {n: Counter() for n in range(1, LONGEST + 1)}
-            for w, k in words.items():
-                for n in range(1, LONGEST + 1):
-                    into = by[n]
-                    for g in grams(w, n):
-                        into[g] = into.get(g, 0) + k
-            for n, got in by.items():
-                keys = list(got)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([n] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array(list(got.values()), pa.int64())], ["lang", "n", "gram", "times"])
+                    words[x] = words.get(x, 0) + k
+            yield _entries(lang, 0, words)
         held.clear()
 
     for batch in batches:
@@ -72,11 +64,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n, gram, times) of the n-grams of counted words."""
+    held: dict[tuple[str, int], dict[str, int]] = {}
+    for batch in batches:
+        for lang, word, k in zip(*(batch.column(x).to_pylist() for x in ("lang", "gram", "times")), strict=True):
+            for n in range(1, LONGEST + 1):
+                into = held.setdefault((lang, n), {})
+                for g in grams(word, n):
+                    into[g] = into.get(g, 0) + k
+        if sum(map(len, held.values())) > HELD:
+            yield from (_entries(*at, got) for at, got in held.items())
+            held = {}
+    yield from (_entries(*at, got) for at, got in held.items())
+
+
+def _entries(lang: str, n: int, got: dict[str, int]) -> pa.RecordBatch:
+    size = len(got)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([n] * size, pa.int32()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["lang", "n", "gram", "times"])
+
+
 def train(docs: DataFrame) -> dict:
     """docs: (text, lang). The model: languages, and log frequencies of words and n-grams in each."""
     c.small_batches(docs.sparkSession)
     rows = docs.select("text", "lang").where("text is not null and lang is not null")
-    counted = c.store(rows.mapInArrow(_count, "lang string, n int, gram string, times bigint").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "counts")
+    entry, total_of = "lang string, n int, gram string, times bigint", F.sum("times").alias("times")
+    words = c.store(rows.mapInArrow(_count_words, entry).groupBy("lang", "n", "gram").agg(total_of), "words")
+    counted = words.unionByName(c.store(words.mapInArrow(_count_grams, entry).groupBy("lang", "n", "gram").agg(total_of), "grams"))
     # how frequent an entry must be, from a histogram of counts with some hundred classes
     counted = counted.withColumn("rank", F.floor(F.log2("times") * 8).cast("int"))
     hist = counted.groupBy("lang", "n", "rank").agg(F.count("*").alias("entries"), F.sum("times").alias("times")).collect()
@@ -97,7 +111,7 @@ def train(docs: DataFrame) -> dict:
         kept = kept | ((F.col("lang") == lang) & (F.col("n") == n) & (F.col("rank") >= rank))
     model: dict = {"langs": langs, "at": [{} for _ in range(LONGEST + 1)], "logs": []}
     table: dict[tuple, np.ndarray] = {}
-    for r in counted.where(kept).select("lang", "n", "gram", "times").toLocalIterator():
+    for r in counted.where(kept).select("lang", "n", "gram", "times").collect():
         table.setdefault((r.n, r.gram), np.zeros(len(langs)))[langs.index(r.lang)] = r.times
     for n in range(LONGEST + 1):
         mine = sorted(g for k, g in table if k == n)
@@ -110,7 +124,8 @@ def train(docs: DataFrame) -> dict:
 
 class Scorer:
     def __init__(self, model: dict) -> None:
-        self.model, self.zero = model, np.zeros(len(model["langs"]))
+        self.model, self.zero = model, (0.0,) * len(model["langs"])
+        self.logs = [[tuple(x) for x in rows.tolist()] for rows in model["logs"]]
         self.forget()
 
     def forget(self) -> None:
@@ -118,16 +133,19 @@ class Scorer:
         self.sums = np.zeros((0, len(self.zero)))
         self.n = np.zeros(0, np.int64)
 
-    def word(self, w: str) -> np.ndarray:
-        at, logs = self.model["at"], self.model["logs"]
+    def word(self, w: str) -> tuple[float, ...]:
+        at, logs = self.model["at"], self.logs
         if w in at[0]:
             return logs[0][at[0][w]]
         for n in range(LONGEST, 0, -1):
-            known = [at[n][g] for g in grams(w, n) if g in at[n]]
+            known = [logs[n][at[n][g]] for g in grams(w, n) if g in at[n]]
             if known:
-                return logs[n][known].mean(axis=0)
+                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
         return self.zero
 
+    def several(self, parts: list[str]) -> tuple[float, ...]:
+        return tuple(map(sum, zip(self.zero, *map(self.word, parts), strict=True)))
+
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         words, counts = c.split_words(texts)
         if len(self.at) > HELD:
@@ -136,7 +154,7 @@ class Scorer:
         parts = [letters(w) for w in new]
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
         self.n = np.concatenate([self.n, np.fromiter(map(len, parts), np.int64, len(parts))])
-        self.sums = np.concatenate([self.sums, np.array([sum((self.word(x) for x in p), self.zero) for p in parts]).reshape(len(parts), -1)])
+        self.sums = np.concatenate([self.sums, np.array([self.word(p[0]) if len(p) == 1 else self.several(p) for p in parts]).reshape(len(parts), len(self.zero))])
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         owner = np.repeat(np.arange(len(counts)), counts)
         n = np.bincount(owner, weights=self.n[at], minlength=len(counts))
