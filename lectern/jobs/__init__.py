@@ -1 +1 @@
-
+"""Jobs: the library's queries over the driver tables."""
