@@ -16,6 +16,8 @@ Equal sets are one class. Among class representatives:
   no more rows than members. Only groups of near copies with open members get there; the comparisons grow
   with open members times members, the rows with members.
 
+Joins are hinted to merge, so that plans don't change with the size of the data.
+
 Null or blank text: empty set, linked with nothing. Null doc_id: own row, never linked, component_id null,
 kept true. Repeated rows of one doc_id give one row each. Under five words: the whole sequence is one shingle.
 """
@@ -108,7 +110,7 @@ def _judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds both sets and the size of their intersection to (lo, doc)."""
     a = sets.select(F.col("doc_id").alias("doc"), F.col("s").alias("x"))
     b = sets.select(F.col("doc_id").alias("lo"), F.col("s").alias("l"))
-    return pairs.join(a, "doc").join(b, "lo").withColumn("i", F.size(F.array_intersect("x", "l")))
+    return pairs.join(a.hint("merge"), "doc").join(b.hint("merge"), "lo").withColumn("i", F.size(F.array_intersect("x", "l")))
 
 
 def _linked(rows: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def _large(judged: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links within groups of more than SMALL members, block by block."""
     rows = (
         judged.join(groups.where(F.col("n") > SMALL).select("lo", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lo")
-        .join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
+        .join(sets.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     )
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1))
     opens = rows.where(~F.col("linked")).select("lo", F.col("own").alias("bx"), every.alias("by"), "doc", F.lit(True).alias("is_open"), "linked", "s")
@@ -163,9 +165,9 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) of verified links that connect all linked classes; reps: (doc, bands), docs: (doc_id, text)."""
     members = reps.select(F.explode("bands").alias("key"), "doc")
     leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo")).where("n > 1").select("key", "lo")
-    pairs = c.store(members.join(leaders, "key").where("doc <> lo").select("lo", "doc").distinct(), "pairs")
+    pairs = c.store(members.join(leaders.hint("merge"), "key").where("doc <> lo").select("lo", "doc").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("lo", "doc")).alias("doc_id")).distinct()
-    sets = c.store(c.map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "s array<bigint>").groupBy("doc_id").agg(F.min("s").alias("s")), "sets")
+    sets = c.store(c.map_texts(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), _sets, "s array<bigint>").groupBy("doc_id").agg(F.min("s").alias("s")), "sets")
     judged = c.store(_linked(_judge(pairs, sets)).select("lo", "doc", "linked"), "judged")
     groups = c.store(judged.groupBy("lo").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).where("n > 1 and far > 0"), "groups")
     few = judged.join(groups.where(F.col("n") <= SMALL).select("lo"), "lo")
