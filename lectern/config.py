@@ -25,19 +25,19 @@ FORMATS = {"ics": "ics", "gcsv": "google.csv", "md": "md", "json": "json", "csv"
 
 # Label patterns in the order in which they are tried, French and English.
 LABELS = {
-    "cutoff": r"(?i)^(date limite|dernier délai|cut-off|cutoff)",
-    "due": r"(?i)^(à remettre|a remettre|échéance|date d'échéance|à rendre|date de remise|remise|due|deadline)",
-    "closes": r"(?i)^(fermé|ferme|fermeture|closed|closes|close)",
-    "opens": r"(?i)^(ouvert|ouvre|ouverture|disponible|accessible|début|ouvert le|opened|opens|open|available|allow submissions from)",
-    "attempts": r"(?i)^(tentatives autorisées|nombre de tentatives autorisées|attempts allowed)",
-    "gradeToPass": r"(?i)^(note pour passer|note de passage|note minimale|grade to pass)",
-    "timeLimit": r"(?i)^(temps disponible|limite de temps|durée|time limit)",
-    "submissionStatus": r"(?i)^(statut des travaux remis|statut de remise|submission status)",
-    "gradingStatus": r"(?i)^(statut de l'évaluation|statut d'évaluation|grading status)",
-    "timeRemaining": r"(?i)^(temps restant|time remaining)",
+    "cutoff": r"(?iu)^(date limite|dernier délai|cut-off|cutoff)",
+    "due": r"(?iu)^(à remettre|a remettre|échéance|date d'échéance|à rendre|date de remise|remise|due|deadline)",
+    "closes": r"(?iu)^(fermé|ferme|fermeture|closed|closes|close)",
+    "opens": r"(?iu)^(ouvert|ouvre|ouverture|disponible|accessible|début|ouvert le|opened|opens|open|available|allow submissions from)",
+    "attempts": r"(?iu)^(tentatives autorisées|nombre de tentatives autorisées|attempts allowed)",
+    "gradeToPass": r"(?iu)^(note pour passer|note de passage|note minimale|grade to pass)",
+    "timeLimit": r"(?iu)^(temps disponible|limite de temps|durée|time limit)",
+    "submissionStatus": r"(?iu)^(statut des travaux remis|statut de remise|submission status)",
+    "gradingStatus": r"(?iu)^(statut de l'évaluation|statut d'évaluation|grading status)",
+    "timeRemaining": r"(?iu)^(temps restant|time remaining)",
 }
-TODO = r"(?i)(à faire|a faire|to do|marquer comme terminé|mark as done)"
-DONE = r"(?i)(terminé|fait|done|completed|réussi|passed)"
+TODO = r"(?iu)(à faire|a faire|to do|marquer comme terminé|mark as done)"
+DONE = r"(?iu)(terminé|fait|done|completed|réussi|passed)"
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lectern.functions.text import SPACE, present
+from lectern.functions.text import SPACE, bound, present
 
 # Extension of a media type.
 EXTENSIONS = {
@@ -53,8 +53,8 @@ def sanitize(s: Column, most: int | Column = 80, composed: bool = True) -> Colum
     n = F.regexp_replace(n, r'[<>:"/\\|?*]', "_")
     n = F.trim(F.regexp_replace(n, f"{SPACE}+", " "))
     n = F.regexp_replace(n, r"[. ]+$", "")
-    n = F.when(n.rlike(r"(?i)^(con|prn|aux|nul|com\d|lpt\d)(\..*)?$"), F.concat(F.lit("_"), n)).otherwise(n)
-    return F.coalesce(present(capped(n, most)), F.lit("untitled"))
+    n = bound(n, lambda x: F.when(x.rlike(r"(?i)^(con|prn|aux|nul|com\d|lpt\d)(\..*)?$"), F.concat(F.lit("_"), x)).otherwise(x))
+    return F.coalesce(present(bound(n, lambda x: capped(x, most))), F.lit("untitled"))
 
 
 def fix_mojibake(s: Column) -> Column:
@@ -87,7 +87,7 @@ def filename_for(cd: Column, url: Column, mime: Column) -> Column:
     n = F.coalesce(present(filename_from_disposition(cd)), present(name_from_url(url)), F.lit("file"))
     table = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
     ext = F.try_element_at(table, F.trim(F.element_at(F.split(F.coalesce(mime, F.lit("")), ";"), 1)))
-    return sanitize(F.when(~n.rlike(_EXT) & ext.isNotNull(), F.concat(n, F.lit("."), ext)).otherwise(n), 120)
+    return sanitize(bound(n, lambda x: F.when(~x.rlike(_EXT) & ext.isNotNull(), F.concat(x, F.lit("."), ext)).otherwise(x)), 120)
 
 
 def zip_dir(parts: Column) -> Column:
@@ -95,7 +95,8 @@ def zip_dir(parts: Column) -> Column:
     parents = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1))
     leaf = F.try_element_at(parts, F.lit(-1))
     join = lambda p: F.concat_ws("/", F.lit("files"), p)
-    tries = [join(parents), *(join(F.transform(parents, lambda p, m=m: sanitize(p, m, composed=False))) for m in (40, 33, 26, 19, 12))]
+    short = lambda most: F.transform(parents, lambda p: sanitize(p, most, composed=False))
+    tries = [join(parents), *(join(short(most)) for most in (40, 33, 26, 19, 12))]
     prefix = F.coalesce(*(F.when(F.length(t) <= 120, t) for t in tries[:-1]), tries[-1])
     room = F.greatest(F.lit(12), 149 - F.length(prefix))
     cut = sanitize(leaf, room, composed=False)
@@ -146,11 +147,10 @@ def unique_names(df: DataFrame, folder: list[str], name: str = "name", order: st
     made = made.join(clash, [*folder, "_family"], "left")
     plain = made.where(F.col("_clash").isNull()).select(*df.columns, "unique_name")
     fields = [f"`{k}` {t}" for k, t in df.dtypes]
-    rename = {name: "name", order: "ord"}
+    out, rename, back = [*df.columns, "unique_name"], {name: "name", order: "ord"}, {"name": name, "ord": order}
 
     def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        back = {v: k for k, v in rename.items()}
-        return _numbered(pdf.rename(columns=rename)).rename(columns=back)[[*df.columns, "unique_name"]]
+        return _numbered(pdf.rename(columns=rename)).rename(columns=back)[out]
 
     fixed = made.where(F.col("_clash")).groupBy(*folder, "_family").applyInPandas(repair, ", ".join([*fields, "unique_name string"]))
     return plain.unionByName(fixed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def present(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+def bound(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of x where fn names its argument more than once: x is worked out once."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
 
