@@ -188,3 +188,16 @@ def c18_issues(spark, d):
 @query("select c_nationkey as course_id, string_agg(c_name, '\n\n' order by c_custkey) || '\n' as text from customer group by 1")
 def w01_course_markdown(spark, d):
     return course.render_course(read(spark, d, "customer").select(F.col("c_nationkey").alias("course_id"), F.lit(0).alias("section_ord"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("text")))
+
+
+@query("select l_orderkey, max(case when l_linenumber = 2 then 'sent' else '' end) as status from lineitem group by 1")
+def c09_assign_facts(spark, d):
+    label = F.when(F.col("l_linenumber") == 2, "Statut de remise").otherwise("Temps restant")
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("ord"), label.alias("label"), F.lit(" sent ").alias("value"))
+    return course.assign_facts(rows, ["l_orderkey"]).select("l_orderkey", F.coalesce(F.try_element_at("meta", F.lit("submissionStatus")), F.lit("")).alias("status"))
+
+
+@query("""select conv_id, turn, text || case when conv_id % 2 = 1 then '\n\n_Only the first chapter could be read._' else '' end as md from (select conv_id, turn, min(text) as text, row_number() over (partition by conv_id order by turn) as n from conversations group by 1, 2) where conv_id % 2 = 0 or n = 1""")
+def c13_book_chapters(spark, d):
+    t = read(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("md"))
+    return course.book_chapters(t.select("conv_id", (F.col("conv_id") % 2 == 0).alias("full"), F.col("turn").alias("ord"), "md"), ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "md")

@@ -244,3 +244,17 @@ def issues_report(errors: DataFrame, warnings: DataFrame) -> DataFrame:
 
 def asset_line(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", file_link(F.col("name"), F.col("path"), F.col("media"), F.col("url"), F.col("md_path")))
+
+
+def assign_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, meta) of an assignment's status table; rows: (keys, ord, label, value)."""
+    return collect_meta(rows, keys)
+
+
+def book_chapters(chapters: DataFrame, keys: list[str]) -> DataFrame:
+    """Chapters of the full print page in order, or the first chapter and a note; chapters: (keys, full, ord, md)."""
+    has = F.max(F.col("full").cast("int")).over(Window.partitionBy(*keys)) == 1
+    rank = F.row_number().over(Window.partitionBy(*keys, "full").orderBy("ord"))
+    kept = chapters.withColumns({"_has": has, "_rank": rank}).where((F.col("_has") & F.col("full")) | (~F.col("_has") & (F.col("_rank") == 1)))
+    note = F.when(F.col("_has"), F.col("md")).otherwise(F.concat("md", F.lit("\n\n_Only the first chapter could be read._")))
+    return kept.select(*keys, "ord", note.alias("md"))

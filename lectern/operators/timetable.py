@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.config import ExportPrefs
-from lectern.functions.text import clean, decode_html, decode_many, present, trimmed
+from lectern.functions.text import bound, clean, decode_html, decode_many, present, trimmed
 from lectern.operators.relational import distinct_in_order, first_wins, forward_filled
 
 EVENT = T.StructType.fromDDL(
@@ -48,6 +48,10 @@ def parse_description(desc: Column) -> Column:
     blocks = F.split(trimmed(F.coalesce(desc, F.lit(""))), r"\r?\n\s*<br\s*/?>\s*\r?\n")
     # entities need Python, which can't run inside a lambda: whole descriptions are decoded before, line breaks kept
     values = F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, r"(?i)<br\s*/?>"), clean), lambda x: x != ""))
+    return bound(values, _described)
+
+
+def _described(values: Column) -> Column:
     n = F.size(values)
     empty = F.array().cast("array<string>")
     middle = F.flatten(F.slice(values, 2, F.greatest(F.lit(0), n - 3)))
@@ -126,14 +130,17 @@ def collect_details(elements: Column, plain: Column) -> Column:
         kind = element_kind(x["l"], e["content"], t, e["entityType"], e["containsHyperlinks"], e["isNotes"])
         return F.struct(kind.alias("k"), x["l"].alias("l"), e["content"].alias("v"), t.alias("t"))
 
-    kinds = F.transform(filled, rated)
+    return bound(F.transform(filled, rated), _by_kind)
+
+
+def _by_kind(kinds: Column) -> Column:
     of = lambda kind: F.filter(kinds, lambda x: x["k"] == kind)
     texts = lambda kind: F.transform(of(kind), lambda x: x["t"])
     label = lambda x: F.coalesce(present(x["l"]), F.lit("Info"))
-    extra = F.transform(
-        F.array_distinct(F.transform(of("extra"), label)),
-        lambda l: F.concat(l, F.lit(": "), F.array_join(F.transform(F.filter(of("extra"), lambda x: label(x) == l), lambda x: x["t"]), ", ")),
-    )
+    extra = bound(of("extra"), lambda own: F.transform(
+        F.array_distinct(F.transform(own, label)),
+        lambda l: F.concat(l, F.lit(": "), F.array_join(F.transform(F.filter(own, lambda x: label(x) == l), lambda x: x["t"]), ", ")),
+    ))
     return F.struct(F.flatten(F.transform(of("links"), lambda x: hrefs_in(x["v"]))).alias("links"), *(texts(k).alias(k) for k in KINDS[1:-1]), extra.alias("extra"))
 
 
