@@ -115,7 +115,7 @@ def train(docs: DataFrame) -> dict:
         table.setdefault((r.n, r.gram), np.zeros(len(langs)))[langs.index(r.lang)] = r.times
     for n in range(LONGEST + 1):
         mine = sorted(g for k, g in table if k == n)
-        counts = np.array([table[n, g] for g in mine]).reshape(-1, len(langs))
+        counts = np.array([table[n, g] for g in mine]).reshape(len(mine), len(langs))
         sums = np.array([total.get((lang, n), 0) for lang in langs], float)
         model["at"][n] = dict(zip(mine, range(len(mine)), strict=True))
         model["logs"].append(np.log((counts + 0.5) / (sums + 0.5 * max(1, len(mine)))))

@@ -1,0 +1,188 @@
+"""Operators on single texts against plain versions, and on odd rows."""
+
+import itertools
+import math
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lectern.llm import fertility, langid, patience, pieces, pii, warc, zstd_quality
+
+from .conftest import prose
+
+
+def plain_repeats(words):
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    n, hit = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if n[w] > 1:
+            hit |= set(range(i, i + 8))
+    return len(hit)
+
+
+def test_fertility_against_plain_version(odd_docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=fertility.PIECES)
+    texts = [r.text for r in odd_docs.select("text").collect()]
+    got = fertility.quality(odd_docs).collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in odd_docs.select("doc_id").collect()]
+    for r, t in zip(got, texts, strict=True):
+        words = (t or "").encode().split()
+        ids = [i for w in words for i in sp.encode(w.decode())]
+        p = [k / len(ids) for k in Counter(ids).values()]
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        assert (r.n_words, r.word_chars, r.n_tokens) == (len(words), sum(len(w.decode()) for w in words), len(ids))
+        assert r.n_fallback == sum(sp.is_byte(i) for i in ids) and r.n_repeat_words == plain_repeats(words)
+        assert r.n_dup_lines == len(lines) - len(set(lines)) and r.n_symbols == sum((t or "").count(x) for x in "#*$%&|<>")
+        assert r.base_failed == (len(words) < 20 or 100 * r.n_repeat_words > 30 * len(words)) and not (r.base_failed and r.kept)
+        if ids:
+            assert r.entropy_bits == pytest.approx(-sum(x * math.log2(x) for x in p), abs=1e-9)
+    assert fertility.kept_only(odd_docs).columns == odd_docs.columns
+    assert fertility.kept_only(odd_docs).count() == sum(r.kept for r in got)
+
+
+def test_language_backoff(spark, odd_docs):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 30, lang), lang) for i, lang in enumerate(itertools.islice(itertools.cycle(["aa", "bb"]), 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where("doc_id < 60"))
+    out = {r.doc_id: r for r in langid.predict(docs.where("doc_id >= 60"), model).collect()}
+    assert all(out[i].lang_pred == lang and 0 <= out[i].score <= 1 for i, _, lang in rows[60:])
+    odd = langid.predict(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(r.lang_pred == "und" and r.score == 0 for r in odd if r.doc_id in (1, 2, 3))
+    assert {r.lang_pred for r in langid.predict(docs, langid.train(docs.limit(0))).collect()} == {"und"}
+    # a known word by its count, an unseen one by its longest known grams
+    score = langid.Scorer(model)
+    word = next(iter(model["at"][0]))
+    assert score.word(word) == score.logs[0][model["at"][0][word]]
+    unseen = "qq" + word[:3]
+    n = next(n for n in range(5, 0, -1) if any(g in model["at"][n] for g in langid.grams(unseen, n)))
+    known = [score.logs[n][model["at"][n][g]] for g in langid.grams(unseen, n) if g in model["at"][n]]
+    assert score.word(unseen) == pytest.approx([sum(x) / len(known) for x in zip(*known)])
+
+
+def plain_paths(m, text):
+    s = pieces.SPACE + text.replace(" ", pieces.SPACE) if text else ""
+    _, into = pieces.forward(m, s)
+    paths = [[0.0]]
+    for j in range(1, len(s) + 1):
+        paths.append([sc + w for i, w, _ in into[j] for sc in paths[i]])
+    return sorted(paths[-1], reverse=True)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="athe in.é漢\n☃", max_size=9))
+def test_nbest_against_all_paths(text):
+    m = pieces.load()
+    (r,) = pieces.Encoder(pieces.MODEL, 4)([text.encode()])
+    assert r["scores"] == plain_paths(m, text)[:4]
+    found = [tuple(pieces.nth_ids(r, k)) for k in range(len(r["swaps"]))]
+    assert len(set(found)) == len(found) and all(pieces.decode(m, list(x)) == text for x in found)
+
+
+def test_encoding_round_trip(odd_docs):
+    encoded = pieces.encode(odd_docs)
+    back = [r.text for r in pieces.decoded(encoded).collect()]
+    assert back == [r.text for r in odd_docs.select("text").collect()]
+    assert encoded.limit(0).count() == 0
+
+
+def plain_stream(key, kind, n, other, at):
+    import hashlib
+
+    return int(hashlib.sha512(f"{key}|{kind}|{n}|{other}".encode()).hexdigest()[at % 32 * 4 : at % 32 * 4 + 4], 16)
+
+
+def plain_permuted(s, key, kind):
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for n in range(pii.ROUNDS):
+        moved = ""
+        for i, ch in enumerate(a):
+            by = plain_stream(key, kind, n, b, i)
+            for base, size in (("0", 10), ("a", 26), ("A", 26)):
+                if ch.isascii() and ord(base) <= ord(ch) < ord(base) + size:
+                    ch = chr(ord(base) + (ord(ch) - ord(base) + by) % size)
+                    break
+            moved += ch
+        a, b = b, moved
+    return a + b
+
+
+def luhn(d):
+    return sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def test_feistel_pseudonyms(spark):
+    texts = [
+        "card 4521940886194967, again 4521 9408 8619 4967; bad 4521940886194968", "to that.92@mail2.example.com or +1 (499) 555-6503.", "8.196.197.208 and 999.1.1.1 on 1999-02-28, 28/02/1999, 31.02.1999; 123-45-6789 000-45-6789",
+        "GB82WEST12345698765432 GB82WEST12345698765433 1eb9c654e721b4f812088970e66a6345cee33dd6", None, "", "plain text 12 and 2024",
+    ]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_values int")
+    out = [r.text for r in pii.pseudonymised(docs, key="k").orderBy("doc_id").collect()]
+    assert out[4:] == texts[4:]
+    first, again = out[0].split("card ")[1][:16], out[0].split("again ")[1][:19]
+    assert luhn(first) and first[0] == "4" and first != "4521940886194967" and again.replace(" ", "") == first and out[0].endswith("bad 4521940886194968")
+    assert plain_permuted("521940886194967"[:-1], "k", "card") == first[1:-1]
+    assert out[1] == f"to {plain_permuted('that.92', 'k', 'email')}@mail2.example.com or +1 ({(p := plain_permuted('4995556503', 'k', 'phone'))[:3]}) {p[3:6]}-{p[6:]}."
+    day = out[2].split("on ")[1][:10]
+    assert f"{day[8:]}/{day[5:7]}/{day[:4]}" in out[2] and "999.1.1.1" in out[2] and "31.02.1999" in out[2] and "000-45-6789" in out[2] and "123-45-6789" not in out[2]
+    iban = out[3].split()[0]
+    assert int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1 and iban[:2] == "GB" and out[3].split()[1] == "GB82WEST12345698765433"
+    assert pii.pseudonymised(docs, key="k").columns == docs.columns
+
+
+def test_pairs_are_permuted(spark):
+    """The permutation of pairs is one to one over a whole domain."""
+    n = spark.range(189 * 773)
+    moved = pii.permuted_pair(F.floor(F.col("id") / 773), F.pmod("id", F.lit(773)), 189, 773, "k", "date", lambda a, b: a * 773 + b)
+    got = n.where("id % 97 < 3").select(moved.alias("x"))
+    assert got.distinct().count() == got.count() and got.where("x between 0 and 146096").count() == got.count()
+
+
+def test_licenses(spark, odd_docs):
+    rows = [
+        (1, "text\nReleased under the MIT License."), (2, "this work is licensed under the\nGNU general public License, version 3"), (3, "Licensed under CC BY-NC 4.0."), (4, "we licensed under no version the work 2 0"),
+        (5, "x\nPermission is hereby given, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ]
+    got = {(r.doc_id, r.license) for r in patience.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"), (2, "GPL-3.0"), (3, "CC-BY-NC-4.0"), (5, "MIT")}
+    assert patience.scan(odd_docs).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=12))
+def test_alignment_is_monotone(a, b):
+    pairs = patience.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    unique = patience.increasing([(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1])
+    assert len(pairs) >= len(unique)
+
+
+def test_warc_records(spark):
+    pages = spark.createDataFrame([(1, "https://x.org/a/", '<html lang="fr"><title>T &amp; U</title><script>var t="</p>";</script><p>Bon&eacute;<br>x<a href="../b">l</a><!-- c --></html>'), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
+    got = warc.derivatives(warc.responses(pages), "page_id").collect()
+    assert [(r.page_id, r.warc_type) for r in got] == [(1, "metadata"), (1, "conversion"), (2, "metadata"), (3, "metadata"), (3, "conversion")]
+    assert got[1].block == "Boné\nxl" and '"url": "https://x.org/b"' in got[0].block and '"title": "T & U"' in got[0].block
+    for r in got:
+        head, _, block = bytes(r.record).partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert fields["WARC-Refers-To"] == r.refers_to and int(fields["Content-Length"]) == r.content_length == len(block) - 4
+        assert fields["WARC-Block-Digest"] == warc.digest(block[:-4]) == r.block_digest and fields["WARC-Record-ID"] == r.record_id
+
+
+def test_compression_classifier(spark, odd_docs):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 60) if i % 2 else " ".join(f"{w}###" for w in prose(rng, 60).split()), i % 2) for i in range(120)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    model = zstd_quality.fit(docs.where("doc_id < 90"), labels.where("doc_id < 90"))
+    got = {r.doc_id: r.score for r in zstd_quality.score(docs.where("doc_id >= 90"), model).collect()}
+    assert all((s > 0.5) == bool(i % 2) for i, s in got.items())
+    odd = zstd_quality.score(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
+    none = zstd_quality.fit(docs, labels.limit(0))
+    assert none is None and {r.score for r in zstd_quality.score(docs, none).collect()} == {0.5}
