@@ -208,7 +208,7 @@ def d04_collect_meta(spark, d):
     return meta.select("l_orderkey", *(F.coalesce(F.try_element_at("meta", F.lit(k)), F.lit("")).alias(k) for k in ("cutoff", "due")))
 
 
-NOW = F.lit("1998-06-15 12:00:00").cast("timestamp_ntz")
+NOW = "1998-06-15 12:00:00"
 
 
 def activities(spark, d):
@@ -228,14 +228,14 @@ STATUS_FROM = "(select *, o_orderkey % 6 as k, o_orderdate + interval 1439 minut
 
 @query(f"select o_orderkey as ord, {STATUS_SQL} as status from {STATUS_FROM}")
 def d05_deadline_status(spark, d):
-    return activities(spark, d).select("ord", deadlines.deadline_status(*(F.col(x) for x in ("opens", "closes", "due", "cutoff")), NOW).alias("status"))
+    return activities(spark, d).select("ord", deadlines.deadline_status(*(F.col(x) for x in ("opens", "closes", "due", "cutoff")), F.lit(NOW).cast("timestamp_ntz")).alias("status"))
 
 
 @query(f"""select course_id, ord, row_number() over (partition by course_id order by at_ nulls last, ord) as rank,
  '| A' || ord || ' | quiz | S1 › S2 | ' || case when k = 0 then dm else '—' end || ' | ' || case when k in (1, 2) then dm else '—' end || ' | ' || case when k = 3 then dm when k = 2 and o_custkey % 2 = 0 then '01/01/2030' when k = 4 then 'plus tard' else '—' end || ' | — | a\\|b | — | ' || status || ' |' as line
  from (select o_custkey % 50 as course_id, o_orderkey as ord, k, o_custkey, strftime(o_orderdate, '%d/%m/%Y') as dm, case when k in (1, 2, 3) then e end as at_, {STATUS_SQL} as status from {STATUS_FROM} where k <> 5)""")
 def d06_deadlines(spark, d):
-    return deadlines.deadlines(activities(spark, d), NOW).select("course_id", "ord", "rank", "line")
+    return deadlines.deadlines(activities(spark, d), F.lit(NOW).cast("timestamp_ntz")).select("course_id", "ord", "rank", "line")
 
 
 @query("select o_orderkey, case when o_orderkey % 3 = 0 then 'c' when o_orderkey % 3 = 1 and o_orderstatus = 'F' then 'cut' end as closes from orders")

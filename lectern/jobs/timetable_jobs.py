@@ -12,7 +12,7 @@ from lectern.jobs.sources import EVENTS, KINDS_SQL, LINES, LINES_SQL, order_deta
 from lectern.operators import exports, relational, timetable
 
 PREFS = ExportPrefs()
-NOW = F.lit("2026-03-01 08:00:00").cast("timestamp_ntz")
+NOW = "2026-03-01 08:00:00"
 ORDERS = f"(select {', '.join(EVENTS)}, strftime(o_orderdate, '%Y-%m-%d') as day from orders)"
 # Normalised events in the checking engine's words, from the ingredients.
 NORMAL_SQL = f"""(select o.*, k.*, case when o.allDay then day else day || 'T10:30:00' end as start_,
@@ -158,7 +158,7 @@ ICS_DESC = DETAIL_SQL.format(rooms="", category="")
  'SUMMARY:' || {ICS_ESC.format('subject_')}, case when rooms__ <> '' then 'LOCATION:' || {ICS_ESC.format("replace(rooms__, '|', ', ')")} end, 'DESCRIPTION:' || {ICS_ESC.format(ICS_DESC)},
  case when o_orderkey % 10 = 0 then 'URL:https://meet.example.org/' || id end, 'CATEGORIES:' || o_orderpriority, case when allDay then 'TRANSP:TRANSPARENT' else 'TRANSP:OPAQUE' end, 'END:VEVENT') as lines from {NORMAL_SQL}""")
 def w02_ics(spark, d):
-    folded = exports.to_ics(normal(spark, d), PREFS, NOW)
+    folded = exports.to_ics(normal(spark, d), PREFS, F.lit(NOW).cast("timestamp_ntz"))
     return folded.groupBy("uid").agg(relational.joined_text(F.col("n"), F.replace(F.col("line"), F.lit("\r\n "), F.lit("")), "~").alias("lines"))
 
 

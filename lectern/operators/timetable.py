@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.config import ExportPrefs
 from lectern.functions.text import bound, clean, decode_html, decode_many, present, trimmed
 from lectern.operators.relational import distinct_in_order, first_wins, forward_filled
 
-EVENT = T.StructType.fromDDL(
-    "id string, start string, `end` string, allDay boolean, description string, backgroundColor string, textColor string, department string, "
-    "faculty string, eventCategory string, sites array<string>, modules array<string>, registerStatus int, studentMark int, custom1 string, custom2 string, custom3 string"
+EVENT = (
+    "struct<id:string,start:string,`end`:string,allDay:boolean,description:string,backgroundColor:string,textColor:string,department:string,"
+    "faculty:string,eventCategory:string,sites:array<string>,modules:array<string>,registerStatus:int,studentMark:int,custom1:string,custom2:string,custom3:string>"
 )
 ELEMENT = "struct<label:string,content:string,federationId:string,entityType:int,assignmentContext:string,containsHyperlinks:boolean,isNotes:boolean,isStudentSpecific:boolean>"
 DETAIL = f"event_id string, elements array<{ELEMENT}>"
@@ -27,7 +26,7 @@ KINDS = ("links", "modules", "staff", "rooms", "groups", "notes", "name", "extra
 def parse_calendar(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Events of JSON arrays with their place (pos), and issues for bodies that are none; raw keeps its other columns."""
     others = [c for c in raw.columns if c != body]
-    parsed = raw.withColumn("_events", F.from_json(body, T.ArrayType(EVENT)))
+    parsed = raw.withColumn("_events", F.from_json(body, f"array<{EVENT}>"))
     good = F.col("_events").isNotNull() & F.col(body).rlike(r"^\s*\[")
     events = parsed.where(good).select(*others, F.posexplode("_events").alias("pos", "_e")).select(*others, "pos", "_e.*")
     issues = parsed.where(~good).select(F.lit("calendar").alias("source"), F.lit("error").alias("severity"), F.lit("not an array of events").alias("message"), F.substring(body, 1, 80).alias("url"))
