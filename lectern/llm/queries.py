@@ -18,4 +18,26 @@ QUERIES = {f.__name__: f for f in (
     op6_feistel_pseudonyms, op7_fast_sketch_dedup, op8_zstd_dictionaries,
     op9_warc_derivatives, op10_relative_lz,
 )}
-ORACLES: dict[str, str] = {}
+# Words of each row, and of rows with words in lower case.
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLES: dict[str, str] = {
+    "op7_fast_sketch_dedup": f"""
+with recursive t as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from t where len(w) > 0),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as g from p),
+n as (select doc_id, count(*) as k from s group by 1),
+c as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c.k >= 85 * (x.k + y.k - c.k)),
+e as (select u, v from l union all select v, u from l),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.v from r join e on r.b = e.u)
+select d.doc_id, cast(coalesce(n.k, 0) as bigint) as n_shingles, m.b as component_id, d.doc_id = m.b as kept from documents d left join n using (doc_id) join (select a, min(b) as b from r group by 1) m on m.a = d.doc_id""",
+    "op10_relative_lz": f"""
+with t as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from t where len(w) >= 13),
+g as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as k from p),
+f as (select k, min(doc_id) as first from g group by 1),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from g join f using (k) where doc_id > first),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from t),
+k as (select doc_id, count(gone.i) as n, string_agg(word, ' ' order by x.i) filter (gone.i is null) as kept from x left join gone using (doc_id, i) group by 1)
+select t.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join k using (doc_id)""",
+}
