@@ -28,7 +28,7 @@ BYTES = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 MEASURED = 30
 #: Words of which the encoding is kept in a task.
-KEPT = 300_000
+KEPT = 120_000
 
 #: script: lowest and highest code point of its letters (fixed values of the Unicode blocks)
 SCRIPTS = {
@@ -113,11 +113,6 @@ class Vocabularies:
         return total, np.bincount(owner, weights=self.n2[at], minlength=len(counts)).astype(np.int64), fallback, entropy
 
 
-@lru_cache(maxsize=2)
-def vocabularies(pieces: str, byte_level: str) -> Vocabularies:
-    return Vocabularies(pieces, byte_level)
-
-
 def repeated_words(words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Words of each text in 8-word windows that the text holds twice or more."""
     h = c.window_hashes(c.word_hashes(words), REPEAT_WINDOW)
@@ -134,7 +129,7 @@ def repeated_words(words: list[bytes], counts: np.ndarray) -> np.ndarray:
     return np.bincount(owner[np.cumsum(edge)[:-1] > 0], minlength=len(counts))
 
 
-def measures(texts: list[bytes | None], pieces: str = PIECES, byte_level: str = BYTES) -> dict[str, np.ndarray]:
+def measures(texts: list[bytes | None], vocabularies: Vocabularies) -> dict[str, np.ndarray]:
     words, counts = c.split_words(texts)
     whole = [t or b"" for t in texts]
     n_chars = np.array([len(t.translate(None, b" \t\n\x0b\x0c\r").decode("utf-8", "replace")) for t in whole], np.int64)
@@ -144,7 +139,7 @@ def measures(texts: list[bytes | None], pieces: str = PIECES, byte_level: str =
         lines = [x for x in t.split(b"\n") if x.strip()]
         dup.append(len(lines) - len(set(lines)))
     repeat = repeated_words(words, counts)
-    total, total2, fallback, entropy = vocabularies(pieces, byte_level).measure(words, counts)
+    total, total2, fallback, entropy = vocabularies.measure(words, counts)
     table, script = _script_table(), []
     for t in whole:
         got = np.bincount(table[np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)], minlength=len(NAMES))[:-1]
@@ -167,23 +162,31 @@ def measures(texts: list[bytes | None], pieces: str = PIECES, byte_level: str =
 _FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_tokens bigint, n_byte_level bigint, n_fallback bigint, entropy_bits double, script string"
 
 
-def _columns(texts: list[bytes | None]) -> dict:
-    return {k: pa.array(v, from_pandas=True) for k, v in measures(texts).items()}
+#: Text bytes that are measured at once.
+CHUNK = 2 << 20
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> DataFrame:
     """doc_id, the counts, measures and verdict of each text."""
-    return c.map_texts(docs, _columns, _FIELDS)
+    made: list[Vocabularies] = []  # ends with the task
+
+    def fn(texts: list[bytes | None]) -> dict:
+        if not made:
+            made.append(Vocabularies(pieces, byte_level))
+        return {k: pa.array(v, from_pandas=True) for k, v in measures(texts, made[0]).items()}
+
+    return c.map_texts(docs, fn, _FIELDS, most=CHUNK)
 
 
-def kept_only(docs: DataFrame) -> DataFrame:
+def kept_only(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> DataFrame:
     """The rows of docs whose text passes, with all their columns; no shuffle."""
     c.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabularies(pieces, byte_level)
         for batch in batches:
-            for part in c.chunks(batch):
-                yield part.filter(pa.array(measures(c.raw(part.column("text")))["kept"]))
+            for part in c.chunks(batch, most=CHUNK):
+                yield part.filter(pa.array(measures(c.raw(part.column("text")), known)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
 
