@@ -13,7 +13,8 @@ modulo its size. Check digits are made anew:
 * date (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; years 1800 to 2199): its day among the 146,097 of 400 years
   (189 x 773), so every pseudonym is a real date.
 * social security number: area (898 values) and the rest (99 x 9,999). IPv4: two pairs of octets.
-* phone: the ten digits after the country code; e-mail: the part before @; secret: 32 to 64 hex digits.
+* phone: the ten digits after the country code; e-mail: the part before @; secret: 32 to 64 hex digits,
+  in lower or upper case alike.
 
 Halves over 32 characters reuse a round's keystream. Null text stays null; text without values is unchanged.
 Repeated rows give one row each; a null doc_id is passed through; other columns stay as they are.
@@ -36,7 +37,7 @@ KEY = "demonstration key"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
-    "secret": r"\b[0-9a-f]{32,64}\b",
+    "secret": r"\b(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
     "phone": r"\+1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}-[0-9]{4}\b",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -162,7 +163,13 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permuted(local, key, "email"), F.substr(m, F.length(local) + 1, F.length(m)))
 
 
-MAKERS = {"email": _email, "iban": _iban, "secret": lambda m, key: permuted(m, key, "secret", True), "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "ipv4": _ipv4}
+def _secret(m: Column, key: str) -> Column:
+    """The same pseudonym in either case."""
+    new = permuted(F.lower(m), key, "secret", True)
+    return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+
+
+MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "ipv4": _ipv4}
 
 
 def pseudonym(m: Column, key: str) -> Column:

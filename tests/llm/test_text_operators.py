@@ -120,7 +120,7 @@ def luhn(d):
 def test_feistel_pseudonyms(spark):
     texts = [
         "card 4521940886194967, again 4521 9408 8619 4967; bad 4521940886194968", "to that.92@mail2.example.com or +1 (499) 555-6503.", "8.196.197.208 and 999.1.1.1 on 1999-02-28, 28/02/1999, 31.02.1999; 123-45-6789 000-45-6789",
-        "GB82WEST12345698765432 GB82WEST12345698765433 1eb9c654e721b4f812088970e66a6345cee33dd6", None, "", "plain text 12 and 2024",
+        "GB82WEST12345698765432 GB82WEST12345698765433 1eb9c654e721b4f812088970e66a6345cee33dd6 1EB9C654E721B4F812088970E66A6345CEE33DD6", None, "", "plain text 12 and 2024",
     ]
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_values int")
     out = [r.text for r in pii.pseudonymised(docs, key="k").orderBy("doc_id").collect()]
@@ -133,6 +133,7 @@ def test_feistel_pseudonyms(spark):
     assert f"{day[8:]}/{day[5:7]}/{day[:4]}" in out[2] and "999.1.1.1" in out[2] and "31.02.1999" in out[2] and "000-45-6789" in out[2] and "123-45-6789" not in out[2]
     iban = out[3].split()[0]
     assert int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1 and iban[:2] == "GB" and out[3].split()[1] == "GB82WEST12345698765433"
+    assert out[3].split()[3] == out[3].split()[2].upper() and out[3].split()[2] != "1eb9c654e721b4f812088970e66a6345cee33dd6"
     assert pii.pseudonymised(docs, key="k").columns == docs.columns
 
 
