@@ -46,6 +46,20 @@ def test_fertility_against_plain_version(odd_docs):
     assert fertility.kept_only(odd_docs).count() == sum(r.kept for r in got)
 
 
+def test_bands_do_not_depend_on_length(spark):
+    """Clean prose passes and symbol junk is rejected at every length."""
+    rng = random.Random(4)
+    pool = [prose(rng, 1) for _ in range(1500)]
+    some = lambda n: rng.choices(pool, k=n)
+    sizes = [120, 400, 1500] * 110 + [40_000]
+    rows = [(i, " ".join(some(n))) for i, n in enumerate(sizes)]
+    rows += [(1000 + i, " | ".join(some(n))) for i, n in enumerate([120, 400, 1500, 8000])]
+    got = {r.doc_id: r for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [(sizes[i], got[i].block_bits, got[i].word_chars / got[i].n_tokens) for i in range(len(sizes)) if not got[i].kept]
+    assert len(lost) <= 16 and got[330].kept, lost
+    assert not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(4))
+
+
 def test_language_backoff(spark, odd_docs):
     rng = random.Random(1)
     rows = [(i, prose(rng, 30, lang), lang) for i, lang in enumerate(itertools.islice(itertools.cycle(["aa", "bb"]), 80))]
