@@ -152,6 +152,17 @@ def test_inconsistent_slots_are_left_alone(spark):
     assert [r.doc_id for r in templates.contaminated(docs, items).collect()] == [1]
 
 
+def test_templates_of_few_literals_and_after_a_colon(spark):
+    texts = [(1, "What is 12 + 45 * 3?"), (2, "Solve 3x + 5 = 20"), (3, "What is the capital of France?"), (4, "how do plants make sugar"), (4, "why do birds fly south in winter"), (None, "who wrote the longest book")]
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    rows = [
+        (1, "Q: What is 12 + 45 * 3? A: 147"), (2, "solve 3x + 5 = 20 now"), (3, "Question: What is the capital of France?"), (4, "say how do plants make sugar"), (5, "so why do birds fly south in winter"),
+        (6, "say who wrote the longest book"), (7, "What is 13 + 45 * 3?"), (8, "the capital of France"), (9, "what is the capital of France?"), (10, "We ask\nWhat is the capital of France?"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, None), (9, 3), (10, 3)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
