@@ -11,6 +11,9 @@ well, since every window start is. Factors of 13 words or more (all are) become
 Before the shuffle each chunk of documents keeps one copy of every window, with the smallest id; later
 copies in the chunk are factors already. So a passage in a third of all rows costs a block one entry a chunk.
 
+Windows are compared by their 64-bit hash. n different windows in a block give about n * n / 2 / 2**64 false hits:
+7e-7 for 5 million of one hot minimizer. The minimizer itself isn't sent, since equal windows have equal ones.
+
 Null text: no words. Texts under 13 words lose nothing. Null doc_id: keeps its text and is no reference.
 Repeated rows of one doc_id have equal ids, so none is a reference for another; they share their spans only
 where their texts are equal, so rows of one id with different texts are told apart by a hash of the text.
@@ -104,18 +107,17 @@ def _chunk(texts: list[bytes | None], ids: np.ndarray, buckets: int) -> pa.Recor
     out: list[tuple] = [(int(marks[0] % buckets), ids[who], marks[who], None, starts.to_pylist(), sizes.to_pylist())]
     rest = np.flatnonzero(~again)
     owner, at, key, full = owner[rest], at[rest], key[rest], full[rest]
-    first = _runs(owner, key, at // 60_000, at)
-    size = np.diff(np.append(first, len(at))).astype(np.uint16)
+    first = _runs(owner, key, at // 250, at)  # at most 250 windows
+    size = np.diff(np.append(first, len(at))).astype(np.uint8)
     block = (c.mix(key[first]) % c.U64(buckets)).astype(np.int64)
     order = np.argsort(block, kind="stable")
-    low = (full & c.U64(0xFFFFFFFF)).astype(np.uint32)
     edges = np.searchsorted(block[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)):
         mine = order[edges[b] : edges[b + 1]]
         who, place = np.unique(owner[first[mine]], return_inverse=True)
         _, inside = c.places(size[mine].astype(np.int64))
-        w = low[np.repeat(first[mine], size[mine]) + inside]
-        fields = (np.array([len(mine)]), key[first[mine]], place.astype(np.uint32), at[first[mine]].astype(np.uint32), size[mine], w)
+        w = full[np.repeat(first[mine], size[mine]) + inside]
+        fields = (np.array([len(mine)]), place.astype(np.uint32), at[first[mine]].astype(np.uint32), size[mine], w)
         out.append((int(b), ids[who], marks[who], b"".join(x.tobytes() for x in fields), None, None))
     return _rows(*map(list, zip(*out, strict=True)))
 
@@ -141,7 +143,7 @@ def _map(buckets: int):
 
 def _parse(table: pa.Table, shards: int) -> pa.Table:
     """Parses the runs of one block against all of them: the spans that start in smaller ids. Ready spans pass."""
-    fields: list[list] = [[np.zeros(0, t)] for t in (c.U64, np.int64, np.int64, np.int64, np.int64, np.uint32)]
+    fields: list[list] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, c.U64)]
     ready: list[tuple] = []
     for row in table.select(["docs", "marks", "blob", "starts", "sizes"]).to_batches(max_chunksize=1):
         ids, marks = (row.column(k)[0].values.to_numpy() for k in ("docs", "marks"))
@@ -150,12 +152,12 @@ def _parse(table: pa.Table, shards: int) -> pa.Table:
             ready += zip(ids.tolist(), marks.tolist(), row.column("starts")[0].as_py(), row.column("sizes")[0].as_py(), strict=True)
             continue
         n = int(np.frombuffer(blob, np.int64, 1)[0])
-        k, p, s, z = (np.frombuffer(blob, t, n, o) for t, o in ((c.U64, 8), (np.uint32, 8 + 8 * n), (np.uint32, 8 + 12 * n), (np.uint16, 8 + 16 * n)))
-        for into, x in zip(fields, (k, ids[p], marks[p], s.astype(np.int64), z.astype(np.int64), np.frombuffer(blob, np.uint32, -1, 8 + 18 * n)), strict=True):
+        p, s, z = (np.frombuffer(blob, t, n, o) for t, o in ((np.uint32, 8), (np.uint32, 8 + 4 * n), (np.uint8, 8 + 8 * n)))
+        for into, x in zip(fields, (ids[p], marks[p], s.astype(np.int64), z.astype(np.int64), np.frombuffer(blob, c.U64, -1, 8 + 9 * n)), strict=True):
             into.append(x)
-    keys, docs, marks, at, sizes, low = map(np.concatenate, fields)
+    docs, marks, at, sizes, full = map(np.concatenate, fields)
     run, inside = c.places(sizes)
-    hit = docs[run] > _first_of(c.mix(keys[run] ^ c.mix(low.astype(c.U64))), docs[run])
+    hit = docs[run] > _first_of(full, docs[run])
     run, start = run[hit], at[run[hit]] + inside[hit]
     # in order of id and text, then of place: spans of neighbouring runs join
     order = np.lexsort((start, marks[run], docs[run]))

@@ -132,6 +132,18 @@ def test_substring_dedup(spark, monkeypatch):
             assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].text) == (len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
 
 
+def test_windows_that_share_half_a_hash_differ(monkeypatch):
+    import pyarrow as pa
+
+    plain = rlz.c.window_hashes
+    monkeypatch.setattr(rlz.c, "window_hashes", lambda h, size: plain(h, size) & np.uint64(0xFFFFFFFF00000000) if size == rlz.WINDOW else plain(h, size))
+    rng = random.Random(8)
+    phrases = [prose(rng, 4) for _ in range(60)]
+    text = lambda k: " ".join(f"{p} " + " ".join(f"w{k}x{i}y{j}" for j in range(5)) for i, p in enumerate(phrases)).encode()
+    spans = lambda texts: sum(len(d) for d in rlz._parse(pa.Table.from_batches([rlz._chunk([t], np.array([i]), 1) for i, t in enumerate(texts)]), 1)["docs"].to_pylist())
+    assert spans([text(1), text(2)]) == 0 and spans([text(1), text(1)]) == 1
+
+
 def test_templates(spark, odd_docs):
     items = spark.createDataFrame([(1, "If Anna Smith buys 12 kg of apples for 30 dollars, how many kg does Anna get for 45 dollars today?"), (2, "short one here"), (3, None), (4, "")], "item_id long, text string")
     rows = [
