@@ -8,8 +8,10 @@ coverage of one of its notices is at least MIN_COVERAGE and the matched words li
 spread of the match is at most MAX_SPREAD times the notice). Before alignment, the words in common,
 counted with repeats, bound the coverage from above, so hopeless pairs are skipped without loss.
 
-A notice may stand anywhere, so a text is aligned line by line with one-line notices and as a whole with
-longer ones. Null or blank text: no rows of result. A text can carry several licenses: one row each, with
+A notice may stand anywhere, so it is aligned with single lines, with groups of neighbouring lines and with the
+whole text. A group is a run of lines that hold words of the notice (lines without words don't end it), split
+where a word that the notice has once would repeat; neighbouring groups of a run are tried in pairs too.
+Matched words far from the others are left out until the spread is small enough. Null or blank text: no rows of result. A text can carry several licenses: one row each, with
 the best notice; ties go to the first line. Repeated rows give their results each.
 """
 
@@ -98,9 +100,39 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def match(words: list[str], notice: list[str]) -> tuple[float, int, int]:
     """Coverage of the notice, and first and last matched word of the text."""
     pairs = align(words, notice)
+    i, j = 0, len(pairs) - 1
+    while i < j and pairs[j][0] - pairs[i][0] + 1 > MAX_SPREAD * len(notice):
+        if pairs[i + 1][0] - pairs[i][0] >= pairs[j][0] - pairs[j - 1][0]:
+            i += 1
+        else:
+            j -= 1
     if not pairs:
         return 0.0, 0, 0
-    return len(pairs) / len(notice), pairs[0][0], pairs[-1][0]
+    return (j - i + 1) / len(notice), pairs[i][0], pairs[j][0]
+
+
+def groups(cuts: list[list[str]], bag: Counter) -> list[tuple[int, int]]:
+    """First line and line after the last of each group of lines, and of each pair of groups of one run."""
+    runs: list[list[list[int]]] = []
+    seen: set[str] = set()
+    open_run = False
+    for i, x in enumerate(cuts):
+        if not x:
+            continue
+        if not any(w in bag for w in x):
+            open_run = False
+            continue
+        once = {w for w in x if bag.get(w) == 1}
+        if not open_run:
+            runs.append([[i, i + 1]])
+            seen, open_run = once, True
+        elif seen & once:
+            runs[-1].append([i, i + 1])
+            seen = once
+        else:
+            runs[-1][-1][1] = i + 1
+            seen = seen | once
+    return [(a[0], a[1]) for run in runs for a in run] + [(a[0], b[1]) for run in runs for a, b in zip(run, run[1:])]
 
 
 class Scanner:
@@ -118,7 +150,6 @@ class Scanner:
         for x in cuts:
             start.append(start[-1] + len(x))
         best: dict[str, tuple[float, int, int, int]] = {}  # coverage, first and last word, matched words
-        # lines next to each other that hold words of notices are tried together, so wrapped notices are found
         some = [sum(w in self.vocabulary for w in x) for x in cuts]
         whole = [w for x in cuts for w in x]
         line_of = [i for i, x in enumerate(cuts) for _ in x]
@@ -127,7 +158,10 @@ class Scanner:
             need = MIN_COVERAGE * len(notice)
             if sum(min(k, everything[w]) for w, k in bag.items()) < need:
                 continue
-            tries = [(cuts[i], start[i]) for i in range(len(lines)) if some[i] >= need] + [(whole, 0)]
+            tries = [(cuts[i], start[i]) for i in range(len(lines)) if some[i] >= need]
+            # lines next to each other that hold words of the notice are tried together, so wrapped notices are found
+            tries += [(whole[start[i] : start[j]], start[i]) for i, j in groups(cuts, bag) if j - i > 1]
+            tries.append((whole, 0))
             for words, at in tries:
                 have = Counter(w for w in words if w in bag)
                 if sum(min(k, bag[w]) for w, k in have.items()) < need:

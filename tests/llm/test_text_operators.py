@@ -169,6 +169,17 @@ def test_licenses(spark, odd_docs):
     assert patience.scan(odd_docs).count() == 0
 
 
+def test_wrapped_notices():
+    words = patience.NOTICES["GPL-3.0"][1].split()
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    scan = patience.Scanner(patience.NOTICES)
+    (twice,) = scan(f"Copyright 2001 A\n{wrapped}\nzug nok\nCopyright 2002 B\n{wrapped}\nzug nok")
+    assert twice[0] == "GPL-3.0" and twice[1] == 1.0 and twice[3] == wrapped.count("\n") + 1
+    # a word that the variant lacks stands far off
+    (far,) = scan("this nok zug\n" + "nok zug lat\n" * 200 + wrapped.replace("This", "That"))
+    assert far[0] == "GPL-3.0" and far[2] > 200
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=12))
 def test_alignment_is_monotone(a, b):
