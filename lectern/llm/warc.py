@@ -28,6 +28,8 @@ from . import common as c
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<title\b.*?</title\s*>", re.S | re.I)
+#: Comments, and scripts and styles after their opening tags: no links are read from these.
+_CODE = re.compile(r"<!--.*?-->|(<(script|style)\b[^>]*>).*?</\2\s*>", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|nav|header|footer|blockquote|pre|dd|dt|dl|hr|body|html|head)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -47,7 +49,7 @@ def visible(page: str) -> str:
 
 
 def facts(page: str, url: str | None) -> dict:
-    body = _HIDDEN.sub(" ", page) if "<!--" in page else page
+    body = _CODE.sub(lambda m: m[1] or " ", page)
     links = []
     for tag, *values in _LINK.findall(body):
         target = entities.unescape(next((v for v in values if v), "")).strip()

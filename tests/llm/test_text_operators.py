@@ -201,6 +201,13 @@ def test_warc_records(spark):
         assert fields["WARC-Block-Digest"] == warc.digest(block[:-4]) == r.block_digest and fields["WARC-Record-ID"] == r.record_id
 
 
+def test_links_with_and_without_comments():
+    page = '<script src="a.js">var t = \'<a href="no">\';</script><noscript><img src="b.png"></noscript><template><a href="c">x</a></template><style>/* <a href="no"> */</style>'
+    want = [("script", "https://x.org/a.js"), ("img", "https://x.org/b.png"), ("a", "https://x.org/c")]
+    for text in (page, page + '<!-- <a href="no">x</a> -->'):
+        assert [(k["path"], k["url"]) for k in warc.facts(text, "https://x.org/")["links"]] == want
+
+
 def test_compression_classifier(spark, odd_docs):
     rng = random.Random(3)
     rows = [(i, prose(rng, 60) if i % 2 else " ".join(f"{w}###" for w in prose(rng, 60).split()), i % 2) for i in range(120)]
