@@ -8,9 +8,10 @@ their class (digit, lower case, upper case, hex digit) by a keystream made by SH
 and the other half. Ranges (dates, octets, social security numbers) are a pair of numbers, each shifted
 modulo its size. Check digits are made anew:
 
-* card: first digit kept, the others but the last permuted, Luhn digit recomputed; separators stay.
+* card: looked for in a run of digit groups: from each group the longest 13 to 19 digits that end with a group
+  and pass Luhn; first digit kept, the others but the last permuted, Luhn digit recomputed; separators stay.
 * IBAN: country kept, account permuted character by character, check digits recomputed.
-* date (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; years 1800 to 2199): its day among the 146,097 of 400 years
+* date (yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy where that is no dd/mm/yyyy, dd.mm.yyyy; years 1800 to 2199): its day among the 146,097 of 400 years
   (189 x 773), so every pseudonym is a real date.
 * social security number: area (898 values) and the rest (99 x 9,999). IPv4: two pairs of octets.
 * phone: the ten digits after the country code; e-mail: the part before @; secret: 32 to 64 hex digits,
@@ -41,7 +42,7 @@ PATTERNS = {
     "phone": r"\+1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}-[0-9]{4}\b",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
+    "card": r"\b[0-9](?:[ -]?[0-9]){12,}+\b",
     "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
 }
 ANY = "|".join(PATTERNS.values())
@@ -118,7 +119,32 @@ def _card(m: Column, key: str) -> Column:
     d = F.regexp_replace(m, "[^0-9]", "")
     body = F.substr(d, F.lit(1), F.length(d) - 1)
     new = F.concat(F.substr(d, F.lit(1), F.lit(1)), permuted(F.substr(body, F.lit(2), F.length(d)), key, "card"))
-    return F.when(F.right(d, F.lit(1)) == luhn_digit(body), refilled(m, F.concat(new, luhn_digit(new))))
+    return F.when(F.length(d).between(13, 19) & (F.right(d, F.lit(1)) == luhn_digit(body)), refilled(m, F.concat(new, luhn_digit(new))))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """The run of digit groups with its cards replaced; null if it has none."""
+    groups = F.regexp_extract_all(m, F.lit("([ -]?[0-9]+)"), F.lit(1))
+    valid = lambda x: F.length(x).between(13, 19) & (F.right(x, F.lit(1)) == luhn_digit(F.substr(x, F.lit(1), F.length(x) - 1)))
+
+    def step(x: Column, i: Column) -> Column:
+        lengths = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda k: valid(F.regexp_replace(F.array_join(F.slice(groups, i + 1, k), ""), "[^0-9]", "")))
+        size = F.when(i < x["next"], F.lit(0)).otherwise(F.coalesce(F.array_max(lengths), F.lit(0)))
+        return F.struct(
+            F.when(i < x["next"], x["next"]).otherwise(i + F.greatest(size, F.lit(1))).alias("next"),
+            F.when(size > 0, F.array_append(x["cuts"], F.struct(i.alias("i"), size.alias("k")))).otherwise(x["cuts"]).alias("cuts"),
+        )
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,k:int>>").alias("cuts"))
+    cuts = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda x: x["cuts"])
+
+    def put(x: Column, at: Column) -> Column:
+        plain = F.array_join(F.slice(groups, x["next"] + 1, at["i"] - x["next"]), "")
+        found = F.array_join(F.slice(groups, at["i"] + 1, at["k"]), "")
+        return F.struct((at["i"] + at["k"]).alias("next"), F.concat(x["text"], plain, _card(found, key)).alias("text"))
+
+    filled = F.aggregate(cuts, F.struct(F.lit(0).alias("next"), F.lit("").alias("text")), put, lambda x: F.concat(x["text"], F.array_join(F.slice(groups, x["next"] + 1, F.size(groups)), "")))
+    return F.when(F.size(cuts) > 0, filled)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -130,11 +156,11 @@ def _iban(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     iso, slash = m.contains("-"), m.contains("/")
-    day = F.coalesce(F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).when(slash, F.try_to_date(m, "dd/MM/yyyy")).otherwise(F.try_to_date(m, "dd.MM.yyyy")))
+    day = F.coalesce(F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).when(slash, F.coalesce(F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy"))).otherwise(F.try_to_date(m, "dd.MM.yyyy")))
     first = F.to_date(F.lit("1800-01-01"))
     at = F.datediff(day, first)
     new = permuted_pair(F.floor(at / 773), F.pmod(at, F.lit(773)), 189, 773, key, "date", lambda a, b: F.date_add(first, (a * 773 + b).cast("int")))
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(slash, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(slash & F.try_to_date(m, "dd/MM/yyyy").isNull(), F.date_format(new, "MM/dd/yyyy")).when(slash, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
     return F.when(at.between(0, 146096), text)
 
 
@@ -169,7 +195,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
-MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "ipv4": _ipv4}
+MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "phone": _phone, "date": _date, "ssn": _ssn, "card": _cards, "ipv4": _ipv4}
 
 
 def pseudonym(m: Column, key: str) -> Column:

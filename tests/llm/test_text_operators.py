@@ -151,6 +151,17 @@ def test_feistel_pseudonyms(spark):
     assert pii.pseudonymised(docs, key="k").columns == docs.columns
 
 
+def test_cards_among_digits_and_american_dates(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"{card} {card}", f"123456 {card}", "on 12/25/2020", "1234 5678 9012 3456"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = [r.text for r in pii.pseudonymised(docs, key="k").orderBy("doc_id").collect()]
+    new = out[0][:19]
+    assert new != card and luhn(new.replace(" ", "")) and new[0] == "4"
+    assert out[:5] == [t.replace(card, new) for t in texts[:5]]
+    assert out[5] != texts[5] and len(out[5]) == len(texts[5]) and out[6] == texts[6]
+
+
 def test_pairs_are_permuted(spark):
     """The permutation of pairs is one to one over a whole domain."""
     n = spark.range(189 * 773)
