@@ -122,9 +122,8 @@ def _card(m: Column, key: str) -> Column:
     return F.when(F.length(d).between(13, 19) & (F.right(d, F.lit(1)) == luhn_digit(body)), refilled(m, F.concat(new, luhn_digit(new))))
 
 
-def _cards(m: Column, key: str) -> Column:
-    """The run of digit groups with its cards replaced; null if it has none."""
-    groups = F.regexp_extract_all(m, F.lit("([ -]?[0-9]+)"), F.lit(1))
+def _cuts(groups: Column) -> Column:
+    """First group and number of groups of each card in a run of digit groups."""
     valid = lambda x: F.length(x).between(13, 19) & (F.right(x, F.lit(1)) == luhn_digit(F.substr(x, F.lit(1), F.length(x) - 1)))
 
     def step(x: Column, i: Column) -> Column:
@@ -136,7 +135,16 @@ def _cards(m: Column, key: str) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,k:int>>").alias("cuts"))
-    cuts = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda x: x["cuts"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda x: x["cuts"])
+
+
+def _groups(m: Column) -> Column:
+    return F.regexp_extract_all(m, F.lit("([ -]?[0-9]+)"), F.lit(1))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """The run of digit groups with its cards replaced; null if it has none."""
+    groups, cuts = _groups(m), _cuts(_groups(m))
 
     def put(x: Column, at: Column) -> Column:
         plain = F.array_join(F.slice(groups, x["next"] + 1, at["i"] - x["next"]), "")
@@ -213,7 +221,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY, count: str | None = None) ->
     made = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
     parts = F.split("text", ANY, -1)
     text = F.array_join(F.zip_with(parts, made, lambda p, x: F.concat(p, F.coalesce(x["p"], x["m"], F.lit("")))), "")
-    number = F.size(F.filter(made, lambda x: x["p"].isNotNull())).cast("bigint")
+    values = lambda m: F.when(m.rlike(f"^(?:{PATTERNS['card']})$"), F.greatest(F.lit(1), F.size(_cuts(_groups(m))))).otherwise(1)
+    number = F.aggregate(made, F.lit(0), lambda n, x: n + F.when(x["p"].isNull(), 0).otherwise(values(x["m"]))).cast("bigint")
     has = F.col("text").rlike(ANY)
     whole = F.when(has, F.struct(text.alias("t"), number.alias("n"))).otherwise(F.struct(F.col("text").alias("t"), F.lit(0).cast("bigint").alias("n")))
     columns = [whole["t"].alias("text") if k == "text" else F.col(f"`{k}`") for k in docs.columns]

@@ -155,7 +155,9 @@ def test_cards_among_digits_and_american_dates(spark):
     card = "4111 1111 1111 1111"
     texts = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"{card} {card}", f"123456 {card}", "on 12/25/2020", "1234 5678 9012 3456"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    out = [r.text for r in pii.pseudonymised(docs, key="k").orderBy("doc_id").collect()]
+    rows = pii.pseudonymised(docs, key="k", count="n").orderBy("doc_id").collect()
+    out = [r.text for r in rows]
+    assert [r.n for r in rows] == [1, 1, 1, 2, 1, 1, 0]
     new = out[0][:19]
     assert new != card and luhn(new.replace(" ", "")) and new[0] == "4"
     assert out[:5] == [t.replace(card, new) for t in texts[:5]]
