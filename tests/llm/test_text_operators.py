@@ -80,6 +80,19 @@ def test_language_backoff(spark, odd_docs):
     assert score.word(unseen) == pytest.approx([sum(x) / len(known) for x in zip(*known)])
 
 
+def test_language_counts_are_whole(spark, monkeypatch):
+    """Results do not depend on how many entries are sent to the driver."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30 if lang == "aa" else 5, lang) + " shared", lang) for i, lang in enumerate(itertools.islice(itertools.cycle(["aa", "aa", "bb"]), 60))]
+    rows += [(90, None, "aa"), (91, "", "bb"), (92, "\u4e00\u4e8c 12", "bb"), (93, "sharedqq shared", "bb"), (93, "sharedqq shared", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    run = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, langid.train(docs.where("doc_id < 40"))).collect())
+    whole = run()
+    monkeypatch.setattr(langid, "MODEL_WORDS", 20)
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 50)
+    assert run() == whole and len(whole) == len(rows)
+
+
 def plain_paths(m, text):
     s = pieces.SPACE + text.replace(" ", pieces.SPACE) if text else ""
     _, into = pieces.forward(m, s)
