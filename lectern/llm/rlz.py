@@ -1,22 +1,28 @@
 """Substring dedup by relative Lempel-Ziv parsing against a corpus index in blocks.
 
-The reference is the whole corpus. It is indexed in blocks: each run of consecutive 13-word windows with
-the same minimizer (the smallest hash of a 4-word gram in the window) goes to the block of that minimizer.
-Equal windows have equal minimizers, so the block that a run falls into is the only one that can hold its
-windows, and parsing a document's runs there is parsing the document against every block. In a block the
-run is parsed greedily: a factor begins at the first window that starts in a document with a smaller id
-and is extended while the next window does too; windows that straddle factor boundaries are looked up as
-well, since every window start is. Factors of 13 words or more (all are) become duplicate spans.
-
-Before the shuffle each chunk of documents keeps one copy of every window, with the smallest id; later
-copies in the chunk are factors already. So a passage in a third of all rows costs a block one entry a chunk.
-
-Windows are compared by their 64-bit hash. n different windows in a block give about n * n / 2 / 2**64 false hits:
-7e-7 for 5 million of one hot minimizer. The minimizer itself isn't sent, since equal windows have equal ones.
+The reference is the whole corpus; a document is parsed against the documents with smaller ids.
+
+* Index: every window of 13 words is an anchor with its place (document, first word). Anchors go to blocks by
+  their hash, so a block holds all occurrences of its anchors. The number of blocks follows the bytes of
+  the input (BLOCK_BYTES each), up to MOST_BLOCKS; a frequent word or phrase is in no block more often than in others.
+* Lookup: in its block an anchor finds its first occurrence in a document with a smaller id: a seed
+  (place in the document, reference document, place in the reference).
+* Factors: seeds of a document that lie on one diagonal (same reference document, same distance of places) and
+  whose words touch or overlap are one factor: its words are the reference's words from one place on.
+* Parse: greedily, from the first word on, the factor that reaches furthest is taken. Where it ends, the windows
+  that straddle the boundary have been looked up like any other, so the next factor may begin before the
+  boundary; no duplicate window is lost between two factors. Factors (all have 13 words or more) are the
+  duplicate spans.
+
+Before the shuffle each chunk of documents parses its own repeats: a window that also starts in a smaller id
+of the chunk is a seed already and isn't sent, so a passage in a third of all rows costs a block one anchor a chunk.
+
+Windows are compared by 80 bits of hash besides those that choose the block. n different windows give about
+n * n / 2 / 2**80 / blocks false hits: 1e-8 for the 5e9 windows of 30 GB, 4e-3 for 100 TB in MOST_BLOCKS blocks.
 
 Null text: no words. Texts under 13 words lose nothing. Null doc_id: keeps its text and is no reference.
-Repeated rows of one doc_id have equal ids, so none is a reference for another; they share their spans only
-where their texts are equal, so rows of one id with different texts are told apart by a hash of the text.
+Repeated rows of one doc_id have equal ids, so none is a reference for another; where a doc_id repeats, rows
+are told apart by a hash of their text, so each text loses its own spans.
 """
 
 from __future__ import annotations
@@ -26,182 +32,201 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-WINDOW, GRAM = 13, 4
-#: Text bytes of which a map task drops repeated windows before the shuffle.
+WINDOW = 13
+#: Text bytes of which a map task parses repeats before the shuffle.
 MAP_BYTES = 8 << 20
+#: Anchor bytes of a block, anchor bytes for each byte of text (measured: 1.7 to 2), and most blocks.
+BLOCK_BYTES, ANCHOR_SHARE, MOST_BLOCKS = 16 << 20, 2, 1 << 15
 
-_ROWS = "bucket int, docs array<bigint>, marks array<bigint>, blob binary, starts array<array<int>>, sizes array<array<int>>"
-_SHARDED = "shard int, docs array<bigint>, marks array<bigint>, starts array<array<int>>, sizes array<array<int>>"
-_MARKS = "doc_id bigint, mark bigint, starts array<int>, sizes array<int>"
-
+_SALT = c.U64(0xD6E8FEB86659FD93)
+_ANCHORS = "block int, docs binary, marks binary, counts binary, at binary, key binary, more binary"
+_SEEDS = "shard int, docs binary, marks binary, counts binary, at binary, ref binary, ref_at binary"
+_FACTORS = "doc_id bigint, mark bigint, starts array<int>, sizes array<int>, refs array<bigint>, ref_starts array<int>"
 
-def _row_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of each run of ``width`` elements."""
-    step, done = x, 1
-    while done < width:
-        by = min(done, width - done)
-        step, done = np.minimum(step[: len(step) - by], step[by:]), done + by
-    return step
 
-
-def windows(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window: row of its text, first word, minimizer, hash; and the number of words of each text."""
+def windows(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: row of its text, first word, and two hashes."""
     words, counts = c.split_words(texts)
     h = c.word_hashes(words)
     owner, at = c.places(counts)
     full = c.window_hashes(h, WINDOW)
     ok = np.flatnonzero(at[: len(full)] + WINDOW <= counts[owner[: len(full)]])
-    key = _row_min(c.window_hashes(h, GRAM), WINDOW - GRAM + 1) if len(full) else full
-    return owner[ok], at[ok], key[ok], full[ok], counts
-
-
-def _runs(*same: np.ndarray) -> np.ndarray:
-    """Starts of the runs in which each array but the last is constant and the last goes up by one."""
-    n = len(same[0])
-    if not n:
-        return np.zeros(0, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = same[-1][1:] != same[-1][:-1] + 1
-    for x in same[:-1]:
-        new[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(new)
-
-
-def _spans(owner: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """Runs of windows as lists of first windows and numbers of windows, for owners that have any."""
-    first = _runs(owner, at)
-    size = np.diff(np.append(first, len(at)))
-    who, counts = np.unique(owner[first], return_counts=True)
-    return c.lists(at[first].astype(np.int32), counts, pa.int32()), c.lists(size.astype(np.int32), counts, pa.int32()), who
-
-
-def _first_of(full: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window the smallest id among the equal ones."""
-    order = np.argsort(full)
-    if not len(order):
-        return doc
-    starts = np.flatnonzero(np.append(True, full[order][1:] != full[order][:-1]))
-    least = np.empty(len(order), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
-    return least
-
-
-def _rows(bucket: list, docs: list, marks: list, blobs: list, starts: list, sizes: list) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
-    cols = [pa.array(x, k) for x, k in zip((bucket, docs, marks, blobs, starts, sizes), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(cols, ["bucket", "docs", "marks", "blob", "starts", "sizes"])
-
-
-def _chunk(texts: list[bytes | None], ids: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row with the spans found inside the chunk, and one with the other runs of each block."""
-    marks = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], c.U64).view(np.int64)
-    owner, at, key, full, _ = windows(texts)
-    again = ids[owner] > _first_of(full, ids[owner])
-    starts, sizes, who = _spans(owner[again], at[again])
-    out: list[tuple] = [(int(marks[0] % buckets), ids[who], marks[who], None, starts.to_pylist(), sizes.to_pylist())]
-    rest = np.flatnonzero(~again)
-    owner, at, key, full = owner[rest], at[rest], key[rest], full[rest]
-    first = _runs(owner, key, at // 250, at)  # at most 250 windows
-    size = np.diff(np.append(first, len(at))).astype(np.uint8)
-    block = (c.mix(key[first]) % c.U64(buckets)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
-    edges = np.searchsorted(block[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        mine = order[edges[b] : edges[b + 1]]
-        who, place = np.unique(owner[first[mine]], return_inverse=True)
-        _, inside = c.places(size[mine].astype(np.int64))
-        w = full[np.repeat(first[mine], size[mine]) + inside]
-        fields = (np.array([len(mine)]), place.astype(np.uint32), at[first[mine]].astype(np.uint32), size[mine], w)
-        out.append((int(b), ids[who], marks[who], b"".join(x.tobytes() for x in fields), None, None))
-    return _rows(*map(list, zip(*out, strict=True)))
-
-
-def _map(buckets: int):
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        return _chunk(c.raw(whole.column("text").combine_chunks()), whole.column("doc_id").to_numpy(), buckets)
+    return owner[ok], at[ok], full[ok], c.window_hashes(c.mix(h ^ _SALT), WINDOW)[ok]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte: all lowest bytes first. High bytes are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def _pack(target: np.ndarray, owner: np.ndarray, ids: np.ndarray, marks: np.ndarray, columns: list[np.ndarray], names: str) -> pa.RecordBatch:
+    """One row for each target with its elements, which are in the order of their owners."""
+    order = np.argsort(target, kind="stable")
+    target, owner = target[order], owner[order]
+    heads = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    out: list[list] = [[] for _ in range(4 + len(columns))]
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(target)]):
+        mine = owner[a:b]
+        first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        who = mine[first]
+        row = [int(target[a]), _planes(ids[who]), _planes(marks[who]), _planes(np.diff(np.append(first, b - a)).astype(np.uint32))]
+        for into, x in zip(out, row + [_planes(x[order[a:b]]) for x in columns], strict=True):
+            into.append(x)
+    kinds = [pa.int32()] + [pa.binary()] * (3 + len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [f.split()[0] for f in names.split(", ")])
+
+
+def _unpack(table: pa.Table, kinds: dict[str, type]) -> tuple[np.ndarray, ...]:
+    """Document, mark and the other numbers of every element of the rows."""
+    parts: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], *([np.zeros(0, k)] for k in kinds.values())]
+    for row in table.select(["docs", "marks", "counts", *kinds]).to_batches(max_chunksize=1):
+        got = {k: row.column(k)[0].as_py() for k in row.schema.names}
+        times = _numbers(got["counts"], np.uint32)
+        parts[0].append(np.repeat(_numbers(got["docs"], np.int64), times))
+        parts[1].append(np.repeat(_numbers(got["marks"], np.int64), times))
+        for into, (name, kind) in zip(parts[2:], kinds.items(), strict=True):
+            into.append(_numbers(got[name], kind))
+    return tuple(map(np.concatenate, parts))
+
+
+def _seeds(doc: np.ndarray, at: np.ndarray, key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that also start in a smaller id, and for each of them the first occurrence among the given ones."""
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    twice = order[np.append(False, same) | np.append(same, False)] if len(order) else order
+    twice = twice[np.lexsort((at[twice], doc[twice], more[twice], key[twice]))]
+    new = np.ones(len(twice), bool)
+    new[1:] = (key[twice][1:] != key[twice][:-1]) | (more[twice][1:] != more[twice][:-1])
+    first = twice[new][np.cumsum(new) - 1]
+    later = doc[twice] > doc[first]
+    return twice[later], first[later]
+
+
+def _found(hit: np.ndarray, ref: np.ndarray, shards: int, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Seeds as rows for the shards of their documents."""
+    order = np.lexsort((at[hit], mark[hit], doc[hit]))
+    hit, ref = hit[order], ref[order]
+    new = np.ones(len(hit), bool)
+    new[1:] = (doc[hit][1:] != doc[hit][:-1]) | (mark[hit][1:] != mark[hit][:-1])
+    heads = hit[new]
+    shard = (c.mix(doc[hit].view(c.U64)) % c.U64(shards)).astype(np.int32)
+    return _pack(shard, np.cumsum(new) - 1, doc[heads], mark[heads], [at[hit].astype(np.uint32), doc[ref], at[ref].astype(np.uint32)], _SEEDS)
+
+
+def _chunk(part: pa.Table, blocks: int) -> pa.RecordBatch:
+    """Anchors of a chunk by block. Seeds inside the chunk have block -1 - shard, and their references as key and more."""
+    ids, marks = part.column("doc_id").to_numpy(), part.column("mark").to_numpy()
+    owner, at, key, more = windows(c.raw(part.column("text").combine_chunks()))
+    doc, check = ids[owner], more.astype(np.uint16)
+    hit, ref = _seeds(doc, at, key, check)
+    own = _found(hit, ref, blocks, doc, marks[owner], at)
+    rest = np.ones(len(owner), bool)
+    rest[hit] = False
+    block = ((more[rest] >> c.U64(16)) % c.U64(blocks)).astype(np.int32)
+    sent = _pack(block, owner[rest], ids, marks, [at[rest].astype(np.uint32), key[rest], check[rest]], _ANCHORS)
+    own = pa.RecordBatch.from_arrays([pa.array(-1 - own.column(0).to_numpy()), *own.columns[1:]], sent.schema.names)
+    return pa.Table.from_batches([sent, own]).combine_chunks().to_batches()
+
+
+def _map(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             for part in c.chunks(batch):
                 held.append(part)
-                if sum(p.nbytes for p in held) >= MAP_BYTES:
-                    yield flush(held)
-                    held = []
+                size += part.nbytes
+                if size >= MAP_BYTES:
+                    yield from _chunk(pa.Table.from_batches(held), blocks)
+                    held, size = [], 0
         if held:
-            yield flush(held)
+            yield from _chunk(pa.Table.from_batches(held), blocks)
 
     return run
 
 
-def _parse(table: pa.Table, shards: int) -> pa.Table:
-    """Parses the runs of one block against all of them: the spans that start in smaller ids. Ready spans pass."""
-    fields: list[list] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, c.U64)]
-    ready: list[tuple] = []
-    for row in table.select(["docs", "marks", "blob", "starts", "sizes"]).to_batches(max_chunksize=1):
-        ids, marks = (row.column(k)[0].values.to_numpy() for k in ("docs", "marks"))
-        blob = row.column("blob")[0].as_py()
-        if blob is None:
-            ready += zip(ids.tolist(), marks.tolist(), row.column("starts")[0].as_py(), row.column("sizes")[0].as_py(), strict=True)
-            continue
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        p, s, z = (np.frombuffer(blob, t, n, o) for t, o in ((np.uint32, 8), (np.uint32, 8 + 4 * n), (np.uint8, 8 + 8 * n)))
-        for into, x in zip(fields, (ids[p], marks[p], s.astype(np.int64), z.astype(np.int64), np.frombuffer(blob, c.U64, -1, 8 + 9 * n)), strict=True):
-            into.append(x)
-    docs, marks, at, sizes, full = map(np.concatenate, fields)
-    run, inside = c.places(sizes)
-    hit = docs[run] > _first_of(full, docs[run])
-    run, start = run[hit], at[run[hit]] + inside[hit]
-    # in order of id and text, then of place: spans of neighbouring runs join
-    order = np.lexsort((start, marks[run], docs[run]))
-    run, start = run[order], start[order]
-    new = np.ones(len(run), bool)
-    new[1:] = (docs[run][1:] != docs[run][:-1]) | (marks[run][1:] != marks[run][:-1])
-    heads = run[new]
-    a, b, _ = _spans(np.cumsum(new), start)
-    # one row for each shard of documents
-    docs, marks = docs[heads], marks[heads]
-    found = [(d, k, x, y) for d, k, x, y in zip(docs.tolist(), marks.tolist(), a.to_pylist(), b.to_pylist(), strict=True)] + ready
-    by: dict[int, list[tuple]] = {}
-    for row in found:
-        by.setdefault(row[0] % shards, []).append(row)
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
-    cols = [pa.array([[r[i] for r in rows] for rows in by.values()], k) for i, k in enumerate(kinds)]
-    return pa.table([pa.array(list(by), pa.int32()), *cols], ["shard", "docs", "marks", "starts", "sizes"])
-
-
-def _gather(table: pa.Table) -> pa.Table:
-    """One row for each document of a shard."""
-    by: dict[tuple, tuple[list, list]] = {}
-    for row in table.select(["docs", "marks", "starts", "sizes"]).to_batches(max_chunksize=1):
-        for d, k, a, z in zip(*(row.column(i)[0].as_py() for i in range(4)), strict=True):
-            starts, sizes = by.setdefault((d, k), ([], []))
-            starts += a
-            sizes += z
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    cols = ([k[0] for k in by], [k[1] for k in by], [v[0] for v in by.values()], [v[1] for v in by.values()])
-    return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "mark", "starts", "sizes"])
-
-
-def duplicate_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc_id, mark, starts, sizes): first windows and numbers of windows of each document's duplicate spans.
-
-    mark: hash of the text. buckets: blocks of the index; spark.sql.shuffle.partitions unless given, so a
-    block shrinks as the cluster's setting grows with the data.
-    """
-    spark = docs.sparkSession
-    c.small_batches(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = docs.mapInArrow(_map(buckets), _ROWS).groupBy("bucket").applyInArrow(lambda t: _parse(t, buckets), _SHARDED)
-    return found.groupBy("shard").applyInArrow(_gather, _MARKS)
+def _lookup(table: pa.Table, shards: int) -> pa.Table:
+    """Seeds of one block's anchors; seeds found before the shuffle pass."""
+    block = table.column("block")[0].as_py()
+    if block < 0:
+        rows = table.select(["docs", "marks", "counts", "at", "key", "more"])
+        return pa.table([pa.array([-1 - block] * len(rows), pa.int32()), *rows.columns], [f.split()[0] for f in _SEEDS.split(", ")])
+    doc, mark, at, key, more = _unpack(table, {"at": np.uint32, "key": c.U64, "more": np.uint16})
+    return pa.Table.from_batches([_found(*_seeds(doc, at, key, more), shards, doc, mark, at)])
+
+
+def greedy(factors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The parse: of (start, end, reference, place) sorted by start, those taken. They cover what all cover."""
+    out, i, reached = [], 0, -1
+    while i < len(factors):
+        reached = max(reached, factors[i][0])
+        best = None
+        while i < len(factors) and factors[i][0] <= reached:
+            if factors[i][1] > (best[1] if best else reached):
+                best = factors[i]
+            i += 1
+        if best:
+            out.append(best)
+            reached = best[1]
+    return out
+
+
+def _parse(table: pa.Table) -> pa.Table:
+    """The factors taken for each document of a shard."""
+    doc, mark, at, ref, ref_at = _unpack(table, {"at": np.uint32, "ref": np.int64, "ref_at": np.uint32})
+    at, ref_at = at.astype(np.int64), ref_at.astype(np.int64)
+    order = np.lexsort((at, at - ref_at, ref, mark, doc))
+    doc, mark, at, ref, ref_at = (x[order] for x in (doc, mark, at, ref, ref_at))
+    new = np.ones(len(doc), bool)
+    for x in (doc, mark, ref, at - ref_at):
+        new[1:] &= x[1:] == x[:-1]
+    new[1:] = ~(new[1:] & (at[1:] - at[:-1] <= WINDOW))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    start, end = at[first], at[last] + WINDOW
+    order = np.lexsort((-end, start, mark[first], doc[first]))
+    rows: dict[tuple[int, int], list] = {}
+    for d, m, *factor in zip(*(x[order].tolist() for x in (doc[first], mark[first], start, end, ref[first], ref_at[first])), strict=True):
+        rows.setdefault((d, m), []).append(tuple(factor))
+    parsed = [greedy(f) for f in rows.values()]
+    lists = [[[f[0] for f in p] for p in parsed], [[f[1] - f[0] for f in p] for p in parsed], [[f[2] for f in p] for p in parsed], [[f[3] for f in p] for p in parsed]]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    columns = [[k[0] for k in rows], [k[1] for k in rows], *lists]
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _FACTORS.split(", ")])
+
+
+def marked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, mark) and the number of blocks. The mark tells texts of one doc_id apart; 0 where ids don't repeat."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    size = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("rows")).agg(F.sum("bytes"), F.max("rows")).first()
+    blocks = min(MOST_BLOCKS, 1 + (size[0] or 0) * ANCHOR_SHARE // BLOCK_BYTES)
+    repeats = (size[1] or 0) > 1
+    return docs.withColumn("mark", F.xxhash64("text") if repeats else F.lit(0).cast("bigint")), blocks
+
+
+def _factors(docs: DataFrame, blocks: int) -> DataFrame:
+    c.small_batches(docs.sparkSession)
+    texts = docs.where("doc_id is not null and text is not null")
+    seeds = texts.mapInArrow(_map(blocks), _ANCHORS).repartition(blocks, "block").groupBy("block").applyInArrow(lambda t: _lookup(t, blocks), _SEEDS)
+    return seeds.repartition(blocks, "shard").groupBy("shard").applyInArrow(_parse, _FACTORS)
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, size, ref, ref_start): words start to start + size - 1 of the document are the reference's
+    words from ref_start on. The greedy parse of each document; documents without factors give no row."""
+    rows = _factors(*marked(docs))
+    zipped = F.arrays_zip("starts", "sizes", "refs", "ref_starts")
+    return rows.select("doc_id", "mark", F.inline(zipped)).toDF("doc_id", "mark", "start", "size", "ref", "ref_start")
 
 
 def _keep(texts: list[bytes | None], starts: list, sizes: list) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -213,16 +238,16 @@ def _keep(texts: list[bytes | None], starts: list, sizes: list) -> Iterator[tupl
         gone = np.zeros(len(w) + 1, np.int32)
         a, z = np.array(a), np.array(z)
         np.add.at(gone, a, 1)
-        np.add.at(gone, np.minimum(a + z + WINDOW - 1, len(w)), -1)
+        np.add.at(gone, a + z, -1)
         gone = np.cumsum(gone)[:-1] > 0
         yield len(w), int(gone.sum()), [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
 
 
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces as text."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = _marked(docs).join(duplicate_spans(docs), ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "sizes")
+    docs, blocks = marked(docs)
+    found = _factors(docs, blocks).select("doc_id", "mark", "starts", "sizes")
+    joined = docs.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,18 +260,8 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
                     cols, names = [*cols, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "text"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    c.small_batches(spark)
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in c.raw(batch.column("text"))], c.U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(marks)], ["doc_id", "text", "mark"])
-
-    return docs.mapInArrow(run, "doc_id bigint, text string, mark bigint")
-
-
 def op10_relative_lz(spark, sf_dir: str) -> DataFrame:
     return without_repeats(c.read(spark, sf_dir, "documents"), with_text=False)

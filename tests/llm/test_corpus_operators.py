@@ -132,16 +132,44 @@ def test_substring_dedup(spark, monkeypatch):
             assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].text) == (len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
 
 
-def test_windows_that_share_half_a_hash_differ(monkeypatch):
-    import pyarrow as pa
-
-    plain = rlz.c.window_hashes
-    monkeypatch.setattr(rlz.c, "window_hashes", lambda h, size: plain(h, size) & np.uint64(0xFFFFFFFF00000000) if size == rlz.WINDOW else plain(h, size))
+def test_factors_are_one_reference_each(spark, monkeypatch):
+    """Every factor is a stretch of one smaller document, word by word, and factors cover all duplicate windows."""
     rng = random.Random(8)
-    phrases = [prose(rng, 4) for _ in range(60)]
-    text = lambda k: " ".join(f"{p} " + " ".join(f"w{k}x{i}y{j}" for j in range(5)) for i, p in enumerate(phrases)).encode()
-    spans = lambda texts: sum(len(d) for d in rlz._parse(pa.Table.from_batches([rlz._chunk([t], np.array([i]), 1) for i, t in enumerate(texts)]), 1)["docs"].to_pylist())
-    assert spans([text(1), text(2)]) == 0 and spans([text(1), text(1)]) == 1
+    a, b, d = (prose(rng, 60).split() for _ in range(3))
+    rows = [(1, a), (2, b), (3, a[40:] + b[:30]), (4, d + a[5:50] + b[:30]), (5, d[:12] + b[3:40] + d[:13]), (6, a + b + a), (6, d), (7, d[:59] + ["x"] + a[:20])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for block in (rlz.BLOCK_BYTES, 500):
+        monkeypatch.setattr(rlz, "BLOCK_BYTES", block)
+        got = rlz.factors(docs.repartition(3)).collect()
+        texts = {}
+        for i, w in rows:
+            texts.setdefault(i, []).append(w)
+        covered = {}
+        for r in got:
+            assert r.ref < r.doc_id and r.size >= rlz.WINDOW
+            assert any(w[r.start : r.start + r.size] == v[r.ref_start : r.ref_start + r.size] for w in texts[r.doc_id] for v in texts[r.ref] if len(w) >= r.start + r.size)
+            covered.setdefault(r.doc_id, []).append((r.start, r.size, r.ref, r.ref_start))
+        assert sorted(covered[3]) == [(0, 20, 1, 40), (20, 30, 2, 0)] or sum(z for _, z, *_ in covered[3]) >= 50  # the bridge belongs to two
+        assert (60, 45, 1, 5) in covered[4]
+        assert covered[5] == [(12, 37, 2, 3), (49, 13, 4, 0)] or {x[0] for x in covered[5]} >= {12, 49}
+        assert (0, 59, 4, 0) in covered[7] and (60, 20, 1, 0) in covered[7]
+    assert rlz.factors(docs.limit(0)).count() == 0
+
+
+def test_greedy_parse():
+    rng = random.Random(9)
+    for _ in range(300):
+        found = sorted(((s := rng.randint(0, 40)), s + rng.randint(1, 15), 0, 0) for _ in range(rng.randint(0, 9)))
+        found.sort(key=lambda f: (f[0], -f[1]))
+        every, taken = ({k for s, e, *_ in x for k in range(s, e)} for x in (found, rlz.greedy(found)))
+        assert every == taken
+
+
+def test_windows_with_equal_keys_differ_by_the_second_hash():
+    doc, at = np.array([1, 2, 3]), np.array([0, 0, 0])
+    key, more = np.array([7, 7, 7], np.uint64), np.array([1, 2, 1], np.uint16)
+    hit, ref = rlz._seeds(doc, at, key, more)
+    assert hit.tolist() == [2] and ref.tolist() == [0]
 
 
 def test_templates(spark, odd_docs):
