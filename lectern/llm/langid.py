@@ -1,37 +1,40 @@
 """Language identification by word-first backoff.
 
 Training counts, over all labelled training texts, the words and the character n-grams (1 to 5, with word
-ends marked) of each language. A text's known words are scored by their log frequency in each language; an
-unseen word by the longest of its n-grams that are known: all of one length, or else the next shorter.
-The language with the largest sum wins; the score is its share of the likelihood over at most CALIBRATED words.
+ends marked) of each language. A word is known if it is at least WORD_SHARE of the words of some language, an n-gram
+if it is at least GRAM_SHARE of the n-grams of its length; what is known has its true count in every language.
+A text's known words are scored by their log frequency in each language; an unseen word by the longest of its
+n-grams that are known: all of one length, or else the next shorter. The language with the largest sum wins;
+the score is its share of the likelihood over at most CALIBRATED words.
 
-Every word and n-gram counts, with its count in every language. Where they are at most MODEL_WORDS and
-MODEL_GRAMS, all go to the driver and the executors. Else only the most frequent words over all languages go
-there; the corpus's other words are scored on Spark by joins with the stored counts. The result is the same.
+The shares define the model at every size of the corpus and bound it: at most 1 / WORD_SHARE words and
+LONGEST / GRAM_SHARE n-grams for each language, so it goes to the driver and the executors whole.
 
+Letters are those of Unicode with their combining marks; digits, fractions and superscripts aren't letters.
 Null text, or no letters: language ``und``, score 0. No training text at all: ``und``. Ties go to the first
-language by name. Repeated rows give one row each.
+language by name. Repeated rows give one row each. A null doc_id is never learned from, so it counts as held out.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
 LONGEST = 5
-MODEL_WORDS, MODEL_GRAMS = 200_000, 200_000
+#: Least share of a known word among the words of a language, and of a known n-gram among those of its length.
+WORD_SHARE, GRAM_SHARE = 2e-6, 1e-5
 CALIBRATED = 40
 #: Words that a task counts or remembers before it flushes.
 HELD = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letters(word: bytes) -> list[str]:
@@ -94,30 +97,20 @@ def train(docs: DataFrame) -> dict:
     sizes = counted.groupBy("lang", "n").agg(total_of).collect()
     langs = sorted({r.lang for r in sizes})
     total = {(r.lang, r.n): r.times for r in sizes}
-    # one row an entry, with its count in every language
-    each = [F.sum(F.when(F.col("lang") == lang, F.col("times")).otherwise(0)).alias(f"t{k}") for k, lang in enumerate(langs)]
-    entries = c.store(
-        counted.groupBy("n", "gram").agg(total_of, *each).select("n", "gram", F.array(*(f"t{k}" for k in range(len(langs)))).cast("array<bigint>").alias("counts"), F.floor(F.log2("times") * 8).cast("int").alias("rank")),
-        "entries",
-    )
-    hist = entries.groupBy("n", "rank").agg(F.count("*").alias("entries")).collect()
-    size = [sum(r.entries for r in hist if r.n == n) for n in range(LONGEST + 1)]
-    sums = [np.array([total.get((lang, n), 0) for lang in langs], float) + 0.5 * max(1, size[n]) for n in range(LONGEST + 1)]
-    whole = size[0] <= MODEL_WORDS and sum(size[1:]) <= MODEL_GRAMS
-    here = entries
-    if not whole:
-        # how frequent a word must be to be sent, from a histogram of counts with some hundred classes
-        room, least = MODEL_WORDS, 1 << 30
-        for r in sorted((r for r in hist if r.n == 0), key=lambda r: -r.rank):
-            room -= r.entries
-            if room < 0:
-                break
-            least = r.rank
-        here = entries.where((F.col("n") == 0) & (F.col("rank") >= least))
+    # one row an entry, with its count in every language, if it is known
+    share = F.element_at(F.create_map(*(F.lit(x) for (lang, n), t in sorted(total.items()) for x in (f"{lang} {n}", float(t)))), F.concat_ws(" ", "lang", "n")) if total else F.lit(1.0)
+    least = F.when(F.col("n") == 0, WORD_SHARE).otherwise(GRAM_SHARE)
+    entries = (
+        counted.withColumn("known", F.col("times") >= least * share).groupBy("n", "gram")
+        .agg(F.bool_or("known").alias("known"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("counts")).where("known")
+    )
+    size = [0] * (LONGEST + 1)
     table: list[dict] = [{} for _ in range(LONGEST + 1)]
-    for r in here.select("n", "gram", "counts").collect():
-        table[r.n][r.gram] = r.counts
-    model: dict = {"langs": langs, "at": [], "logs": [], "whole": whole, "entries": entries, "sums": sums}
+    for r in entries.select("n", "gram", "counts").toLocalIterator():
+        table[r.n][r.gram] = [r.counts.get(lang, 0) for lang in langs]
+        size[r.n] += 1
+    sums = [np.array([total.get((lang, n), 0) for lang in langs], float) + 0.5 * max(1, size[n]) for n in range(LONGEST + 1)]
+    model: dict = {"langs": langs, "at": [], "logs": []}
     for n in range(LONGEST + 1):
         mine = sorted(table[n])
         counts = np.array([table[n][g] for g in mine], float).reshape(len(mine), len(langs))
@@ -150,20 +143,6 @@ class Scorer:
     def several(self, parts: list[str]) -> tuple[float, ...]:
         return tuple(map(sum, zip(self.zero, *map(self.word, parts), strict=True)))
 
-    def parts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Each text's sums over the words sent, number of all its words, and those that were not sent."""
-        sums, number, others = np.zeros((len(texts), len(self.zero))), np.zeros(len(texts), np.int64), []
-        at, logs = self.model["at"][0], self.model["logs"][0]
-        for i, t in enumerate(texts):
-            words = Counter(letters(t or b""))
-            number[i] = words.total()
-            others.append([w for w, k in words.items() if w not in at for _ in range(k)])
-            sent = [(at[w], k) for w, k in words.items() if w in at]
-            if sent:
-                ids, times = zip(*sent, strict=True)
-                sums[i] = np.array(times) @ logs[list(ids)]
-        return sums, number, others
-
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         words, counts = c.split_words(texts)
         if len(self.at) > HELD:
@@ -180,10 +159,7 @@ class Scorer:
         if not langs:
             return ["und"] * len(counts), np.zeros(len(counts))
         sums = np.stack([np.bincount(owner, weights=self.sums[at, k], minlength=len(counts)) for k in range(len(langs))], axis=1)
-        return self.answer(sums, n)
-
-    def answer(self, sums: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
-        langs, best = self.model["langs"], sums.argmax(axis=1)
+        best = sums.argmax(axis=1)
         z = sums / np.maximum(n, 1)[:, None] * np.minimum(n, CALIBRATED)[:, None]
         share = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
         return [langs[b] if k else "und" for b, k in zip(best, n, strict=True)], np.where(n > 0, share, 0.0)
@@ -191,9 +167,7 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "entries"})
-    if not model["whole"]:
-        return _predict_by_joins(docs, model, shared)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list[Scorer] = []
 
     def fn(texts: list[bytes | None]) -> dict:
@@ -205,58 +179,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return c.map_texts(docs, fn, "lang_pred string, score double")
 
 
-def _other_words(words: DataFrame, model: dict) -> DataFrame:
-    """(word, logs) of different words, by joins with the stored counts; no row where no n-gram is known."""
-    entries, sums = model["entries"].select("n", "gram", "counts"), model["sums"]
-    size = F.element_at(F.array(*(F.array(*map(F.lit, x.tolist())) for x in sums)), F.col("n") + 1)
-    logs = F.zip_with("counts", size, lambda x, y: F.log((x + 0.5) / y))
-    vector = F.array(*(logs[k] for k in range(len(model["langs"]))))
-    known = words.join(entries.where("n = 0").withColumnRenamed("gram", "word"), "word").select("word", vector.alias("logs"))
-    unseen = words.join(entries.where("n = 0").select(F.col("gram").alias("word")), "word", "left_anti")
-    asked = []
-    w = F.concat(F.lit("<"), "word", F.lit(">"))
-    for n in range(1, LONGEST + 1):
-        starts = F.when(F.length(w) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1))).otherwise(F.array().cast("array<int>"))
-        asked.append(F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.substr(w, i, F.lit(n)).alias("gram"))))  # noqa: B023
-    got = unseen.select("word", F.explode(F.concat(*asked)).alias("x")).select("word", "x.n", "x.gram").join(entries, ["n", "gram"])
-    got = got.select("word", "n", *(logs[k].alias(f"l{k}") for k in range(len(model["langs"]))))
-    mean = got.groupBy("word", "n").agg(F.array(*(F.avg(f"l{k}") for k in range(len(model["langs"])))).alias("logs"))
-    # the word itself, or else its longest known n-grams
-    return known.unionByName(mean.groupBy("word").agg(F.max_by("logs", "n").alias("logs")))
-
-
-def _predict_by_joins(docs: DataFrame, model: dict, shared) -> DataFrame:
-    several: list[Scorer] = []
-
-    def scorer() -> Scorer:
-        if not several:
-            several.append(Scorer(shared.value))
-        return several[0]
-
-    def split(texts: list[bytes | None]) -> dict:
-        sums, n, others = scorer().parts(texts)
-        return {"sums": pa.array(sums.tolist(), pa.list_(pa.float64())), "n": pa.array(n, pa.int64()), "others": pa.array(others, pa.list_(pa.string()))}
-
-    rows = c.map_texts(docs, split, "sums array<double>, n bigint, others array<string>")
-    # written once, so that a row keeps its number
-    rows = c.store(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-    asked = rows.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    scored = c.store(_other_words(asked.select("word").distinct(), model), "others")
-    more = asked.join(scored, "word").groupBy("row").agg(F.array(*(F.sum(F.col("logs")[k] * F.col("k")) for k in range(len(model["langs"])))).alias("more"))
-    summed = rows.drop("others").join(more, "row", "left")
-    summed = summed.select("doc_id", "n", F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y)).alias("sums"))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                langs, score = scorer().answer(np.array(batch.column("sums").to_pylist(), float), batch.column("n").to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return summed.mapInArrow(answer, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
-
-
 def op3_word_first_backoff(spark, sf_dir: str) -> DataFrame:
     docs = c.read(spark, sf_dir, "documents")
     model = train(docs.where(c.fold("doc_id") != 0))
     out = predict(docs, model)
-    return out.select("doc_id", (c.fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(c.fold("doc_id") == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")

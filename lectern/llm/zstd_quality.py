@@ -8,7 +8,8 @@ other labelled texts, turns it into the probability of label 1.
 Fitting takes a bounded sample of labelled training rows: at most SAMPLE texts of each label, of at most
 SAMPLE_CHARS characters, chosen by a hash of the id; two thirds build dictionaries, one third the curve.
 Scoring reads every whole text. Empty or null text scores the share of label 1 in the curve's sample.
-Without labelled rows of both kinds every score is 0.5. A null doc_id is never in the sample.
+Without labelled rows of both kinds every score is 0.5. A null doc_id is never in the
+sample, so it counts as held out.
 """
 
 from __future__ import annotations
@@ -107,4 +108,4 @@ def op8_zstd_dictionaries(spark, sf_dir: str) -> DataFrame:
     docs, labels = c.read(spark, sf_dir, "documents"), c.read(spark, sf_dir, "labels")
     training = c.fold("doc_id") != 0
     out = score(docs, fit(docs.where(training), labels.where(training)))
-    return out.select("doc_id", (c.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(c.fold("doc_id") == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -80,17 +80,52 @@ def test_language_backoff(spark, odd_docs):
     assert score.word(unseen) == pytest.approx([sum(x) / len(known) for x in zip(*known)])
 
 
-def test_language_counts_are_whole(spark, monkeypatch):
-    """Results do not depend on how many entries are sent to the driver."""
+def plain_language(train, texts):
+    """Word-first backoff over plain counters."""
+    cut = lambda t: langid.letters((t or "").encode())
+    counts = {}
+    for t, lang in train:
+        for w in cut(t):
+            for n in range(6):
+                for g in langid.grams(w, n) if n else [w]:
+                    counts.setdefault((lang, n), Counter())[g] += 1
+    langs = sorted({lang for lang, _ in counts})
+    total = {k: sum(v.values()) for k, v in counts.items()}
+    known = [{g for lang in langs for g, k in counts[lang, n].items() if k >= (langid.GRAM_SHARE if n else langid.WORD_SHARE) * total[lang, n]} for n in range(6)]
+    logs = lambda g, n: [math.log((counts[lang, n][g] + 0.5) / (total[lang, n] + 0.5 * max(1, len(known[n])))) for lang in langs]
+
+    def word(w):
+        if w in known[0]:
+            return logs(w, 0)
+        for n in range(5, 0, -1):
+            some = [logs(g, n) for g in langid.grams(w, n) if g in known[n]]
+            if some:
+                return [sum(x) / len(some) for x in zip(*some)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        words = [word(w) for w in cut(t)]
+        sums = [sum(x) for x in zip(*words)] if words else []
+        z = [x / len(words) * min(len(words), langid.CALIBRATED) for x in sums]
+        out.append((langs[sums.index(max(sums))], 1 / sum(math.exp(x - max(z)) for x in z)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_against_plain_version(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, prose(rng, 30 if lang == "aa" else 5, lang) + " shared", lang) for i, lang in enumerate(itertools.islice(itertools.cycle(["aa", "aa", "bb"]), 60))]
-    rows += [(90, None, "aa"), (91, "", "bb"), (92, "\u4e00\u4e8c 12", "bb"), (93, "sharedqq shared", "bb"), (93, "sharedqq shared", "bb")]
+    rows += [(90, None, "aa"), (91, "", "bb"), (92, "\u4e00\u4e8c 12", "bb"), (93, "sharedqq shared", "bb"), (93, "sharedqq shared", "bb"), (94, "\u00bd \u00b2 \u2460 7 _", "aa"), (None, "e\u0301te\u0301 \u0939\u093f\u0928\u094d\u0926\u0940 tra", "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    run = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, langid.train(docs.where("doc_id < 40"))).collect())
-    whole = run()
-    monkeypatch.setattr(langid, "MODEL_WORDS", 20)
-    monkeypatch.setattr(langid, "MODEL_GRAMS", 50)
-    assert run() == whole and len(whole) == len(rows)
+    train = [(t, lang) for i, t, lang in rows if i is not None and i < 40]
+    for shares in ((langid.WORD_SHARE, langid.GRAM_SHARE), (0.004, 0.01)):  # all words known, and few
+        monkeypatch.setattr(langid, "WORD_SHARE", shares[0])
+        monkeypatch.setattr(langid, "GRAM_SHARE", shares[1])
+        got = langid.predict(docs, langid.train(docs.where("doc_id < 40"))).collect()
+        want = plain_language(train, [t for _, t, _ in rows])
+        assert [(r.doc_id, r.lang_pred) for r in got] == [(i, lang) for (i, *_), (lang, _) in zip(rows, want)]
+        assert [r.score for r in got] == pytest.approx([s for _, s in want])
+    assert got[-2].lang_pred == "und" and langid.letters("\u0939\u093f\u0928\u094d\u0926\u0940".encode()) == ["\u0939\u093f\u0928\u094d\u0926\u0940"]
 
 
 def plain_paths(m, text):
