@@ -2,9 +2,12 @@
 
 The reference is the whole corpus; a document is parsed against the documents with smaller ids.
 
-* Index: every window of 13 words is an anchor with its place (document, first word). Anchors go to blocks by
-  their hash, so a block holds all occurrences of its anchors. The number of blocks follows the bytes of
-  the input (BLOCK_BYTES each), up to MOST_BLOCKS; a frequent word or phrase is in no block more often than in others.
+* Index: every window of 13 words is an anchor with its place (document, first word). A run of windows with one
+  minimizer (the smallest hash of a 4-word gram in the window) goes to the block of that minimizer, so a block
+  holds all occurrences of its anchors. The number of blocks follows the bytes of the input (BLOCK_BYTES
+  each), up to MOST_BLOCKS. Grams that are frequent in a sample of SAMPLE documents are the last to be chosen as
+  minimizers, so a stock phrase doesn't bring all the windows around it to one block; the sample decides on
+  blocks, never on results.
 * Lookup: in its block an anchor finds its first occurrence in a document with a smaller id: a seed
   (place in the document, reference document, place in the reference).
 * Factors: seeds of a document that lie on one diagonal (same reference document, same distance of places) and
@@ -17,8 +20,8 @@ The reference is the whole corpus; a document is parsed against the documents wi
 Before the shuffle each chunk of documents parses its own repeats: a window that also starts in a smaller id
 of the chunk is a seed already and isn't sent, so a passage in a third of all rows costs a block one anchor a chunk.
 
-Windows are compared by 80 bits of hash besides those that choose the block. n different windows give about
-n * n / 2 / 2**80 / blocks false hits: 1e-8 for the 5e9 windows of 30 GB, 4e-3 for 100 TB in MOST_BLOCKS blocks.
+Windows are compared by 80 bits of hash after words were hashed to 64; equal windows meet in one block only. n
+different windows give about n * n / 2 / 2**80 / blocks false hits: 1e-9 for the 5e9 windows of 30 GB, 4e-3 for 100 TB.
 
 Null text: no words. Texts under 13 words lose nothing. Null doc_id: keeps its text and is no reference.
 Repeated rows of one doc_id have equal ids, so none is a reference for another; where a doc_id repeats, rows
@@ -37,26 +40,64 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-WINDOW = 13
+WINDOW, GRAM = 13, 4
 #: Text bytes of which a map task parses repeats before the shuffle.
-MAP_BYTES = 8 << 20
+MAP_BYTES = 4 << 20
+#: Documents of the sample for frequent grams, least occurrences in a task, and most such grams.
+SAMPLE, OFTEN, MOST_GRAMS = 20_000, 3, 1 << 16
 #: Anchor bytes of a block, anchor bytes for each byte of text (measured: 1.7 to 2), and most blocks.
 BLOCK_BYTES, ANCHOR_SHARE, MOST_BLOCKS = 16 << 20, 2, 1 << 15
 
 _SALT = c.U64(0xD6E8FEB86659FD93)
-_ANCHORS = "block int, docs binary, marks binary, counts binary, at binary, key binary, more binary"
+_ANCHORS = "block int, docs binary, marks binary, counts binary, at binary, size binary, key binary, more binary"
 _SEEDS = "shard int, docs binary, marks binary, counts binary, at binary, ref binary, ref_at binary"
 _FACTORS = "doc_id bigint, mark bigint, starts array<int>, sizes array<int>, refs array<bigint>, ref_starts array<int>"
 
 
-def windows(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window: row of its text, first word, and two hashes."""
+def _row_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of each run of ``width`` elements."""
+    step, done = x, 1
+    while done < width:
+        by = min(done, width - done)
+        step, done = np.minimum(step[: len(step) - by], step[by:]), done + by
+    return step
+
+
+def windows(texts: list[bytes | None], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: row of its text, first word, minimizer, and two hashes."""
     words, counts = c.split_words(texts)
     h = c.word_hashes(words)
     owner, at = c.places(counts)
     full = c.window_hashes(h, WINDOW)
     ok = np.flatnonzero(at[: len(full)] + WINDOW <= counts[owner[: len(full)]])
-    return owner[ok], at[ok], full[ok], c.window_hashes(c.mix(h ^ _SALT), WINDOW)[ok]
+    if not len(ok):
+        return owner[ok], at[ok], full[ok], full[ok], full[ok]
+    grams = c.window_hashes(h, GRAM)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+        grams = grams >> c.U64(1) | often.astype(c.U64) << c.U64(63)
+    return owner[ok], at[ok], _row_min(grams, WINDOW - GRAM + 1)[ok], full[ok], c.window_hashes(c.mix(h ^ _SALT), WINDOW)[ok]
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams that occur OFTEN times or more in a chunk, with their number."""
+    for batch in batches:
+        for part in c.chunks(batch):
+            words, counts = c.split_words(c.raw(part.column("text")))
+            h = c.window_hashes(c.word_hashes(words), GRAM)
+            owner, at = c.places(counts)
+            gram, times = np.unique(h[at[: len(h)] + GRAM <= counts[owner[: len(h)]]], return_counts=True)
+            kept = times >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(gram[kept].view(np.int64)), pa.array(times[kept].astype(np.int64))], ["gram", "times"])
+
+
+def frequent_grams(texts: DataFrame, rows: int) -> np.ndarray:
+    """Sorted hashes of at most MOST_GRAMS grams that are frequent in the sample."""
+    share = max(1, -(-rows // SAMPLE))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    found = sample.mapInArrow(_often, "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times"))
+    got = found.orderBy(F.desc("times"), "gram").limit(MOST_GRAMS).select("gram").collect()
+    return np.sort(np.array([r.gram for r in got], np.int64).view(c.U64))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -69,20 +110,31 @@ def _numbers(planes: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def _pack(target: np.ndarray, owner: np.ndarray, ids: np.ndarray, marks: np.ndarray, columns: list[np.ndarray], names: str) -> pa.RecordBatch:
-    """One row for each target with its elements, which are in the order of their owners."""
+def _pack(
+    target: np.ndarray, owner: np.ndarray, ids: np.ndarray, marks: np.ndarray, columns: list[np.ndarray], names: str,
+    first: np.ndarray | None = None, size: np.ndarray | None = None, wide: tuple[np.ndarray, ...] = (),
+) -> pa.RecordBatch:
+    """One row for each target with its elements, which are in the order of their owners.
+
+    wide: arrays of which each element has those from ``first`` on, ``size`` of them.
+    """
     order = np.argsort(target, kind="stable")
     target, owner = target[order], owner[order]
+    ends = np.append(0, np.cumsum(size[order])) if wide else None
+    if wide:
+        run, inside = c.places(size[order])
+        wide = tuple(x[first[order][run] + inside] for x in wide)
     heads = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
-    out: list[list] = [[] for _ in range(4 + len(columns))]
+    out: list[list] = [[] for _ in range(4 + len(columns) + len(wide))]
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(target)]):
         mine = owner[a:b]
-        first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-        who = mine[first]
-        row = [int(target[a]), _planes(ids[who]), _planes(marks[who]), _planes(np.diff(np.append(first, b - a)).astype(np.uint32))]
-        for into, x in zip(out, row + [_planes(x[order[a:b]]) for x in columns], strict=True):
+        starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        who = mine[starts]
+        row = [int(target[a]), _planes(ids[who]), _planes(marks[who]), _planes(np.diff(np.append(starts, b - a)).astype(np.uint32))]
+        row += [_planes(x[order[a:b]]) for x in columns] + [_planes(x[ends[a] : ends[b]]) for x in wide]
+        for into, x in zip(out, row, strict=True):
             into.append(x)
-    kinds = [pa.int32()] + [pa.binary()] * (3 + len(columns))
+    kinds = [pa.int32()] + [pa.binary()] * (3 + len(columns) + len(wide))
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [f.split()[0] for f in names.split(", ")])
 
 
@@ -123,22 +175,29 @@ def _found(hit: np.ndarray, ref: np.ndarray, shards: int, doc: np.ndarray, mark:
     return _pack(shard, np.cumsum(new) - 1, doc[heads], mark[heads], [at[hit].astype(np.uint32), doc[ref], at[ref].astype(np.uint32)], _SEEDS)
 
 
-def _chunk(part: pa.Table, blocks: int) -> pa.RecordBatch:
+def _chunk(part: pa.Table, blocks: int, frequent: np.ndarray) -> list[pa.RecordBatch]:
     """Anchors of a chunk by block. Seeds inside the chunk have block -1 - shard, and their references as key and more."""
     ids, marks = part.column("doc_id").to_numpy(), part.column("mark").to_numpy()
-    owner, at, key, more = windows(c.raw(part.column("text").combine_chunks()))
+    owner, at, least, key, more = windows(c.raw(part.column("text").combine_chunks()), frequent)
     doc, check = ids[owner], more.astype(np.uint16)
     hit, ref = _seeds(doc, at, key, check)
     own = _found(hit, ref, blocks, doc, marks[owner], at)
     rest = np.ones(len(owner), bool)
     rest[hit] = False
-    block = ((more[rest] >> c.U64(16)) % c.U64(blocks)).astype(np.int32)
-    sent = _pack(block, owner[rest], ids, marks, [at[rest].astype(np.uint32), key[rest], check[rest]], _ANCHORS)
-    own = pa.RecordBatch.from_arrays([pa.array(-1 - own.column(0).to_numpy()), *own.columns[1:]], sent.schema.names)
-    return pa.Table.from_batches([sent, own]).combine_chunks().to_batches()
+    owner, at, least, key, check = owner[rest], at[rest], least[rest], key[rest], check[rest]
+    new = np.ones(len(at), bool)  # of runs, of at most 250 windows
+    new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (at[1:] % 250 == 0)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at))).astype(np.uint8)
+    block = (c.mix(least[first]) % c.U64(blocks)).astype(np.int32)
+    sent = _pack(block, owner[first], ids, marks, [at[first].astype(np.uint32), size], _ANCHORS, first, size.astype(np.int64), (key, check))
+    columns = dict(zip(own.schema.names, own.columns, strict=True))
+    blank = pa.nulls(len(own), pa.binary())
+    own = pa.RecordBatch.from_arrays([pa.array(-1 - columns["shard"].to_numpy()), *(columns[k] for k in ("docs", "marks", "counts", "at")), blank, columns["ref"], columns["ref_at"]], sent.schema.names)
+    return [sent, own]
 
 
-def _map(blocks: int):
+def _map(blocks: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -147,10 +206,10 @@ def _map(blocks: int):
                 held.append(part)
                 size += part.nbytes
                 if size >= MAP_BYTES:
-                    yield from _chunk(pa.Table.from_batches(held), blocks)
+                    yield from _chunk(pa.Table.from_batches(held), blocks, frequent)
                     held, size = [], 0
         if held:
-            yield from _chunk(pa.Table.from_batches(held), blocks)
+            yield from _chunk(pa.Table.from_batches(held), blocks, frequent)
 
     return run
 
@@ -161,7 +220,10 @@ def _lookup(table: pa.Table, shards: int) -> pa.Table:
     if block < 0:
         rows = table.select(["docs", "marks", "counts", "at", "key", "more"])
         return pa.table([pa.array([-1 - block] * len(rows), pa.int32()), *rows.columns], [f.split()[0] for f in _SEEDS.split(", ")])
-    doc, mark, at, key, more = _unpack(table, {"at": np.uint32, "key": c.U64, "more": np.uint16})
+    doc, mark, start, size = _unpack(table, {"at": np.uint32, "size": np.uint8})
+    key, more = (np.concatenate([_numbers(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("key", c.U64), ("more", np.uint16)))
+    run, inside = c.places(size.astype(np.int64))
+    doc, mark, at = doc[run], mark[run], start[run] + inside
     return pa.Table.from_batches([_found(*_seeds(doc, at, key, more), shards, doc, mark, at)])
 
 
@@ -205,19 +267,19 @@ def _parse(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _FACTORS.split(", ")])
 
 
-def marked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, mark) and the number of blocks. The mark tells texts of one doc_id apart; 0 where ids don't repeat."""
+def marked(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, mark), the number of blocks and of documents. The mark tells texts of one doc_id apart; 0 where ids don't repeat."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    size = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("rows")).agg(F.sum("bytes"), F.max("rows")).first()
+    size = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("rows")).agg(F.sum("bytes"), F.max("rows"), F.count("*")).first()
     blocks = min(MOST_BLOCKS, 1 + (size[0] or 0) * ANCHOR_SHARE // BLOCK_BYTES)
     repeats = (size[1] or 0) > 1
-    return docs.withColumn("mark", F.xxhash64("text") if repeats else F.lit(0).cast("bigint")), blocks
+    return docs.withColumn("mark", F.xxhash64("text") if repeats else F.lit(0).cast("bigint")), blocks, size[2]
 
 
-def _factors(docs: DataFrame, blocks: int) -> DataFrame:
+def _factors(docs: DataFrame, blocks: int, rows: int) -> DataFrame:
     c.small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null")
-    seeds = texts.mapInArrow(_map(blocks), _ANCHORS).repartition(blocks, "block").groupBy("block").applyInArrow(lambda t: _lookup(t, blocks), _SEEDS)
+    seeds = texts.mapInArrow(_map(blocks, frequent_grams(texts, rows)), _ANCHORS).repartition(blocks, "block").groupBy("block").applyInArrow(lambda t: _lookup(t, blocks), _SEEDS)
     return seeds.repartition(blocks, "shard").groupBy("shard").applyInArrow(_parse, _FACTORS)
 
 
@@ -245,8 +307,8 @@ def _keep(texts: list[bytes | None], starts: list, sizes: list) -> Iterator[tupl
 
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces as text."""
-    docs, blocks = marked(docs)
-    found = _factors(docs, blocks).select("doc_id", "mark", "starts", "sizes")
+    docs, blocks, rows = marked(docs)
+    found = _factors(docs, blocks, rows).select("doc_id", "mark", "starts", "sizes")
     joined = docs.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
