@@ -30,7 +30,7 @@ from . import common as c
 
 LONGEST = 5
 #: Least share of a known word among the words of a language, and of a known n-gram among those of its length.
-WORD_SHARE, GRAM_SHARE = 2e-6, 1e-5
+WORD_SHARE, GRAM_SHARE = 1e-6, 1e-5
 CALIBRATED = 40
 #: Words that a task counts or remembers before it flushes.
 HELD = 400_000
@@ -38,7 +38,8 @@ _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letters(word: bytes) -> list[str]:
-    return _LETTERS.findall(word.decode("utf-8", "replace").lower())
+    w = word.decode("utf-8", "replace").lower()
+    return [w] if w.isalpha() else _LETTERS.findall(w)
 
 
 def grams(word: str, n: int) -> list[str]:
