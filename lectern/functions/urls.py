@@ -54,6 +54,8 @@ def norm_url(url: Column) -> Column:
 
 
 def set_param(url: Column, key: str, value: Column) -> Column:
+    """The address with a parameter set; the value is encoded."""
+    value = F.url_encode(value)
     base, hash_ = F.regexp_replace(url, "#.*$", ""), F.regexp_extract(url, "(#.*)$", 1)
     has = base.rlike(rf"[?&]{key}=")
     new = F.when(has, F.regexp_replace(base, F.lit(rf"([?&]{key}=)[^&]*"), F.concat(F.lit("$1"), value))).otherwise(

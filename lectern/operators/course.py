@@ -2,131 +2,109 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.config import SiteConfig
 from lectern.functions import naming, urls
 from lectern.functions.text import clean, file_link, present
+from lectern.operators.course_pages import parse_course, parse_pages
 from lectern.operators.deadlines import collect_meta, completion_status, split_meta_line
+from lectern.operators.pages import external_url
 from lectern.operators.relational import first_wins, joined_text
-from lectern.sources.html import Node, parse
+from lectern.operators.stored import stored
+
+__all__ = ["external_url", "parse_course", "parse_pages"]
 
-MAX_DEPTH = 6
 #: fixed values: icon of each kind of activity
 ICONS = {"resource": "📄", "folder": "📁", "page": "📃", "url": "🔗", "quiz": "📝", "assign": "📌", "lesson": "🎓", "forum": "💬", "book": "📘"}
-_WHITE = re.compile(r"\s+")
-_UI = {"sr-only", "visually-hidden", "accesshide", "bulkselect", "icons-collapse-expand"}
-
-
-def _plain(s: str) -> str:
-    return _WHITE.sub(" ", s).strip()
-
-
-def _visible(n: Node) -> str:
-    """Text without controls and hidden parts."""
-    def go(x: Node) -> str:
-        return "".join(k if isinstance(k, str) else "" if k.tag in ("button", "input", "label", "script", "style") or k.attrs.get("role") == "button" or _UI & k.classes() else go(k) for k in x.kids)
-
-    return _plain(go(n))
-
-
-def _is_section(n: Node) -> bool:
-    return "section" in n.classes() and n.tag in ("li", "div", "section") and bool(n.attrs.get("data-id") or re.match(r"section-\d+", n.attrs.get("id", "")))
-
-
-def _is_activity(n: Node) -> bool:
-    return "activity" in n.classes() and n.tag in ("li", "div")
-
-
-def _nearest(n: Node, test) -> Node | None:
-    n = n.up
-    while n and not test(n):
-        n = n.up
-    return n
+NO_TARGET = "(could not determine — open the activity's link)"
 
 
-def _section_id(n: Node) -> str:
-    return n.attrs.get("data-id") or re.sub(r"^section-", "", n.attrs.get("id", ""))
-
-
-def _rows(page: str | None) -> Iterator[tuple]:
-    """(kind, ord, section, parent, fields …) of a course page's sections and activities, in document order."""
-    root = parse(page)
-    nodes = [n for n in root.walk() if not _nearest(n, lambda x: bool({"courseindex", "drawer"} & x.classes()))]
-    number = 0
-    for i, n in enumerate(nodes):
-        if _is_section(n):
-            number += 1
-            head = next((k for k in n.walk() if ("sectionname" in k.classes() or re.fullmatch("h[2-4]", k.tag)) and _nearest(k, _is_section) is n and not _nearest(k, _is_activity)), None)
-            up = _nearest(n, _is_section)
-            inner = any(_is_activity(k) for k in n.walk())
-            yield ("section", i, _section_id(n), _section_id(up) if up else None, str(number), (_visible(head) if head else "") or f"Section {number}", None, None, None, inner)
-        elif _is_activity(n):
-            link = next((k for k in n.walk() if k.tag == "a" and k.attrs.get("href")), None)
-            named = next((k.attrs["data-activityname"] for k in n.walk() if k.attrs.get("data-activityname")), n.attrs.get("data-activityname", ""))
-            name = next((k for k in n.walk() if {"instancename", "activityname"} & k.classes()), None)
-            done = next((k for k in n.walk() if {"completioninfo", "completion-info", "activity-completion"} & k.classes()), None)
-            rules = next((k for k in n.walk() if {"availabilityinfo", "activity-availability"} & k.classes()), None)
-            up = _nearest(n, _is_section)
-            title = _plain(named) or (_visible(name) if name else "") or _plain(n.text())[:60]
-            yield ("activity", i, _section_id(up) if up else None, n.attrs.get("class"), n.attrs.get("data-id") or n.attrs.get("id"), title, link.attrs["href"] if link else None, _plain(done.text())[:200] if done else "", _plain(rules.text()) if rules else "", False)
-
-
-def parse_course(pages: DataFrame) -> DataFrame:
-    """Tagged rows of captured course pages (course_id, url, html); each page is parsed once."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["course_id", "url", "kind", "ord", "section_id", "a", "b", "title", "href", "done", "rules", "has_content"]
-        for pdf in batches:
-            yield pd.DataFrame([(c, u, *r) for c, u, h in zip(pdf["course_id"], pdf["url"], pdf["html"], strict=True) for r in _rows(h)], columns=names)
-
-    return pages.select("course_id", "url", "html").mapInPandas(run, "course_id string, url string, kind string, ord int, section_id string, a string, b string, title string, href string, done string, rules string, has_content boolean")
+def in_order(order: Column, value: Column) -> Column:
+    """Aggregate: the group's values in order, nulls left out."""
+    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda r: r["v"])
 
 
 def parse_sections(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'section'").select("course_id", "section_id", F.col("a").alias("parent_section_id"), "ord", F.col("b").cast("int").alias("number"), "title", "has_content")
+    """Sections of every page; title falls back to the number the page gives the section."""
+    title = F.coalesce(present(F.col("title")), F.trim(F.concat(F.lit("Section "), F.coalesce("number", F.lit("")))))
+    return rows.where("kind = 'section'").select(
+        "course_id", "url", "section_id", F.col("parent").alias("parent_section_id"), "ord", F.col("number").try_cast("int").alias("number"), title.alias("title"), present(F.col("title")).alias("own_title"), "holder", "has_content", F.col("html").alias("summary_html"),
+    )
 
 
 def parse_activities(rows: DataFrame) -> DataFrame:
     a = rows.where("kind = 'activity'").withColumn("target", urls.abs_url(F.col("href"), F.col("url")))
-    data = F.when(F.col("b").rlike(r"^\d+$"), F.col("b"))
-    kind, cmid = urls.activity_type(F.col("a"), F.col("target")), urls.module_id(data, F.col("b"), F.col("target"))
+    kind, cmid = urls.activity_type(F.col("class"), F.col("target")), urls.module_id(F.col("data_id"), F.col("id"), F.col("target"))
     title = F.coalesce(present(F.col("title")), F.trim(F.concat_ws(" ", kind, cmid)))
-    return a.select("course_id", "section_id", "ord", cmid.alias("cmid"), kind.alias("type"), title.alias("title"), F.col("target").alias("url"), F.col("done").alias("completion_raw"), completion_status(F.col("done")).alias("completion"), F.col("rules").alias("restrictions"))
+    return a.select(
+        "course_id", F.col("url").alias("page_url"), "section_id", "ord", cmid.alias("cmid"), kind.alias("type"), title.alias("title"), F.col("target").alias("url"), F.col("completion").alias("completion_raw"),
+        completion_status(F.col("completion")).alias("completion"), "restrictions", F.coalesce("dates", F.array().cast("array<string>")).alias("dates"), F.col("html").alias("desc_html"),
+    )
 
 
-def dedupe_activities(activities: DataFrame) -> DataFrame:
+def dedupe_activities(activities: DataFrame, order: tuple[str, ...] = ("ord",)) -> DataFrame:
     """The first occurrence of each module of a course; those without an id all stay."""
-    kept = first_wins(activities.where("cmid is not null"), ["course_id", "cmid"], ["ord"])
+    kept = first_wins(activities.where("cmid is not null"), ["course_id", "cmid"], list(order))
     return kept.select(activities.columns).unionByName(activities.where("cmid is null"))
 
 
-def attach_remote_sections(sections: DataFrame, remote: DataFrame) -> DataFrame:
-    """Fills has_content and adds sections from pages of their own: remote (course_id, section_id, url) captures."""
-    missing = sections.where(~F.col("has_content")).select("course_id", "section_id")
-    found = first_wins(remote.join(missing, ["course_id", "section_id"]).select("course_id", "section_id", "url"), ["course_id", "section_id"], ["url"])
-    return sections.join(found.withColumnRenamed("url", "remote_url"), ["course_id", "section_id"], "left")
+def attach_remote_sections(sections: DataFrame, activities: DataFrame, main: Column) -> tuple[DataFrame, DataFrame]:
+    """Sections and activities of a course that spreads over several captured pages.
+
+    A section without content takes its content from another page that shows it; a subsection that isn't
+    inline takes the first top section of the page its activity leads to, with the activity's title where
+    it has none. main: condition on ``url`` for the course's own page. Sections reached from nowhere stay with
+    a parent of null and ``reached`` false.
+    """
+    ranked = sections.withColumn("_main", F.when(main, 0).otherwise(1))
+    full = first_wins(ranked.withColumn("_empty", ~F.coalesce("has_content", F.lit(False))), ["course_id", "section_id"], ["_empty", "_main", "url", "ord"])
+    place = first_wins(ranked.select("course_id", "section_id", "_main", "url", "ord", "parent_section_id", "holder", "title", "own_title"), ["course_id", "section_id"], ["_main", "url", "ord"])
+    place = place.select("course_id", "section_id", F.col("ord").alias("p_ord"), F.col("parent_section_id").alias("p_parent"), F.col("holder").alias("p_holder"), F.col("title").alias("p_title"), F.col("own_title").alias("p_own"), (F.col("_main") == 0).alias("p_main"))
+    tops = first_wins(ranked.where("parent_section_id is null and _main = 1").select("course_id", "url", "section_id", "ord"), ["course_id", "url"], ["ord"]).select("course_id", F.col("url"), "section_id")
+    subs = activities.where("type = 'subsection'")
+    led = first_wins(subs.join(tops.withColumnRenamed("section_id", "_s"), ["course_id", "url"]).select("course_id", F.col("_s").alias("section_id"), F.col("section_id").alias("l_parent"), F.col("ord").alias("l_ord"), F.col("title").alias("l_title")), ["course_id", "section_id"], ["l_parent", "l_ord"])
+    held = first_wins(subs.where("cmid is not null").select("course_id", F.col("cmid").alias("p_holder"), F.col("title").alias("h_title"), F.col("ord").alias("h_ord")), ["course_id", "p_holder"], ["h_ord"])
+    joined = full.join(place, ["course_id", "section_id"]).join(led, ["course_id", "section_id"], "left").join(held, ["course_id", "p_holder"], "left")
+    inner = F.col("p_parent").isNotNull() | F.col("p_main")
+    title = F.coalesce("own_title", "p_own", "h_title", F.when(~inner, F.col("l_title")), "p_title")
+    made = joined.select(
+        "course_id", "section_id", F.when(inner, F.col("p_parent")).otherwise(F.col("l_parent")).alias("parent_section_id"), F.when(inner, F.col("p_ord")).otherwise(F.coalesce("l_ord", "p_ord")).alias("ord"), title.alias("title"),
+        "summary_html", F.col("url").alias("page_url"), "has_content", (inner | F.col("l_parent").isNotNull()).alias("reached"),
+    )
+    mine = activities.join(made.select("course_id", "section_id", "page_url"), ["course_id", "section_id", "page_url"])
+    return made, mine
 
 
 def section_paths(sections: DataFrame) -> DataFrame:
-    """Adds depth, level, path (portable names) and titles from the root; a loop of at most MAX_DEPTH joins."""
-    base = sections.select("course_id", "section_id", "parent_section_id", "title").withColumn("name", naming.sanitize(F.col("title")))
-    level = base.where("parent_section_id is null").select("course_id", "section_id", F.lit(0).alias("depth"), F.array("name").alias("path"), F.array("title").alias("titles"))
-    out = level
-    for depth in range(1, MAX_DEPTH + 1):
-        up = level.select("course_id", F.col("section_id").alias("parent_section_id"), F.col("path").alias("_p"), F.col("titles").alias("_t"))
-        level = base.join(up, ["course_id", "parent_section_id"]).select("course_id", "section_id", F.lit(depth).alias("depth"), F.concat("_p", F.array("name")).alias("path"), F.concat("_t", F.array("title")).alias("titles"))
-        out = out.unionByName(level)
-    return out.withColumn("level", F.least(F.lit(6), F.col("depth") + 2))
-
+    """(course_id, section_id, depth, level, path, titles, place, problem): names, titles and places from the root.
 
-def request_order(priority: str, *ords: str) -> list[str]:
-    """Arrival order of files: resources and folders, then other activities, then summaries; then places."""
-    return [priority, *ords]
+    Paths double in each round, so sections of any depth take the logarithm of the depth in joins. Sections whose parent
+    isn't there start a tree of their own, with problem 'orphan'; those on a circle stand alone, with 'cycle'.
+    """
+    ord_ = F.col("ord") if "ord" in sections.columns else F.lit(0)
+    base = sections.select("course_id", "section_id", "parent_section_id", "title", ord_.cast("int").alias("ord")).withColumn("name", naming.sanitize(F.col("title")))
+    ids = base.select("course_id", F.col("section_id").alias("parent_section_id"), F.lit(True).alias("_there"))
+    orphan = F.col("parent_section_id").isNotNull() & F.col("_there").isNull()
+    cur = stored(base.join(ids, ["course_id", "parent_section_id"], "left").select(
+        "course_id", "section_id", F.when(~orphan, F.col("parent_section_id")).alias("up"), F.array("name").alias("path"), F.array("title").alias("titles"), F.array("ord").alias("place"), F.when(orphan, "orphan").alias("problem"),
+    ), "paths")
+    open_, rounds, most = cur.where("up is not null").count(), 0, cur.count().bit_length() + 1
+    while open_ and rounds < most:
+        above = cur.select("course_id", F.col("section_id").alias("up"), F.col("up").alias("_up"), *(F.col(k).alias(f"_{k}") for k in ("path", "titles", "place", "problem")))
+        longer = lambda k: F.when(F.col(f"_{k}").isNotNull(), F.concat(f"_{k}", k)).otherwise(F.col(k)).alias(k)
+        step = cur.join(above, ["course_id", "up"], "left").select("course_id", "section_id", F.col("_up").alias("up"), longer("path"), longer("titles"), longer("place"), F.coalesce("problem", "_problem").alias("problem"))
+        cur, rounds = stored(step, "paths"), rounds + 1
+        left = cur.where("up is not null").count()
+        if left == open_ and rounds > 20:  # only circles are left
+            break
+        open_ = left
+    round_ = F.col("up").isNotNull()
+    one = lambda k: F.when(round_, F.slice(k, -1, 1)).otherwise(F.col(k)).alias(k)
+    out = cur.select("course_id", "section_id", one("path"), one("titles"), one("place"), F.when(round_, "cycle").otherwise(F.col("problem")).alias("problem"))
+    depth = F.size("path") - 1
+    return out.withColumns({"depth": depth, "level": F.least(F.lit(6), depth + 2)})
 
 
 def dedupe_assets(requests: DataFrame, order: list[str]) -> DataFrame:
@@ -148,12 +126,31 @@ def place_assets(assets: DataFrame, order: str = "ord", video: bool = False, aud
     return stored.withColumn("path", F.concat("dir", F.lit("/"), "unique_name")).drop("unique_name").unionByName(rows.where("media is not null").withColumn("path", F.lit(None).cast("string")))
 
 
-def page_common(activities: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds breadcrumb, its mismatch with the section's title, and the page's completion; pages: (course_id, url, crumbs, page_completion)."""
-    j = activities.join(pages, ["course_id", "url"], "left").withColumn("breadcrumb", F.coalesce(F.array_join("crumbs", " › "), F.lit("")))
-    differs = (F.col("breadcrumb") != "") & ~F.contains(F.lower("breadcrumb"), F.lower("section_title"))
-    raw = F.coalesce(present(F.col("completion_raw")), F.col("page_completion"), F.lit(""))
-    return j.withColumns({"breadcrumb_mismatch": differs, "completion_raw": raw}).drop("crumbs", "page_completion")
+def own_parts(parts: DataFrame) -> DataFrame:
+    """parts with the module they belong to: type, cmid (d for a discussion) and page: view, print, discussion or lesson."""
+    page = (
+        F.when(F.col("url").contains("/discuss.php"), "discussion").when(F.col("url").contains("/print/"), "print")
+        .when(urls.query_param(F.col("url"), "pageid").isNotNull(), "lesson").otherwise("view")
+    )
+    kind = present(F.regexp_extract("url", r"/mod/(\w+)/", 1))
+    return parts.withColumns({"type": kind, "page": page, "cmid": F.coalesce(F.when(page == "discussion", urls.query_param(F.col("url"), "d")), urls.query_param(F.col("url"), "id"))})
+
+
+def page_common(activities: DataFrame, parts: DataFrame) -> DataFrame:
+    """Adds breadcrumb and its mismatch with the section's title; completion and dates also from the activity's own page.
+
+    activities: (course_id, cmid, type, section_title, completion_raw, dates …); parts: parse_pages of their pages.
+    """
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("text"))
+    own = own_parts(parts).where("page = 'view' and cmid is not null and kind in ('crumb', 'date', 'completion')")
+    common = own.groupBy("course_id", "type", "cmid").agg(
+        joined_text(F.col("ord"), of("crumb"), " / ").alias("breadcrumb"), in_order(F.col("ord"), of("date")).alias("_dates"), F.min_by(of("completion"), F.when(F.col("kind") == "completion", F.col("ord"))).alias("_completion"),
+    )
+    j = activities.join(common, ["course_id", "type", "cmid"], "left").withColumn("breadcrumb", F.coalesce("breadcrumb", F.lit("")))
+    differs = (F.col("breadcrumb") != "") & (F.coalesce("section_title", F.lit("")) != "") & ~F.contains(F.lower("breadcrumb"), F.lower(F.coalesce("section_title", F.lit(""))))
+    raw = F.coalesce(present(F.col("completion_raw")), F.col("_completion"), F.lit(""))
+    dates = F.array_distinct(F.concat("dates", F.coalesce("_dates", F.array().cast("array<string>"))))
+    return j.withColumns({"breadcrumb_mismatch": differs, "completion_raw": raw, "dates": dates}).withColumn("completion", completion_status(F.col("completion_raw"))).drop("_dates", "_completion")
 
 
 def line_facts(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -163,11 +160,30 @@ def line_facts(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]
     return once.select(*keys, "ord", "line"), collect_meta(pairs, keys)
 
 
-def forum_posts(links: DataFrame, posts: DataFrame, n: int = 10) -> DataFrame:
-    """The first n different discussions of a forum in page order, with their captured first post."""
-    once = first_wins(links.select("course_id", "cmid", "url", "ord"), ["course_id", "cmid", "url"], ["ord"])
+def quiz_facts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(course_id, cmid, ord, line) of quiz pages, different and in order, with the feedback; and the meta map of the lines."""
+    quiz = own_parts(parts).where("type = 'quiz' and page = 'view'")
+    lines, meta = line_facts(quiz.where("kind = 'info'").select("course_id", "cmid", "ord", F.col("text").alias("line")), ["course_id", "cmid"])
+    said = quiz.where("kind = 'feedback'").select("course_id", "cmid", "ord", F.concat(F.lit("Feedback: "), "text").alias("line"))
+    return lines.unionByName(said), meta
+
+
+def assign_facts(parts: DataFrame) -> DataFrame:
+    """(course_id, cmid, meta) of the status tables of assignments."""
+    rows = own_parts(parts).where("type = 'assign' and kind = 'status'").select("course_id", "cmid", "ord", F.col("text").alias("label"), F.col("link").alias("value"))
+    return collect_meta(rows, ["course_id", "cmid"])
+
+
+def forum_posts(parts: DataFrame, n: int = 10) -> DataFrame:
+    """(course_id, cmid, rank, d, title, subject, meta, found) of the first n different discussions of each forum in page order."""
+    own = own_parts(parts)
+    links = own.where("page = 'view' and role = 'discussion'").select("course_id", "cmid", "ord", F.col("text").alias("title"), urls.query_param(F.col("link"), "d").alias("d")).where("d is not null")
+    once = first_wins(links, ["course_id", "cmid", "d"], ["ord"])
     rank = F.row_number().over(Window.partitionBy("course_id", "cmid").orderBy("ord"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= n).join(posts, ["course_id", "url"], "left")
+    kept = once.withColumn("rank", rank).where(F.col("rank") <= n)
+    posts = first_wins(own.where("page = 'discussion' and kind = 'post'").select("course_id", F.col("cmid").alias("d"), "url", F.col("text").alias("_subject"), F.col("link").alias("meta")), ["course_id", "d"], ["url"])
+    j = kept.join(posts.drop("url"), ["course_id", "d"], "left")
+    return j.select("course_id", "cmid", "rank", "d", "title", F.coalesce(present(F.col("_subject")), F.col("title")).alias("subject"), F.coalesce("meta", F.lit("")).alias("meta"), F.col("meta").isNotNull().alias("found"))
 
 
 def preferred_link(links: DataFrame, keys: list[str], rank: Column) -> DataFrame:
@@ -175,10 +191,21 @@ def preferred_link(links: DataFrame, keys: list[str], rank: Column) -> DataFrame
     return links.withColumn("_r", rank).where("_r is not null").groupBy(*keys).agg(F.min_by("url", F.struct("_r", "ord")).alias("url"))
 
 
-def lesson_plan(links: DataFrame, keys: list[str], cfg: SiteConfig = SiteConfig()) -> DataFrame:
-    """(keys, url, fallback): export link, a PDF before others; fallback where the link may not be asked for."""
-    best = preferred_link(links, keys, F.when(F.lower("text").contains("pdf") | F.lower("url").contains("pdf"), 0).otherwise(1))
-    return best.withColumn("fallback", urls.is_forbidden(F.col("url"), cfg))
+def lesson_plan(parts: DataFrame, cfg: SiteConfig = SiteConfig()) -> DataFrame:
+    """(course_id, cmid, outline, url, fallback): a lesson's outline, its export link (a PDF before others), and whether
+    its pages must be read instead: where there is no link, or one that may not be asked for."""
+    own = own_parts(parts).where("type = 'lesson' and page = 'view'")
+    best = preferred_link(own.where("role = 'export'").select("course_id", "cmid", "ord", F.col("link").alias("url")), ["course_id", "cmid"], F.when(F.lower("url").contains("pdf"), 0).otherwise(1))
+    lines = own.groupBy("course_id", "cmid").agg(in_order(F.col("ord"), F.when(F.col("kind") == "outline", F.col("text"))).alias("outline"), F.bool_or(F.col("kind") == "menu").alias("has_menu"))
+    return lines.join(best, ["course_id", "cmid"], "left").withColumn("fallback", F.col("url").isNull() | urls.is_forbidden(F.col("url"), cfg))
+
+
+def lesson_pages(parts: DataFrame) -> DataFrame:
+    """(course_id, cmid, rank, title, url): the pages a lesson's menu lists, url null for the page that is shown."""
+    own = own_parts(parts).where("type = 'lesson' and page = 'view'")
+    listed = own.where("kind = 'outline'").select("course_id", "cmid", F.col("ord").alias("rank"), F.col("text").alias("title"), F.col("link").alias("url"))
+    bare = own.groupBy("course_id", "cmid").agg(F.bool_or(F.col("kind") == "menu").alias("m")).where("not m")
+    return listed.unionByName(bare.select("course_id", "cmid", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("url")))
 
 
 def folder_files(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,6 +216,33 @@ def folder_files(links: DataFrame, keys: list[str]) -> DataFrame:
     return once.withColumn("sub", naming.folder_subpath(F.col("url")))
 
 
+def page_folder_files(parts: DataFrame) -> DataFrame:
+    """(course_id, cmid, url, ord, sub) of folder pages."""
+    own = own_parts(parts).where("type = 'folder' and role in ('folder1', 'folder2')")
+    return folder_files(own.select("course_id", "cmid", F.col("link").alias("url"), "ord", F.col("role").alias("tier")), ["course_id", "cmid"]).drop("tier")
+
+
+def resource_link(parts: DataFrame) -> DataFrame:
+    """(course_id, cmid, url): the file behind a resource's wrapper page."""
+    own = own_parts(parts).where("type = 'resource' and kind = 'link' and role like 'file%'")
+    return preferred_link(own.select("course_id", "cmid", F.col("link").alias("url"), "ord", "role"), ["course_id", "cmid"], F.col("role"))
+
+
+def page_external(parts: DataFrame, cfg: SiteConfig = SiteConfig()) -> DataFrame:
+    """(course_id, cmid, external): where a link activity leads; a message where its page doesn't say."""
+    own = own_parts(parts).where("type = 'url' and page = 'view'")
+    links = own.where("kind = 'link'").select("course_id", "cmid", "ord", F.col("link").alias("url"), F.when(F.col("role") == "frame", "iframe").otherwise("a").alias("tag"), "role")
+    found = external_url(links, ["course_id", "cmid"], cfg)
+    return own.select("course_id", "cmid").distinct().join(found, ["course_id", "cmid"], "left").withColumn("external", F.coalesce("external", F.lit(NO_TARGET)))
+
+
+def book_chapters(parts: DataFrame) -> DataFrame:
+    """(course_id, cmid, ord, html, whole): chapters of the print page in order, or the first page of the book where none was captured."""
+    own = own_parts(parts).where("type = 'book' and kind = 'fragment' and role = 'chapter'")
+    best = own.groupBy("course_id", "cmid").agg(F.bool_or(F.col("page") == "print").alias("whole"))
+    return own.join(best, ["course_id", "cmid"]).where((F.col("page") == "print") == F.col("whole")).select("course_id", "cmid", "ord", "url", "html", "whole")
+
+
 def course_summary(courses: DataFrame, activities: DataFrame, assets: DataFrame, issues: DataFrame) -> DataFrame:
     a = activities.groupBy("course_id").agg(F.count("*").alias("n_activities"))
     f = assets.groupBy("course_id").agg(F.count_if(F.col("media").isNull()).alias("n_files"), F.count_if("converted").alias("n_converted"), F.bool_or(F.col("media").isNotNull()).alias("has_skipped_media"))
@@ -232,7 +286,8 @@ def render_course(fragments: DataFrame) -> DataFrame:
 
 
 def write_course_markdown(documents: DataFrame, path: str) -> None:
-    documents.select("course_id", F.col("text").alias("value")).write.partitionBy("course_id").text(path)
+    """One folder for each course, its text in one file."""
+    documents.select("course_id", F.regexp_replace("text", "\n$", "").alias("value")).write.partitionBy("course_id").text(path)
 
 
 def issues_report(errors: DataFrame, warnings: DataFrame) -> DataFrame:
@@ -244,17 +299,3 @@ def issues_report(errors: DataFrame, warnings: DataFrame) -> DataFrame:
 
 def asset_line(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", file_link(F.col("name"), F.col("path"), F.col("media"), F.col("url"), F.col("md_path")))
-
-
-def assign_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, meta) of an assignment's status table; rows: (keys, ord, label, value)."""
-    return collect_meta(rows, keys)
-
-
-def book_chapters(chapters: DataFrame, keys: list[str]) -> DataFrame:
-    """Chapters of the full print page in order, or the first chapter and a note; chapters: (keys, full, ord, md)."""
-    has = F.max(F.col("full").cast("int")).over(Window.partitionBy(*keys)) == 1
-    rank = F.row_number().over(Window.partitionBy(*keys, "full").orderBy("ord"))
-    kept = chapters.withColumns({"_has": has, "_rank": rank}).where((F.col("_has") & F.col("full")) | (~F.col("_has") & (F.col("_rank") == 1)))
-    note = F.when(F.col("_has"), F.col("md")).otherwise(F.concat("md", F.lit("\n\n_Only the first chapter could be read._")))
-    return kept.select(*keys, "ord", note.alias("md"))

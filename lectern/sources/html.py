@@ -1,8 +1,14 @@
-"""A small tree of a captured page, built from the tag stream as browsers do it: implied ends, formatting that goes on."""
+"""A small tree of a captured page, built from the tag stream as browsers do it: implied ends, formatting that goes on.
+
+Nothing here recurses, and the tree is at most DEEPEST levels deep (further elements become siblings, as in
+browsers), so a page costs time in proportion to its length.
+"""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html as entities
+import re
+from collections.abc import Callable, Iterator
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: what a start tag ends if it is open in the same container
@@ -10,37 +16,155 @@ ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td",
 CONTAINERS = frozenset("ul ol table dl select html body".split())
 FORMATTING = frozenset("b strong i em u s strike del font big small code tt".split())
 BLOCKS = frozenset("p div section article header footer main figure figcaption center aside address dl dt dd details summary fieldset legend form ul ol table h1 h2 h3 h4 h5 h6 pre blockquote hr nav".split())
+#: Levels of a tree, equal formatting elements that go on after their block, and such elements in all.
+DEEPEST, EQUAL, ACTIVE = 512, 3, 32
+#: Elements whose content is text up to their own end tag; entities count only in the second kind.
+RAW, ESCAPED = frozenset("script style iframe xmp noembed noframes".split()), frozenset(("textarea", "title"))
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)\s*(?:(=)\s*)?)?")
+_VALUE = re.compile(r"[^\s>]*")
+_P_STOP = CONTAINERS | {"td", "th", "li", "div"}
+_SPACE = re.compile(r"[\t\n\x0b\f\r    -     　﻿]+")
+
+
+def clean(s: str) -> str:
+    """White space collapsed and trimmed."""
+    return _SPACE.sub(" ", s).strip(" ")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "_classes")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, up: Node | None = None) -> None:
-        self.tag, self.attrs, self.up = tag, attrs or {}, up
+        self.tag, self.attrs, self.up, self._classes = tag, attrs or {}, up, None
         self.kids: list[Node | str] = []
 
-    def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
-
-    def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids if isinstance(k, str) or k.tag not in ("script", "style"))
-
-    def classes(self) -> set[str]:
-        return set(self.attrs.get("class", "").split())
-
-    def inside(self, *tags: str) -> bool:
+    def walk(self) -> Iterator[Node]:
+        """The elements inside, in document order."""
+        stack = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
+
+    def text(self, skip: Callable[[Node], bool] = lambda n: n.tag in ("script", "style")) -> str:
+        out, stack = [], list(reversed(self.kids))
+        while stack:
+            k = stack.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif not skip(k):
+                stack += reversed(k.kids)
+        return "".join(out)
+
+    def classes(self) -> frozenset[str]:
+        if self._classes is None:
+            self._classes = frozenset(self.attrs.get("class", "").split())
+        return self._classes
+
+    def above(self) -> Iterator[Node]:
+        """The elements around, nearest first."""
         n = self.up
-        while n and n.tag not in tags:
+        while n:
+            yield n
             n = n.up
-        return n is not None
 
-
-class _Builder(HTMLParser):
+    def inside(self, *tags: str) -> bool:
+        return any(n.tag in tags for n in self.above())
+
+    def first(self, test: Callable[[Node], bool]) -> Node | None:
+        return next((n for n in self.walk() if test(n)), None)
+
+    def every(self, test: Callable[[Node], bool]) -> list[Node]:
+        return [n for n in self.walk() if test(n)]
+
+    def nearest(self, test: Callable[[Node], bool]) -> Node | None:
+        return next((n for n in self.above() if test(n)), None)
+
+    def markup(self, skip: Callable[[Node], bool] = lambda n: False) -> str:
+        """The element as HTML, without what ``skip`` holds for."""
+        out: list[str] = []
+        stack: list[Node | str] = [self]
+        while stack:
+            k = stack.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif not skip(k) or k is self:
+                attrs = "".join(f' {a}="{entities.escape(v)}"' for a, v in k.attrs.items())
+                out.append(f"<{k.tag}{attrs}>")
+                if k.tag not in VOID:
+                    stack.append(f"</{k.tag}>")
+                    raw = k.tag in ("script", "style")
+                    stack += [(x if raw else entities.escape(x, False)) if isinstance(x, str) else x for x in reversed(k.kids)]
+        return "".join(out)
+
+
+def unescape(s: str) -> str:
+    try:
+        return entities.unescape(s) if "&" in s else s
+    except ValueError:  # a number of thousands of digits
+        return s
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("text", text, {}), ("start", tag, attributes) and ("end", tag, {}) of a page. What never ends, ends with the page."""
+    at, size = 0, len(page)
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", unescape(page[at:]), {}
+            return
+        if lt > at:
+            yield "text", unescape(page[at:lt]), {}
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else size
+            continue
+        close = page.startswith("/", lt + 1)
+        name = _NAME.match(page, lt + 1 + close)
+        if not name:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            else:
+                yield "text", "<", {}
+                at = lt + 1
+            continue
+        tag, attrs, at = name[0].lower(), {}, name.end()
+        while at < size and page[at] != ">":
+            m = _ATTR.match(page, at)
+            at = m.end()
+            if m[1] is None:
+                continue
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in ("'", '"'):
+                    end = page.find(quote, at + 1)
+                    if end < 0:
+                        return
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = _VALUE.match(page, at)
+                    value, at = v[0], v.end()
+            attrs.setdefault(m[1].lower(), unescape(value))
+        if at >= size:
+            return
+        at += 1
+        if close:
+            yield "end", tag, {}
+            continue
+        yield "start", tag, attrs
+        if tag in RAW or tag in ESCAPED:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            text = page[at : end.start() if end else size]
+            if text:
+                yield "text", unescape(text) if tag in ESCAPED else text, {}
+            at = end.start() if end else size
+
+
+class _Builder:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = Node("root")
         self.open = [self.root]
         self.active: list[Node] = []  # formatting not ended by its own tag
@@ -50,9 +174,13 @@ class _Builder(HTMLParser):
         self.open[-1].kids.append(node)
         return node
 
+    def _push(self, node: Node) -> None:
+        if len(self.open) < DEEPEST:
+            self.open.append(node)
+
     def _resume(self) -> None:
         for i, f in enumerate(self.active):
-            if f not in self.open:
+            if f not in self.open and len(self.open) < DEEPEST:
                 again = self._add(f.tag, f.attrs)
                 self.open.append(again)
                 self.active[i] = again
@@ -66,27 +194,27 @@ class _Builder(HTMLParser):
             if self.open[i].tag in stop:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in BLOCKS and tag not in ("html", "body"):
-            self._end({"p"}, CONTAINERS | {"td", "th", "li", "div"})
+            self._end({"p"}, _P_STOP)
         if tag in ENDS:
             self._end(ENDS[tag], CONTAINERS)
             if tag == "tr":
                 self._end(ENDS[tag], CONTAINERS)
         if tag not in BLOCKS and tag not in ENDS:
             self._resume()
-        node = self._add(tag, {k: v or "" for k, v in reversed(attrs)})
+        node = self._add(tag, attrs)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
             if tag in FORMATTING:
+                same = [f for f in self.active if f.tag == tag and f.attrs == node.attrs]
+                if len(same) >= EQUAL:
+                    self.active.remove(same[0])
+                elif len(self.active) >= ACTIVE:
+                    del self.active[0]
                 self.active.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in ("iframe", "svg"):
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in FORMATTING:
             mine = next((f for f in reversed(self.active) if f.tag == tag), None)
             if mine:
@@ -96,7 +224,7 @@ class _Builder(HTMLParser):
         elif tag not in VOID:
             self._end({tag}, frozenset() if tag in CONTAINERS or tag in BLOCKS else CONTAINERS)
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if data.strip():
             self._resume()
         self.open[-1].kids.append(data)
@@ -104,6 +232,11 @@ class _Builder(HTMLParser):
 
 def parse(page: str | None) -> Node:
     b = _Builder()
-    b.feed(page or "")
-    b.close()
+    for kind, what, attrs in tokens(page or ""):
+        if kind == "text":
+            b.text(what)
+        elif kind == "start":
+            b.start(what, attrs)
+        else:
+            b.end(what)
     return b.root
