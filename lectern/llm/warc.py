@@ -1,65 +1,107 @@
 """WARC derivative builder: responses become linked metadata and plain-text conversion records.
 
-Every response gives a ``metadata`` record (links, title, declared language and sizes as JSON) and a
-``conversion`` record (its visible text). Both refer to the response's record id, keep its target URI, date
-and selected headers, and carry SHA-1 digests in base 32: of their own block and of the response's payload.
-Record ids are name-based UUIDs of the response's id and the derivative's kind, so a rerun gives equal ids.
+WARC files (plain or gzip, one member a record) are read into rows, one for each record, with the named fields of
+their headers. Every response gives a ``metadata`` record (links, title, declared language, sizes and the HTTP
+headers as JSON) and a ``conversion`` record (its visible text). Both keep the response's target URI and date,
+refer to its record id, carry its payload digest as read (worked out where the record has none) and the
+HTTP headers it came with, and have a SHA-1 digest in base 32 of their own block. A response without date takes the
+moment given by the caller: the standard demands one. Record ids are name-based UUIDs of the
+response's id and the derivative's kind, so a rerun gives equal ids.
 
-Null html: a metadata record of size 0 and no conversion record. Null url: no target URI line. Records whose
-text is empty are kept with length 0. Repeated rows give equal records each.
+A record that is cut off or has a malformed header line gives its readable fields and an ``issue``; malformed header
+JSON of a table of responses gives an issue too, never an error. Null payload: a metadata record of size 0 and no
+conversion record. Null url: no target URI line. Records whose text is empty are kept with length 0. Repeated rows give
+equal records each. Other columns of the input aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
+import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<title\b.*?</title\s*>", re.S | re.I)
-#: Comments, and scripts and styles after their opening tags: no links are read from these.
-_CODE = re.compile(r"<!--.*?-->|(<(script|style)\b[^>]*>).*?</\2\s*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|nav|header|footer|blockquote|pre|dd|dt|dl|hr|body|html|head)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<(a|img|link|script)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Date of derivatives of responses that have none.
+UNDATED = "1970-01-01T00:00:00Z"
+#: fixed values: elements whose content nobody reads, and those that stand on lines of their own
+HIDDEN = frozenset("script style noscript template title".split())
+BLOCK = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 br tr table section article nav header footer blockquote pre dd dt dl hr body html head".split())
+LINKS = {"a": "href", "img": "src", "link": "href", "script": "src"}
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)|<!--|<[!?/]")
+_ATTR = re.compile(r"([^\s/>=\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def visible(page: str) -> str:
-    """Text of a page: a line for each block, entities decoded, runs of spaces collapsed."""
-    text = entities.unescape(_TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page))))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+def scanned(page: str, url: str | None) -> tuple[str, dict]:
+    """A page's visible text, a line for each block, and its title, language and links: one pass from tag to tag.
 
-
-def facts(page: str, url: str | None) -> dict:
-    body = _CODE.sub(lambda m: m[1] or " ", page)
-    links = []
-    for tag, *values in _LINK.findall(body):
-        target = entities.unescape(next((v for v in values if v), "")).strip()
-        try:
-            links.append({"path": tag.lower(), "url": urljoin(url or "", target)})
-        except ValueError:  # a malformed address stays as written
-            links.append({"path": tag.lower(), "url": target})
-    title = _TITLE.search(page)
-    lang = _LANG.search(page)
-    return {"title": entities.unescape(title[1]).strip() if title else None, "language": lang[1].lower() if lang else None, "links": links}
+    Links are read from every opening tag outside comments, scripts and styles. What never ends, ends with the page.
+    """
+    out: list[str] = []
+    links: list[dict] = []
+    title: list[str] = []
+    lang, hidden, at, size = None, [], 0, len(page)
+    while at < size:
+        m = _TAG.search(page, at)
+        text = page[at : m.start() if m else size]
+        if hidden:
+            if hidden[-1] == "title":
+                title.append(text)
+        elif text:
+            out.append(text)
+        if not m:
+            break
+        if m[2] is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = page.find(mark, m.end())
+            at = end + len(mark) if end >= 0 else size
+            continue
+        end = page.find(">", m.end())
+        tag, stop = m[2].lower(), end if end >= 0 else size
+        if m[1]:
+            if tag in HIDDEN and tag in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+        else:
+            attrs = {}
+            if tag in LINKS or tag == "html":
+                for a in _ATTR.finditer(page, m.end(), stop):
+                    attrs.setdefault(a[1].lower(), entities.unescape(next(v for v in a.groups()[1:] if v is not None)).strip())
+            target = attrs.get(LINKS.get(tag, ""))
+            if target is not None:
+                try:
+                    links.append({"path": tag, "url": urljoin(url or "", target)})
+                except ValueError:  # a malformed address stays as written
+                    links.append({"path": tag, "url": target})
+            lang = lang or (attrs.get("lang") if tag == "html" else None)
+            if tag in ("script", "style"):  # all up to their end tag is code
+                close = re.compile(rf"</{tag}\b", re.I).search(page, stop)
+                stop = page.find(">", close.end()) if close else size
+                stop = stop if stop >= 0 else size
+            elif tag in HIDDEN and tag not in hidden:
+                hidden.append(tag)
+        if tag in BLOCK:
+            out.append("\n")
+        at = stop + 1
+    lines = (" ".join(x.split()) for x in entities.unescape("".join(out)).split("\n"))
+    named = " ".join(entities.unescape("".join(title)).split()) or None
+    return "\n".join(x for x in lines if x), {"title": named, "language": lang.lower() if lang else None, "links": links}
 
 
 def record(kind: str, rid: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -67,38 +109,52 @@ def record(kind: str, rid: str, headers: list[tuple[str, str | None]], block: by
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def derive(rid: str, url: str | None, date: str | None, headers: str | None, page: bytes | None) -> list[dict]:
-    payload = page or b""
-    text = payload.decode("utf-8", "replace")
-    shared = [("WARC-Refers-To", rid), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Refers-To-Payload-Digest", digest(payload))]
-    meta = facts(text, url) | {"payload_length": len(payload), "response_headers": json.loads(headers) if headers else {}}
-    made = [("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True).encode())]
+def http_headers(given: str | None) -> tuple[dict, str | None]:
+    """Headers of a JSON object, and what is wrong with it."""
+    try:
+        got = json.loads(given) if given else {}
+    except ValueError:
+        return {}, "headers aren't JSON"
+    return (got, None) if isinstance(got, dict) else ({}, "headers aren't an object")
+
+
+def derive(rid: str | None, url: str | None, date: str | None, headers: str | None, payload_digest: str | None, page: bytes | None, undated: str = UNDATED) -> list[dict]:
+    payload, moment = page or b"", date or undated
+    given, issue = http_headers(headers)
+    text, meta = scanned(payload.decode("utf-8", "replace"), url)
+    source = payload_digest or digest(payload)
+    meta |= {"payload_length": len(payload), "payload_digest": source, "response_headers": given}
+    shared = [("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", url), ("WARC-Date", moment)]
+    made = [("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"))]
     if page is not None:
-        made.append(("conversion", "text/plain; charset=utf-8", visible(text).encode("utf-8", "replace")))
+        made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
     out = []
     for kind, content, block in made:
         own = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{rid}/{kind}')}>"
-        whole = record(kind, own, [*shared, ("Content-Type", content)], block)
-        out.append({"warc_type": kind, "record_id": own, "refers_to": rid, "target_uri": url, "block_digest": digest(block), "payload_digest": digest(payload), "content_length": len(block), "block": block.decode("utf-8"), "record": whole})
+        out.append({
+            "warc_type": kind, "record_id": own, "refers_to": rid, "target_uri": url, "date": moment, "block_digest": digest(block), "payload_digest": source, "content_length": len(block),
+            "block": block.decode("utf-8"), "issue": issue, "record": record(kind, own, [*shared, ("Content-Type", content)], block),
+        })
     return out
 
 
-FIELDS = "warc_type string, record_id string, refers_to string, target_uri string, block_digest string, payload_digest string, content_length bigint, block string, record binary"
+FIELDS = "warc_type string, record_id string, refers_to string, target_uri string, date string, block_digest string, payload_digest string, content_length bigint, block string, issue string, record binary"
 _KINDS = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
-def derivatives(responses: DataFrame, key: str) -> DataFrame:
-    """key and the derived records; responses: (key, record_id, url, date, headers as JSON, text = payload)."""
+def derivatives(responses: DataFrame, key: str, undated: str = UNDATED) -> DataFrame:
+    """key and the derived records; responses: (key, record_id, url, date, headers as JSON, payload_digest, text = payload)."""
     c.small_batches(responses.sparkSession)
-    source = responses.select(key, "record_id", "url", "date", "headers", "text")
+    names = (key, "record_id", "url", "date", "headers", "payload_digest")
+    source = responses.select(*names, F.col("text").cast("binary").alias("text"))
     fields = [f.split() for f in FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.chunks(batch):
                 keys, rows = [], []
-                for k, rid, url, date, headers, page in zip(*(part.column(x).to_pylist() for x in (key, "record_id", "url", "date", "headers")), c.raw(part.column("text")), strict=True):
-                    got = derive(rid, url, date, headers, page)
+                for k, *facts, page in zip(*(part.column(x).to_pylist() for x in (*names, "text")), strict=True):
+                    got = derive(*facts, page, undated)
                     rows += got
                     keys += [k] * len(got)
                 cols = [pa.array([r[n] for r in rows], _KINDS[t]) for n, t in fields]
@@ -107,17 +163,118 @@ def derivatives(responses: DataFrame, key: str) -> DataFrame:
     return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, {FIELDS}")
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """Response records of a table of pages (page_id, url, html)."""
-    sha = F.sha1(F.concat_ws("|", F.col("page_id").cast("string"), "url"))
-    uid = F.regexp_replace(sha, r"^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-8$4-$5")
-    return pages.select("page_id", F.concat(F.lit("<urn:uuid:"), uid, F.lit(">")).alias("record_id"), "url", F.lit(None).cast("string").alias("date"), F.lit('{"content-type": "text/html; charset=utf-8"}').alias("headers"), F.col("html").alias("text"))
+def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (names in lower case), block and issue of every record of a WARC file."""
+    stream: io.BufferedIOBase = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                yield {}, b"", "no WARC record"
+                return
+            head: dict[str, str] = {}
+            issue = None
+            while (line := stream.readline()).strip():
+                name, colon, value = line.decode("utf-8", "replace").partition(":")
+                if not colon:
+                    issue = "malformed header line"
+                    continue
+                head[name.strip().lower()] = value.strip()
+            length = head.get("content-length", "")
+            if not length.isdigit():
+                yield head, b"", "no content length"
+                return
+            block = stream.read(int(length))
+            yield head, block, "cut off" if len(block) < int(length) else issue
+    except (OSError, EOFError, zlib.error) as e:
+        yield {}, b"", f"unreadable: {e}"
+
+
+def http_parts(block: bytes) -> tuple[str, bytes]:
+    """Headers (names in lower case) as JSON and payload of an HTTP response."""
+    head, gap, payload = block.partition(b"\r\n\r\n")
+    if not gap or not head.startswith(b"HTTP/"):
+        return "{}", block
+    status, *lines = head.decode("iso-8859-1").split("\r\n")
+    found = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
+    return json.dumps({"status": status, **found}), payload
+
+
+RECORDS = "path string, ord bigint, warc_type string, record_id string, url string, date string, content_type string, refers_to string, block_digest string, payload_digest string, headers string, text binary, issue string"
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """One row for each record of WARC files (path, content): named fields, HTTP headers as JSON, and the payload as text."""
+    names = [f.split() for f in RECORDS.split(", ")]
+
+    def rows(path: str, data: bytes) -> Iterator[tuple]:
+        for i, (head, block, issue) in enumerate(split_records(data)):
+            web = head.get("content-type", "").startswith("application/http")
+            headers, payload = http_parts(block) if web else (None, block)
+            yield (
+                path, i, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), head.get("warc-refers-to"),
+                head.get("warc-block-digest"), head.get("warc-payload-digest"), headers, payload, issue,
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, size = [], 0
+                for r in rows(batch.column("path")[i].as_py(), batch.column("content")[i].as_py() or b""):
+                    held.append(r)
+                    size += len(r[11])
+                    if size >= c.CHUNK_BYTES:
+                        yield _batch(held, names)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held, names)
+
+    return files.select("path", "content").mapInArrow(run, RECORDS)
+
+
+def _batch(rows: list[tuple], names: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[t]) for x, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files of a folder; files are dealt to tasks by their size."""
+    return parse_files(spark.read.format("binaryFile").load(path))
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """Response records as ``derivatives`` reads them, with the file they are from."""
+    return records.where("warc_type = 'response'").select("path", "record_id", "url", "date", "headers", "payload_digest", "text")
+
+
+def response_records(pages: DataFrame, date: str = UNDATED) -> DataFrame:
+    """(page_id, record): response records of a table of pages (page_id, url, html), the form in which a crawl stores them."""
+
+    def one(page_id, url: str | None, page: bytes | None) -> bytes:
+        payload = page or b""
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
+        rid = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}|{url}')}>"
+        return record("response", rid, [("WARC-Target-URI", url), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload))], block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in c.chunks(batch):
+                made = [one(*x) for x in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("text").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(made, pa.binary())], ["page_id", "record"])
+
+    source = pages.select("page_id", "url", F.col("html").cast("binary").alias("text"))
+    return source.mapInArrow(run, f"page_id {dict(source.dtypes)['page_id']}, record binary")
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Writes the records as WARC text, one after the other, in as many files as partitions."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "").text(path)
+    """Writes derived records (UTF-8 throughout) as WARC files, one record after the other, in as many files as partitions."""
+    # a record ends with two line ends, the writer adds the last one
+    records.select(F.expr("cast(substring(record, 1, length(record) - 2) as string)").alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
 def op9_warc_derivatives(spark, sf_dir: str) -> DataFrame:
-    return derivatives(responses(c.read(spark, sf_dir, "pages")), "page_id").drop("record")
+    """The pages as WARC response records, parsed as such, and their derivatives."""
+    stored = response_records(c.read(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("path"), F.col("record").alias("content"))
+    return derivatives(responses_of(parse_files(stored)), "path").withColumn("path", F.col("path").cast("bigint")).withColumnRenamed("path", "page_id").drop("record")
