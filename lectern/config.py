@@ -36,6 +36,7 @@ LABELS = {
     "gradingStatus": r"(?iu)^(statut de l'évaluation|statut d'évaluation|grading status)",
     "timeRemaining": r"(?iu)^(temps restant|time remaining)",
 }
+# Texts of completion, and requests that are never made.
 TODO = r"(?iu)(à faire|a faire|to do|marquer comme terminé|mark as done)"
 DONE = r"(?iu)(terminé|fait|done|completed|réussi|passed)"
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as the reference's language has it; neither engine's \s is the same set.
 SPACE = r"[\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -82,16 +82,31 @@ def ics_date(s: Column) -> Column:
 
 
 def utc_stamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+    """UTC stamp of a moment; a timestamp without zone is taken as UTC. The session's zone doesn't matter."""
+    seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(ts.cast("timestamp")).cast("decimal(18,6)"))
+    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + seconds
+    utc = F.when(F.typeof(ts) == "timestamp_ntz", ts.cast("timestamp_ntz")).otherwise(moment)
+    return F.date_format(utc, "yyyyMMdd'T'HHmmss'Z'")
 
 
-_TAG = re.compile(r"<[^>]*>")
+#: A tag begins with a letter, a slash or a mark; a bare < is text. What isn't closed goes on to the end.
+TAG = r"<[A-Za-z/!?][^>]*>?"
+_TAG = re.compile(TAG)
 _WHITE = re.compile(r"\s+")
 
 
+def _plain(x: str | None) -> str | None:
+    return None if x is None else _WHITE.sub(" ", html.unescape(_TAG.sub("", x)).replace("\ufeff", " ")).strip()
+
+
 @F.pandas_udf(StringType())
 def _decoded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _WHITE.sub(" ", html.unescape(_TAG.sub("", x)).replace("\ufeff", " ")).strip())
+    return s.map(_plain)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _decoded_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda values: None if values is None else [_plain(x) for x in values])
 
 
 def decode_html(s: Column) -> Column:
@@ -102,10 +117,10 @@ def decode_html(s: Column) -> Column:
 
 def decode_many(values: Column) -> Column:
     """Fragments of an array to texts, null to the empty string; Python only for rows with entities."""
-    whole = F.array_join(F.transform(values, lambda v: F.coalesce(v, F.lit(""))), "\ue002")
-    apart = lambda s: F.transform(F.split(s, "\ue002"), clean)
-    plain = apart(F.regexp_replace(whole, "<[^>]*>", ""))
-    return F.when(whole.contains("&"), apart(_decoded(F.when(whole.contains("&"), whole)))).otherwise(plain)
+    whole = F.transform(values, lambda v: F.coalesce(v, F.lit("")))
+    entities = F.exists(whole, lambda v: v.contains("&"))
+    plain = F.transform(whole, lambda v: clean(F.regexp_replace(v, TAG, "")))
+    return F.when(entities, _decoded_each(F.when(entities, whole))).otherwise(plain)
 
 
 def _fold(line: str | None) -> str | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lectern.functions import dates, text
 from lectern.jobs.registry import query
 from lectern.jobs.sources import EVENTS, KINDS_SQL, LINES, LINES_SQL, order_details, order_events, read
 from lectern.operators import exports, relational, timetable
+from lectern.operators.stored import shared_folder
 
 PREFS = ExportPrefs()
 NOW = "2026-03-01 08:00:00"
@@ -68,7 +71,7 @@ def t13_detail_lines(spark, d):
 @query(f"""select id, code0 || ' [' || subject0 || ']' as raw, case when shape = 3 then 'café & co' else '' end as name,
  case shape when 0 then '' when 1 then group0 || '|' || group0 || 'x' else group0 end as groups, case when shape >= 2 then room0 else '' end as rooms from {ORDERS}""")
 def t01_parse_description(spark, d):
-    p = timetable.parse_description(timetable.decode_description(F.col("description")))
+    p = timetable.parse_description(F.col("description"))
     e = order_events(spark, d).select("id", p.alias("p"))
     return e.select("id", F.col("p.rawTitle").alias("raw"), F.col("p.name").alias("name"), F.array_join("p.groups", "|").alias("groups"), F.array_join("p.rooms", "|").alias("rooms"))
 
@@ -139,13 +142,36 @@ def t14_selection_from_url(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", timetable.selection_from_url(url).alias("s")).select("s_suppkey", "s.type", F.array_join("s.ids", "|").alias("ids"))
 
 
-@query("""select cast(event_id as varchar) as id, event_type as description, event_id % 2 = 0 as allDay, cast(user_id % 3 as varchar) as calendar from events""")
-def r02_parse_calendar(spark, d):
+@query("""select cast(event_id as varchar) as id, event_type as description, event_id % 2 = 0 as allDay, cast(user_id % 3 as varchar) as calendar, 'e' || event_id as label, null as message from events
+ union all select null, null, null, null, null, 'not an array of events' union all select null, null, null, null, null, 'no elements'""")
+def r02_read_responses(spark, d):
+    """Captured chunk and detail responses written, read and parsed; bodies of another form become issues."""
     e = read(spark, d, "events")
+    path = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}"
+    calendar = (F.col("user_id") % 3).cast("string").alias("calendar")
     one = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("description"), (F.col("event_id") % 2 == 0).alias("allDay")))
-    body = e.select((F.col("user_id") % 3).cast("string").alias("calendar"), F.concat(F.lit("["), one, F.lit("]")).alias("body"))
-    bad = e.limit(1).select(F.lit("9").alias("calendar"), F.lit('{"error": true}').alias("body"))
-    return timetable.parse_calendar(body.unionByName(bad))[0].select("id", "description", "allDay", "calendar")
+    bad = spark.range(1).select(F.lit("9").alias("calendar"), F.lit(0).alias("chunk"), F.lit('{"error": true}').alias("body"))
+    e.select(calendar, F.lit(1).alias("chunk"), F.concat(F.lit("["), one, F.lit("]")).alias("body")).unionByName(bad).write.parquet(f"{path}/chunks")
+    detail = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("e"), "event_id").alias("label"))).alias("elements")))
+    e.select(calendar, F.col("event_id").cast("string").alias("event_id"), detail.alias("body")).unionByName(bad.select("calendar", F.lit("x").alias("event_id"), F.lit("[1]").alias("body"))).write.parquet(f"{path}/details")
+    events, issues = timetable.read_calendar(spark, f"{path}/chunks")
+    details, more = timetable.read_details(spark, f"{path}/details")
+    joined = events.join(details.withColumnRenamed("event_id", "id"), ["calendar", "id"])
+    none = F.lit(None).cast("string")
+    rows = joined.select("id", "description", "allDay", "calendar", F.col("elements")[0]["label"].alias("label"), none.alias("message"))
+    return rows.unionByName(issues.unionByName(more).select(none.alias("id"), none.alias("description"), F.lit(None).cast("boolean").alias("allDay"), none.alias("calendar"), none.alias("label"), "message"))
+
+
+@query("""select event_id, 'x < ' || event_id || ' &' as bare, 'Math|' || event_id || ' <b>|z' as many, 'Math ' || event_id || '~n <br> m~g1,g2~r' as blocks, strftime(ts - interval 1 hour, '%Y%m%dT%H%M%SZ') as utc from events""")
+def t01_decode(spark, d):
+    """A bare < is text, markup without entities goes, values of an array stay apart, what entities say is no markup, stamps are UTC in every zone."""
+    e = read(spark, d, "events")
+    k = F.col("event_id").cast("string")
+    many = text.decode_many(F.array(F.lit("<b>Math</b>"), F.concat(k, F.lit(" &lt;b&gt;")), F.lit("z<i>")))
+    p = timetable.parse_description(F.concat(F.lit("<b>Math</b> "), k, F.lit("\r\n<br />\r\n<i>n</i> &lt;br&gt; m\r\n<br>\r\ng1<br>g2\r\n<br/>\r\nr")))
+    moment = F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00")))
+    rows = e.select("event_id", text.decode_html(F.concat(F.lit("x < "), k, F.lit(" &amp;"))).alias("bare"), many.alias("m"), p.alias("p"), text.utc_stamp(moment).alias("utc"))
+    return rows.select("event_id", "bare", F.array_join("m", "|").alias("many"), F.concat_ws("~", "p.rawTitle", "p.name", F.array_join("p.groups", ","), F.array_join("p.rooms", ",")).alias("blocks"), "utc")
 
 
 ICS_ESC = "replace(replace(replace(replace({}, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), '\n', '\\n')"
@@ -189,6 +215,55 @@ def w05_json(spark, d):
     return j.select(back.alias("o")).select("o.uid", "o.start", "o.allDay", "o.title", "o.code", F.array_join("o.staff", "|").alias("staff"), "o.category", F.col("o.color").isNotNull().alias("has_color"))
 
 
+CALENDARS = "select distinct cast(o_custkey % 5 as varchar) as calendar from orders"
+
+
+def calendars(spark, d):
+    c = (F.col("o_custkey") % 5).cast("string")
+    return read(spark, d, "orders").select(c.alias("calendar")).distinct().select("calendar", F.concat(F.lit("Group, "), "calendar").alias("label"), F.concat(F.lit("https://t.example.org/?c="), "calendar").alias("url"), F.lit("all").alias("selection"), F.lit("2026-01-01").alias("start"), F.lit("2026-06-30").alias("end"))
+
+
+SHORT = ExportPrefs(fields=("code", "subject", "groups", "rooms", "staff", "category"))
+FOLD = lambda x: f"(substr({x}, 1, 75) || regexp_replace(substr({x}, 76), '(.{{1,74}})', chr(13) || chr(10) || ' \\1', 'g'))"
+ICS_SHORT = """concat_ws('\n', 'Module code: ' || code0, 'Course: ' || subject_, case when groups__ <> '' then 'Groups: ' || replace(groups__, '|', ', ') end, case when staff_ <> '' then 'Staff: ' || replace(staff_, '|', ', ') end)"""
+ZONE_SQL = " || chr(13) || chr(10) || ".join(f"'{x}'" for x in ("X-WR-TIMEZONE:Europe/Brussels", "BEGIN:VTIMEZONE", "TZID:Europe/Brussels", *exports.ZONES["Europe/Brussels"], "END:VTIMEZONE"))
+
+
+@query(f"""with e as (select calendar, start_, id, list_filter(['BEGIN:VEVENT', 'UID:' || id || '@timetable.example.org', 'DTSTAMP:20260301T080000Z',
+ case when allDay then 'DTSTART;VALUE=DATE:' || replace(start_, '-', '') else 'DTSTART;TZID=Europe/Brussels:' || replace(replace(start_, '-', ''), ':', '') end,
+ case when allDay then 'DTEND;VALUE=DATE:' || replace(end_, '-', '') else 'DTEND;TZID=Europe/Brussels:' || replace(replace(end_, '-', ''), ':', '') end,
+ 'SUMMARY:' || {ICS_ESC.format('subject_')}, case when rooms__ <> '' then 'LOCATION:' || {ICS_ESC.format("replace(rooms__, '|', ', ')")} end, 'DESCRIPTION:' || {ICS_ESC.format(ICS_SHORT)},
+ 'CATEGORIES:' || o_orderpriority, case when allDay then 'TRANSP:TRANSPARENT' else 'TRANSP:OPAQUE' end, 'END:VEVENT'], lambda x: x is not null) as lines from {NORMAL_SQL}),
+ f as (select calendar, string_agg(array_to_string(list_transform(lines, lambda x: {FOLD('x')}), chr(13) || chr(10)), chr(13) || chr(10) order by start_, id) as body from e group by 1)
+ select calendar, 'Timetable-Group,-' || calendar || '_2026-01-01_2026-06-30.ics' as file, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//lectern//timetable//FR', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH', 'X-WR-CALNAME:Timetable – Group\\, ' || calendar, {ZONE_SQL}, body, 'END:VCALENDAR', ''], chr(13) || chr(10)) as text from f""")
+def w02_ics_file(spark, d):
+    """Whole calendar files, with zone, name and folds."""
+    return exports.export_texts(normal(spark, d), calendars(spark, d), ["ics"], SHORT, F.lit(NOW).cast("timestamp_ntz")).select("calendar", "file", "text")
+
+
+CSV_ROW = "concat_ws(',', start_, end_, case when allDay then 'yes' else 'no' end, " + ", ".join(map(cell, ("subject_", "code0", "subject_", JOINED("groups__"), JOINED("rooms__"), JOINED("staff_"), "o_orderpriority"))) + ")"
+
+
+@query(f"""select calendar, chr(65279) || 'Start,End,All day,Title,Module code,Course,Groups,Room,Staff,Category' || chr(13) || chr(10) || string_agg({CSV_ROW}, chr(13) || chr(10) order by start_, id) || chr(13) || chr(10) as text from {NORMAL_SQL} group by 1""")
+def w03_csv_file(spark, d):
+    """Whole spreadsheets written and read again: mark of UTF-8, CRLF."""
+    made = exports.export_texts(normal(spark, d), calendars(spark, d), ["csv"], SHORT, F.lit(NOW).cast("timestamp_ntz"))
+    path = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}/exports"
+    exports.write_exports(made, path, ["csv"])
+    return spark.read.text(f"{path}/csv", wholetext=True).select(F.regexp_extract("file", r"-(\d)_2026", 1).alias("calendar"), F.col("value").alias("text"))
+
+
+@query(f"""select calendar, count(*) as n, md5(string_agg(id || start_ || subject_ || coalesce(staff_, ''), ',' order by start_, id)) as sum, 'https://t.example.org/?c=' || calendar as source, 'Europe/Brussels' as timezone, '2026-06-30' as "end" from {NORMAL_SQL} group by 1""")
+def w05_json_file(spark, d):
+    """Whole JSON files, parsed again."""
+    made = exports.export_texts(normal(spark, d), calendars(spark, d), ["json"], SHORT, F.lit(NOW).cast("timestamp_ntz"))
+    event = "struct<uid:string,start:string,title:string,staff:array<string>>"
+    o = F.from_json("text", f"source string, timezone string, range struct<`end`:string>, events array<{event}>")
+    rows = made.select("calendar", o.alias("o"))
+    text_ = F.array_join(F.transform("o.events", lambda e: F.concat(e["uid"], e["start"], e["title"], F.array_join(e["staff"], "|"))), ",")
+    return rows.select("calendar", F.size("o.events").cast("bigint").alias("n"), F.md5(text_).alias("sum"), "o.source", "o.timezone", "o.range.end")
+
+
 MD = lambda x: f"replace(replace({x}, '|', '\\|'), '\n', '<br>')"
 
 
@@ -218,3 +293,13 @@ def d10_week_and_day(spark, d):
 def x06_stamps(spark, d):
     s = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     return read(spark, d, "events").select("event_id", text.ics_local(s).alias("local"), text.ics_date(F.substring(s, 1, 10)).alias("day"), text.utc_stamp(F.col("ts")).alias("utc"))
+
+
+@query(f"""with e as (select *, date_trunc('week', o_orderdate) as wk, case dayofweek(o_orderdate) when 0 then 'Dimanche' when 1 then 'Lundi' when 2 then 'Mardi' when 3 then 'Mercredi' when 4 then 'Jeudi' when 5 then 'Vendredi' else 'Samedi' end as dn,
+ row_number() over (partition by calendar order by start_, id) as rn from {NORMAL_SQL}), f as (select *, lag(day) over (partition by calendar order by rn) as pd, lag(wk) over (partition by calendar order by rn) as pw from e)
+ select calendar, '# Horaire — Group, ' || calendar || '\n\nSource: https://t.example.org/?c=' || calendar || '  \nPériode: 01/01/2026 → 30/06/2026  \nExporté le: 01/03/2026 08:00:00 (' || count(*) || ' événements)\n' || string_agg(concat_ws('\n', case when pw is null or pw <> wk then '\n## Semaine du ' || strftime(wk, '%d/%m/%Y') end,
+ case when pd is null or pd <> day then '\n### ' || dn || ' ' || strftime(o_orderdate, '%d/%m/%Y') || '\n\n| Heure | Cours | Groups | Room | Staff | Category |\n| --- | --- | --- | --- | --- | --- |' end,
+ '| ' || concat_ws(' | ', case when allDay then 'journée' when shape <> 3 then '10:30–12:05' else '10:30–10:30' end, {MD('subject_')}, {MD(JOINED('groups__'))}, {MD(JOINED('rooms__'))}, {MD(JOINED('staff_'))}, {MD('o_orderpriority')}) || ' |'), '\n' order by rn) || '\n' as text from f group by calendar""")
+def w06_markdown_file(spark, d):
+    """Whole Markdown timetables with their heading."""
+    return exports.export_texts(normal(spark, d), calendars(spark, d), ["md"], SHORT, F.lit(NOW).cast("timestamp_ntz")).select("calendar", "text")

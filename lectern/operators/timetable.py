@@ -6,7 +6,7 @@ shuffle; ``fill_labels`` and ``collect_exploded`` are the forms for one element
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import ExportPrefs
@@ -18,19 +18,47 @@ EVENT = (
     "faculty:string,eventCategory:string,sites:array<string>,modules:array<string>,registerStatus:int,studentMark:int,custom1:string,custom2:string,custom3:string>"
 )
 ELEMENT = "struct<label:string,content:string,federationId:string,entityType:int,assignmentContext:string,containsHyperlinks:boolean,isNotes:boolean,isStudentSpecific:boolean>"
-DETAIL = f"event_id string, elements array<{ELEMENT}>"
 #: Kinds of detail values, in the order of their rules.
 KINDS = ("links", "modules", "staff", "rooms", "groups", "notes", "name", "extra")
 
 
 def parse_calendar(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Events of JSON arrays with their place (pos), and issues for bodies that are none; raw keeps its other columns."""
+    return _parsed(raw, body, EVENT, "calendar", "not an array of events")
+
+
+def parse_details(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(raw's other columns, elements) of JSON detail objects, and issues for bodies that are none."""
+    others = [c for c in raw.columns if c != body]
+    parsed = raw.withColumn("_d", F.from_json(body, f"struct<elements:array<{ELEMENT}>>"))
+    good = F.coalesce(F.col("_d.elements").isNotNull() & F.col(body).rlike(r"^\s*\{"), F.lit(False))
+    return parsed.where(good).select(*others, F.col("_d.elements").alias("elements")), _unread(parsed.where(~good), body, "details", "no elements")
+
+
+def _parsed(raw: DataFrame, body: str, kind: str, source: str, message: str) -> tuple[DataFrame, DataFrame]:
     others = [c for c in raw.columns if c != body]
-    parsed = raw.withColumn("_events", F.from_json(body, f"array<{EVENT}>"))
-    good = F.col("_events").isNotNull() & F.col(body).rlike(r"^\s*\[")
+    parsed = raw.withColumn("_events", F.from_json(body, f"array<{kind}>"))
+    good = F.coalesce(F.col("_events").isNotNull() & F.col(body).rlike(r"^\s*\["), F.lit(False))
     events = parsed.where(good).select(*others, F.posexplode("_events").alias("pos", "_e")).select(*others, "pos", "_e.*")
-    issues = parsed.where(~good).select(F.lit("calendar").alias("source"), F.lit("error").alias("severity"), F.lit("not an array of events").alias("message"), F.substring(body, 1, 80).alias("url"))
-    return events, issues
+    return events, _unread(parsed.where(~good), body, source, message)
+
+
+def _unread(rows: DataFrame, body: str, source: str, message: str) -> DataFrame:
+    return rows.select(F.lit(source).alias("source"), F.lit("error").alias("severity"), F.lit(message).alias("message"), F.substring(body, 1, 80).alias("url"))
+
+
+#: Captured responses: one row each, with the calendar and chunk, or the calendar and event, they answer.
+CHUNKS, RESPONSES = "calendar string, chunk int, body string", "calendar string, event_id string, body string"
+
+
+def read_calendar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Raw events of captured chunk responses (Parquet of CHUNKS) and issues."""
+    return parse_calendar(spark.read.schema(CHUNKS).parquet(path))
+
+
+def read_details(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(calendar, event_id, elements) of captured detail responses (Parquet of RESPONSES) and issues."""
+    return parse_details(spark.read.schema(RESPONSES).parquet(path))
 
 
 def dedupe_events(events: DataFrame, order: list[str], scope: list[str] = ["calendar"]) -> DataFrame:  # noqa: B006
@@ -43,10 +71,12 @@ def in_range(events: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def parse_description(desc: Column) -> Column:
-    """struct(rawTitle, name, groups, rooms) of the description's blocks."""
-    blocks = F.split(trimmed(F.coalesce(desc, F.lit(""))), r"\r?\n\s*<br\s*/?>\s*\r?\n")
-    # entities need Python, which can't run inside a lambda: whole descriptions are decoded before, line breaks kept
-    values = F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, r"(?i)<br\s*/?>"), clean), lambda x: x != ""))
+    """struct(rawTitle, name, groups, rooms) of the description's blocks, markup and entities decoded."""
+    # line ends and breaks become private-use characters before anything is decoded, so what entities say is text
+    desc = F.coalesce(desc, F.lit(""))
+    kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(desc, "[\ue000\ue001]", ""), "\r?\n", "\ue000"), r"(?i)<br\s*/?>", "\ue001")
+    blocks = F.split(decode_html(trimmed(kept)), f"\ue000[\ue000\\s]*\ue001[\\s]*\ue000")
+    values = F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\ue001"), lambda v: clean(F.replace(v, F.lit("\ue000"), F.lit(" ")))), lambda x: x != ""))
     return bound(values, _described)
 
 
@@ -62,14 +92,6 @@ def _described(values: Column) -> Column:
     )
 
 
-def decode_description(desc: Column) -> Column:
-    """Entities of a description decoded, its breaks and blocks kept."""
-    # breaks and line ends are kept as private-use characters while the markup is decoded
-    keep = F.regexp_replace(F.regexp_replace(desc, "\r?\n", "\ue000"), r"(?i)<br\s*/?>", "\ue001")
-    back = F.replace(F.replace(decode_html(keep), F.lit("\ue001"), F.lit("<br />")), F.lit("\ue000"), F.lit("\n"))
-    return F.when(desc.rlike("&"), back).otherwise(desc)
-
-
 def split_title(raw: Column) -> Column:
     """struct(code, subject) of "CODE [Subject]"; all of it is the subject otherwise."""
     pattern = r"^(\S+)\s*\[(.+)\]\s*$"
@@ -155,7 +177,7 @@ def normalize(joined: DataFrame, scope: list[str] = ["calendar"]) -> DataFrame:
     """Export model of joined events: details win over the description where they have values."""
     none = F.array().cast("array<string>")
     joined = joined.withColumn("_plain", decode_many(F.transform("elements", lambda e: e["content"])))
-    rows = joined.withColumn("_d", parse_description(decode_description(F.col("description")))).withColumn("_s", F.when(F.col("elements").isNotNull(), collect_details(F.col("elements"), F.col("_plain"))))
+    rows = joined.withColumn("_d", parse_description(F.col("description"))).withColumn("_s", F.when(F.col("elements").isNotNull(), collect_details(F.col("elements"), F.col("_plain"))))
     detail = lambda k: F.coalesce(F.col(f"_s.{k}"), none)
     pick = lambda k: F.when(F.size(detail(k)) > 0, distinct_in_order(detail(k))).otherwise(distinct_in_order(F.col(f"_d.{k}")))
     rows = rows.withColumn("rawTitle", F.coalesce(present(F.try_element_at(detail("modules"), F.lit(1))), F.col("_d.rawTitle"))).withColumn("_t", split_title(F.col("rawTitle")))

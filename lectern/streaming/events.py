@@ -18,14 +18,17 @@ def dedupe_stream(stream: DataFrame, time: str, watermark: str, scope: list[str]
 
 
 def write_first_wins(stream: DataFrame, path: str, checkpoint: str, order: list[str], scope: list[str] = ["calendar"]):  # noqa: B006
-    """Writes each micro-batch with one row for each id, the first in order; earlier batches' ids are left out."""
+    """Writes each micro-batch with one row for each id, the first in order; earlier batches' ids are left out.
+
+    Unlike ``dedupe_stream`` this remembers every id for good, as the batch form does: a batch reads the ids (only
+    these) written before. A batch that is run again replaces its own folder.
+    """
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         one = first_wins(batch.where("id is not null"), [*scope, "id"], order).select(batch.columns)
         if number:
             before = spark.read.parquet(path).where(F.col("_batch") != number).select(*scope, "id")
             one = one.join(before, [*scope, "id"], "left_anti")
-        # a batch that is run again replaces its own folder
         one.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
