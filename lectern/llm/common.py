@@ -5,8 +5,6 @@ Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``, which is what ``bytes
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.stored import stored
+
 #: Text bytes that one vectorised step holds at once; a longer text is a step of its own.
 CHUNK_BYTES = 4 << 20
 #: Rows of an Arrow batch. Long texts make a default batch of 10,000 rows too large for a worker.
@@ -29,24 +29,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-lectern-")
-    return folder
+store = stored
+#: Rows of a stored table of ids and hashes (some 40 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def without(docs: DataFrame, gone: DataFrame, condition: Column) -> DataFrame:
+    """The rows of docs that match none of a stored table of ids, which is broadcast only after it was counted."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, condition, "left_anti")
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds Arrow batches at BATCH_ROWS rows where the session allows more; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

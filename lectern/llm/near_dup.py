@@ -211,5 +211,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Equal rows of one doc_id stay together.
     """
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone"), "left_anti")
+    gone = c.store(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return c.without(docs, gone, F.col("doc_id").cast("bigint") == F.col("gone"))

@@ -191,6 +191,74 @@ def test_inconsistent_slots_are_left_alone(spark):
     assert [r.doc_id for r in templates.contaminated(docs, items).collect()] == [1]
 
 
+def test_reparameterised_questions(spark):
+    """Names at a sentence's start, number words and fractions are slots; two values don't become one; null ids go too."""
+    item = "Anna buys twelve kg of apples for 1/2 dollars. Anna sells 30 of the apples to Bert. How many apples are left for Anna?"
+    items = spark.createDataFrame([(1, item), (None, "Where do the old rivers of the north begin to flow in spring?")], "item_id long, text string")
+    rows = [
+        (1, "Carla buys 9 kg of apples for \u00be dollars. Carla sells forty of the apples to Dora. How many apples are left for Carla?"), (2, item.lower().replace("anna", "Anna").replace("bert", "Bert")),
+        (3, "Carla buys 9 kg of apples for 3 dollars. Carla sells 9 of the apples to Carla. How many apples are left for Carla?"), (4, "Carla bakes 9 kg of bread from 7 sacks. Dora eats 40 of the loaves with Carla. How much bread is left for Dora?"),
+        (None, "clean text of no id " * 5), (None, "x. Where do the old rivers of the north begin to flow in spring? y"), (5, item), (5, "a clean text of the same id"), (6, None), (7, ""), (5, item),
+    ]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, item_id string")
+    got = {(r.doc_id, r.item_id): r for r in templates.contaminated(docs, items).collect()}
+    assert {(1, 1), (2, 1), (5, 1), (None, None)} <= set(got) and not {4, 6, 7} & {k for k, _ in got} and got[5, 1].exact and not got[1, 1].exact
+    assert (3, 1) not in got or got[3, 1].n_matched < got[3, 1].n_windows
+    assert got[1, 1].n_matched >= got[1, 1].n_windows - 1  # one window has few literals and other values
+    for size in (templates.BROADCAST_BYTES, 0):  # broadcast and shuffled
+        templates.BROADCAST_BYTES, before = size, templates.BROADCAST_BYTES
+        left = [(r.doc_id, r.text) for r in templates.clean(docs, items).collect()]
+        templates.BROADCAST_BYTES = before
+        assert sorted(left, key=repr) == sorted([r for r in rows if r[0] in (4, 6, 7) or (r[0] is None and "clean" in r[1]) or r[1] == "a clean text of the same id" or (r[0] == 3 and (3, 1) not in got)], key=repr)
+
+
+def plain_template(text):
+    import regex
+
+    units, out, last = set(templates.UNITS.replace("?", "").split("|")) | {"mile", "hour", "hr", "minute", "second", "day", "week", "month", "year", "dollar", "euro", "cent", "degree", "miles", "hours"}, [], False
+    for w in regex.findall(r"[\p{L}\p{M}]+|[0-9]+", text):
+        if w.isdigit() or w.lower() in templates.NUMBERS.split("|"):
+            out.append(("#", w.lower()))
+        elif last and w.lower() in units:
+            out.append(("u", w.lower()))
+        elif w[0].isupper() and w[1:] and w[1:].islower() and w not in templates.STARTERS.split("|"):
+            out.append(("n", w.lower()))
+        else:
+            out.append((w.lower(), w.lower()))
+        last = out[-1][0] == "#"
+    return out
+
+
+def test_templates_against_plain_version(spark):
+    """Contaminated pairs of random questions against a comparison of every window with every window."""
+    rng = random.Random(12)
+    people, things = ["Anna", "Bert", "Carla"], "apples pears coins books".split()
+    ask = lambda: rng.choice([
+        "{p} has {a} {t} and gives {b} of the {t} to {q}. How many {t} does {p} have now?", "If {p} walks {a} km in {b} hours, how far does {p} walk in {c} hours with {q}?", "What did {p} pay for {a} {t} when {q} paid {b} dollars for {c} {t} last week?",
+    ]).format(p=rng.choice(people), q=rng.choice(people), a=rng.randint(2, 9), b=rng.randint(2, 9), c=rng.randint(2, 9), t=rng.choice(things))
+    items = [(i, ask()) for i in range(8)]
+    docs = [(i, f"{prose(rng, 6)} {ask()} {prose(rng, 6)}") for i in range(60)]
+    want = set()
+    for i, text in items:
+        forms = [plain_template(text), plain_template(text[0].lower() + text[1:])]
+        for d, body in docs:
+            w, lines = plain_template(body), {}
+            for f in forms:
+                for at in range(len(f) - 7):
+                    for k in range(len(w) - 7):
+                        a, b = f[at : at + 8], w[k : k + 8]
+                        few = 2 * sum(x == y for x, y in a) < 8
+                        if [x for x, _ in a] == [x for x, _ in b] and (not few or a == b):
+                            line = lines.setdefault(k - at, (set(), set()))
+                            line[0].add(at)
+                            line[1].update((x, y) for x, y in zip(a, b) if x[0] in "#un" and len(x[0]) == 1)
+            hit = set().union(*(at for at, slots in lines.values() if len({x for x, _ in slots}) == len(slots) == len({y for _, y in slots})))
+            if 100 * len(hit) >= templates.MIN_PERCENT * (len(forms[0]) - 7):
+                want.add((d, i))
+    got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 20 < len(want) < 480
+
+
 def test_templates_of_few_literals_and_after_a_colon(spark):
     texts = [(1, "What is 12 + 45 * 3?"), (2, "Solve 3x + 5 = 20"), (3, "What is the capital of France?"), (4, "how do plants make sugar"), (4, "why do birds fly south in winter"), (None, "who wrote the longest book")]
     items = spark.createDataFrame(texts, "item_id long, text string")
