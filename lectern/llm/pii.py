@@ -10,12 +10,16 @@ modulo its size. Check digits are made anew:
 
 * card: looked for in a run of digit groups: from each group the longest 13 to 19 digits that end with a group
   and pass Luhn; first digit kept, the others but the last permuted, Luhn digit recomputed; separators stay.
-* IBAN: country kept, account permuted character by character, check digits recomputed.
+* IBAN: in one piece or in groups of four, of which the longest valid run counts; country kept, account
+  permuted character by character, check digits recomputed; spaces stay.
 * date (yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy where that is no dd/mm/yyyy, dd.mm.yyyy; years 1800 to 2199): its day among the 146,097 of 400 years
   (189 x 773), so every pseudonym is a real date.
 * social security number: area (898 values) and the rest (99 x 9,999). IPv4: two pairs of octets.
-* phone: the ten digits after the country code; e-mail: the part before @; secret: 32 to 64 hex digits,
-  in lower or upper case alike.
+* phone: (ddd) ddd-dddd, ddd-ddd-dddd and ddd.ddd.dddd: all ten digits; numbers that begin with + (8 to 15 digits): those after
+  the country code, taken as one digit for 1 and 7 and two digits else. A number gets the same pseudonym with +1 and without.
+* e-mail: the part before @.
+* secret: 32 to 64 hex digits, in lower or upper case alike; keys with a known prefix, which is kept; and values of
+  12 or more characters, letters and digits among them, that follow token, secret, password or api key and : or =.
 
 Halves over 32 characters reuse a round's keystream. Null text stays null; text without values is unchanged.
 Repeated rows give one row each; a null doc_id is passed through; other columns stay as they are.
@@ -28,6 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import bound
+
 from . import common as c
 
 ROUNDS = 8
@@ -37,9 +43,11 @@ KEY = "demonstration key"
 #: kind: pattern, tried in this order
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)\b",
     "secret": r"\b(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
-    "phone": r"\+1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}-[0-9]{4}\b",
+    "prefixed": r"\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}+|\b(?:AKIA|AIza)[A-Za-z0-9_-]{16,}+",
+    "keyed": r"(?<=(?:token|secret|passwd|password|api[_ -]?key)[\"']?\s?[:=]\s?[\"']?)(?=[^0-9\s]*[0-9])(?=[^A-Za-z\s]*[A-Za-z])[A-Za-z0-9_+/.=-]{12,}+",
+    "phone": r"\+[0-9]{1,3}+(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}+\b|(?<![0-9.-])(?:\([0-9]{3}\) ?[0-9]{3}[-. ]|[0-9]{3}[-.][0-9]{3}[-.])[0-9]{4}\b(?![-.]?[0-9])",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "card": r"\b[0-9](?:[ -]?[0-9]){12,}+\b",
@@ -129,37 +137,59 @@ def _cuts(groups: Column) -> Column:
     def step(x: Column, i: Column) -> Column:
         lengths = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda k: valid(F.regexp_replace(F.array_join(F.slice(groups, i + 1, k), ""), "[^0-9]", "")))
         size = F.when(i < x["next"], F.lit(0)).otherwise(F.coalesce(F.array_max(lengths), F.lit(0)))
-        return F.struct(
-            F.when(i < x["next"], x["next"]).otherwise(i + F.greatest(size, F.lit(1))).alias("next"),
-            F.when(size > 0, F.array_append(x["cuts"], F.struct(i.alias("i"), size.alias("k")))).otherwise(x["cuts"]).alias("cuts"),
-        )
+        return bound(size, lambda k: F.struct(
+            F.when(i < x["next"], x["next"]).otherwise(i + F.greatest(k, F.lit(1))).alias("next"),
+            F.when(k > 0, F.array_append(x["cuts"], F.struct(i.alias("i"), k.alias("k")))).otherwise(x["cuts"]).alias("cuts"),
+        ))
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,k:int>>").alias("cuts"))
     return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda x: x["cuts"])
 
 
-def _groups(m: Column) -> Column:
-    return F.regexp_extract_all(m, F.lit("([ -]?[0-9]+)"), F.lit(1))
+def _one(p: Column) -> Column:
+    """The pseudonym of a value that is one find."""
+    return F.when(p.isNotNull(), F.struct(p.alias("p"), F.lit(1).alias("n")))
 
 
 def _cards(m: Column, key: str) -> Column:
-    """The run of digit groups with its cards replaced; null if it has none."""
-    groups, cuts = _groups(m), _cuts(_groups(m))
+    """The run of digit groups with its cards replaced, and their number; null if it has none."""
+
+    def filled(groups: Column, cuts: Column) -> Column:
+        def put(x: Column, at: Column) -> Column:
+            plain = F.array_join(F.slice(groups, x["next"] + 1, at["i"] - x["next"]), "")
+            found = F.array_join(F.slice(groups, at["i"] + 1, at["k"]), "")
+            return F.struct((at["i"] + at["k"]).alias("next"), F.concat(x["text"], plain, _card(found, key)).alias("text"))
 
-    def put(x: Column, at: Column) -> Column:
-        plain = F.array_join(F.slice(groups, x["next"] + 1, at["i"] - x["next"]), "")
-        found = F.array_join(F.slice(groups, at["i"] + 1, at["k"]), "")
-        return F.struct((at["i"] + at["k"]).alias("next"), F.concat(x["text"], plain, _card(found, key)).alias("text"))
+        text = F.aggregate(cuts, F.struct(F.lit(0).alias("next"), F.lit("").alias("text")), put, lambda x: F.concat(x["text"], F.array_join(F.slice(groups, x["next"] + 1, F.size(groups)), "")))
+        return F.when(F.size(cuts) > 0, F.struct(text.alias("p"), F.size(cuts).alias("n")))
 
-    filled = F.aggregate(cuts, F.struct(F.lit(0).alias("next"), F.lit("").alias("text")), put, lambda x: F.concat(x["text"], F.array_join(F.slice(groups, x["next"] + 1, F.size(groups)), "")))
-    return F.when(F.size(cuts) > 0, filled)
+    groups = F.regexp_extract_all(m, F.lit("([ -]?[0-9]+)"), F.lit(1))
+    return bound(groups, lambda g: bound(_cuts(g), lambda cuts: filled(g, cuts)))
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, rest = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
-    new = permuted(rest, key, "iban")
-    check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(mod97(F.concat(rest, F.substr(m, F.lit(1), F.lit(4)))) == 1, F.concat(country, check, new))
+    """The longest valid run of groups from the first on; the rest stays."""
+
+    def made(s: Column) -> Column:
+        plain = F.replace(s, F.lit(" "), F.lit(""))
+        country, new = F.substr(plain, F.lit(1), F.lit(2)), permuted(F.substr(plain, F.lit(5), F.length(plain)), key, "iban")
+        return bound(new, lambda x: _spaced(s, F.concat(country, F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x)))
+
+    def valid(s: Column) -> Column:
+        plain = F.replace(s, F.lit(" "), F.lit(""))
+        return F.length(plain).between(15, 34) & (mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+
+    def cut(groups: Column) -> Column:
+        runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+        best = F.get(F.filter(runs, valid), F.lit(0))
+        return bound(best, lambda s: F.when(s.isNotNull(), F.concat(made(s), F.substr(m, F.length(s) + 1, F.length(m)))))
+
+    return bound(F.split(m, " "), cut)
+
+
+def _spaced(form: Column, text: Column) -> Column:
+    """text with spaces where form has them: in groups of four."""
+    return F.when(form.contains(" "), F.regexp_replace(text, "(.{4})(?=.)", "$1 ")).otherwise(text)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -189,7 +219,9 @@ def _ipv4(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     d = F.regexp_replace(m, "[^0-9]", "")
-    return refilled(m, F.concat(F.lit("1"), permuted(F.substr(d, F.lit(2), F.lit(10)), key, "phone")))
+    kept = F.when(~m.startswith("+"), 0).when(F.substr(d, F.lit(1), F.lit(1)).isin("1", "7"), 1).otherwise(2)
+    new = F.concat(F.substr(d, F.lit(1), kept), permuted(F.substr(d, kept + 1, F.length(d)), key, "phone"))
+    return F.when(~m.startswith("+") | F.length(d).between(8, 15), refilled(m, new))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -203,30 +235,68 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
-MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "phone": _phone, "date": _date, "ssn": _ssn, "card": _cards, "ipv4": _ipv4}
+def _prefixed(m: Column, key: str) -> Column:
+    head = F.regexp_extract(m, "^(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|^(?:AKIA|AIza)", 0)
+    return F.concat(head, permuted(F.substr(m, F.length(head) + 1, F.length(m)), key, "secret"))
+
+
+def _keyed(m: Column, key: str) -> Column:
+    return permuted(m, key, "secret")
+
+
+MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "prefixed": _prefixed, "keyed": _keyed, "phone": _phone, "date": _date, "ssn": _ssn, "ipv4": _ipv4}
+#: How a value of each kind looks when it stands alone; a keyed secret is what nothing else fits.
+_ALONE = {k: p for k, p in PATTERNS.items() if k != "keyed"} | {"phone": r"[+(]?[0-9][0-9 ().-]+", "keyed": r"[A-Za-z0-9_+/.=-]{12,}"}
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one found value; null if it isn't valid."""
+    """struct(p, n): the pseudonym of one found value and how many values it holds; null if it isn't valid."""
     out = None
-    for kind, pattern in PATTERNS.items():
-        fits, made = m.rlike(f"^(?:{pattern})$"), MAKERS[kind](m, key)
+    for kind in ("email", "iban", "secret", "prefixed", "date", "ssn", "ipv4", "card", "phone", "keyed"):
+        fits = m.rlike(f"^(?:{_ALONE[kind]})$")
+        made = _cards(m, key) if kind == "card" else _one(MAKERS[kind](m, key))
         out = F.when(fits, made) if out is None else out.when(fits, made)
     return out
 
 
+#: Private characters that open and close a find, and those that stand for them where a text has them.
+_OPEN, _CLOSE, _ESCAPE, _MARKS = "\ue000", "\ue001", "\ue002", "\ue003\ue004\ue005"
+#: What every value needs; texts without are left alone at once.
+_LIKELY = r"[0-9@]|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|AKIA|AIza|[A-Fa-f]{32}"
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
-    """docs with its text pseudonymised; count: name of a column for the number of values replaced."""
-    found = F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0))
-    made = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
-    parts = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(parts, made, lambda p, x: F.concat(p, F.coalesce(x["p"], x["m"], F.lit("")))), "")
-    values = lambda m: F.when(m.rlike(f"^(?:{PATTERNS['card']})$"), F.greatest(F.lit(1), F.size(_cuts(_groups(m))))).otherwise(1)
-    number = F.aggregate(made, F.lit(0), lambda n, x: n + F.when(x["p"].isNull(), 0).otherwise(values(x["m"]))).cast("bigint")
-    has = F.col("text").rlike(ANY)
-    whole = F.when(has, F.struct(text.alias("t"), number.alias("n"))).otherwise(F.struct(F.col("text").alias("t"), F.lit(0).cast("bigint").alias("n")))
-    columns = [whole["t"].alias("text") if k == "text" else F.col(f"`{k}`") for k in docs.columns]
-    return docs.select(*columns, *([whole["n"].alias(count)] if count else []))
+    """docs with its text pseudonymised; count: name of a column for the number of values replaced.
+
+    A column of docs that has this name already is replaced.
+    """
+    plain, marks = F.col("text"), list(zip((_ESCAPE, _OPEN, _CLOSE), _MARKS, strict=True))
+    for mark, name in marks:
+        plain = F.replace(plain, F.lit(mark), F.lit(_ESCAPE + name))
+    safe = F.when(F.col("text").rlike("[\ue000-\ue002]"), plain).otherwise(F.col("text"))
+    # one scan: finds are put between two characters, all else is cut at these
+    pieces = F.split(F.regexp_replace(safe, ANY, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+
+    def filled(piece: Column, i: Column) -> Column:
+        value, rest = F.split_part(piece, F.lit(_CLOSE), F.lit(1)), F.split_part(piece, F.lit(_CLOSE), F.lit(2))
+        whole = bound(value, lambda m: bound(pseudonym(m, key), lambda x: F.struct(F.concat(F.coalesce(x["p"], m), rest).alias("t"), F.coalesce(x["n"], F.lit(0)).alias("n"))))
+        return F.when(i == 0, F.struct(piece.alias("t"), F.lit(0).alias("n"))).otherwise(whole)
+
+    def joined(x: Column) -> Column:
+        text = F.array_join(F.transform(x, lambda p: p["t"]), "")
+        back = text
+        for mark, name in reversed(marks):
+            back = F.replace(back, F.lit(_ESCAPE + name), F.lit(mark))
+        return F.struct(F.when(text.contains(_ESCAPE), back).otherwise(text).alias("t"), F.aggregate(x, F.lit(0), lambda n, p: n + p["n"]).cast("bigint").alias("n"))
+
+    whole = F.when(F.col("text").rlike(_LIKELY), bound(F.transform(pieces, filled), joined)).otherwise(F.struct(F.col("text").alias("t"), F.lit(0).cast("bigint").alias("n")))
+    # one struct column, then its fields: worked out once a row
+    name = "_made"
+    while name in docs.columns:
+        name += "_"
+    made = docs.withColumn(name, whole)
+    columns = [F.col(f"{name}.t").alias("text") if k == "text" else F.col(f"`{k}`") for k in docs.columns if k != count]
+    return made.select(*columns, *([F.col(f"{name}.n").alias(count)] if count else []))
 
 
 def op6_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
