@@ -55,6 +55,8 @@ SCRIPTS = {
 }
 NAMES = [*SCRIPTS, "none"]
 FENCE, ENOUGH = 2.0, 100
+#: Rows of bands that are broadcast at most (some 150 bytes each).
+MOST_BANDS = 100_000
 #: Least distance of quartiles of each measure.
 SPREAD = (0.1, 0.1, 0.05, 0.006)
 #: script: (chars per piece, chars per byte-level token, byte-fallback share, entropy of blocks in bits per log2 of BLOCK)
@@ -203,9 +205,11 @@ def judged(measured: DataFrame, m: Callable[[str], Column], lang: Column, verdic
         reach = [F.greatest(F.col(f"q{i}")[1] - F.col(f"q{i}")[0], F.lit(SPREAD[i])) * FENCE for i in range(4)]
         return made.select(*by, *(F.struct((F.col(f"q{i}")[0] - reach[i]).alias("low"), (F.col(f"q{i}")[1] + reach[i]).alias("high")).alias(f"_{level}{i}") for i in range(4)))
 
-    # a row for each script, language and class of length: few enough to broadcast
-    whole = measured.select("*", *keys).join(F.broadcast(bands("a", "_script", "_lang", "_size")), ["_script", "_lang", "_size"], "left")
-    whole = whole.join(F.broadcast(bands("b", "_script", "_lang")), ["_script", "_lang"], "left")
+    # a row for each script, language and class of length: broadcast if they are as few as that, joined by shuffle else
+    whole = measured.select("*", *keys)
+    for level, by in (("a", ["_script", "_lang", "_size"]), ("b", ["_script", "_lang"])):
+        made = c.store(bands(level, *by), "bands")
+        whole = whole.join(F.broadcast(made) if made.count() <= MOST_BANDS else made, by, "left")
     inside = F.lit(True)
     for i, v in enumerate(_values(m)):
         fixed = lambda k: reduce(lambda x, s: x.when(m("script") == s, BANDS[s][i][k]), BANDS, F.when(F.lit(False), 0.0)).otherwise(OTHER_BAND[i][k])  # noqa: B023, E731
@@ -215,7 +219,7 @@ def judged(measured: DataFrame, m: Callable[[str], Column], lang: Column, verdic
 
 
 def quality(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> DataFrame:
-    """doc_id, the counts, measures and verdict of each text, in the order of docs."""
+    """doc_id, the counts, measures and verdict of each text."""
     made: list[Vocabularies] = []  # ends with the task
 
     def fn(texts: list[bytes | None]) -> dict:
@@ -225,8 +229,7 @@ def quality(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> D
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     rows = c.map_texts(docs.select("doc_id", "text", lang.alias("lang")), fn, _FIELDS, keep=("doc_id", "lang"), most=CHUNK)
-    measured = c.store(rows.withColumn("_row", F.monotonically_increasing_id()), "measured")
-    return judged(measured, F.col, F.col("lang"), "kept").orderBy("_row").select("doc_id", *_RESULT)
+    return judged(c.store(rows, "measured"), F.col, F.col("lang"), "kept").select("doc_id", *_RESULT)
 
 
 def kept_only(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> DataFrame:

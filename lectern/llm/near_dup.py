@@ -16,10 +16,11 @@ Equal sets are one class. Among class representatives:
   no more rows than members. Only groups of near copies with open members get there; the comparisons grow
   with open members times members, the rows with members.
 
-Joins are hinted to merge, so that plans don't change with the size of the data.
+The joins that carry sets are hinted to merge; small tables of links and ids are joined as Spark sees fit by size.
 
 Null or blank text: empty set, linked with nothing. Null doc_id: own row, never linked, component_id null,
-kept true. Repeated rows of one doc_id give one row each. Under five words: the whole sequence is one shingle.
+kept true. Repeated rows of one doc_id give one row each; where their texts differ, each
+is linked by its own text. Under five words: the whole sequence is one shingle.
 """
 
 from __future__ import annotations
@@ -94,22 +95,28 @@ def _sketches(texts: list[bytes | None]) -> dict:
     sets = shingle_sets(texts)
     keys = band_keys(fast_sketch(sets))
     sizes = np.array([len(s) for s in sets], np.int64)
-    ids = np.array([(xxhash.xxh3_64_intdigest(b), xxhash.xxh64_intdigest(b)) for b in (s.tobytes() for s in sets)], c.U64).reshape(-1, 2).view(np.int64)
+    ids = _ids(sets)
     return {
         "n_shingles": pa.array(sizes), "set_a": pa.array(ids[:, 0]), "set_b": pa.array(ids[:, 1]),
         "bands": c.lists(keys[sizes > 0].reshape(-1).view(np.int64), np.where(sizes > 0, BANDS, 0), pa.int64()),
     }
 
 
+def _ids(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits that stand for a set."""
+    return np.array([(xxhash.xxh3_64_intdigest(b), xxhash.xxh64_intdigest(b)) for b in (s.tobytes() for s in sets)], c.U64).reshape(-1, 2).view(np.int64)
+
+
 def _sets(texts: list[bytes | None]) -> dict:
     sets = shingle_sets(texts)
-    return {"s": c.lists(np.concatenate([*sets, np.zeros(0, c.U64)]).view(np.int64), np.array([len(s) for s in sets]), pa.int64())}
+    ids = _ids(sets)
+    return {"set_a": pa.array(ids[:, 0]), "set_b": pa.array(ids[:, 1]), "s": c.lists(np.concatenate([*sets, np.zeros(0, c.U64)]).view(np.int64), np.array([len(s) for s in sets]), pa.int64())}
 
 
 def _judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds both sets and the size of their intersection to (lo, doc)."""
-    a = sets.select(F.col("doc_id").alias("doc"), F.col("s").alias("x"))
-    b = sets.select(F.col("doc_id").alias("lo"), F.col("s").alias("l"))
+    a = sets.select("doc", F.col("s").alias("x"))
+    b = sets.select(F.col("doc").alias("lo"), F.col("s").alias("l"))
     return pairs.join(a.hint("merge"), "doc").join(b.hint("merge"), "lo").withColumn("i", F.size(F.array_intersect("x", "l")))
 
 
@@ -153,7 +160,7 @@ def _large(judged: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links within groups of more than SMALL members, block by block."""
     rows = (
         judged.join(groups.where(F.col("n") > SMALL).select("lo", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lo")
-        .join(sets.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
+        .join(sets.hint("merge"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     )
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1))
     opens = rows.where(~F.col("linked")).select("lo", F.col("own").alias("bx"), every.alias("by"), "doc", F.lit(True).alias("is_open"), "linked", "s")
@@ -161,14 +168,27 @@ def _large(judged: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     return opens.unionByName(others).groupBy("lo", "bx", "by").applyInArrow(_compare, "u bigint, v bigint")
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) of verified links that connect all linked classes; reps: (doc, bands), docs: (doc_id, text)."""
-    members = reps.select(F.explode("bands").alias("key"), "doc")
-    leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo")).where("n > 1").select("key", "lo")
-    pairs = c.store(members.join(leaders.hint("merge"), "key").where("doc <> lo").select("lo", "doc").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("lo", "doc")).alias("doc_id")).distinct()
-    sets = c.store(c.map_texts(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), _sets, "s array<bigint>").groupBy("doc_id").agg(F.min("s").alias("s")), "sets")
-    judged = c.store(_linked(_judge(pairs, sets)).select("lo", "doc", "linked"), "judged")
+def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v) of verified links that connect all linked classes.
+
+    classes: (doc = number of the class, rep = its smallest doc_id, n_shingles, set_a, set_b, bands); docs: (doc_id, text).
+    """
+    members = classes.select(F.explode("bands").alias("key"), "doc", F.col("n_shingles").alias("n"))
+    leaders = members.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("doc", "n")).alias("lo")).where("k > 1").select("key", "lo")
+    # a pair whose sizes differ too much isn't linked, whatever it shares
+    near = 100 * F.least("n", "lo.n") >= PERCENT * F.greatest("n", "lo.n")
+    pairs = c.store(members.join(leaders.hint("merge"), "key").where("doc <> lo.doc").select(F.col("lo.doc").alias("lo"), "doc", near.alias("near")).distinct(), "pairs")
+    wanted = pairs.where("near").select(F.explode(F.array("lo", "doc")).alias("doc")).distinct()
+    # those of pairs to be judged, and all members of groups that may have open ones
+    far = pairs.where("not near").select("lo").distinct()
+    wanted = wanted.unionByName(pairs.join(far, "lo").select(F.explode(F.array("lo", "doc")).alias("doc"))).distinct()
+    asked = classes.select("doc", "rep", "set_a", "set_b").join(wanted.hint("merge"), "doc")
+    texts = docs.join(asked.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    found = c.map_texts(texts, _sets, "set_a bigint, set_b bigint, s array<bigint>").withColumnRenamed("doc_id", "rep")
+    # rows of one doc_id with different texts are different classes; equal rows count once
+    sets = c.store(found.join(asked.hint("merge"), ["rep", "set_a", "set_b"]).groupBy("doc").agg(F.first("s").alias("s")), "sets")
+    compared = _linked(_judge(pairs.where("near").select("lo", "doc"), sets)).select("lo", "doc", "linked")
+    judged = c.store(compared.unionByName(pairs.where("not near").select("lo", "doc", F.lit(False).alias("linked"))), "judged")
     groups = c.store(judged.groupBy("lo").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).where("n > 1 and far > 0"), "groups")
     few = judged.join(groups.where(F.col("n") <= SMALL).select("lo"), "lo")
     other = few.select("lo", F.col("doc").alias("y"), F.col("linked").alias("y_linked"))
@@ -184,16 +204,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = c.store(c.map_texts(docs, _sketches, "n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"), "sketches")
-    classes = c.store(
-        sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-        .agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_a", "set_b", F.col("r.doc_id").alias("doc"), F.col("r.bands").alias("bands")),
-        "classes",
-    )
-    comp = c.components(links(classes.select("doc", "bands"), docs.where("doc_id is not null")), "near")
-    by_class = (
-        classes.select("set_a", "set_b", "doc").join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left")
-        .select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
-    )
+    grouped = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
+    # numbered and then written, so that a class keeps its number
+    numbered = grouped.select(F.monotonically_increasing_id().alias("doc"), "set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.bands").alias("bands"))
+    classes = c.store(numbered, "classes")
+    comp = c.store(c.components(links(classes, docs.where("doc_id is not null")), "near").select(F.col("node").alias("doc"), F.col("component").alias("group")), "components")
+    named = classes.select("set_a", "set_b", "doc", "rep").join(comp, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+    least = named.groupBy("group").agg(F.min("rep").alias("component"))
+    by_class = named.join(least, "group").select("set_a", "set_b", "component")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return (
         sketches.drop("bands").join(by_class, ["set_a", "set_b"], "left")

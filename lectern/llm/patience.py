@@ -11,8 +11,10 @@ counted with repeats, bound the coverage from above, so hopeless pairs are skipp
 A notice may stand anywhere, so it is aligned with single lines, with groups of neighbouring lines and with the
 whole text. A group is a run of lines that hold words of the notice (lines without words don't end it), split
 where a word that the notice has once would repeat; neighbouring groups of a run are tried in pairs too.
+The notices are a parameter; NOTICES holds those of common licenses, short and whole.
 Matched words far from the others are left out until the spread is small enough. Null or blank text: no rows of result. A text can carry several licenses: one row each, with
-the best notice; ties go to the first line. Repeated rows give their results each.
+the best notice; of licenses on the same words the one with more of its words matched, then the better covered, then the first by name;
+of places with equal coverage the first line. Repeated rows give their results each; a null doc_id is passed on.
 """
 
 from __future__ import annotations
@@ -26,29 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
+from .notices import NOTICES
 
 MIN_COVERAGE, MAX_SPREAD = 0.8, 2.0
 
-#: fixed values: common license notices, by SPDX identifier
-NOTICES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-}
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -139,6 +122,8 @@ class Scanner:
     def __init__(self, notices: dict[str, list[str]]) -> None:
         self.notices = [(name, cut(t)) for name, texts in notices.items() for t in texts]
         self.bags = [Counter(w) for _, w in self.notices]
+        # words of a notice that common prose lacks most: the longest ones, enough to tell most texts at once
+        self.rare = [sorted(b, key=lambda w: (-len(w), w))[: len(n) - int(MIN_COVERAGE * len(n)) + 6] for (_, n), b in zip(self.notices, self.bags, strict=True)]
         self.vocabulary = {w for _, n in self.notices for w in n}
         self.names = list(notices)
 
@@ -149,13 +134,15 @@ class Scanner:
         start = [0]
         for x in cuts:
             start.append(start[-1] + len(x))
-        best: dict[str, tuple[float, int, int, int]] = {}  # coverage, first and last word, matched words
+        best: dict[str, tuple[int, int, tuple[int, float]]] = {}  # first and last word, matched words and coverage
         some = [sum(w in self.vocabulary for w in x) for x in cuts]
         whole = [w for x in cuts for w in x]
         line_of = [i for i, x in enumerate(cuts) for _ in x]
         everything = Counter(whole)
-        for (name, notice), bag in zip(self.notices, self.bags, strict=True):
+        for (name, notice), bag, rare in zip(self.notices, self.bags, self.rare, strict=True):
             need = MIN_COVERAGE * len(notice)
+            if sum(w in everything for w in rare) < len(rare) - (len(notice) - need):
+                continue
             if sum(min(k, everything[w]) for w, k in bag.items()) < need:
                 continue
             tries = [(cuts[i], start[i]) for i in range(len(lines)) if some[i] >= need]
@@ -167,11 +154,11 @@ class Scanner:
                 if sum(min(k, bag[w]) for w, k in have.items()) < need:
                     continue
                 coverage, a, b = match(words, notice)
-                if coverage >= MIN_COVERAGE and b - a + 1 <= MAX_SPREAD * len(notice) and coverage > best.get(name, (0.0,))[0]:
-                    best[name] = (coverage, at + a, at + b, round(coverage * len(notice)))
+                if coverage >= MIN_COVERAGE and b - a + 1 <= MAX_SPREAD * len(notice) and (round(coverage * len(notice)), coverage) > best.get(name, (0, 0, (0, 0.0)))[2]:
+                    best[name] = (at + a, at + b, (round(coverage * len(notice)), coverage))
         out, taken = [], []
         # of notices on the same words the one with most of them matched
-        for name, (coverage, a, b, _) in sorted(best.items(), key=lambda x: (-x[1][3], x[0])):
+        for name, (a, b, (_, coverage)) in sorted(best.items(), key=lambda x: (-x[1][2][0], -x[1][2][1], x[0])):
             if all(b < i or a > j for i, j in taken):
                 taken.append((a, b))
                 out.append((name, coverage, line_of[a], line_of[b] - line_of[a] + 1, "\n".join(lines[line_of[a] : line_of[b] + 1])))

@@ -94,6 +94,15 @@ def test_blocks_find_all_links():
     assert parts(star + found) == parts(star + [(i, j) for i in range(50) for j in range(i) if like(docs[i], docs[j])])
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row is linked by its own text, and no link is lost."""
+    rng = random.Random(21)
+    a, b = prose(rng, 200), prose(rng, 210)
+    rows = [(5, a), (5, b), (7, a + " one"), (8, "two " + b), (9, b), (3, prose(rng, 100)), (5, a), (10, "two " + b)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted([(5, 5, True)] * 3 + [(i, 5, False) for i in (7, 8, 9, 10)] + [(3, 3, True)])
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
