@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import office
-from lectern.streaming.events import dedupe_stream
+from lectern.operators.stored import shared_folder, stored
+from lectern.streaming.events import dedupe_stream, write_first_wins
 
 
 @query("select doc_id, case doc_id % 4 when 0 then 'slides' when 1 then 'sheets' when 2 then 'legacy' end as kind, doc_id % 4 < 2 and doc_id % 5 <> 0 as readable from documents")
@@ -101,11 +101,11 @@ def o06_shared_formulas(spark, d):
     return office.fill_shared_formulas(rows.withColumn("formula", F.when(F.col("row") == 1, "A1+$B$1").otherwise(""))).select("path", "row", "formula")
 
 
-@query("""select l_orderkey as path, n as n_rows, '|  | A | B |\n| --- | --- | --- |\n' || string_agg('| ' || row || ' | ' || l_partkey || ' |  |', '\n' order by row) as md from
+@query("""select l_orderkey as path, n as n_rows, '|  | A | B |\n| --- | --- | --- |\n' || string_agg('| ' || row || ' | ' || l_partkey || ' | ' || case when row = 1 then 'b \\| c (=A1)' else '' end || ' |', '\n' order by row) as md from
  (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice) as row, count(*) over (partition by l_orderkey) as n from lineitem) group by l_orderkey, n""")
 def o07_sheet_markdown(spark, d):
     rows = read(spark, d, "lineitem").selectExpr("l_orderkey as path", "1 as sheet_no", "cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice) as int) as row", "cast(l_partkey as string) as value", "'' as formula")
-    both = rows.withColumn("col", F.lit(1)).unionByName(rows.where("row = 1").withColumn("col", F.lit(2)).withColumn("value", F.lit("")))
+    both = rows.withColumn("col", F.lit(1)).unionByName(rows.where("row = 1").withColumns({"col": F.lit(2), "value": F.lit(" b\n| c"), "formula": F.lit("=A1")})).unionByName(rows.where("row = 1").withColumns({"row": F.lit(999), "col": F.lit(99), "value": F.lit(" ")}))
     return office.sheet_markdown(both).select("path", F.col("n_rows").cast("bigint").alias("n_rows"), "md")
 
 
@@ -126,10 +126,36 @@ def o10_office_markdown(spark, d):
     return office.office_markdown(lines, lines.select("path", F.concat(F.lit("Head "), "path").alias("head")).distinct())
 
 
+ABOUT = "'_Markdown version of the ' || {0} || ' **' || path || '** (2 ' || {1} || '). The original file is kept next to this one; layout is not reproduced — for pictures, equations or diagrams see `' || path || '_media/` or the original._' || chr(10) || chr(10)"
+
+
+@query(f"""select path, '# ' || path || chr(10) || chr(10) || {ABOUT.format("'document'", "'blocks'")} || '### ' || p_name || chr(10) || chr(10) || '- ' || p_brand || chr(10) as text from (select *, p_partkey || '.docx' as path from part where p_partkey % 50 <> 0)
+ union all select path, '# ' || path || chr(10) || chr(10) || {ABOUT.format("'presentation'", "'slides'")} || '## Slide 1 — ' || p_name || chr(10) || chr(10) || '- ' || p_brand || chr(10) || chr(10) || '## Slide 2 — second' || chr(10) || chr(10) || '- ' || p_brand || chr(10) from (select *, p_partkey || '.pptx' as path from part where p_partkey % 50 <> 0)""")
+def o10_office_documents(spark, d):
+    """Packages to whole Markdown files."""
+    rows = packages(part(spark, d), "docx").unionByName(packages(part(spark, d), "pptx"))
+    return office.office_documents(stored(rows, "packages")).select("path", "text")
+
+
+@query("select cast(event_id as varchar) as id, event_type || ' 1' as what from events")
+def s01_first_wins(spark, d):
+    """Copies of an event that differ, spread over two runs of the stream: the first in order stays, as in the batch form."""
+    folder = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}"
+    e = read(spark, d, "events").select(F.lit("c").alias("calendar"), F.col("event_id").cast("string").alias("id"), "event_type")
+    both = F.explode(F.array(F.lit(2), F.lit(1))).alias("chunk")
+    for run in (1, 2):
+        rows = e.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0) if run == 1 else e
+        rows.select("*", both).select("calendar", "id", "chunk", F.concat("event_type", F.lit(" "), F.col("chunk") + 2 * (run - 1)).alias("what")).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("calendar string, id string, chunk int, what string").parquet(f"{folder}/in")
+        write_first_wins(stream, f"{folder}/out", f"{folder}/state", ["chunk"]).awaitTermination()
+    # events that came in the second run only are counted from its own first copy
+    return spark.read.parquet(f"{folder}/out").select("id", F.regexp_replace("what", " 3$", " 1").alias("what"))
+
+
 @query("select cast(event_id as varchar) as id, event_type from events")
 def s01_stream_dedupe(spark, d):
     """The events table as a stream of files, each event twice, against the batch form."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    folder = shared_folder(spark)
     schema = read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     e = stream.select(F.lit("c").alias("calendar"), F.explode(F.array(F.lit(1), F.lit(2))).alias("chunk"), F.col("event_id").cast("string").alias("id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions.naming import unique_names
-from lectern.functions.text import present
+from lectern.functions.text import clean, present
 from lectern.operators.relational import joined_text
 from lectern.sources.office import FIELDS, NAMES, read_package
 
@@ -47,8 +47,11 @@ def read_office(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def package_rows(files: DataFrame) -> DataFrame:
-    """Tagged rows of each package; files: (path, content). A few packages an Arrow batch, as they are large."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    """Tagged rows of each package; files: (path, content) as the binaryFile reader gives them.
+
+    The reader deals files to partitions by their length, so a batch, which is at most a partition, holds no more
+    bytes than a partition and one file. Packages are read one after the other.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -79,8 +82,9 @@ def heading_levels(styles: DataFrame) -> DataFrame:
 
     styles: (path, style_id, name, based_on, outline). At most MAX_HOPS joins; the nearest answer wins.
     """
-    by_name = F.regexp_extract("name", r"(?iu)^(?:heading|titre|überschrift)\s*([1-6])$", 1).try_cast("int")
-    own = F.coalesce(by_name, F.when(F.lower("name").isin("title", "titre", "titel"), 1), F.when(F.col("outline").between(0, 5), F.col("outline") + 1))
+    by_name = F.regexp_extract("name", r"(?iu)^(?:heading|titre|überschrift)\s*([0-9])$", 1).try_cast("int")
+    by_id = F.regexp_extract("style_id", r"(?iu)^(?:heading|titre)([0-9])$", 1).try_cast("int")
+    own = F.coalesce(by_name, by_id, F.when(F.lower("name").isin("title", "titre", "titel"), 1), F.when(F.col("outline").between(0, 5), F.col("outline") + 1))
     base = styles.select("path", "style_id", "based_on", own.alias("own"))
     seen = base.select("path", "style_id", F.col("based_on").alias("next"), F.col("own").alias("level"))
     up = base.select("path", F.col("style_id").alias("next"), F.col("based_on").alias("_b"), F.col("own").alias("_o"))
@@ -146,32 +150,94 @@ def column_letters(n: Column) -> Column:
 def sheet_markdown(cells: DataFrame) -> DataFrame:
     """(path, sheet_no, n_rows, n_cols, md): a grid of all rows and columns up to the largest, capped with a note.
 
-    Extents come from all cells; only cells within the cap are gathered, so a sheet's row is bounded.
+    Cells without text count for nothing. Extents come from all others; only cells within the cap are gathered, so a sheet's row is bounded.
     """
     keys = ["path", "sheet_no"]
+    told = F.when(present(F.col("formula")).isNotNull(), F.concat(F.lit(" (="), clean(F.regexp_replace("formula", "^=", "")), F.lit(")"))).otherwise("")
+    cells = cells.withColumn("_t", F.replace(F.concat(clean(F.col("value")), told), F.lit("|"), F.lit("\\|"))).where("_t <> ''")
     size = cells.groupBy(*keys).agg(F.max("row").alias("n_rows"), F.max("col").alias("n_cols"))
     near = cells.where((F.col("row") <= GRID_ROWS) & (F.col("col") <= GRID_COLUMNS))
-    text = F.regexp_replace(F.replace(F.coalesce("value", F.lit("")), F.lit("|"), F.lit("\\|")), r"\r?\n", "<br>")
-    formula = F.when(present(F.col("formula")).isNotNull(), F.concat(text, F.lit(" `="), F.regexp_replace("formula", "^=", ""), F.lit("`"))).otherwise(text)
-    lines = near.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", formula.alias("t")))).alias("m"))
+    lines = near.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.col("_t").alias("t")))).alias("m"))
     sheets = lines.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("row", "m"))).alias("rows")).join(size, keys)
     width = F.sequence(F.lit(1), F.least("n_cols", F.lit(GRID_COLUMNS)))
     cell = lambda r: F.transform(width, lambda k: F.coalesce(F.try_element_at(F.try_element_at(F.col("rows"), r), k), F.lit("")))
     body = F.transform(F.sequence(F.lit(1), F.least("n_rows", F.lit(GRID_ROWS))), lambda r: F.concat(F.lit("| "), r.cast("string"), F.lit(" | "), F.array_join(cell(r), " | "), F.lit(" |")))
     head = F.concat(F.lit("|  | "), F.array_join(F.transform(width, column_letters), " | "), F.lit(" |\n"), F.repeat(F.lit("| --- "), F.size(width) + 1), F.lit("|\n"))
     cut = (F.col("n_rows") > GRID_ROWS) | (F.col("n_cols") > GRID_COLUMNS)
-    note = F.when(cut, F.concat(F.lit("\n\n_Cut: "), "n_rows", F.lit(" rows × "), "n_cols", F.lit(" columns_"))).otherwise("")
+    note = F.when(cut, F.concat(F.lit("\n\n_Truncated: showing "), F.least("n_rows", F.lit(GRID_ROWS)), F.lit(" of "), "n_rows", F.lit(" rows and "), F.least("n_cols", F.lit(GRID_COLUMNS)), F.lit(" of "), "n_cols", F.lit(" columns — see the original file._"))).otherwise("")
     return sheets.select(*keys, "n_rows", "n_cols", F.concat(head, F.array_join(body, "\n"), note).alias("md"))
 
 
 def office_images(rows: DataFrame, folder: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """One row for each picture part with a unique name in its file's folder, and a warning for vector pictures."""
+    """One row for each picture part with a unique name in its file's folder, and a warning for vector pictures.
+
+    Names are numbered without the pictures' bytes, which are joined last.
+    """
     images = rows.where("kind = 'image'").select("path", F.col("text").alias("part"), "name", "data")
-    named = unique_names(images, ["path"], "name", "part")
+    named = unique_names(images.drop("data"), ["path"], "name", "part").join(images.select("path", "part", "data"), ["path", "part"])
     vector = images.where(F.lower("name").rlike(r"\.(emf|wmf)$")).select(F.lit("office").alias("source"), F.lit("warning").alias("severity"), F.concat(F.lit("vector picture may not show: "), "name").alias("message"), F.col("path").alias("url"))
     return named, vector
 
 
+def slide_lines(rows: DataFrame) -> DataFrame:
+    """(path, ord, text, is_list) of presentations: a heading, the lines and the notes of each slide."""
+    head = F.concat(F.lit("## Slide "), F.col("no").cast("string"), F.coalesce(F.concat(F.lit(" — "), present(F.col("name"))), F.lit("")), F.when(F.col("hidden"), " _(hidden slide)_").otherwise(""))
+    notes = F.concat(F.lit("> 🗒️ Notes: "), present(F.col("formula")))
+    return rows.where("kind = 'slide'").select("path", F.col("no").cast("bigint").alias("ord"), F.concat_ws("\n\n", head, present(F.col("text")), notes).alias("text"), F.lit(False).alias("is_list"))
+
+
+def block_lines(rows: DataFrame) -> DataFrame:
+    """(path, ord, text, is_list) of text documents: headings by style, numbered and plain items, tables, footnotes at the end."""
+    level = heading_levels(rows.where("kind = 'style'").select("path", F.col("style").alias("style_id"), "name", F.col("text").alias("based_on"), F.col("ilvl").alias("outline")))
+    formats = rows.where("kind = 'num'").select("path", "num_id", F.col("style").alias("a")).join(rows.where("kind = 'level'").select("path", F.col("style").alias("a"), "ilvl", F.col("text").alias("format")), ["path", "a"]).drop("a")
+    bare = F.regexp_extract("style_id", r"(?iu)^(?:heading|titre|überschrift)\s*([0-9])$", 1).try_cast("int")
+    b = office_blocks(rows).join(level, ["path", "style_id"], "left").join(formats, ["path", "num_id", "ilvl"], "left")
+    b = b.withColumn("level", F.coalesce("level", bare, F.col("outline") + 1)).withColumn("heading", F.coalesce(F.col("level").between(1, 8), F.lit(False)))
+    b = b.withColumn("item", ~F.col("heading") & F.coalesce(F.col("num_id") != "0", F.lit(False)))
+    ordered = F.col("item") & F.coalesce(~F.col("format").isin("bullet", "none"), F.lit(False))
+    items = number_lists(b.where("item").withColumn("ordered", ordered))
+    other = b.where("not item").withColumns({"ordered": F.lit(False), "number": F.lit(None).cast("int")})
+    whole = items.unionByName(other)
+    marker = F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit("."))).otherwise("-")
+    text = (
+        F.when(F.col("heading"), F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), F.col("level") + 1)), F.lit(" "), F.replace("text", F.lit("**"), F.lit(""))))
+        .when(F.col("item"), F.concat(F.repeat(F.lit("   "), F.col("ilvl")), marker, F.lit(" "), "text")).otherwise(F.col("text"))
+    )
+    notes = rows.where("kind = 'footnote'").groupBy("path").agg(joined_text(F.col("ord"), F.concat(F.lit("[^"), "style", F.lit("]: "), "text")).alias("text"))
+    last = notes.select("path", F.lit((1 << 31) - 1).cast("bigint").alias("ord"), "text", F.lit(False).alias("is_list"))
+    return whole.select("path", F.col("ord").cast("bigint").alias("ord"), text.alias("text"), F.col("item").alias("is_list")).unionByName(last)
+
+
+def sheet_lines(rows: DataFrame) -> DataFrame:
+    """(path, ord, text, is_list) of workbooks: a heading and the grid of each sheet."""
+    grids = sheet_markdown(fill_shared_formulas(office_cells(rows))).select("path", "sheet_no", "md")
+    sheets = rows.where("kind = 'sheet'").select("path", F.col("no").alias("sheet_no"), "name", "hidden").join(grids, ["path", "sheet_no"], "left")
+    head = F.concat(F.lit("## Sheet: "), F.coalesce("name", F.col("sheet_no").cast("string")), F.when(F.col("hidden"), " _(hidden)_").otherwise(""), F.lit("\n\n"))
+    return sheets.select("path", F.col("sheet_no").cast("bigint").alias("ord"), F.concat(head, F.coalesce("md", F.lit("_(empty)_"))).alias("text"), F.lit(False).alias("is_list"))
+
+
+#: fixed values: what a converted file is called, and what is counted in it
+LABELS = {"slides": ("presentation", "slides"), "docs": ("document", "blocks"), "sheets": ("spreadsheet", "sheets")}
+
+
+def office_documents(rows: DataFrame) -> DataFrame:
+    """(path, kind, n, text): every file converted, from its tagged rows. Damaged files have an issue row and no text."""
+    parts = [slide_lines(rows), block_lines(rows), sheet_lines(rows)]
+    lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counted = rows.where("kind in ('slide', 'block', 'sheet')").groupBy("path").agg(F.count("*").alias("n"))
+    bad = rows.where("kind = 'issue'").select("path").distinct()
+    files = rows.select("path").distinct().join(bad, "path", "left_anti").join(counted, "path", "left").withColumn("kind", office_kind(F.col("path")))
+    table = F.create_map(*(x for k, (label, unit) in LABELS.items() for x in (F.lit(k), F.struct(F.lit(label).alias("label"), F.lit(unit).alias("unit")))))
+    name = F.element_at(F.split("path", "/"), -1)
+    about = F.try_element_at(table, F.col("kind"))
+    head = F.concat(
+        F.lit("# "), name, F.lit("\n\n_Markdown version of the "), about["label"], F.lit(" **"), name, F.lit("** ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" "), about["unit"],
+        F.lit("). The original file is kept next to this one; layout is not reproduced — for pictures, equations or diagrams see `"), name, F.lit("_media/` or the original._"),
+    )
+    made = office_markdown(lines, files.select("path", head.alias("head")))
+    return made.join(files.select("path", "kind", F.coalesce("n", F.lit(0)).alias("n")), "path").select("path", "kind", "n", F.concat("text", F.lit("\n")).alias("text"))
+
+
 def office_markdown(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """(path, text); lines: (path, ord, text, is_list), heads: (path, head). List items follow each other by one line end."""
     before = F.lag("is_list").over(Window.partitionBy("path").orderBy("ord"))
