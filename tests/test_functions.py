@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lectern.functions import dates, naming, text, urls
 from lectern.functions.text import _fold
 from lectern.operators import deadlines, office, pages, relational
-from lectern.sources.html import parse
 from lectern.sources.office import read_package
 
 
@@ -69,10 +68,32 @@ def test_fold_round_trip(line):
     assert all(len(x.encode()) <= 75 for x in folded.split("\r\n"))
 
 
-def test_markdown():
-    page = '<div><h2>T</h2><p>a <b>b</b><br>c <a href="/f">l</a></p><ol start="3"><li>x<ul><li>y</li></ul></li></ol><p>Erratum: z</p><p><b>open<p>next</div>'
-    assert pages.Markdown("https://c.org/a/")(parse(page)) == "### T\n\na **b**\nc [l](https://c.org/f)\n\n3. x\n   - y\n\n> ⚠️ Erratum: z\n\n**open**\n\n**next**"
-    assert pages.Markdown("")(parse(None)) == ""
+def test_parameters_are_encoded(spark):
+    set_ = lambda u, v: urls.set_param(F.lit(u), "k", F.lit(v))
+    got = one(spark, set_("https://x/a?k=1&b=2#f", "a $1\\b&c"), set_("https://x/a", "é"), set_("https://x/a?b=1", "2"))
+    assert got == ("https://x/a?k=a+%241%5Cb%26c&b=2#f", "https://x/a?k=%C3%A9", "https://x/a?b=1&k=2")
+
+
+def test_custom_range(spark):
+    r = lambda a, b: dates.compute_range(F.lit("custom"), F.to_date(F.lit("2026-01-01")), F.to_date(F.lit(a)), F.to_date(F.lit(b)))
+    good, bad, open_ = one(spark, r("2026-02-01", "2026-02-03"), r("2026-02-03", "2026-02-01"), r("2026-02-03", None))
+    assert (str(good.start), str(good.end)) == ("2026-02-01", "2026-02-03") and bad is None and open_ is None
+
+
+def test_stamps_in_every_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("Europe/Brussels", "America/Los_Angeles", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert one(spark, text.utc_stamp(F.timestamp_seconds(F.lit(1767225600))), text.utc_stamp(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))) == ("20260101T000000Z", "20260101T000000Z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_values_stay_apart(spark):
+    many = lambda *v: text.decode_many(F.array(*(F.lit(x).cast("string") for x in v)))
+    got = one(spark, many("x < 5", "<b>y</b>", "z", None), many("a &lt;b&gt;", "<i>c", "d &amp; <e>"), text.decode_html(F.lit("1 < 2 <b>3</b>")))
+    assert got == (["x < 5", "y", "z", ""], ["a <b>", "c", "d &"], "1 < 2 3")
 
 
 def test_shifted_formulas():
