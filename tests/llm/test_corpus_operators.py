@@ -280,16 +280,31 @@ def test_templates_of_few_literals_and_after_a_colon(spark):
 
 
 def test_pipeline(spark):
+    """Every stage works on all that the one before kept, and its decisions take effect."""
     import corpus_pipeline
+    from lectern.llm import fertility, pieces, pii
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, d)
         assert out.columns == docs.columns, name
-        before = docs.count()
-        docs = corpus_pipeline.common.store(out, name)
-        assert 0 < docs.count() <= before
-    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, d)
-    assert encoded.count() == docs.count() and encoded.where("n_pieces is null").count() == docs.where("text is null").count()
-    assert corpus_pipeline.run(spark, d).count() == docs.count()
+        kept[name] = (docs, corpus_pipeline.common.store(out, name))
+        docs = kept[name][1]
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    before, after = kept["quality_rules"]
+    assert ids(after) == ids(fertility.quality(before).where("kept"))
+    before, after = kept["near_dedup"]
+    groups = near_dup.near_duplicates(before).collect()
+    assert ids(after) == sorted({r.component_id for r in groups}) and len(ids(after)) < len(groups)
+    before, after = kept["decontamination"]
+    bad = {r.doc_id for r in templates.contaminated(before, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
+    assert bad and ids(after) == sorted(set(ids(before)) - bad)
+    before, after = kept["pseudonyms"]
+    old, new = ({r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for df in (before, after))
+    counted = {r.doc_id: r.n for r in pii.pseudonymised(before, count="n").collect()}
+    assert set(old) == set(new) and any(counted.values()) and all((old[i] == new[i]) == (counted[i] == 0) for i in old)
+    encoded = corpus_pipeline.STAGES[-1][1](spark, after, d)
+    assert {r.doc_id: r.text for r in pieces.decoded(encoded).collect()} == new
+    assert ids(corpus_pipeline.run(spark, d)) == ids(after)
