@@ -43,7 +43,11 @@ def lesson_fix(kind: Column, meta: Column) -> Column:
 
 def deadline_status(opens: Column, closes: Column, due: Column, cutoff: Column, now: Column) -> Column:
     raw = F.coalesce(present(opens), present(closes), present(due), present(cutoff))
-    o, c, cut = parse_date(opens), parse_date(F.coalesce(present(closes), due)), parse_date(cutoff)
+    return _status(raw, parse_date(opens), parse_date(F.coalesce(present(closes), due)), parse_date(cutoff), now)
+
+
+def _status(raw: Column, o: Column, c: Column, cut: Column, now: Column) -> Column:
+    """Status by the texts (any of them) and the parsed opening, closing and cut-off."""
     end = F.coalesce(c, cut)
     return (
         F.when(raw.isNull(), "no dates").when((c < now) & (cut > now), "overdue (cut-off later)").when(end < now, "closed")
@@ -60,6 +64,9 @@ def deadlines(activities: DataFrame, now: Column) -> DataFrame:
     ends = F.coalesce(present(F.col("closes")), present(F.col("due")))
     cut = F.when(F.col("cutoff").eqNullSafe(ends), F.lit("")).otherwise(F.col("cutoff"))
     rows = activities.where(F.col("type").isin(*DEADLINE_TYPES) | present(F.col("due")).isNotNull() | present(F.col("closes")).isNotNull() | present(F.col("cutoff")).isNotNull())
-    rows = rows.withColumn("at", parse_date(F.coalesce(ends, present(F.col("cutoff"))))).withColumn("status", deadline_status(*(F.col(k) for k in ("opens", "closes", "due", "cutoff")), now))
+    # each date is parsed once
+    rows = rows.withColumns({"_o": parse_date(F.col("opens")), "_c": parse_date(F.coalesce(ends, F.lit(""))), "_cut": parse_date(F.col("cutoff"))})
+    raw = F.coalesce(*(present(F.col(k)) for k in ("opens", "closes", "due", "cutoff")))
+    rows = rows.withColumns({"at": F.when(ends.isNotNull(), F.col("_c")).otherwise(F.col("_cut")), "status": _status(raw, F.col("_o"), F.col("_c"), F.col("_cut"), now)}).drop("_o", "_c", "_cut")
     cells = [course_cell(F.col("title")), F.col("type"), course_cell(F.array_join("section_titles", " › ")), course_cell(F.col("opens")), course_cell(ends), course_cell(cut), course_cell(F.col("attempts")), course_cell(F.col("gradeToPass")), course_cell(F.col("completion")), F.col("status")]
     return rows.withColumn("line", md_row(cells)).withColumn("rank", F.row_number().over(Window.partitionBy("course_id").orderBy(F.col("at").asc_nulls_last(), "ord")))
