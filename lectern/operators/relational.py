@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.stored import stored
+
+#: Bits that monotonically_increasing_id gives to the place in a partition.
+_PLACE = 33
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first in order. An aggregate, so map tasks drop most repeats before the shuffle."""
@@ -39,3 +44,41 @@ def joined_text(order: Column, text: Column, separator: str = "\n") -> Column:
 def distinct_in_order(values: Column) -> Column:
     """Different non-empty values of an array, in order."""
     return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != "")))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from the columns of df."""
+    held = {x.lower() for x in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sorted_parts(df: DataFrame, order: list[Column | str], part: str, at: str) -> DataFrame:
+    """df sorted over all partitions, written, with the number of each row's partition and its place in it from 0.
+
+    A range partitioning by the order, then a sort inside each partition. Equal keys meet in one partition, so a key
+    that many rows have should be followed by one that tells them apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (held,) = unused(df, "n")
+    spread = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(held, F.monotonically_increasing_id())
+    return stored(spread.withColumns({part: F.shiftright(held, _PLACE), at: F.col(held).bitwiseAND((1 << _PLACE) - 1)}).drop(held), "sorted")
+
+
+def ranked(df: DataFrame, order: list[Column | str], into: str) -> DataFrame:
+    """Numbers all rows from 1 in the given order, as a window over all of them would, without gathering them.
+
+    The rows of earlier partitions are counted and added to the place in the own one; the only window runs over one
+    row a partition. Rows that the order doesn't tell apart get following numbers in no set order; an empty df gives
+    no rows.
+    """
+    part, at, before = unused(df, "part", "at", "before")
+    rows = sorted_parts(df, order, part, at)
+    earlier = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(part).count().select(part, F.coalesce(earlier, F.lit(0)).alias(before))
+    return rows.join(F.broadcast(counts), part).withColumn(into, F.col(before) + F.col(at) + 1).drop(part, at, before)

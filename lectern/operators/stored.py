@@ -20,8 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, is worked out once, survives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, is worked out once, survives lost executors. options: of the Parquet writer."""
     path = f"{shared_folder(df.sparkSession)}/lectern/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
