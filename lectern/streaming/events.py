@@ -2,33 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from lectern.operators.relational import first_wins
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def dedupe_stream(stream: DataFrame, time: str, watermark: str, scope: list[str] = ["calendar"]) -> DataFrame:  # noqa: B006
     """The first capture of each id that arrives, while the watermark remembers it.
 
     With a watermark at least as long as the input's span this equals the batch form. Copies of an id in one
-    micro-batch have no order; where their contents differ, apply ``first_wins`` in ``write_first_wins``.
+    micro-batch have no order; where their contents differ, use ``first_captures``.
     """
     return stream.where("id is not null").withWatermark(time, watermark).dropDuplicatesWithinWatermark([*scope, "id"])
 
 
-def write_first_wins(stream: DataFrame, path: str, checkpoint: str, order: list[str], scope: list[str] = ["calendar"]):  # noqa: B006
-    """Writes each micro-batch with one row for each id, the first in order; earlier batches' ids are left out.
+class FirstWins(StatefulProcessor):
+    """Of a key that is new, the first row in order; nothing of a key that came before. The state is one flag a key."""
+
+    def __init__(self, order: list[str], ttl_ms: int | None) -> None:
+        self.order, self.ttl_ms = order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:  # noqa: N802
+        if self.seen.exists():
+            return
+        first = min(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
+        self.seen.update((True,))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+def _first_of_batches(keys: list[str], order: list[str]):
+    """Drops rows of an Arrow batch that another row of the same key in it precedes, before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows < 2:
+                yield batch
+                continue
+            names = [*keys, *order]
+            rows = pa.table([batch.column(n) for n in names], [str(i) for i in range(len(names))])
+            by = pc.sort_indices(rows, [(n, "ascending") for n in rows.column_names], null_placement="at_start")
+            of_key = rows.select(range(len(keys))).take(by).append_column("at", by)
+            first = of_key.group_by(of_key.column_names[:-1], use_threads=False).aggregate([("at", "first")])
+            yield batch.take(first["at_first"].combine_chunks())
+
+    return run
+
+
+def first_captures(stream: DataFrame, order: list[str], scope: list[str] = ["calendar"], ttl_ms: int | None = None) -> DataFrame:  # noqa: B006
+    """The first capture of each id, in order inside a micro-batch, by arrival over micro-batches; rows without an id go.
+
+    Ids are remembered by keyed state for good, as the batch form does, or for ``ttl_ms`` of processing time (give such a
+    query a processing-time trigger; run until all is read, it would wait for ids to be forgotten). The query needs a
+    state store of column families: start it in ``rocks_store`` or with ``write_first_wins``.
+    """
+    keys = [*scope, "id"]
+    known = stream.where("id is not null")
+    one = known.mapInArrow(_first_of_batches(keys, order), known.schema)
+    return one.groupBy(*keys).transformWithState(FirstWins(order, ttl_ms), stream.schema, "Append", "None" if ttl_ms is None else "ProcessingTime")
+
+
+@contextmanager
+def rocks_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session is left as it was."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before is not None else spark.conf.unset(STORE)
+
+
+def write_first_wins(stream: DataFrame, path: str, checkpoint: str, order: list[str], scope: list[str] = ["calendar"]) -> StreamingQuery:  # noqa: B006
+    """Appends the first captures to a table of Parquet files, each exactly once, over any number of runs.
 
-    Unlike ``dedupe_stream`` this remembers every id for good, as the batch form does: a batch reads the ids (only
-    these) written before. A batch that is run again replaces its own folder.
+    A micro-batch reads its own rows and the state of their keys, nothing that was written before.
     """
-    def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        one = first_wins(batch.where("id is not null"), [*scope, "id"], order).select(batch.columns)
-        if number:
-            before = spark.read.parquet(path).where(F.col("_batch") != number).select(*scope, "id")
-            one = one.join(before, [*scope, "id"], "left_anti")
-        one.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
-
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocks_store(stream.sparkSession):
+        found = first_captures(stream, order, scope)
+        return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
