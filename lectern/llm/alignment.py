@@ -48,8 +48,8 @@ A_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How A cuts a text before it merges bytes (a fixed value of that vocabulary).
 A_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Segments that a task keeps and bytes of their groups, and keys that it works on at once.
-KEPT, KEPT_BYTES, PENDING = 400_000, 64 << 20, 1_000_000
+#: Segments that a task keeps and bytes of their groups; segments that are encoded, bytes of text and keys that are worked on at once.
+KEPT, KEPT_BYTES, AT_ONCE, STEP_BYTES, PENDING = 200_000, 32 << 20, 10_000, 1 << 20, 500_000
 SPACE = "▁"
 #: After a token inside a group, A's last, B's last, and the last of a segment.
 MARKS = (",", "|", ";", "\n")
@@ -138,13 +138,15 @@ class Segments:
             counts.append(len(one))
         new = [s for s in dict.fromkeys(segments) if s not in self.at]
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        numbers, groups = np.full((len(new), 3), -1, np.int64), np.full(len(new), "", object)
-        good, of_good, text, keys = self.tokenizers.encode(new)
-        numbers[good], groups[good] = of_good, text
-        self.size += sum(map(len, text))
-        self.groups += groups.tolist()
-        self.numbers = np.concatenate([self.numbers, numbers])
-        self.keys = np.concatenate([self.keys, keys])
+        for k in range(0, len(new), AT_ONCE):
+            part = new[k : k + AT_ONCE]
+            numbers, groups = np.full((len(part), 3), -1, np.int64), np.full(len(part), "", object)
+            good, of_good, text, keys = self.tokenizers.encode(part)
+            numbers[good], groups[good] = of_good, text
+            self.size += sum(map(len, text))
+            self.groups += groups.tolist()
+            self.numbers = np.concatenate([self.numbers, numbers])
+            self.keys = np.concatenate([self.keys, keys])
         ids = np.fromiter(map(self.at.__getitem__, segments), np.int64, len(segments))
         counts = np.array(counts, np.int64)
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -173,7 +175,7 @@ def encoded(docs: DataFrame, a_ranks: str = A_RANKS, b_model: str = B_MODEL) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(_tokenizers(a_ranks, b_model))
         for batch in batches:
-            for part in c.chunks(batch):
+            for part in c.chunks(batch, most=STEP_BYTES):
                 ids, sizes = segments.learn(c.raw(part.column("text")))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 n_a, n_b, links = (np.bincount(owner, weights=x, minlength=len(sizes)).astype(np.int64) for x in segments.numbers[ids].T)
