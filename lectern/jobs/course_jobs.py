@@ -37,8 +37,12 @@ def r01_html_pages(spark, d):
     return pages.html_pages(c).select("page_id")
 
 
-@query()
+@query(r"""select page_id, md, length(md) as n_chars from (select page_id, array_to_string(list_concat(['### ' || replace(head, '**', '')], list_transform(texts, lambda x: '**' || x || '**')), chr(10) || chr(10)) as body, ad,
+ ad || chr(10) || chr(10) || body as md from (select page_id, clean[1] as ad, clean[2] as head, list_filter(clean[3:], lambda x: x <> '') as texts from (select page_id,
+ list_transform(list_concat([regexp_extract(html, '<div class="ad">([^<]*)', 1), regexp_extract(html, '<h1>([^<]*)', 1)], regexp_extract_all(html, '<(?:p>(?:<b>)?|footer>)([^<]*)', 1)),
+ lambda x: regexp_replace(list_reduce([trim(regexp_replace(x, '\s+', ' ', 'g')), '&copy;©', '&middot;·', '&quot;"', '&lt;<', '&gt;>', '&#x27;'''], lambda a, e: replace(a, e[:-2], e[-1])), '&amp;?', '&', 'g')) as clean from pages)))""")
 def p01_pages_to_markdown(spark, d):
+    """Real pages, whose first <b> never ends: all later paragraphs are bold."""
     return pages.pages_to_markdown(read(spark, d, "pages"), "page_id").drop("error")
 
 
@@ -55,6 +59,19 @@ def p01_markdown_of_built_pages(spark, d):
     return pages.pages_to_markdown(docs.select("doc_id", html.alias("html"), F.lit(f"{SITE}/c").alias("url")), "doc_id").select("doc_id", "md", "error")
 
 
+@query("""select doc_id, '[one](' || s || '/a' || doc_id || ') [two](' || s || '/b' || doc_id || ') before ' || doc_id || 'after' || p || '| 1 | **b** |' || chr(10) || '| --- | --- |' || p || 'x**y*z****w*' || p || 'u' || p || '**v**t' || p || '[in](' || s || '/c) [out](' || s || '/d)' || p || '| k |' || chr(10) || '| --- |' as md
+ from (select doc_id, 'https://campus.example.org' as s, chr(10) || chr(10) as p from documents)""")
+def p01_broken_markup(spark, d):
+    """Anchors in anchors, text in tables outside cells, formatting that overlaps blocks, as browsers mend them."""
+    k = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit("<a href=/a"), k, F.lit(">one<a href=/b"), k, F.lit(">two</a><table>before "), k, F.lit("<tr><td>1<td><b>b</td></tr>after</table><p>x<b>y<i>z</b>w</i></p><div>u<b><p>v</b>t</p></div>"),
+        F.lit("<table><tr><a href=/c>in<td>k</td></a></tr><a href=/d>out</table>"),
+    )
+    docs = read(spark, d, "documents").select("doc_id", html.alias("html"), F.lit(f"{SITE}/c").alias("url"))
+    return pages.pages_to_markdown(docs, "doc_id").select("doc_id", "md")
+
+
 @query("select page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) as href from pages")
 def p02_extract_links(spark, d):
     return pages.extract_links(read(spark, d, "pages"), "page_id").where("tag = 'a'").select("page_id", "href")

@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import SiteConfig
@@ -421,18 +421,30 @@ def linked(root: Node, base: str | None) -> list[tuple]:
     return found
 
 
-def extract_links(df: DataFrame, key: str | list[str], html: str = "html", base: str = "url") -> DataFrame:
-    """(key, ord, tag, href, url, player): links, images, frames and players' files in document order, resolved."""
-    keys = [key] if isinstance(key, str) else key
-    source = df.select(*keys, F.col(html).alias("_html"), F.col(base).alias("_base"))
+def page_rows(df: DataFrame, keys: list[str], html: str, base: Column, fields: dict[str, str], read: Callable[[Node, str | None], Iterable[tuple]]) -> DataFrame:
+    """(keys, fields, error): the rows that ``read`` makes of each page's tree. A page that can't be read gives one row, with its error only."""
+    source = df.select(*keys, F.col(html).alias("_html"), base.alias("_base"))
+    width = len(fields)
+
+    def rows(page: str | None, base: str | None) -> list[tuple]:
+        try:
+            return [(*r, None) for r in read(parse(page), base)]
+        except Exception as e:  # one bad page doesn't end the job
+            return [(*[None] * width, f"{type(e).__name__}: {e}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(*k, *r) for *k, h, b in pdf[[*keys, "_html", "_base"]].itertuples(index=False) for r in linked(parse(h), b)]
-            yield pd.DataFrame(rows, columns=[*keys, "ord", "tag", "href", "url", "player"])
+            made = [(*k, *r) for *k, h, b in pdf[[*keys, "_html", "_base"]].itertuples(index=False) for r in rows(h, b)]
+            yield pd.DataFrame(made, columns=[*keys, *fields, "error"]).astype({f: "Int32" for f, t in fields.items() if t == "int"})
 
     types = dict(source.dtypes)
-    return source.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ord int, tag string, href string, url string, player string")
+    return source.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{f} {t}" for f, t in fields.items()), "error string"]))
+
+
+def extract_links(df: DataFrame, key: str | list[str], html: str = "html", base: str = "url") -> DataFrame:
+    """(key, ord, tag, href, url, player, error): links, images, frames and players' files in document order, resolved."""
+    fields = {"ord": "int", "tag": "string", "href": "string", "url": "string", "player": "string"}
+    return page_rows(df, [key] if isinstance(key, str) else key, html, F.col(base), fields, linked)
 
 
 def select_assets(links: DataFrame, cfg: SiteConfig = SiteConfig(), video: bool = False, audio: bool = False) -> DataFrame:
@@ -458,25 +470,21 @@ def asset_map(links: DataFrame, assets: DataFrame, key: str | list[str]) -> Data
     return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("url", "path"))).alias("paths"))
 
 
-def extract_warnings(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, ord, text) of the outermost warning blocks of each page."""
-    source = df.select(key, F.col(html).alias("html"))
-
-    def outermost(root: Node) -> Iterator[Node]:
-        texts, stack = Texts(root), [root]
-        while stack:
-            n = stack.pop()
-            if n.tag in BLOCKS and texts.warns(n):
-                yield n
-            else:
-                stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.tag not in SKIPPED]
+def warnings_in(root: Node, base: str | None = None) -> Iterator[tuple]:
+    """(ord, text) of the outermost warning blocks."""
+    texts, stack, found = Texts(root), [root], 0
+    while stack:
+        n = stack.pop()
+        if n.tag in BLOCKS and texts.warns(n):
+            yield found, clean(n.text())
+            found += 1
+        else:
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.tag not in SKIPPED]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, clean(n.text())) for k, h in zip(pdf[key], pdf["html"], strict=True) for i, n in enumerate(outermost(parse(h)))]
-            yield pd.DataFrame(rows, columns=[key, "ord", "text"])
 
-    return source.mapInPandas(run, f"`{key}` {dict(source.dtypes)[key]}, ord int, text string")
+def extract_warnings(df: DataFrame, key: str | list[str], html: str = "html") -> DataFrame:
+    """(key, ord, text, error) of the outermost warning blocks of each page."""
+    return page_rows(df, [key] if isinstance(key, str) else key, html, F.lit(None).cast("string"), {"ord": "int", "text": "string"}, warnings_in)
 
 
 def external_url(links: DataFrame, key: str | list[str], cfg: SiteConfig = SiteConfig()) -> DataFrame:
