@@ -233,24 +233,25 @@ def quality(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> D
 
 
 def kept_only(docs: DataFrame, pieces: str = PIECES, byte_level: str = BYTES) -> DataFrame:
-    """The rows of docs whose text passes, with all their columns; what passes the base rules is written once."""
+    """The rows of docs whose text passes, with all their columns; what passes the base rules is written once.
+
+    Rows travel in a column of their own, so their names cannot clash with measures. An empty table gives no rows.
+    """
     c.small_batches(docs.sparkSession)
-    name = "_measured"
-    while name in docs.columns:
-        name += "_"
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(_FIELDS))])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("m", T.StructType.fromDDL(_FIELDS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabularies(pieces, byte_level)
         for batch in batches:
             for part in c.chunks(batch, most=CHUNK):
                 got = {k: pa.array(v, from_pandas=True) for k, v in measures(c.raw(part.column("text")), known).items()}
-                whole = pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(list(got.values()), list(got))], [*part.schema.names, name])
+                row = pa.StructArray.from_arrays(part.columns, part.schema.names)
+                whole = pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(list(got.values()), list(got))], ["row", "m"])
                 yield whole.filter(pc.invert(got["base_failed"]))
 
     measured = c.store(docs.mapInArrow(run, schema), "measured")
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    return judged(measured, lambda k: F.col(f"{name}.{k}"), lang, f"{name}_kept").where(f"{name}_kept").select(*(F.col(f"`{k}`") for k in docs.columns))
+    lang = F.col("row.lang").cast("string") if "lang" in docs.columns else F.lit("")
+    return judged(measured, lambda k: F.col(f"m.{k}"), lang, "verdict").where("verdict").select("row.*")
 
 
 def op2_tokeniser_fertility(spark, sf_dir: str) -> DataFrame:

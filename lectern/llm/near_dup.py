@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import unused
+
 from . import common as c
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
@@ -227,7 +229,8 @@ def op7_fast_sketch_dedup(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs of which the document stays, with all their columns; the others go.
 
-    Equal rows of one doc_id stay together.
+    Equal rows of one doc_id stay together. An empty table gives no rows.
     """
-    gone = c.store(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return c.without(docs, gone, F.col("doc_id").cast("bigint") == F.col("gone"))
+    (name,) = unused(docs, "gone")
+    gone = c.store(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return c.without(docs, gone, F.col("doc_id").cast("bigint") == F.col(name))

@@ -42,7 +42,8 @@ HIDDEN = frozenset("script style noscript template title".split())
 BLOCK = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 br tr table section article nav header footer blockquote pre dd dt dl hr body html head".split())
 LINKS = {"a": "href", "img": "src", "link": "href", "script": "src"}
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)|<!--|<[!?/]")
-_ATTR = re.compile(r"([^\s/>=\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# a name is taken with or without a value, so that none is tried again from each of its letters
+_ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 def digest(block: bytes) -> str:
@@ -82,7 +83,9 @@ def scanned(page: str, url: str | None) -> tuple[str, dict]:
             attrs = {}
             if tag in LINKS or tag == "html":
                 for a in _ATTR.finditer(page, m.end(), stop):
-                    attrs.setdefault(a[1].lower(), entities.unescape(next(v for v in a.groups()[1:] if v is not None)).strip())
+                    value = next((v for v in a.groups()[1:] if v is not None), None)
+                    if value is not None:
+                        attrs.setdefault(a[1].lower(), entities.unescape(value).strip())
             target = attrs.get(LINKS.get(tag, ""))
             if target is not None:
                 try:
