@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,40 @@ def ranked(df: DataFrame, order: list[Column | str], into: str) -> DataFrame:
     earlier = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     counts = rows.groupBy(part).count().select(part, F.coalesce(earlier, F.lit(0)).alias(before))
     return rows.join(F.broadcast(counts), part).withColumn(into, F.col(before) + F.col(at) + 1).drop(part, at, before)
+
+
+def forward_filled_by_ranges(df: DataFrame, keys: list[str], order: list[str], column: str, into: str) -> DataFrame:
+    """``forward_filled`` for keys of any size: a key with all rows is worked on by as many tasks as the rows need.
+
+    Rows are sorted over all partitions; each range fills inside itself; the last value of the last key of a range is
+    carried to where that key goes on. What is carried is two rows a range. Rows of a key should differ in the order.
+    """
+    part, at, near, far, pos = unused(df, "part", "at", "near", "far", "pos")
+    rows = sorted_parts(df, [*keys, *order], part, at)
+    own = Window.partitionBy(part, *keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    filled = stored(rows.withColumn(near, F.last(column, ignorenulls=True).over(own)), "filled")
+    tail = filled.groupBy(part).agg(F.max_by(F.struct(*keys, near), at).alias(far)).select(part, *(F.col(f"{far}.{k}").alias(k) for k in keys), F.col(f"{far}.{near}").alias(far), F.lit(1).alias(pos))
+    head = filled.where(F.col(at) == 0).select(part, *keys, F.lit(None).cast(dict(df.dtypes)[column]).alias(far), F.lit(0).alias(pos))
+    before = Window.partitionBy(*keys).orderBy(part, pos).rowsBetween(Window.unboundedPreceding, -1)
+    carried = head.unionByName(tail).withColumn(far, F.last(far, ignorenulls=True).over(before)).where(F.col(pos) == 0).drop(pos)
+    same = [F.col(f"l.{part}") == F.col(f"r.{part}"), *(F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys)]
+    joined = filled.alias("l").join(F.broadcast(carried.alias("r")), reduce(Column.__and__, same), "left")
+    kept = [F.col(f"l.`{c}`") for c in df.columns if c != into]
+    return joined.select(*kept, F.coalesce(F.col(f"l.{near}"), F.col(f"r.{far}")).alias(into))
+
+
+def first_of_group_by_ranges(df: DataFrame, keys: list[str], order: list[str], groups: dict[str, Column]) -> DataFrame:
+    """``first_of_group`` for keys of any size and several groups at once (name: group): true where one differs from the row before.
+
+    Each range looks at the row before inside itself; its first row looks at the last one of the range before.
+    """
+    part, at, now, last = unused(df, "part", "at", "now", "last")
+    fields = F.struct(F.struct(*keys).alias("k"), F.struct(*(g.alias(f"g{i}") for i, g in enumerate(groups.values()))).alias("g"))
+    rows = sorted_parts(df.withColumn(now, fields), [*keys, *order], part, at)
+    ends = rows.groupBy(part).agg(F.max_by(now, at).alias(last))
+    ends = ends.select(part, F.lag(last).over(Window.orderBy(part)).alias(last))  # a row a range
+    before = F.coalesce(F.lag(now).over(Window.partitionBy(part).orderBy(at)), F.when(F.col(at) == 0, F.col(last)))
+    seen = rows.join(F.broadcast(ends), part).withColumn(last, before)
+    new_key = F.col(last).isNull() | ~F.col(f"{last}.k").eqNullSafe(F.col(f"{now}.k"))
+    flags = {name: new_key | ~F.col(f"{last}.g.g{i}").eqNullSafe(F.col(f"{now}.g.g{i}")) for i, name in enumerate(groups)}
+    return seen.withColumns(flags).select(*(F.col(f"`{c}`") for c in df.columns if c not in groups), *groups)
