@@ -277,6 +277,35 @@ def n03_forward_fill(spark, d):
     return relational.forward_filled(e, ["user_id"], ["event_id"], "x", "filled").select("event_id", "filled")
 
 
+@query("select event_id, last_value(case when event_type = 'error' then value end ignore nulls) over (order by event_id rows between unbounded preceding and current row) as filled from events")
+def n03_forward_fill_of_one_key(spark, d):
+    """All events are one key, filled range by range."""
+    e = read(spark, d, "events").select("event_id", F.lit("all").alias("key"), F.when(F.col("event_type") == "error", F.col("value")).alias("x"))
+    return relational.forward_filled_by_ranges(e, ["key"], ["event_id"], "x", "filled").select("event_id", "filled")
+
+
+@query("select event_id, coalesce(event_type <> lag(event_type) over (order by event_id), true) as new_type, coalesce(user_id <> lag(user_id) over (order by event_id), true) as new_user from events")
+def n04_first_of_group_of_one_key(spark, d):
+    """All events are one key; two kinds of groups, each range looking at the last row of the one before."""
+    e = read(spark, d, "events").select("event_id", F.lit("all").alias("key"), "event_type", "user_id")
+    return relational.first_of_group_by_ranges(e, ["key"], ["event_id"], {"new_type": F.col("event_type"), "new_user": F.col("user_id")}).select("event_id", "new_type", "new_user")
+
+
+@query("select event_id, row_number() over (order by value desc nulls last, event_id) as rank, row_number() over (partition by event_type order by ts, event_id) as rank_of_type from events")
+def n02_rank_of_all_rows(spark, d):
+    """Ranks over the whole table and over its few types, by a range-partitioned sort."""
+    e = read(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return relational.ranked(relational.ranked(e, [F.col("value").desc_nulls_last(), "event_id"], "rank"), ["ts", "event_id"], "rank_of_type", ["event_type"]).select("event_id", "rank", "rank_of_type")
+
+
+@query("select o_custkey as course_id, count(*) as n_orders, count_if(o_orderstatus = 'F') as n_done, bool_or(o_orderpriority = '1-URGENT') as has_urgent from orders group by 1")
+def a07_counts_and_flags(spark, d):
+    """A course's counts and flags in one aggregate."""
+    flags = {"has_urgent": F.col("o_orderpriority") == "1-URGENT"}
+    o = read(spark, d, "orders").withColumnRenamed("o_custkey", "course_id")
+    return relational.counts_and_flags(o, ["course_id"], {"n_orders": F.lit(True), "n_done": F.col("o_orderstatus") == "F"}, flags)
+
+
 @query("select event_id, coalesce(event_type <> lag(event_type) over (partition by user_id order by event_id), true) as first from events")
 def n04_first_of_group(spark, d):
     return relational.first_of_group(read(spark, d, "events"), ["user_id"], ["event_id"], F.col("event_type"), "first").select("event_id", "first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,11 @@ def distinct_in_order(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != "")))
 
 
+def counts_and_flags(df: DataFrame, keys: list[str], counts: dict[str, Column], flags: dict[str, Column]) -> DataFrame:
+    """For each key how many rows a condition holds for, and whether it holds for any; a null condition doesn't hold."""
+    return df.groupBy(*keys).agg(*(F.count_if(c).alias(n) for n, c in counts.items()), *(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it differ from the columns of df."""
     held = {x.lower() for x in df.columns}
@@ -72,18 +78,38 @@ def sorted_parts(df: DataFrame, order: list[Column | str], part: str, at: str) -
     return stored(spread.withColumns({part: F.shiftright(held, _PLACE), at: F.col(held).bitwiseAND((1 << _PLACE) - 1)}).drop(held), "sorted")
 
 
-def ranked(df: DataFrame, order: list[Column | str], into: str) -> DataFrame:
-    """Numbers all rows from 1 in the given order, as a window over all of them would, without gathering them.
+def _carried(rows: DataFrame, part: str, at: str, keys: list[str], near: str, far: str, over: Callable[[Column], Column]) -> DataFrame:
+    """rows with ``far``: what ``over`` makes of near at the ends of the ranges before that end with the same key; null elsewhere.
 
-    The rows of earlier partitions are counted and added to the place in the own one; the only window runs over one
-    row a partition. Rows that the order doesn't tell apart get following numbers in no set order; an empty df gives
-    no rows.
+    near: a value of each row that stands for its key's rows up to it inside the range. Two rows a range are looked at.
     """
-    part, at, before = unused(df, "part", "at", "before")
-    rows = sorted_parts(df, order, part, at)
-    earlier = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy(part).count().select(part, F.coalesce(earlier, F.lit(0)).alias(before))
-    return rows.join(F.broadcast(counts), part).withColumn(into, F.col(before) + F.col(at) + 1).drop(part, at, before)
+    (pos,) = unused(rows, "pos")
+    tail = rows.groupBy(part).agg(F.max_by(F.struct(*keys, near), at).alias(far)).select(part, *(F.col(f"{far}.{k}").alias(k) for k in keys), F.col(f"{far}.{near}").alias(far), F.lit(1).alias(pos))
+    head = rows.where(F.col(at) == 0).select(part, *keys, F.lit(None).cast(dict(rows.dtypes)[near]).alias(far), F.lit(0).alias(pos))
+    before = Window.partitionBy(*keys).orderBy(part, pos).rowsBetween(Window.unboundedPreceding, -1)
+    carried = head.unionByName(tail).withColumn(far, over(F.col(far)).over(before)).where(F.col(pos) == 0).drop(pos)
+    same = [F.col(f"l.{part}") == F.col(f"r.{part}"), *(F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys)]
+    joined = rows.alias("l").join(F.broadcast(carried.alias("r")), reduce(Column.__and__, same), "left")
+    return joined.select(*(F.col(f"l.`{c}`") for c in rows.columns), F.col(f"r.{far}"))
+
+
+def ranked(df: DataFrame, order: list[Column | str], into: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Numbers the rows, or those of each key, from 1 in the given order, as a window would, without gathering them.
+
+    The rows of earlier partitions are counted and added to the place in the own one; the only windows that aren't
+    inside a partition run over one or two rows a partition. Rows that the order doesn't tell apart get following
+    numbers in no set order; an empty df gives no rows.
+    """
+    part, at, near, far = unused(df, "part", "at", "near", "far")
+    rows = sorted_parts(df, [*keys, *order], part, at)
+    if keys:
+        numbered = stored(rows.withColumn(near, F.row_number().over(Window.partitionBy(part, *keys).orderBy(at)).cast("bigint")), "numbered")
+        seen = _carried(numbered, part, at, keys, near, far, F.sum)
+    else:
+        earlier = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+        counts = rows.groupBy(part).count().select(part, earlier.alias(far))
+        seen = rows.join(F.broadcast(counts), part).withColumn(near, F.col(at) + 1)
+    return seen.select(*(F.col(f"`{c}`") for c in df.columns if c != into), (F.col(near) + F.coalesce(F.col(far), F.lit(0))).alias(into))
 
 
 def forward_filled_by_ranges(df: DataFrame, keys: list[str], order: list[str], column: str, into: str) -> DataFrame:
@@ -92,18 +118,12 @@ def forward_filled_by_ranges(df: DataFrame, keys: list[str], order: list[str], c
     Rows are sorted over all partitions; each range fills inside itself; the last value of the last key of a range is
     carried to where that key goes on. What is carried is two rows a range. Rows of a key should differ in the order.
     """
-    part, at, near, far, pos = unused(df, "part", "at", "near", "far", "pos")
+    part, at, near, far = unused(df, "part", "at", "near", "far")
     rows = sorted_parts(df, [*keys, *order], part, at)
     own = Window.partitionBy(part, *keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     filled = stored(rows.withColumn(near, F.last(column, ignorenulls=True).over(own)), "filled")
-    tail = filled.groupBy(part).agg(F.max_by(F.struct(*keys, near), at).alias(far)).select(part, *(F.col(f"{far}.{k}").alias(k) for k in keys), F.col(f"{far}.{near}").alias(far), F.lit(1).alias(pos))
-    head = filled.where(F.col(at) == 0).select(part, *keys, F.lit(None).cast(dict(df.dtypes)[column]).alias(far), F.lit(0).alias(pos))
-    before = Window.partitionBy(*keys).orderBy(part, pos).rowsBetween(Window.unboundedPreceding, -1)
-    carried = head.unionByName(tail).withColumn(far, F.last(far, ignorenulls=True).over(before)).where(F.col(pos) == 0).drop(pos)
-    same = [F.col(f"l.{part}") == F.col(f"r.{part}"), *(F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys)]
-    joined = filled.alias("l").join(F.broadcast(carried.alias("r")), reduce(Column.__and__, same), "left")
-    kept = [F.col(f"l.`{c}`") for c in df.columns if c != into]
-    return joined.select(*kept, F.coalesce(F.col(f"l.{near}"), F.col(f"r.{far}")).alias(into))
+    seen = _carried(filled, part, at, keys, near, far, lambda x: F.last(x, ignorenulls=True))
+    return seen.select(*(F.col(f"`{c}`") for c in df.columns if c != into), F.coalesce(near, far).alias(into))
 
 
 def first_of_group_by_ranges(df: DataFrame, keys: list[str], order: list[str], groups: dict[str, Column]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import ExportPrefs
 from lectern.functions.text import bound, clean, decode_html, decode_many, present, trimmed
-from lectern.operators.relational import distinct_in_order, first_wins, forward_filled
+from lectern.operators.relational import distinct_in_order, first_wins, forward_filled, ranked
 
 EVENT = (
     "struct<id:string,start:string,`end`:string,allDay:boolean,description:string,backgroundColor:string,textColor:string,department:string,"
@@ -202,6 +202,11 @@ def sort_events(events: DataFrame) -> DataFrame:
     return events.orderBy("start", "uid")
 
 
+def numbered_events(events: DataFrame, into: str, scope: list[str] = ["calendar"]) -> DataFrame:  # noqa: B006
+    """The events with their place in their calendar's sort, from 1; a calendar of any size is many ranges."""
+    return ranked(events, ["start", "uid"], into, scope)
+
+
 def title_of(template: str) -> Column:
     code_subject = present(F.concat_ws(" ", present(F.col("code")), present(F.col("subject"))))
     raw, subject, name = (present(F.col(k)) for k in ("rawTitle", "subject", "name"))

@@ -48,7 +48,14 @@ def test_rank(spark):
     df = table(spark)
     want = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k"), "o")).cast("bigint"))
     assert rows(R.ranked(df, [F.desc("k"), F.asc("o")], "rank")) == rows(want)
-    assert R.ranked(df.limit(0), ["k"], "rank").count() == 0
+    assert R.ranked(df.limit(0), ["k"], "rank").count() == R.ranked(df.limit(0), ["o"], "rank", ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [(None, "a", "b", "c"), ("hot",), tuple(map(str, range(300)))])
+def test_rank_of_keys(spark, keys):
+    df = table(spark, keys=keys)
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("o"))).cast("bigint"))
+    assert rows(R.ranked(df, [F.desc("o")], "rank", ["k"])) == rows(want)
 
 
 def test_one_key_is_many_ranges(spark):
