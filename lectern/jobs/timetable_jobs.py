@@ -244,13 +244,19 @@ def w02_ics_file(spark, d):
 CSV_ROW = "concat_ws(',', start_, end_, case when allDay then 'yes' else 'no' end, " + ", ".join(map(cell, ("subject_", "code0", "subject_", JOINED("groups__"), JOINED("rooms__"), JOINED("staff_"), "o_orderpriority"))) + ")"
 
 
-@query(f"""select calendar, chr(65279) || 'Start,End,All day,Title,Module code,Course,Groups,Room,Staff,Category' || chr(13) || chr(10) || string_agg({CSV_ROW}, chr(13) || chr(10) order by start_, id) || chr(13) || chr(10) as text from {NORMAL_SQL} group by 1""")
+@query(f"""select 'Timetable-Group,-' || calendar || '_2026-01-01_2026-06-30.csv' as file, chr(65279) || 'Start,End,All day,Title,Module code,Course,Groups,Room,Staff,Category' || chr(13) || chr(10) || string_agg({CSV_ROW}, chr(13) || chr(10) order by start_, id) || chr(13) || chr(10) as text from {NORMAL_SQL} group by calendar""")
 def w03_csv_file(spark, d):
-    """Whole spreadsheets written and read again: mark of UTF-8, CRLF."""
+    """Whole spreadsheets written under their names and read again: names, mark of UTF-8, CRLF."""
     made = exports.export_texts(normal(spark, d), calendars(spark, d), ["csv"], SHORT, F.lit(NOW).cast("timestamp_ntz"))
     path = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}/exports"
-    exports.write_exports(made, path, ["csv"])
-    return spark.read.text(f"{path}/csv", wholetext=True).select(F.regexp_extract("file", r"-(\d)_2026", 1).alias("calendar"), F.col("value").alias("text"))
+    exports.write_exports(made, path)
+    return named_files(spark, path)
+
+
+def named_files(spark, path):
+    """(file, text) of all files of a folder."""
+    f = spark.read.format("binaryFile").load(path)
+    return f.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"), F.decode("content", "UTF-8").alias("text"))
 
 
 @query(f"""select calendar, count(*) as n, md5(string_agg(id || start_ || subject_ || coalesce(staff_, ''), ',' order by start_, id)) as sum, 'https://t.example.org/?c=' || calendar as source, 'Europe/Brussels' as timezone, '2026-06-30' as "end" from {NORMAL_SQL} group by 1""")
@@ -303,3 +309,16 @@ def x06_stamps(spark, d):
 def w06_markdown_file(spark, d):
     """Whole Markdown timetables with their heading."""
     return exports.export_texts(normal(spark, d), calendars(spark, d), ["md"], SHORT, F.lit(NOW).cast("timestamp_ntz")).select("calendar", "text")
+
+
+@query(f"""with e as (select *, date_trunc('week', o_orderdate) as wk, case dayofweek(o_orderdate) when 0 then 'Dimanche' when 1 then 'Lundi' when 2 then 'Mardi' when 3 then 'Mercredi' when 4 then 'Jeudi' when 5 then 'Vendredi' else 'Samedi' end as dn,
+ row_number() over (partition by calendar order by start_, id) as rn from {NORMAL_SQL}), f as (select *, lag(day) over (partition by calendar order by rn) as pd, lag(wk) over (partition by calendar order by rn) as pw from e)
+ select calendar, '# Horaire — Group, ' || calendar || '\n\nSource: https://t.example.org/?c=' || calendar || '  \nPériode: 01/01/2026 → 30/06/2026  \nExporté le: 01/03/2026 08:00:00 (' || count(*) || ' événements)\n' || string_agg(concat_ws('\n', case when pw is null or pw <> wk then '\n## Semaine du ' || strftime(wk, '%d/%m/%Y') end,
+ case when pd is null or pd <> day then '\n### ' || dn || ' ' || strftime(o_orderdate, '%d/%m/%Y') || '\n\n| Heure | Cours | Groups | Room | Staff | Category |\n| --- | --- | --- | --- | --- | --- |' end,
+ '| ' || concat_ws(' | ', case when allDay then 'journée' when shape <> 3 then '10:30–12:05' else '10:30–10:30' end, {MD('subject_')}, {MD(JOINED('groups__'))}, {MD(JOINED('rooms__'))}, {MD(JOINED('staff_'))}, {MD('o_orderpriority')}) || ' |'), '\n' order by rn) || '\n' as text from f group by calendar""")
+def w06_markdown_in_parts(spark, d):
+    """The same files written by range, a calendar of any size by many tasks, in numbered parts."""
+    path = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}/parts"
+    exports.write_large_exports(normal(spark, d), calendars(spark, d), path, ["md"], SHORT, F.lit(NOW).cast("timestamp_ntz"))
+    parts = named_files(spark, path).select(F.regexp_extract("file", r"-(\d)_2026", 1).alias("calendar"), "file", "text")
+    return parts.groupBy("calendar").agg(relational.joined_text(F.col("file"), F.col("text"), "").alias("text"))
