@@ -10,6 +10,7 @@ from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import course, course_export, pages
 from lectern.operators.stored import shared_folder
+from lectern.sources.files import write_named
 
 SITE = "https://campus.example.org"
 
@@ -337,3 +338,19 @@ def r01_read_captures(spark, d):
     got = pages.read_captures(spark, path)
     kind = F.when(F.col("content_type") == "application/pdf", 1).otherwise(2)
     return pages.html_pages(got).select(F.lit(0).alias("kind")).unionByName(pages.file_captures(got).select(kind.alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""select url, md5(html) as html, cast(octet_length(encode(html)) as integer) as n_bytes, null as message from pages where page_id % 5 < 4
+ union all select null, null, null, m from (select unnest(['not a capture', 'no file gone.html']) as m) union all select null, null, null, 'no file p' || page_id || '.html' from pages where page_id % 5 = 4""")
+def r01_capture_folder(spark, d):
+    """Pages as files and their manifest, written and read: a line cut off, files that aren't there."""
+    folder = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}/captures"
+    p = read(spark, d, "pages").select("page_id", "url", "html", F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("file"))
+    write_named(p.where("page_id % 5 < 4").select("file", F.col("html").alias("body")), folder)
+    line = F.to_json(F.struct(F.lit("c").alias("course_id"), "url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "file"))
+    lines = p.select("page_id", line.alias("body")).unionByName(spark.createDataFrame([(-1, '{"url": "cut o'), (-2, '{"url": "u", "content_type": "text/html", "file": "gone.html"}')], "page_id long, body string"))
+    write_named(lines.select(F.lit("manifest.jsonl").alias("file"), "page_id", F.concat("body", F.lit("\n")).alias("body")), folder, ["page_id"], join=True)
+    found, issues = pages.read_capture_folder(spark, folder)
+    none = F.lit(None)
+    rows = found.select("url", F.md5("html").alias("html"), F.octet_length("content").alias("n_bytes"), none.cast("string").alias("message"))
+    return rows.unionByName(issues.select(none.cast("string").alias("url"), none.cast("string").alias("html"), none.cast("int").alias("n_bytes"), "message"))

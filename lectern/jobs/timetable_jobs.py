@@ -13,6 +13,7 @@ from lectern.jobs.registry import query
 from lectern.jobs.sources import EVENTS, KINDS_SQL, LINES, LINES_SQL, order_details, order_events, read
 from lectern.operators import exports, relational, timetable
 from lectern.operators.stored import shared_folder
+from lectern.sources.files import write_named
 
 PREFS = ExportPrefs()
 NOW = "2026-03-01 08:00:00"
@@ -162,6 +163,31 @@ def r02_read_responses(spark, d):
     return rows.unionByName(issues.unionByName(more).select(none.alias("id"), none.alias("description"), F.lit(None).cast("boolean").alias("allDay"), none.alias("calendar"), none.alias("label"), "message"))
 
 
+@query("""select 'c' || user_id % 3 as calendar, cast(chunk as integer) as chunk, 'e' || event_id as id, event_type as description, null as message, null as file from (select *, event_id % 7 as chunk from events) where not (user_id % 3 = 1 and chunk = 2)
+ union all select null, null, null, null, m, f from (values ('not an array of events', 'c1_2.json'), ('not an array of events', 'c9_0.json'), ('name doesn''t tell what it answers', 'notes.json'), ('not UTF-8', 'c8_1.json'), ('no elements', 'c1_x.json')) x(m, f)
+ union all select 'c' || user_id % 3, null, 'e' || event_id, 'd' || event_id, null, null from events where event_id % 50 = 0""")
+def r02_json_files(spark, d):
+    """Responses as files of their own names, written and read: one chunk cut off, one no list, one of another name, one not UTF-8."""
+    folder = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}"
+    e = read(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id") % 3).alias("calendar"), (F.col("event_id") % 7).alias("chunk"), "event_id", "event_type")
+    one = F.to_json(F.struct(F.concat(F.lit("e"), "event_id").alias("id"), F.col("event_type").alias("description")))
+    body = F.concat(F.lit("[\n"), relational.joined_text(F.col("event_id"), one, ",\n"), F.lit("]"))
+    chunks = e.groupBy("calendar", "chunk").agg(body.alias("body"))
+    cut_off = F.when((F.col("calendar") == "c1") & (F.col("chunk") == 2), F.substring("body", 1, 20)).otherwise(F.col("body"))
+    odd = spark.createDataFrame([("c9_0.json", bytearray(b'{"error": true}')), ("notes.json", bytearray(b"[]")), ("c8_1.json", bytearray(b"[\xff]")), ("other.txt", bytearray(b"["))], "file string, body binary")
+    write_named(chunks.select(F.concat("calendar", F.lit("_"), "chunk", F.lit(".json")).alias("file"), cut_off.cast("binary").alias("body")).unionByName(odd), f"{folder}/chunks")
+    detail = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("d"), "event_id").alias("label"))).alias("elements"))).cast("binary")
+    details = e.where("event_id % 50 = 0").select(F.concat("calendar", F.lit("_e"), "event_id", F.lit(".json")).alias("file"), detail.alias("body"))
+    write_named(details.unionByName(spark.createDataFrame([("c1_x.json", bytearray(b"[1]"))], "file string, body binary")), f"{folder}/details")
+    events, issues = timetable.read_calendar_files(spark, f"{folder}/chunks")
+    found, more = timetable.read_details_files(spark, f"{folder}/details")
+    none = F.lit(None)
+    rows = events.select("calendar", "chunk", "id", "description", none.cast("string").alias("message"), none.cast("string").alias("file"))
+    own = found.select("calendar", none.cast("int").alias("chunk"), F.col("event_id").alias("id"), F.col("elements")[0]["label"].alias("description"), none.cast("string").alias("message"), none.cast("string").alias("file"))
+    said = issues.unionByName(more).select(none.cast("string").alias("calendar"), none.cast("int").alias("chunk"), none.cast("string").alias("id"), none.cast("string").alias("description"), "message", F.element_at(F.split("url", "/"), -1).alias("file"))
+    return rows.unionByName(own).unionByName(said)
+
+
 @query("""select event_id, 'x < ' || event_id || ' &' as bare, 'Math|' || event_id || ' <b>|z' as many, 'Math ' || event_id || '~n <br> m~g1,g2~r' as blocks, strftime(ts - interval 1 hour, '%Y%m%dT%H%M%SZ') as utc from events""")
 def t01_decode(spark, d):
     """A bare < is text, markup without entities goes, values of an array stay apart, what entities say is no markup, stamps are UTC in every zone."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import SiteConfig
 from lectern.functions.urls import RED_NAMES, VIDEO_HOST, norm_url, skipped_media
+from lectern.sources.captures import manifest_captures
 from lectern.sources.html import Node, clean, parse
 
 # Elements that carry nothing for a reader, classes that hide, blocks, inline elements, media.
@@ -368,6 +369,11 @@ def read_captures(spark, path: str) -> DataFrame:
     return spark.read.schema(CAPTURE).parquet(path)
 
 
+def read_capture_folder(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Captures of a folder of files and its manifest.jsonl, in the same columns, and issues."""
+    return manifest_captures(spark, folder, CAPTURE)
+
+
 CAPTURE = "course_id string, url string, final_url string, status int, content_type string, disposition string, html string, content binary"
 
 

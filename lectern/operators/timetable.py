@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.config import ExportPrefs
 from lectern.functions.text import bound, clean, decode_html, decode_many, present, trimmed
 from lectern.operators.relational import distinct_in_order, first_wins, forward_filled, ranked
+from lectern.sources.captures import json_files
 
 EVENT = (
     "struct<id:string,start:string,`end`:string,allDay:boolean,description:string,backgroundColor:string,textColor:string,department:string,"
@@ -22,29 +23,32 @@ ELEMENT = "struct<label:string,content:string,federationId:string,entityType:int
 KINDS = ("links", "modules", "staff", "rooms", "groups", "notes", "name", "extra")
 
 
-def parse_calendar(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Events of JSON arrays with their place (pos), and issues for bodies that are none; raw keeps its other columns."""
-    return _parsed(raw, body, EVENT, "calendar", "not an array of events")
+def parse_calendar(raw: DataFrame, body: str = "body", issue: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events of JSON arrays with their place (pos), and issues for bodies that are none; raw keeps its other columns.
 
+    Issues name the column ``issue`` (a path), else the body's first characters.
+    """
+    return _parsed(raw, body, EVENT, "calendar", "not an array of events", issue)
 
-def parse_details(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+
+def parse_details(raw: DataFrame, body: str = "body", issue: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw's other columns, elements) of JSON detail objects, and issues for bodies that are none."""
     others = [c for c in raw.columns if c != body]
     parsed = raw.withColumn("_d", F.from_json(body, f"struct<elements:array<{ELEMENT}>>"))
     good = F.coalesce(F.col("_d.elements").isNotNull() & F.col(body).rlike(r"^\s*\{"), F.lit(False))
-    return parsed.where(good).select(*others, F.col("_d.elements").alias("elements")), _unread(parsed.where(~good), body, "details", "no elements")
+    return parsed.where(good).select(*others, F.col("_d.elements").alias("elements")), _unread(parsed.where(~good), issue or body, "details", "no elements")
 
 
-def _parsed(raw: DataFrame, body: str, kind: str, source: str, message: str) -> tuple[DataFrame, DataFrame]:
+def _parsed(raw: DataFrame, body: str, kind: str, source: str, message: str, issue: str | None) -> tuple[DataFrame, DataFrame]:
     others = [c for c in raw.columns if c != body]
     parsed = raw.withColumn("_events", F.from_json(body, f"array<{kind}>"))
     good = F.coalesce(F.col("_events").isNotNull() & F.col(body).rlike(r"^\s*\["), F.lit(False))
     events = parsed.where(good).select(*others, F.posexplode("_events").alias("pos", "_e")).select(*others, "pos", "_e.*")
-    return events, _unread(parsed.where(~good), body, source, message)
+    return events, _unread(parsed.where(~good), issue or body, source, message)
 
 
-def _unread(rows: DataFrame, body: str, source: str, message: str) -> DataFrame:
-    return rows.select(F.lit(source).alias("source"), F.lit("error").alias("severity"), F.lit(message).alias("message"), F.substring(body, 1, 80).alias("url"))
+def _unread(rows: DataFrame, said: str, source: str, message: str) -> DataFrame:
+    return rows.select(F.lit(source).alias("source"), F.lit("error").alias("severity"), F.lit(message).alias("message"), (F.col(said) if said == "path" else F.substring(said, 1, 80)).alias("url"))
 
 
 #: Captured responses: one row each, with the calendar and chunk, or the calendar and event, they answer.
@@ -61,6 +65,20 @@ def read_details(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_details(spark.read.schema(RESPONSES).parquet(path))
 
 
+def read_calendar_files(spark: SparkSession, folder: str, pattern: str = r"([^/]+)_(\d+)\.json$") -> tuple[DataFrame, DataFrame]:
+    """Raw events of a folder of captured chunk responses (calendar_chunk.json) with chunk, pos and path, and issues by path."""
+    found, issues = json_files(spark, folder, pattern, ["calendar", "chunk"])
+    events, unread = parse_calendar(found.withColumn("chunk", F.col("chunk").try_cast("int")).select("calendar", "chunk", "path", "body"), issue="path")
+    return events, issues.unionByName(unread)
+
+
+def read_details_files(spark: SparkSession, folder: str, pattern: str = r"([^/]+)_([^/_]+)\.json$") -> tuple[DataFrame, DataFrame]:
+    """(calendar, event_id, path, elements) of a folder of captured detail responses (calendar_event.json), and issues by path."""
+    found, issues = json_files(spark, folder, pattern, ["calendar", "event_id"])
+    details, unread = parse_details(found.select("calendar", "event_id", "path", "body"), issue="path")
+    return details, issues.unionByName(unread)
+
+
 def dedupe_events(events: DataFrame, order: list[str], scope: list[str] = ["calendar"]) -> DataFrame:  # noqa: B006
     """The first capture of each id over overlapping chunks; rows without an id go."""
     return first_wins(events.where("id is not null"), [*scope, "id"], order)
