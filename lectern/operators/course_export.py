@@ -108,6 +108,9 @@ def placed_files(requests: DataFrame, files: DataFrame, wrappers: DataFrame, con
     got = first_wins(files.select("course_id", key.alias("_k"), F.coalesce("final_url", "url").alias("final_url"), "disposition", F.col("content_type").alias("mime")), ["course_id", "_k"], ["final_url"])
     inner = wrappers.select("course_id", F.concat(F.lit("resource:"), "cmid").alias("_w"), urls.norm_url(F.col("url")).alias("_k")).join(got, ["course_id", "_k"]).select("course_id", F.col("_w").alias("_k"), "final_url", "disposition", "mime")
     got = first_wins(_union(got, inner), ["course_id", "_k"], ["final_url"])
+    # an address that another capture ended at is captured as well
+    ended = got.withColumn("_k", urls.norm_url(F.col("final_url")))
+    got = first_wins(_union(got.withColumn("_own", F.lit(0)), ended.withColumn("_own", F.lit(1))), ["course_id", "_k"], ["_own", "final_url"]).drop("_own")
     asked = stored(requests.withColumn("_k", key).join(got, ["course_id", "_k"], "left").withColumn("_skip", urls.skipped_media(F.col("url"))), "asked")
     lost = asked.where("final_url is null and _skip is null").select(
         "course_id", F.lit("download").alias("source"), F.concat(F.lit('Download "'), F.coalesce("hint", present(naming.name_from_url(F.col("url"))), "url"), F.lit('": not captured ('), "url", F.lit(")")).alias("message"), "url",

@@ -10,55 +10,64 @@ from .course_fixture import captures
 
 @pytest.fixture(scope="module")
 def export(spark):
-    rows = [("462", u, f, 200, t, d, h, None) for u, f, t, d, h in captures()]
+    rows = [("7031", u, f, 200, t, d, h, None) for u, f, t, d, h in captures()]
     df = spark.createDataFrame(rows, pages.CAPTURE)
-    out = course_export.course_export(df, F.lit("2025-10-04 12:00:00").cast("timestamp_ntz"))
+    out = course_export.course_export(df, F.lit("2030-02-03 12:00:00").cast("timestamp_ntz"))
     return {k: [r.asDict() for r in v.collect()] for k, v in out.items()}
 
 
-def test_tree(export):
-    tree = {r["section_id"]: r for r in export["sections"]}
-    assert tree["20"]["titles"] == ["Part 1", "Theory"] and tree["20"]["level"] == 3 and tree["13"]["depth"] == 0
-    assert tree["14"]["title"] == "Section 3" and tree["30"]["titles"] == ["Section 3", "Far"] and "999" not in tree
-    assert all(r["reached"] and r["problem"] is None for r in tree.values())
+def test_sections_inside_subsections(export):
+    tree = {r["section_id"]: (r["titles"], r["level"], r["depth"]) for r in export["sections"]}
+    assert tree == {
+        "5010": (["Welcome"], 2, 0), "5020": (["Trees"], 2, 0), "6010": (["Trees", "Conifers"], 3, 1), "6020": (["Trees", "Conifers", "Pines"], 4, 2), "5030": (["Section 2"], 2, 0), "5040": (["Late"], 2, 0),
+    }
+    assert all(r["reached"] and r["problem"] is None for r in export["sections"])
+
+
+def test_each_module_once_where_it_comes_first(export):
+    placed = {r["cmid"]: r["titles"][-1] for r in export["activities"]}
+    assert placed == {"9101": "Welcome", "9102": "Welcome", "9103": "Trees", "9106": "Pines", "9107": "Conifers", "9108": "Section 2", "9109": "Section 2", "9110": "Late", "9111": "Late", "9112": "Late", "9113": "Late"}
     acts = {r["cmid"]: r for r in export["activities"]}
-    assert set(acts) == {"1", "2", "4", "5", "6", "7", "8", "9", "12", "15", "18", "19"}
-    assert acts["2"]["completion"] == "To do" and acts["4"]["breadcrumb"] == "LOG1 / Part 1 / Theory / Manual" and not acts["4"]["breadcrumb_mismatch"] and acts["5"]["breadcrumb_mismatch"]
+    assert [k for k, r in acts.items() if r["breadcrumb_mismatch"]] == ["9107"] and acts["9103"]["completion"] == "Done"
+    assert acts["9101"]["external_url"] == "https://herbarium.example.net/sheet/9"  # an object goes before other links
 
 
-def test_facts(export):
+def test_facts_of_pages(export):
     acts = {r["cmid"]: r for r in export["activities"]}
-    assert acts["5"]["info_lines"] == ["Attempts allowed: 1", "Grade to pass: 5 out of 10", "Feedback: Well done", "Attempt status: Ready"]
-    assert (acts["5"]["attempts"], acts["5"]["gradeToPass"], acts["5"]["closes"]) == ("1", "5 out of 10", "25 October 2099, 23:59")
-    assert (acts["12"]["due"], acts["12"]["cutoff"]) == ("3 October 2025, 23:59", "4 October 2025, 23:59")
-    assert acts["9"]["external_url"] == "https://docs.example.net/java"
-    assert [f.split("](")[0] for f in acts["7"]["files"]] == ["[one.pdf", "[data.xlsx", "🎥 talk.mp4 (not downloaded): https://campus.example.org/pluginfile.php/99/mod_folder/content/0/talk.mp4?forcedownload=1"]
+    assert acts["9106"]["info_lines"] == ["Attempts allowed: 3", "Time limit: 20 mins", "Open book"]
+    assert [acts["9106"][k] for k in ("attempts", "opens", "closes")] == ["3", "1 March 2030, 09:00", "8 March 2030, 17:30"]
+    assert (acts["9106"]["meta"]["timeLimit"], acts["9107"]["due"], acts["9107"]["cutoff"]) == ("20 mins", "2 February 2030, 12:00", None)
+    assert (acts["9107"]["meta"]["submissionStatus"], acts["9107"]["meta"]["timeRemaining"]) == ("Draft", "2 days")
 
 
-def test_assets(export):
-    paths = {r["path"] for r in export["assets"] if r["path"]}
-    assert paths == {
-        "files/General/Slides 1/Slides 1.pdf", "files/Part 1/Session/sheet.pdf", "files/Part 1/Theory/Manual/shot.png", "files/Part 1/Exercises/one.pdf", "files/Part 1/Exercises/Sub dir/data.xlsx",
-    }
-    lines = {r["line"] for r in export["issues"]}
-    assert any("task.pdf" in x and x.startswith("- ❌") for x in lines) and not any("talk.mp4" in x for x in lines)
+def test_one_file_asked_for_in_several_ways(export):
+    """A direct link to where a resource ended up is that resource's file; a file of the same name elsewhere isn't."""
+    assert sorted(r["path"] for r in export["assets"] if r["path"]) == [
+        "files/Section 2/Note/tree key.pdf", "files/Section 2/Photos/May trip/oak.jpg", "files/Section 2/Photos/oak.jpg", "files/Trees/Tree key/tree key.pdf", "files/Welcome/Rules/map.png", "files/Welcome/plan.pdf",
+    ]
+    (doc,) = export["documents"]
+    assert "Same key: [here](<files/Trees/Tree key/tree key.pdf>) ; another [tree key](<files/Section 2/Note/tree key.pdf>)" in doc["text"]
+    assert [r["line"] for r in export["issues"]] == ['- ❌ Download "form.odt": not captured (https://campus.example.org/pluginfile.php/34/mod_assign/introattachment/0/form.odt?forcedownload=1)']
 
 
-def test_document(export):
+def test_document_in_order(export):
     (doc,) = export["documents"]
     text = doc["text"]
-    assert text.startswith("# Logic 1\n\n- URL: https://campus.example.org/course/view.php?id=462\n- Scraped: 2025-10-04T12:00:00\n- Activities: 12 · Files: 5\n\n## Deadlines & evaluations\n\n| Activity |")
-    rows = [x.split(" | ") for x in text.split("\n") if x.startswith("| ") and "---" not in x][1:4]
-    assert [(r[0], r[-1]) for r in rows] == [("| Project", "overdue (cut-off later) |"), ("| Test 1", "open |"), ("| Parcours", "no dates |")]
-    order = ["## General", "Welcome **all**", "### 💬 News", "**10 most recent discussions:**", "#### Subject 0\n\n_by P, 1 May_ — https://campus.example.org/mod/forum/discuss.php?d=300\n\nMessage 0", "#### News 18\n\n_(first post not found)_", "### 📄 Slides 1", "First slides",
-             "## Part 1", "### Theory", "#### 📃 Manual", "ABOUT", "##### Setup\n\n> ⚠️ Erratum: use 2024\n\n1. Get\n2. Run\n   - Here", "![shot](<files/Part 1/Theory/Manual/shot.png>)", "🎥 Video: https://www.youtube.com/embed/abc", "#### 📝 Test 1", "**Your attempts:**\n\n| No | State |",
-             "### Session\n\nSee [the sheet](<files/Part 1/Session/sheet.pdf>) , [slides](<files/General/Slides 1/Slides 1.pdf>)", "### 📁 Exercises", "### 🎓 Parcours", "- 1. Intro\n2. Reference", "#### 1. Intro\n\nStart here", "#### Reference\n\nReference text", "### 🔗 Docs", "### 📌 Project", "**Submission status:**",
-             "### 📘 Reader", "Print view unavailable", "#### Chapter A\n\ntext a", "## Part 2", "### ▫️ Exercise", "## Section 3", '> ❌ Subsection "Lost" could not be read.', "### Far", "#### 📃 Deep", "## Scrape errors"]
+    assert text.startswith("# Field Botany\n\n- URL: https://campus.example.org/course/view.php?id=7031\n- Scraped: 2030-02-03T12:00:00\n- Activities: 11 · Files: 6\n")
+    due = [x.strip("| ").split(" | ") for x in text.split("## Welcome")[0].split("\n") if x.startswith("| ") and "---" not in x][1:]
+    assert [(r[0], r[2], r[-1]) for r in due] == [("Survey", "Trees › Conifers", "closed"), ("Needles", "Trees › Conifers › Pines", "upcoming"), ("Walk", "Late", "no dates")]
+    order = [
+        "## Welcome\n\nRead *this* first, then [the plan](files/Welcome/plan.pdf)", "### 🔗 Herbarium", "### 📃 Rules", "Short rules\n\n#### Outdoors\n\n> ⚠️ Erratum: bring water\n\n- hat\n- boots",
+        "[first](https://campus.example.org/one) [second](https://campus.example.org/two) ![map](files/Welcome/Rules/map.png)", "## Trees", "### 📄 Tree key", "How to tell trees apart", "### Conifers", "#### Pines", "##### 📝 Needles", "Look at the **needles**",
+        "**Your attempts:**\n\n| Try | Mark |\n| --- | --- |\n| A | 7\\|10 |", "#### 📌 Survey", "Count the trees", "**Submission status:**", "## Section 2", "### 📁 Photos", "🔊 song.ogg (not downloaded)", "## Late", "### 💬 Finds", "**10 most recent discussions:**",
+        "#### Seen 8801\n\n_by B, 4 May_ — https://campus.example.org/mod/forum/discuss.php?d=8801\n\nOrchid no. 8801", "#### Find 8810\n\n_(first post not found)_", "### 🎓 Walk", "#### 1. Gate\n\nStart at the gate", "#### Pond\n\nNewts live here", "### ▫️ Pool", "### 📘 Flora", "#### Ferns\n\nspores", "## Scrape errors",
+    ]
     at = -1
     for x in order:
         assert text.find(x, at + 1) > at, (x, text)
         at = text.find(x, at + 1)
-    assert "Message 9" not in text and "Select section" not in text and "index" not in text
+    # the eleventh discussion, what only the index lists, and a module's second place are left out
+    assert "8811" not in text and "in the index only" not in text and text.count("Tree key\n") == 1
 
 
 def test_section_paths_of_any_depth(spark):
