@@ -50,17 +50,18 @@ def package_rows(files: DataFrame) -> DataFrame:
     """Tagged rows of each package; files: (path, content) as the binaryFile reader gives them.
 
     The reader deals files to partitions by their length, so a batch, which is at most a partition, holds no more
-    bytes than a partition and one file. Packages are read one after the other.
+    bytes than a partition and one file. Packages are read one after the other, and rows of sheets leave while
+    their part is read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = read_package(path, path.rsplit(".", 1)[-1].lower(), bytes(data))
-                out = pd.DataFrame(rows, columns=NAMES)
-                for k in ("no", "ord", "row", "col", "ilvl"):
-                    out[k] = out[k].astype("Int32")
-                yield out
+                for rows in read_package(path, path.rsplit(".", 1)[-1].lower(), bytes(data)):
+                    out = pd.DataFrame(rows, columns=NAMES)
+                    for k in ("no", "ord", "row", "col", "ilvl"):
+                        out[k] = out[k].astype("Int32")
+                    yield out
 
     return files.select("path", "content").mapInPandas(run, FIELDS)
 

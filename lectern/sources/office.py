@@ -7,11 +7,14 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 #: Bytes of one part that are inflated at most; larger parts make the file an issue.
 MAX_PART = 256 << 20
+#: Rows of a package that leave at once.
+SLICE = 5000
 FIELDS = "path string, kind string, no int, ord int, row int, col int, text string, formula string, si string, style string, num_id string, ilvl int, name string, hidden boolean, data binary"
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 MAX_ODF_COLUMNS, MAX_ODF_ROWS, MAX_ODF_REPEAT = 30, 300, 50
@@ -51,6 +54,31 @@ class Package:
     def xml(self, name: str) -> ET.Element | None:
         return ET.fromstring(self.read(name)) if name in self.names else None
 
+    def check(self) -> None:
+        """Raises what a damaged part would raise while its rows leave."""
+        for name in self.names:
+            if re.search(r"(?i)\.(xml|rels)$", name) and self.zip.getinfo(name).file_size <= MAX_PART:
+                with self.zip.open(name) as part:
+                    expat.ParserCreate().ParseFile(part)
+
+    def each(self, name: str, tag: str) -> Iterator[ET.Element]:
+        """The elements of a tag, one after the other while the part is read; each is dropped when the next is asked for."""
+        if name not in self.names:
+            return
+        if self.zip.getinfo(name).file_size > MAX_PART:
+            raise ValueError(f"{name} is too large")
+        with self.zip.open(name) as part:
+            around: list[ET.Element] = []
+            for event, e in ET.iterparse(part, ("start", "end")):
+                if event == "start":
+                    around.append(e)
+                    continue
+                around.pop()
+                if local(e.tag) == tag:
+                    yield e
+                    if around:
+                        around[-1].clear()
+
     def targets(self, part: str) -> dict[str, str]:
         """Relation id: part that it leads to."""
         folder, name = posixpath.split(part)
@@ -448,26 +476,30 @@ def column_number(letters: str) -> int:
 
 
 def cells(pkg: Package) -> Iterator[dict]:
-    strings = ["".join(t.text or "" for t in under(si, "t")) for si in under(pkg.xml("xl/sharedStrings.xml"), "si")]
+    """Sheets and their cells, row by row as the part is read. Rows and cells without an address follow the one before."""
+    strings = ["".join(t.text or "" for t in under(si, "t")) for si in pkg.each("xl/sharedStrings.xml", "si")]
     to = pkg.targets("xl/workbook.xml")
     for no, s in enumerate(under(pkg.xml("xl/workbook.xml"), "sheet"), 1):
-        tree = pkg.xml(to.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), ""), ""))
+        part = to.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), ""), "")
         head = {"no": no, "name": s.get("name"), "hidden": s.get("state") in ("hidden", "veryHidden")}
         yield row("sheet", **head)
-        for c in under(tree, "c"):
-            m = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r", ""))
-            v, f = first(c, "v"), first(c, "f")
-            raw = v.text if v is not None else None
-            kind = c.get("t")
-            if kind == "s" and raw is not None:
-                raw = strings[int(raw)]
-            elif kind == "inlineStr":
-                raw = "".join(t.text or "" for t in under(c, "t"))
-            elif kind == "b":
-                raw = "TRUE" if raw == "1" else "FALSE"
-            shared = f is not None and f.get("t") == "shared"
-            if m and (raw is not None or f is not None):
-                yield row("cell", **head, row=int(m[2]), col=column_number(m[1]), text=raw, formula=f.text if f is not None else None, si=f.get("si") if shared else None)
+        at = 0
+        for r in pkg.each(part, "row"):
+            at = int(r.get("r")) if re.fullmatch("0*[1-9][0-9]{0,8}", r.get("r", "")) else at + 1
+            col = 0
+            for c in (k for k in r if local(k.tag) == "c"):
+                m = re.fullmatch(r"([A-Z]{1,6})\d+", c.get("r", ""))
+                col = column_number(m[1]) if m else col + 1
+                v, f, kind = child(c, "v"), child(c, "f"), c.get("t")
+                raw = v.text or "" if v is not None else None
+                if kind == "s" and raw is not None:
+                    raw = strings[int(raw)] if re.fullmatch("[0-9]{1,9}", raw) and int(raw) < len(strings) else ""
+                elif kind == "inlineStr":
+                    raw = "".join(t.text or "" for t in under(child(c, "is"), "t"))
+                elif kind == "b":
+                    raw = "TRUE" if raw == "1" else "FALSE"
+                if raw is not None or f is not None:
+                    yield row("cell", **head, row=at, col=col, text=raw, formula=f.text if f is not None else None, si=f.get("si") if f is not None and f.get("t") == "shared" else None)
 
 
 class OpenDocument:
@@ -579,10 +611,20 @@ def open_document(pkg: Package) -> Iterator[dict]:
 READERS = {"pptx": slides, "docx": blocks, "xlsx": cells, "odt": open_document, "odp": open_document, "ods": open_document}
 
 
-def read_package(path: str, ext: str, data: bytes) -> list[dict]:
-    """Rows of one file; a damaged one is an issue row and nothing else."""
+def read_package(path: str, ext: str, data: bytes) -> Iterator[list[dict]]:
+    """Rows of one file, in slices; a damaged one is an issue row and nothing else.
+
+    Every XML part is read through once, without keeping anything, before the first row leaves.
+    """
+    held: list[dict] = []
     try:
         pkg = Package(data, f"{posixpath.basename(path)}_media")
-        return [r | {"path": path} for r in (*READERS[ext](pkg), *pkg.pictures())]
+        pkg.check()
+        for r in chain(READERS[ext](pkg), pkg.pictures()):
+            held.append(r | {"path": path})
+            if len(held) == SLICE:
+                yield held
+                held = []
     except Exception as e:  # whatever a damaged package raises; the original file is kept
-        return [row("issue", path=path, text=f"{type(e).__name__}: {e}"[:200])]
+        held = [row("issue", path=path, text=f"{type(e).__name__}: {e}"[:200])]
+    yield held
