@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,6 +79,13 @@ def split_guarded(df: DataFrame, url: str, cfg: SiteConfig = SiteConfig()) -> tu
     return df.where(~refused), issues
 
 
+def guarded(df: DataFrame, url: str, seen: Observation, cfg: SiteConfig = SiteConfig()) -> DataFrame:
+    """Rows whose url may be asked for. In the same pass ``seen`` gets the numbers of allowed, refused and unparsable rows."""
+    refused = is_forbidden(F.col(url), cfg)
+    told = F.coalesce(F.col(url).rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(False))
+    return df.observe(seen, F.count_if(~refused).alias("allowed"), F.count_if(refused & told).alias("refused"), F.count_if(~told).alias("unparsable")).where(~refused)
+
+
 def media_kind(x: Column) -> Column:
     """video or audio by ending or media type, else null."""
     return F.when(x.rlike(VIDEO) | x.startswith("video/"), "video").when(x.rlike(AUDIO) | x.startswith("audio/"), "audio")

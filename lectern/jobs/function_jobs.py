@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lectern.config import SiteConfig
@@ -9,6 +12,7 @@ from lectern.functions import dates, naming, text, urls
 from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import deadlines, relational
+from lectern.operators.stored import stored
 
 WS = "[\\x{9}\\x{A}\\x{B}\\x{C}\\x{D} \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 
@@ -80,6 +84,15 @@ def u03_split_guarded(spark, d):
     return p.join(yes, "page_id", "left").join(issues.select(F.col("url").alias("refused")), F.col("u") == F.col("refused"), "left").select("page_id", F.coalesce("a", F.lit(False)).alias("allowed"), "refused")
 
 
+@query("""select page_id, (select count(*) from pages where page_id % 5 < 2) as allowed, (select count(*) from pages where page_id % 5 in (2, 3)) as refused, (select count(*) from pages where page_id % 5 = 4) as unparsable from pages where page_id % 5 < 2""")
+def u03_guard_counts(spark, d):
+    """What the guard lets through, and how many rows it refused, counted in the pass that writes the others."""
+    head = F.element_at(F.array(*map(F.lit, ("https://campus.example.org/p/", "https://campus.example.org/q?x=", "https://other.example.org/p/", "https://campus.example.org/x?sesskey=", "no address "))), (F.col("page_id") % 5 + 1).cast("int"))
+    seen = Observation(f"guard-{uuid.uuid4().hex}")
+    allowed = stored(urls.guarded(read(spark, d, "pages").select("page_id", F.concat(head, "page_id").alias("u")), "u", seen, SiteConfig()), "allowed")
+    return allowed.select("page_id", *(F.lit(n).cast("bigint").alias(k) for k, n in seen.get.items()))
+
+
 @query("select page_id, 'https://c.example.org/a?id=' || page_id || '&redirect=1' as added, 'https://c.example.org/a?id=9&x=1#f' as replaced from pages")
 def u04_set_param(spark, d):
     base = F.concat(F.lit("https://c.example.org/a?id="), "page_id")
@@ -281,7 +294,7 @@ def n03_forward_fill(spark, d):
 def n03_forward_fill_of_one_key(spark, d):
     """All events are one key, filled range by range."""
     e = read(spark, d, "events").select("event_id", F.lit("all").alias("key"), F.when(F.col("event_type") == "error", F.col("value")).alias("x"))
-    return relational.forward_filled_by_ranges(e, ["key"], ["event_id"], "x", "filled").select("event_id", "filled")
+    return relational.forward_filled_by_ranges(e, ["key"], ["event_id"], {"filled": F.col("x")}).select("event_id", "filled")
 
 
 @query("select event_id, coalesce(event_type <> lag(event_type) over (order by event_id), true) as new_type, coalesce(user_id <> lag(user_id) over (order by event_id), true) as new_user from events")

@@ -90,6 +90,13 @@ def o04_number_lists(spark, d):
     return office.number_lists(items).select("path", "ord", F.col("number").cast("bigint").alias("number"))
 
 
+@query("select event_id as ord, case when user_id % 5 <> 0 then row_number() over (partition by user_id % 3, reset, user_id % 5 <> 0 order by event_id) end as number from (select *, max(case when user_id % 5 <> 0 and user_id % 3 = 0 then event_id end) over (order by event_id rows between unbounded preceding and 1 preceding) as r0, max(case when user_id % 5 <> 0 and user_id % 3 < 2 then event_id end) over (order by event_id rows between unbounded preceding and 1 preceding) as r1, case user_id % 3 when 0 then -1 when 1 then coalesce(r0, -1) else coalesce(r1, -1) end as reset from events)")
+def o04_lists_of_one_file(spark, d):
+    """All events as items of one list of one file: resets and numbers are carried from range to range."""
+    items = read(spark, d, "events").select(F.lit("f").alias("path"), F.lit(1).alias("num_id"), (F.col("user_id") % 3).cast("int").alias("ilvl"), (F.col("user_id") % 5 != 0).alias("ordered"), F.col("event_id").alias("ord"))
+    return office.number_lists_by_ranges(items, 3).select("ord", "number")
+
+
 @query("select p_partkey || '.xlsx' as path, unnest([1, 1, 3, 3]) as row, unnest([1, 2, 1, 28]) as col, unnest([p_name, p_brand, 'TRUE', cast(p_partkey as varchar)]) as value, unnest([null, null, null, 'A1+$B$1']) as formula from part where p_partkey % 50 <> 0")
 def o05_cells(spark, d):
     return office.office_cells(packages(part(spark, d), "xlsx")).select("path", "row", "col", "value", "formula")

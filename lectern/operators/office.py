@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from lectern.functions.naming import unique_names
 from lectern.functions.text import clean, present
-from lectern.operators.relational import joined_text
+from lectern.operators.relational import forward_filled_by_ranges, joined_text, ranked
 from lectern.sources.office import FIELDS, NAMES, read_package
 
 MAX_BYTES = 80 * 1024 * 1024
@@ -106,6 +106,17 @@ def number_lists(blocks: DataFrame, levels: int = 8) -> DataFrame:
     return marked.withColumn("number", F.when(F.col("ordered"), F.row_number().over(run))).drop("_reset")
 
 
+def number_lists_by_ranges(blocks: DataFrame, levels: int = 8) -> DataFrame:
+    """``number_lists`` for files of any size: the last resets and the numbers are carried from range to range."""
+    resets = {f"_reset{k}": F.when(F.col("ordered") & (F.col("ilvl") < k), F.col("ord")) for k in range(1, levels + 1)}
+    # an item's own level never is one of its resets, so the row itself can be looked at too
+    marked = forward_filled_by_ranges(blocks, ["path", "num_id"], ["ord"], resets)
+    reset = F.element_at(F.array(F.lit(-1).cast("bigint"), *(F.coalesce(F.col(k).cast("bigint"), F.lit(-1)) for k in resets)), F.least(F.col("ilvl"), F.lit(levels)) + 1)
+    marked = marked.withColumn("_reset", F.when(F.col("ordered"), reset)).drop(*resets)
+    numbered = ranked(marked.where("ordered"), ["ord"], "number", ["path", "num_id", "ilvl", "_reset"])
+    return numbered.unionByName(marked.where("not coalesce(ordered, false)").withColumn("number", F.lit(None).cast("bigint"))).drop("_reset")
+
+
 _REF = re.compile(r"\"[^\"]*\"|'[^']*'|(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)([0-9]+)(?![A-Za-z0-9_(.])")
 
 

@@ -79,15 +79,18 @@ def sorted_parts(df: DataFrame, order: list[Column | str], part: str, at: str) -
 
 
 def _carried(rows: DataFrame, part: str, at: str, keys: list[str], near: str, far: str, over: Callable[[Column], Column]) -> DataFrame:
-    """rows with ``far``: what ``over`` makes of near at the ends of the ranges before that end with the same key; null elsewhere.
+    """rows with ``far``: what ``over`` makes of each field of the struct near at the ends of the ranges before that end
+    with the same key; null where no key goes on.
 
-    near: a value of each row that stands for its key's rows up to it inside the range. Two rows a range are looked at.
+    near: what each row's key has come to up to it inside the range. Two rows a range are looked at.
     """
     (pos,) = unused(rows, "pos")
+    fields = rows.schema[near].dataType.fieldNames()
     tail = rows.groupBy(part).agg(F.max_by(F.struct(*keys, near), at).alias(far)).select(part, *(F.col(f"{far}.{k}").alias(k) for k in keys), F.col(f"{far}.{near}").alias(far), F.lit(1).alias(pos))
-    head = rows.where(F.col(at) == 0).select(part, *keys, F.lit(None).cast(dict(rows.dtypes)[near]).alias(far), F.lit(0).alias(pos))
+    head = rows.where(F.col(at) == 0).select(part, *keys, F.lit(None).cast(rows.schema[near].dataType).alias(far), F.lit(0).alias(pos))
     before = Window.partitionBy(*keys).orderBy(part, pos).rowsBetween(Window.unboundedPreceding, -1)
-    carried = head.unionByName(tail).withColumn(far, over(F.col(far)).over(before)).where(F.col(pos) == 0).drop(pos)
+    come = F.struct(*(over(F.col(f"{far}.{f}")).over(before).alias(f) for f in fields))
+    carried = head.unionByName(tail).withColumn(far, come).where(F.col(pos) == 0).drop(pos)
     same = [F.col(f"l.{part}") == F.col(f"r.{part}"), *(F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys)]
     joined = rows.alias("l").join(F.broadcast(carried.alias("r")), reduce(Column.__and__, same), "left")
     return joined.select(*(F.col(f"l.`{c}`") for c in rows.columns), F.col(f"r.{far}"))
@@ -103,8 +106,9 @@ def ranked(df: DataFrame, order: list[Column | str], into: str, keys: list[str]
     part, at, near, far = unused(df, "part", "at", "near", "far")
     rows = sorted_parts(df, [*keys, *order], part, at)
     if keys:
-        numbered = stored(rows.withColumn(near, F.row_number().over(Window.partitionBy(part, *keys).orderBy(at)).cast("bigint")), "numbered")
-        seen = _carried(numbered, part, at, keys, near, far, F.sum)
+        place = F.row_number().over(Window.partitionBy(part, *keys).orderBy(at)).cast("bigint")
+        numbered = stored(rows.withColumn(near, F.struct(place.alias("n"))), "numbered")
+        seen = _carried(numbered, part, at, keys, near, far, F.sum).withColumns({near: F.col(f"{near}.n"), far: F.col(f"{far}.n")})
     else:
         earlier = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
         counts = rows.groupBy(part).count().select(part, earlier.alias(far))
@@ -112,18 +116,19 @@ def ranked(df: DataFrame, order: list[Column | str], into: str, keys: list[str]
     return seen.select(*(F.col(f"`{c}`") for c in df.columns if c != into), (F.col(near) + F.coalesce(F.col(far), F.lit(0))).alias(into))
 
 
-def forward_filled_by_ranges(df: DataFrame, keys: list[str], order: list[str], column: str, into: str) -> DataFrame:
-    """``forward_filled`` for keys of any size: a key with all rows is worked on by as many tasks as the rows need.
+def forward_filled_by_ranges(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``forward_filled`` of several values at once (name: value), for keys of any size: one with all rows is many tasks.
 
-    Rows are sorted over all partitions; each range fills inside itself; the last value of the last key of a range is
+    Rows are sorted over all partitions; each range fills inside itself; the last values of the last key of a range are
     carried to where that key goes on. What is carried is two rows a range. Rows of a key should differ in the order.
     """
     part, at, near, far = unused(df, "part", "at", "near", "far")
     rows = sorted_parts(df, [*keys, *order], part, at)
     own = Window.partitionBy(part, *keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    filled = stored(rows.withColumn(near, F.last(column, ignorenulls=True).over(own)), "filled")
+    fields = {f"v{i}": n for i, n in enumerate(values)}
+    filled = stored(rows.withColumn(near, F.struct(*(F.last(v, ignorenulls=True).over(own).alias(f) for f, v in zip(fields, values.values())))), "filled")
     seen = _carried(filled, part, at, keys, near, far, lambda x: F.last(x, ignorenulls=True))
-    return seen.select(*(F.col(f"`{c}`") for c in df.columns if c != into), F.coalesce(near, far).alias(into))
+    return seen.select(*(F.col(f"`{c}`") for c in df.columns if c not in values), *(F.coalesce(f"{near}.{f}", f"{far}.{f}").alias(n) for f, n in fields.items()))
 
 
 def first_of_group_by_ranges(df: DataFrame, keys: list[str], order: list[str], groups: dict[str, Column]) -> DataFrame:

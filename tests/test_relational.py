@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern.operators import office
 from lectern.operators import relational as R
 
 SCHEMA = "k string, o long, v string, part int, at string, near string, last string"
@@ -25,13 +26,15 @@ def rows(df):
 @pytest.mark.parametrize("keys", [(None, "a", "b", "c"), ("hot",), tuple(map(str, range(300)))])
 def test_fill(spark, keys):
     df = table(spark, keys=keys)
-    assert rows(R.forward_filled_by_ranges(df, ["k"], ["o"], "v", "filled")) == rows(R.forward_filled(df, ["k"], ["o"], "v", "filled"))
+    tens = F.when(F.col("o") % 10 == 0, F.col("o"))
+    want = R.forward_filled(R.forward_filled(df, ["k"], ["o"], "v", "filled").withColumn("t", tens), ["k"], ["o"], "t", "ten").drop("t")
+    assert rows(R.forward_filled_by_ranges(df, ["k"], ["o"], {"filled": F.col("v"), "ten": tens})) == rows(want)
 
 
 def test_fill_without_values_and_empty(spark):
     df = table(spark).withColumn("v", F.lit(None).cast("string"))
-    assert all(r.filled is None for r in R.forward_filled_by_ranges(df, ["k"], ["o"], "v", "filled").collect())
-    assert R.forward_filled_by_ranges(df.limit(0), ["k"], ["o"], "v", "filled").count() == 0
+    assert all(r.filled is None for r in R.forward_filled_by_ranges(df, ["k"], ["o"], {"filled": F.col("v")}).collect())
+    assert R.forward_filled_by_ranges(df.limit(0), ["k"], ["o"], {"filled": F.col("v")}).count() == 0
 
 
 @pytest.mark.parametrize("keys", [(None, "a", "b", "c"), ("hot",)])
@@ -63,3 +66,12 @@ def test_one_key_is_many_ranges(spark):
     df = table(spark, 2000, ("hot",))
     parts = {r._part: r.n for r in R.sorted_parts(df, ["k", "o"], "_part", "_at").groupBy("_part").agg(F.count("*").alias("n")).collect()}
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts.values()) < 1200
+
+
+def test_lists_of_any_size(spark):
+    """Numbers of one file's lists, range by range, as by windows."""
+    rng = random.Random(8)
+    items = [(rng.choice(["one.docx"] * 9 + ["two.docx"]), rng.choice([None, "1", "2"]), rng.choice([0, 0, 1, 1, 2, 3, 11]), rng.random() < 0.8, i) for i in range(600)]
+    df = spark.createDataFrame(items, "path string, num_id string, ilvl int, ordered boolean, ord long").repartition(5)
+    assert rows(office.number_lists_by_ranges(df)) == rows(office.number_lists(df).withColumn("number", F.col("number").cast("bigint")))
+    assert office.number_lists_by_ranges(df.limit(0)).count() == 0
