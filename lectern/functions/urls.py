@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from lectern.config import SiteConfig
 from lectern.functions.text import present
 
+#: fixed values: endings of video and audio files
 VIDEO = r"(?i)\.(mp4|webm|m4v|mov|avi|mkv|ogv|wmv|flv)(\?|$)"
 AUDIO = r"(?i)\.(mp3|m4a|wav|ogg|oga|opus|flac|aac|wma)(\?|$)"
 #: fixed values: hosts and endings of embedded videos

@@ -270,10 +270,10 @@ def c15_resource_link(spark, d):
     return course.resource_link(parts).select(F.col("cmid").cast("bigint").alias("o_orderkey"), "url")
 
 
-@query("""with s as (select n_nationkey, n_name from nation), a as (select c_nationkey, string_agg('### 📃 ' || c_name || chr(10) || chr(10) || '- Type: `page` · Link: https://campus.example.org/mod/page/view.php?id=' || c_custkey || chr(10) || chr(10) || 'Text **' || c_custkey || '** [f](<files/Part/' || c_name || '/f ' || c_custkey || '.pdf>)', chr(10) || chr(10) order by c_custkey) as t, count(*) as n from customer group by 1)
- select cast(n_nationkey as varchar) as course_id, '# ' || n_name || chr(10) || chr(10) || '- URL: https://campus.example.org/course/view.php?id=' || n_nationkey || chr(10) || '- Scraped: 2025-01-02T00:00:00' || chr(10) || '- Activities: ' || coalesce(n, 0) || ' · Files: ' || coalesce(n, 0) || chr(10) || chr(10) || '## Deadlines & evaluations' || chr(10) || chr(10) || '_No quizzes, assignments or lessons found._' || chr(10) || chr(10) || '## Part' || coalesce(chr(10) || chr(10) || replace(t, chr(10) || chr(10) || 'Text', chr(10) || '- Files:' || chr(10) || '  - @' || chr(10) || chr(10) || 'Text'), '') as text from s left join a on n_nationkey = c_nationkey""")
+@query("""with s as (select n_nationkey, n_name from nation), a as (select c_nationkey, string_agg('### 📃 ' || c_name || chr(10) || chr(10) || '- Type: `page` · Link: https://campus.example.org/mod/page/view.php?id=' || c_custkey || chr(10) || '- Files:' || chr(10) || '  - [f ' || c_custkey || '.pdf](<files/Part/' || c_name || '/f ' || c_custkey || '.pdf>)' || chr(10) || chr(10) || 'Text **' || c_custkey || '** [f](<files/Part/' || c_name || '/f ' || c_custkey || '.pdf>)', chr(10) || chr(10) order by c_custkey) as t, count(*) as n from customer group by 1)
+ select cast(n_nationkey as varchar) as course_id, '# ' || n_name || chr(10) || chr(10) || '- URL: https://campus.example.org/course/view.php?id=' || n_nationkey || chr(10) || '- Scraped: 2025-01-02T00:00:00' || chr(10) || '- Activities: ' || coalesce(n, 0) || ' · Files: ' || coalesce(n, 0) || chr(10) || chr(10) || '## Deadlines & evaluations' || chr(10) || chr(10) || '_No quizzes, assignments or lessons found._' || chr(10) || chr(10) || '## Part' || coalesce(chr(10) || chr(10) || t, '') as text from s left join a on n_nationkey = c_nationkey""")
 def c17_course_export(spark, d):
-    """A course for each nation and a page for each customer: captures to documents. The file lists are cut to a sign."""
+    """A course for each nation and a page for each customer: captures to documents."""
     n, k = read(spark, d, "nation"), read(spark, d, "customer")
     item = F.concat(F.lit('<li class="activity modtype_page" data-id="'), "c_custkey", F.lit('"><a class="aalink" href="/mod/page/view.php?id='), "c_custkey", F.lit('"><span class="instancename">'), "c_name", F.lit("</span></a></li>"))
     items = k.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_join(course.in_order(F.col("c_custkey"), item), "").alias("items"))
@@ -286,8 +286,7 @@ def c17_course_export(spark, d):
         .unionByName(capture(k, "c_nationkey", F.concat(F.lit(f"{SITE}/pluginfile.php/1/f%20"), "c_custkey", F.lit(".pdf")), F.lit("application/pdf"), none, none))
     )
     out = course_export.course_export(captures, F.lit("2025-01-02 00:00:00").cast("timestamp_ntz"))["documents"]
-    cut = F.regexp_replace(F.regexp_replace("text", r"  - \[f \d+\.pdf\]\(<[^>]*>\)", "  - @"), r"\n$", "")
-    return out.select("course_id", cut.alias("text"))
+    return out.select("course_id", F.regexp_replace("text", r"\n$", "").alias("text"))
 
 
 @query("""select o_custkey as course_id, count(distinct o_orderkey) as n_activities, (select count(*) from lineitem join orders p on l_orderkey = p.o_orderkey where p.o_custkey = o.o_custkey and l_linenumber <> 1) as n_files,

@@ -132,9 +132,12 @@ def u10_completion(spark, d):
     return read(spark, d, "part").select("p_partkey", deadlines.completion_status(x).alias("status"))
 
 
-@query("select doc_id, case when regexp_matches(lower(w), '^(con|prn|aux|nul|com[0-9]|lpt[0-9])([.].*)?$') then '_' else '' end || coalesce(nullif(w, ''), 'untitled') as name, '_nul.txt' as reserved from (select doc_id, regexp_replace(trim(regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 60), '[<>:\"/\\\\|?*]', '_', 'g'), '[ \n\t\r]+', ' ', 'g')), '[. ]+$', '') as w from documents)")
+@query(rf"""select doc_id, coalesce(nullif(case when length(n) > 80 then regexp_replace(substr(n, 1, 80 - length(e)), '[ ]+$', '') || e else n end, ''), 'untitled') as name, '_nul.txt' as reserved
+ from (select doc_id, n, regexp_extract(n, '[.][A-Za-z0-9]{{1,8}}$') as e from (select doc_id, case when regexp_matches(lower(t), '^(con|prn|aux|nul|com[0-9]|lpt[0-9])([.].*)?$') then '_' else '' end || t as n
+ from (select doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\x00-\x1f\x7f]', '', 'g'), '[<>:"/\\|?*]', '_', 'g'), '{WS}+', ' ', 'g')), '[. ]+$', '') as t from documents)))""")
 def f01_sanitize(spark, d):
-    return read(spark, d, "documents").select("doc_id", naming.sanitize(F.regexp_replace(F.substring("text", 1, 60), r"[\n\t\r]+", " ")).alias("name"), naming.sanitize(F.lit("nul.txt")).alias("reserved"))
+    """Whole texts as names: most are longer than a name may be."""
+    return read(spark, d, "documents").select("doc_id", naming.sanitize(F.col("text")).alias("name"), naming.sanitize(F.lit("nul.txt")).alias("reserved"))
 
 
 @query("select n_nationkey, n_name || ' é à' as name, n_name as plain from nation")
@@ -324,9 +327,9 @@ def n04_first_of_group(spark, d):
     return relational.first_of_group(read(spark, d, "events"), ["user_id"], ["event_id"], F.col("event_type"), "first").select("event_id", "first")
 
 
-@query("select conv_id, string_agg(role || ': ' || text, '\n' order by turn, role, text) as text from conversations group by 1")
+@query("select conv_id, coalesce(string_agg(role || ': ' || text, '\n' order by turn, role, text), '') as text from conversations group by 1")
 def a05_joined_text(spark, d):
-    t = read(spark, d, "conversations").where("text is not null")
+    t = read(spark, d, "conversations")
     return t.groupBy("conv_id").agg(relational.joined_text(F.struct("turn", "role", "text"), F.concat("role", F.lit(": "), "text")).alias("text"))
 
 
