@@ -15,6 +15,8 @@ are too few as well, the fixed one in BANDS.
 
 Null text: no words (all counts 0, measures null), base_failed true, kept false. A text without letters has
 script 'none' and that script's band. Repeated rows give one row each; doc_id is passed through, null too.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -21,6 +21,8 @@ The joins that carry sets are hinted to merge; small tables of links and ids are
 Null or blank text: empty set, linked with nothing. Null doc_id: own row, never linked, component_id null,
 kept true. Repeated rows of one doc_id give one row each; where their texts differ, each
 is linked by its own text. Under five words: the whole sequence is one shingle.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

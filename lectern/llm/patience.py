@@ -15,6 +15,8 @@ The notices are a parameter; NOTICES holds those of common licenses, short and w
 Matched words far from the others are left out until the spread is small enough. Null or blank text: no rows of result. A text can carry several licenses: one row each, with
 the best notice; of licenses on the same words the one with more of its words matched, then the better covered, then the first by name;
 of places with equal coverage the first line. Repeated rows give their results each; a null doc_id is passed on.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

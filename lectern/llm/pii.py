@@ -23,6 +23,8 @@ modulo its size. Check digits are made anew:
 
 Halves over 32 characters reuse a round's keystream. Null text stays null; text without values is unchanged.
 Repeated rows give one row each; a null doc_id is passed through; other columns stay as they are.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

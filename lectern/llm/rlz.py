@@ -26,6 +26,8 @@ different windows give about n * n / 2 / 2**80 / blocks false hits: 1e-9 for the
 Null text: no words. Texts under 13 words lose nothing. Null doc_id: keeps its text and is no reference.
 Repeated rows of one doc_id have equal ids, so none is a reference for another; where a doc_id repeats, rows
 are told apart by a hash of their text, so each text loses its own spans.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ A record that is cut off or has a malformed header line gives its readable field
 JSON of a table of responses gives an issue too, never an error. Null payload: a metadata record of size 0 and no
 conversion record. Null url: no target URI line. Records whose text is empty are kept with length 0. Repeated rows give
 equal records each. Other columns of the input aren't read, so their names can't clash.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

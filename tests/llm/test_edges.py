@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import fertility, near_dup, pieces, templates, warc
+from lectern.llm import fertility, near_dup, patience, pieces, pii, rlz, templates, warc
 
 CLASHING = "_id _text _lang _script _size _a0 _b0 _measured _measured_kept gone key hash row m verdict n kept doc text_sha256 h t rep bands part at".split()
 
@@ -43,6 +43,11 @@ def test_stages_of_empty_tables(spark, tmp_path, odd_docs, name, stage):
 def test_empty_documents_give_no_rows(spark, odd_docs):
     none, bench = odd_docs.limit(0), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert templates.contaminated(none, bench).count() == templates.clean(none, bench).count() == near_dup.one_of_each(none).count() == fertility.kept_only(none).count() == 0
+    assert patience.scan(none).count() == fertility.quality(none).count() == pieces.encode(none).count() == pii.pseudonymised(none).count() == near_dup.near_duplicates(none).count() == 0
+    assert rlz.without_repeats(none).count() == rlz.factors(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    records = warc.response_records(pages).select(F.col("page_id").cast("string").alias("path"), F.col("record").alias("content"))
+    assert warc.derivatives(warc.responses_of(warc.parse_files(records)), "path").count() == 0
 
 
 @pytest.mark.parametrize("text", ["a" * 100_000, "=" * 50_000, "ha" * 50_000, "ab" * 30_000 + "c"])
