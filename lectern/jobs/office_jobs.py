@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import office
-from lectern.operators.stored import shared_folder, stored
+from lectern.operators.stored import dealt, shared_folder, stored
 from lectern.streaming.events import dedupe_stream, write_first_wins
 
 
@@ -60,7 +60,7 @@ def packages(df, kind: str):
 
 
 def part(spark, d):
-    return read(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
+    return dealt(read(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), F.col("p_brand").alias("b")))
 
 
 @query("select p_partkey || '.pptx' as path, unnest([1, 2]) as slide_no, unnest([p_name, 'second']) as title, '- ' || p_brand as lines from part where p_partkey % 50 <> 0")

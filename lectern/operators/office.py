@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,10 +14,12 @@ from pyspark.sql.types import StringType
 from lectern.functions.naming import unique_names
 from lectern.functions.text import clean, present
 from lectern.operators.relational import forward_filled_by_ranges, joined_text, ranked
-from lectern.sources.office import FIELDS, NAMES, read_package
+from lectern.sources.office import FIELDS, SLICE, read_package
 
 MAX_BYTES = 80 * 1024 * 1024
 GRID_ROWS, GRID_COLUMNS = 300, 30
+#: Bytes of pictures after which a task's rows leave.
+PICTURES = 16 << 20
 #: fixed values: kinds of Office files, and the old binary ones that aren't read
 KINDS = {"pptx": "slides", "odp": "slides", "docx": "docs", "odt": "docs", "xlsx": "sheets", "ods": "sheets"}
 LEGACY = ("ppt", "doc", "xls")
@@ -50,20 +53,30 @@ def package_rows(files: DataFrame) -> DataFrame:
     """Tagged rows of each package; files: (path, content) as the binaryFile reader gives them.
 
     The reader deals files to partitions by their length, so a batch, which is at most a partition, holds no more
-    bytes than a partition and one file. Packages are read one after the other, and rows of sheets leave while
-    their part is read.
+    bytes than a partition and one file. Packages are read one after the other; rows of small ones leave together,
+    those of sheets while their part is read. Packages made or kept as rows of a table should be dealt out by their
+    number first (``stored.dealt``): one takes milliseconds, and a table's bytes don't tell how many there are.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                for rows in read_package(path, path.rsplit(".", 1)[-1].lower(), bytes(data)):
-                    out = pd.DataFrame(rows, columns=NAMES)
-                    for k in ("no", "ord", "row", "col", "ilvl"):
-                        out[k] = out[k].astype("Int32")
-                    yield out
-
-    return files.select("path", "content").mapInPandas(run, FIELDS)
+    return files.select("path", "content").mapInArrow(package_batches, FIELDS)
+
+
+def package_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of packages (path, content), many packages together, up to SLICE rows or PICTURES bytes of pictures."""
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in map(str.split, FIELDS.split(", "))])
+    held: list[dict] = []
+    size = 0
+    for b in batches:
+        for path, data in zip(b.column("path"), b.column("content"), strict=True):
+            name = path.as_py()
+            for rows in read_package(name, name.rsplit(".", 1)[-1].lower(), data.as_py()):
+                held += rows
+                size += sum(len(r["data"] or b"") for r in rows)
+                if len(held) >= SLICE or size > PICTURES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
 def office_slides(rows: DataFrame) -> DataFrame:

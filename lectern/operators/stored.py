@@ -25,3 +25,9 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/lectern/{uuid.uuid4().hex}/{name}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Small rows whose work is large dealt over all tasks: as pages or packages to be made and read, of which a split by bytes holds too many."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism))

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,20 @@ def test_grid_caps(spark):
     lines = r.md.split("\n")
     assert lines[0].endswith("| AC | AD |") and lines[-1] == "_Truncated: showing 300 of 301 rows and 30 of 31 columns — see the original file._" and len(lines) == 304
     assert office.sheet_markdown(cells.withColumn("value", F.lit(" "))).count() == 0
+
+
+def test_rows_of_small_packages_leave_together(monkeypatch):
+    """A package costs no batch of its own; pictures bound a batch."""
+    content = package({"word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>a</w:t></w:r></w:p></w:body></w:document>', "word/media/i.png": "x" * 100})
+    files = pa.RecordBatch.from_pydict({"path": [f"{i}.docx" for i in range(40)], "content": [content] * 40})
+    (out,) = office.package_batches(iter([files.slice(0, 15), files.slice(15)]))
+    assert out.column("path").to_pylist() == [f"{i}.docx" for i in range(40) for _ in range(2)]
+    monkeypatch.setattr(office, "PICTURES", 950)
+    assert [b.num_rows for b in office.package_batches(iter([files]))] == [20] * 4
+    assert list(office.package_batches(iter([files.slice(0, 0)]))) == []
+
+
+def test_made_packages_are_dealt_over_tasks(spark):
+    from lectern.jobs import office_jobs
+
+    assert office_jobs.part(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
