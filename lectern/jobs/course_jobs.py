@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import course, course_export, pages
-from lectern.operators.stored import shared_folder
+from lectern.operators.stored import dealt, shared_folder, stored
 from lectern.sources.files import write_named
 
 SITE = "https://campus.example.org"
@@ -23,8 +23,8 @@ def activity_page(body, header="", crumbs=None, after=""):
 
 
 def parts_of(df, url, html):
-    """Parsed parts of pages built from a table."""
-    return course.parse_pages(df.select(F.lit("c").alias("course_id"), url.alias("url"), html.alias("html")))
+    """Parsed parts of pages built from a table, whose rows are dealt out first: each is a page to parse. Kept for all that read them."""
+    return stored(course.parse_pages(dealt(df).select(F.lit("c").alias("course_id"), url.alias("url"), html.alias("html"))), "parts")
 
 
 def address(kind, key, more=""):

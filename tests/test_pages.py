@@ -89,3 +89,13 @@ def test_one_bad_page_is_a_row(spark, monkeypatch):
     links = spark.createDataFrame([(1, '<a href="x">a</a><object data="/o"></object><frame src="/f"><video><source src="v.mp4"></video><a href="mailto:m">m</a>', f"{SITE}/p/"), (1, '<a href="y">a</a><embed src="e">', f"{SITE}/q/")], "k int, html string, url string")
     found = sorted(((r.tag, r.url, r.player) for r in pages.extract_links(links, "k").collect()), key=repr)
     assert found == sorted([("a", f"{SITE}/p/x", None), ("object", f"{SITE}/o", None), ("frame", f"{SITE}/f", None), ("source", f"{SITE}/p/v.mp4", "video"), ("a", None, None), ("a", f"{SITE}/q/y", None), ("embed", f"{SITE}/q/e", None)], key=repr)
+
+
+def test_pages_made_of_rows_are_dealt_and_parsed_once(spark):
+    """A table of one split is many pages: they are dealt over all tasks, and what is read of them is kept."""
+    from lectern.jobs import course_jobs
+
+    rows = spark.range(40).coalesce(1)
+    parts = course_jobs.parts_of(rows, course_jobs.address("quiz", "id"), course_jobs.activity_page("<div class='quizinfo'><p>a</p></div>"))
+    assert parts.where("kind = 'info'").count() == 40 and len(parts.inputFiles()) == 4
+    assert "MapInPandas" not in parts._jdf.queryExecution().toString()
