@@ -113,3 +113,11 @@ def test_first_wins_is_stable_under_partitions(spark):
 
 def test_decode_html(spark):
     assert one(spark, text.decode_html(F.lit("<b>a</b>&nbsp;&amp;&#233;\n c")), text.decode_html(F.lit(None).cast("string"))) == ("a &é c", "")
+
+
+def test_clean_changes_only_what_it_must(spark):
+    """Single blanks are no match; every other white space and every run is one blank."""
+    assert text._UNCLEAN.count("x20") == 1
+    rows = [("a b", "a b"), ("a  b", "a b"), ("\ta b\n", "a b"), ("  a \r\n b ", "a b"), ("", ""), (None, "")]
+    df = spark.createDataFrame(rows, "s string, want string")
+    assert [r.c for r in df.select(text.clean(F.col("s")).alias("c")).collect()] == [w for _, w in rows]
