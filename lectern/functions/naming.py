@@ -95,12 +95,20 @@ def zip_dir(parts: Column) -> Column:
     parents = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1))
     leaf = F.try_element_at(parts, F.lit(-1))
     join = lambda p: F.concat_ws("/", F.lit("files"), p)
-    short = lambda most: F.transform(parents, lambda p: sanitize(p, most, composed=False))
-    tries = [join(parents), *(join(short(most)) for most in (40, 33, 26, 19, 12))]
-    prefix = F.coalesce(*(F.when(F.length(t) <= 120, t) for t in tries[:-1]), tries[-1])
-    room = F.greatest(F.lit(12), 149 - F.length(prefix))
-    cut = sanitize(leaf, room, composed=False)
-    return F.when(leaf.isNull(), prefix).otherwise(F.concat(prefix, F.lit("/"), F.when(F.length(leaf) > 149 - F.length(prefix), cut).otherwise(leaf)))
+
+    def fitting(limits: tuple[int, ...]) -> Column:
+        """The parents' path by the first limit that makes it fit, else by the last; each is worked out only if it is needed, and once."""
+        shorter = join(F.transform(parents, lambda p: sanitize(p, limits[0], composed=False)))
+        if len(limits) == 1:
+            return shorter
+        return bound(shorter, lambda t: F.when(F.length(t) <= 120, t).otherwise(fitting(limits[1:])))
+
+    def whole(prefix: Column) -> Column:
+        room = 149 - F.length(prefix)
+        cut = sanitize(leaf, F.greatest(F.lit(12), room), composed=False)
+        return F.when(leaf.isNull(), prefix).otherwise(F.concat(prefix, F.lit("/"), F.when(F.length(leaf) > room, cut).otherwise(leaf)))
+
+    return bound(bound(join(parents), lambda t: F.when(F.length(t) <= 120, t).otherwise(fitting((40, 33, 26, 19, 12)))), whole)
 
 
 def folder_subpath(url: Column) -> Column:

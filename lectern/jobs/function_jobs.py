@@ -12,7 +12,7 @@ from lectern.functions import dates, naming, text, urls
 from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import deadlines, relational
-from lectern.operators.stored import stored
+from lectern.operators.stored import dealt, stored
 
 WS = "[\\x{9}\\x{A}\\x{B}\\x{C}\\x{D} \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 
@@ -170,7 +170,7 @@ def f05_filename_for(spark, d):
 @query("""select p_partkey, case when p_size % 2 = 0 then 'files/' || p_name || '/leaf' else 'files/' || rtrim(substr(repeat('abcdefg ', 10), 1, 40)) || '/' || rtrim(substr(repeat('hijklmn ', 10), 1, 40)) || '/leaf' end as dir from part""")
 def f06_zip_dir(spark, d):
     long = F.array(*(F.trim(F.repeat(F.lit(x), 10)) for x in ("abcdefg ", "hijklmn ")), F.lit("leaf"))
-    return read(spark, d, "part").select("p_partkey", naming.zip_dir(F.when(F.col("p_size") % 2 == 0, F.array(F.col("p_name"), F.lit("leaf"))).otherwise(long)).alias("dir"))
+    return dealt(read(spark, d, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", naming.zip_dir(F.when(F.col("p_size") % 2 == 0, F.array(F.col("p_name"), F.lit("leaf"))).otherwise(long)).alias("dir"))
 
 
 @query("""select doc_id, case when n = 1 then w || '.txt' else w || ' (' || n || ').txt' end as name from (select doc_id, w, row_number() over (partition by source, lower(w) order by doc_id) as n

@@ -121,3 +121,12 @@ def test_clean_changes_only_what_it_must(spark):
     rows = [("a b", "a b"), ("a  b", "a b"), ("\ta b\n", "a b"), ("  a \r\n b ", "a b"), ("", ""), (None, "")]
     df = spark.createDataFrame(rows, "s string, want string")
     assert [r.c for r in df.select(text.clean(F.col("s")).alias("c")).collect()] == [w for _, w in rows]
+
+
+def test_zip_dir_names_its_prefix_once(spark):
+    """A path's prefix is worked out once for a row: the plan doesn't grow by copies of it."""
+    df = spark.createDataFrame([(["p" * 70, "q" * 70, "leaf"],), (None,), (["a", None],)], "parts array<string>")
+    made = df.select(naming.zip_dir(F.col("parts")).alias("dir"))
+    assert [r.dir for r in made.collect()] == [f"files/{'p' * 40}/{'q' * 40}/leaf", "files", "files/a"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") < 60, plan.count("transform(")
