@@ -11,7 +11,7 @@ from lectern.functions.text import clean, file_link, present
 from lectern.operators.course_pages import parse_course, parse_pages
 from lectern.operators.deadlines import collect_meta, completion_status, split_meta_line
 from lectern.operators.pages import external_url
-from lectern.operators.relational import first_wins, joined_text
+from lectern.operators.relational import first_wins, joined_text, worked_out
 from lectern.operators.stored import stored
 
 __all__ = ["external_url", "parse_course", "parse_pages"]
@@ -155,8 +155,10 @@ def page_common(activities: DataFrame, parts: DataFrame) -> DataFrame:
 
 def line_facts(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Different fact lines in order, and the meta map they give; lines: (keys, ord, line)."""
-    once = first_wins(lines.withColumn("line", clean(F.col("line"))).where("line <> ''").select(*keys, "line", "ord"), [*keys, "line"], ["ord"])
-    pairs = once.withColumn("_m", split_meta_line(F.col("line"))).select(*keys, "ord", "_m.label", "_m.value").where("label is not null")
+    cleaned = worked_out(lines.select(*keys, "ord", F.col("line").alias("_raw")), {"line": clean(F.col("_raw"))})
+    once = first_wins(cleaned.where("line <> ''").select(*keys, "line", "ord"), [*keys, "line"], ["ord"])
+    # only a line with a colon has a label; this test goes below the aggregate
+    pairs = worked_out(once.where(F.col("line").contains(":")), {"_m": split_meta_line(F.col("line"))}).select(*keys, "ord", "_m.label", "_m.value").where("label is not null")
     return once.select(*keys, "ord", "line"), collect_meta(pairs, keys)
 
 

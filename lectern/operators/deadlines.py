@@ -7,29 +7,33 @@ from pyspark.sql import functions as F
 
 from lectern.config import DONE, LABELS, TODO
 from lectern.functions.dates import parse_date
-from lectern.functions.text import clean, course_cell, md_row, present
-from lectern.operators.relational import first_wins
+from lectern.functions.text import bound, clean, course_cell, md_row, present
+from lectern.operators.relational import first_wins, worked_out
 
 DEADLINE_TYPES = ("quiz", "assign", "lesson")
 
 
 def meta_key(label: Column) -> Column:
-    out = None
-    for key, pattern in LABELS.items():
-        out = F.when(label.rlike(pattern), key) if out is None else out.when(label.rlike(pattern), key)
-    return out
+    def known(x: Column) -> Column:
+        out = None
+        for key, pattern in LABELS.items():
+            out = F.when(x.rlike(pattern), key) if out is None else out.when(x.rlike(pattern), key)
+        return out
+
+    return bound(label, known)
 
 
 def split_meta_line(line: Column) -> Column:
     """struct(label, value) of a line "label : value", fields null if it isn't one."""
     pattern = r"^([^:]{2,60}?)\s*:\s*(.+)$"
-    get = lambda i: present(F.regexp_extract(clean(line), pattern, i))
-    return F.struct(get(1).alias("label"), get(2).alias("value"))
+    get = lambda x, i: present(F.regexp_extract(x, pattern, i))
+    return bound(clean(line), lambda x: F.struct(get(x, 1).alias("label"), get(x, 2).alias("value")))
 
 
 def collect_meta(lines: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """(keys, meta): the first value of each meta key; lines: (keys, ord, label, value)."""
-    rows = lines.select(*keys, order, meta_key(clean(F.col("label"))).alias("key"), present(clean(F.col("value"))).alias("value")).where("key is not null and value is not null")
+    found = worked_out(lines.select(*keys, order, "label", F.col("value").alias("_said")), {"key": meta_key(clean(F.col("label"))), "value": present(clean(F.col("_said")))})
+    rows = found.select(*keys, order, "key", "value").where("key is not null and value is not null")
     one = first_wins(rows, [*keys, "key"], [order])
     return one.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("meta"))
 

@@ -21,6 +21,11 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(row.alias("_row")).select(*[k if k in keys else F.col(f"_row.{k}") for k in df.columns])
 
 
+def worked_out(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns, each worked out once a row: filters on them come after, where a plain projection has them copied into the filter."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)

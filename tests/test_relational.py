@@ -75,3 +75,15 @@ def test_lists_of_any_size(spark):
     df = spark.createDataFrame(items, "path string, num_id string, ilvl int, ordered boolean, ord long").repartition(5)
     assert rows(office.number_lists_by_ranges(df)) == rows(office.number_lists(df).withColumn("number", F.col("number").cast("bigint")))
     assert office.number_lists_by_ranges(df.limit(0)).count() == 0
+
+
+def test_meta_lines_are_worked_out_once(spark):
+    """Filters on labels and keys don't repeat the patterns: a copy for each would be tried on each line."""
+    from lectern.operators import course
+
+    df = spark.createDataFrame([(1, 0, "Attempts  allowed : 2"), (1, 1, "Attempts allowed : 3"), (1, 2, "plain"), (2, 0, " ")], "k int, ord int, line string")
+    lines, meta = course.line_facts(df, ["k"])
+    assert sorted((r.k, r.line) for r in lines.collect()) == [(1, "Attempts allowed : 2"), (1, "Attempts allowed : 3"), (1, "plain")]
+    assert [(r.k, dict(r.meta)) for r in meta.collect()] == [(1, {"attempts": "2"})]
+    plan = meta._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("RLIKE" in x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter")), plan
