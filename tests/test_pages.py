@@ -99,3 +99,21 @@ def test_pages_made_of_rows_are_dealt_and_parsed_once(spark):
     parts = course_jobs.parts_of(rows, course_jobs.address("quiz", "id"), course_jobs.activity_page("<div class='quizinfo'><p>a</p></div>"))
     assert parts.where("kind = 'info'").count() == 40 and len(parts.inputFiles()) == 4
     assert "MapInPandas" not in parts._jdf.queryExecution().toString()
+
+
+def test_rows_of_pages_leave_in_slices(spark, monkeypatch):
+    """A task holds the rows of a few pages, not those of a whole batch; keys and order of the rows stay."""
+    import pyarrow as pa
+
+    from lectern.operators import course_pages
+
+    monkeypatch.setattr(course_pages, "SLICE", 3)
+    df = spark.createDataFrame([(str(i), f"https://c/mod/book/view.php?id={i}", "".join(f'<div class="book_chapter">n{i}.{k}</div>' for k in range(i))) for i in range(1, 9)], "course_id string, url string, html string")
+    made = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: made.append(fn))
+    course_pages.parse_pages(df)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in df.orderBy("course_id").collect()])
+    out = list(made[0](iter([batch])))
+    assert [len(set(b.column("course_id").to_pylist())) for b in out] == [3, 3, 2]
+    rows = [(r["course_id"], r["ord"]) for b in out for r in b.to_pylist()]
+    assert rows == [(str(i), k) for i in range(1, 9) for k in range(i)]
