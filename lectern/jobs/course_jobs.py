@@ -130,8 +130,8 @@ def c01_parse_sections(spark, d):
 
 @query("""select cast(page_id as varchar) as course_id, v.* from pages, lateral (values ('1', null, 'One ' || page_id, 'quiz,label,subsection'), ('4', '1', 'Inner', 'page'), ('2', null, 'Section 8', 'url')) v(section_id, parent, title, activities)""")
 def c02_attach_remote(spark, d):
-    """A section without content takes it from its own page; an inline subsection takes its activity's title."""
-    rows = course_pages(spark, d)
+    """A section without content takes it from its own page; an inline subsection takes its activity's title. The parsed rows are kept: six steps read them."""
+    rows = stored(course_pages(spark, d), "rows")
     sections, acts = course.attach_remote_sections(course.parse_sections(rows), course.parse_activities(rows), F.col("url").contains("/course/view.php"))
     held = acts.groupBy("course_id", "section_id").agg(F.array_join(course.in_order(F.col("ord"), F.col("type")), ",").alias("activities"))
     return sections.join(held, ["course_id", "section_id"], "left").select("course_id", "section_id", F.col("parent_section_id").alias("parent"), "title", "activities")
