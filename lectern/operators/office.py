@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from lectern.functions.naming import unique_names
 from lectern.functions.text import clean, present
 from lectern.operators.relational import forward_filled_by_ranges, joined_text, ranked
+from lectern.operators.stored import stored
 from lectern.sources.office import FIELDS, SLICE, read_package
 
 MAX_BYTES = 80 * 1024 * 1024
@@ -196,9 +197,9 @@ def sheet_markdown(cells: DataFrame) -> DataFrame:
 def office_images(rows: DataFrame, folder: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """One row for each picture part with a unique name in its file's folder, and a warning for vector pictures.
 
-    Names are numbered without the pictures' bytes, which are joined last.
+    Names are numbered without the pictures' bytes, which are joined last; pictures are kept for that, so packages are read once.
     """
-    images = rows.where("kind = 'image'").select("path", F.col("text").alias("part"), "name", "data")
+    images = stored(rows.where("kind = 'image'").select("path", F.col("text").alias("part"), "name", "data"), "pictures")
     named = unique_names(images.drop("data"), ["path"], "name", "part").join(images.select("path", "part", "data"), ["path", "part"])
     vector = images.where(F.lower("name").rlike(r"\.(emf|wmf)$")).select(F.lit("office").alias("source"), F.lit("warning").alias("severity"), F.concat(F.lit("vector picture may not show: "), "name").alias("message"), F.col("path").alias("url"))
     return named, vector

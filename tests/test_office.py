@@ -179,3 +179,36 @@ def test_made_packages_are_dealt_over_tasks(spark):
     from lectern.jobs import office_jobs
 
     assert office_jobs.part(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_small_parts_are_inflated_once(monkeypatch):
+    """The look through a package and its reading share one inflation of each small XML part."""
+    import io
+    import zipfile
+
+    from lectern.sources import office as source
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>a</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/media/i.png", "x")
+    opened = []
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, f=zipfile.ZipFile.open, **k: opened.append(getattr(name, "filename", name)) or f(self, name, *a, **k))
+    rows = [r for part in source.read_package("f.docx", "docx", buffer.getvalue()) for r in part]
+    assert [(r["kind"], r["path"]) for r in rows] == [("block", "f.docx"), ("image", "f.docx")]
+    assert sorted(opened) == ["word/document.xml", "word/media/i.png"]
+
+
+def test_pictures_read_packages_once(spark):
+    """Names and bytes of pictures come from one reading of the packages."""
+    rows = spark.createDataFrame([("a.docx", "image", "word/media/i.png", "i.png", b"x")], "path string, kind string, text string, name string, data binary")
+    reads = rows.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    named, _ = office.office_images(rows.mapInPandas(count, rows.schema))
+    assert [(r.path, r.unique_name, bytes(r.data)) for r in named.collect()] == [("a.docx", "i.png", b"x")]
+    assert reads.value == 1
