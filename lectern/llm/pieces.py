@@ -361,6 +361,12 @@ def nth_ids(x: dict, k: int) -> np.ndarray:
     return np.concatenate([*parts, x["ids"][at:]])
 
 
+def swaps_decode(m: Model, x: dict) -> bool:
+    """Whether all that other segmentations take in place of ids of the best one decodes to the same text."""
+    text = lambda ids: decode(m, [m.ids[SPACE], *ids])
+    return all(text(ids) == text(x["ids"][x["cuts"][i] : x["cuts"][i + 1]].tolist()) for way in x["swaps"] for i, ids in way)
+
+
 def _encode(path: str, nbest: int, digest: bool):
     made: list[Encoder] = []  # ends with the task
 
@@ -374,9 +380,10 @@ def _encode(path: str, nbest: int, digest: bool):
         if not digest:
             every = [None if r is None else [nth_ids(r, k).astype(np.int32) for k in range(len(r["swaps"]))] for r in rows]
             return {"n_pieces": n, "nbest_scores": scores, "nbest_ids": pa.array(every, pa.list_(pa.list_(pa.int32())))}
-        exact = [None if r is None else decode(enc.m, r["ids"].tolist()).encode("utf-8", "surrogatepass") == t for r, t in zip(rows, raw, strict=True)]
-        sha = [None if r is None else hashlib.sha256(r["ids"].astype("<i4").tobytes()).hexdigest() for r in rows]
-        return {"n_pieces": n, "nbest_scores": scores, "ids_sha256": pa.array(sha, pa.string()), "exact": pa.array(exact, pa.bool_())}
+        exact = [None if r is None else decode(enc.m, r["ids"].tolist()).encode("utf-8", "surrogatepass") == t and swaps_decode(enc.m, r) for r, t in zip(rows, raw, strict=True)]
+        every = [None if r is None else [hashlib.sha256(nth_ids(r, k).astype("<i4").tobytes()).hexdigest() for k in range(len(r["swaps"]))] for r in rows]
+        sha = [None if x is None else x[0] for x in every]
+        return {"n_pieces": n, "nbest_scores": scores, "ids_sha256": pa.array(sha, pa.string()), "nbest_sha256": pa.array(every, pa.list_(pa.string())), "exact": pa.array(exact, pa.bool_())}
 
     return fn
 
@@ -399,8 +406,8 @@ def decoded(encoded: DataFrame, ids: str = "nbest_ids", model: str = MODEL) -> D
 
 
 def op4_nbest_pieces(spark, sf_dir: str) -> DataFrame:
-    """Digest of each document's encoding: number of pieces, scores of the 4 best, hash of the ids, exact round trip."""
+    """Digest of each document's encoding: number of pieces; scores and hashes of the ids of the 4 best; exact round trip of all four."""
     return c.map_texts(
         c.read(spark, sf_dir, "documents"), _encode(MODEL, NBEST, True),
-        "n_pieces bigint, nbest_scores array<double>, ids_sha256 string, exact boolean", most=CHUNK,
+        "n_pieces bigint, nbest_scores array<double>, ids_sha256 string, nbest_sha256 array<string>, exact boolean", most=CHUNK,
     )

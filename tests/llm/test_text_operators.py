@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -149,6 +150,25 @@ def test_nbest_against_all_paths(text):
     assert len(set(found)) == len(found) and all(pieces.decode(m, list(x)) == text for x in found)
 
 
+def test_digest_tells_all_segmentations(spark):
+    """The query's digest has a hash for the ids of each of the n best, and its round trip is that of all."""
+    import hashlib
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    docs = spark.createDataFrame([(1, "the thing in there é漢"), (2, ""), (3, None), (4, "a")], "doc_id long, text string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    want = {r.doc_id: r.nbest_ids for r in pieces.encode(docs).collect()}
+    for r in pieces.op4_nbest_pieces(spark, folder).collect():
+        ids = want[r.doc_id]
+        assert r.nbest_sha256 == (None if ids is None else [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids])
+        assert r.ids_sha256 == (None if ids is None else r.nbest_sha256[0]) and r.exact == (None if ids is None else True)
+    r = pieces.Encoder(pieces.MODEL, 4)([b"the thing"])[0]
+    assert pieces.swaps_decode(pieces.load(), r)
+    r["swaps"][1] = [(0, (pieces.load().byte0 + 65,))]
+    assert not pieces.swaps_decode(pieces.load(), r)
+
+
 def test_encoding_round_trip(odd_docs):
     encoded = pieces.encode(odd_docs)
     back = [r.text for r in pieces.decoded(encoded).collect()]
