@@ -119,11 +119,14 @@ def dedupe_assets(requests: DataFrame, order: list[str]) -> DataFrame:
 
 
 def place_assets(assets: DataFrame, order: str = "ord", video: bool = False, audio: bool = False) -> DataFrame:
-    """Adds name, path and media; assets: (course_id, parts, disposition, url, mime, ord). Unwanted media get no path."""
+    """Adds name, path and media; assets: (course_id, parts, disposition, url, mime, ord). Unwanted media get no path.
+
+    Names are worked out once and stored, as numbering them reads them several times.
+    """
     media = F.coalesce(urls.skipped_media(F.col("url"), video, audio), urls.skipped_media(F.coalesce("mime", F.lit("")), video, audio))
-    rows = assets.withColumns({"dir": naming.zip_dir(F.col("parts")), "name": naming.filename_for(F.col("disposition"), F.col("url"), F.col("mime")), "media": media})
-    stored = naming.unique_names(rows.where("media is null"), ["course_id", "dir"], "name", order)
-    return stored.withColumn("path", F.concat("dir", F.lit("/"), "unique_name")).drop("unique_name").unionByName(rows.where("media is not null").withColumn("path", F.lit(None).cast("string")))
+    rows = stored(assets.withColumns({"dir": naming.zip_dir(F.col("parts")), "name": naming.filename_for(F.col("disposition"), F.col("url"), F.col("mime")), "media": media}), "named")
+    kept = naming.unique_names(rows.where("media is null"), ["course_id", "dir"], "name", order)
+    return kept.withColumn("path", F.concat("dir", F.lit("/"), "unique_name")).drop("unique_name").unionByName(rows.where("media is not null").withColumn("path", F.lit(None).cast("string")))
 
 
 def own_parts(parts: DataFrame) -> DataFrame:

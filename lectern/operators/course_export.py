@@ -19,7 +19,7 @@ from lectern.operators import course as c
 from lectern.operators import pages as p
 from lectern.operators.deadlines import collect_meta, deadlines, lesson_fix
 from lectern.operators.relational import first_wins, joined_text
-from lectern.operators.stored import stored
+from lectern.operators.stored import dealt, stored
 
 KEYS = ["course_id", "owner"]
 #: fixed values: the deadlines table's columns
@@ -120,12 +120,13 @@ def placed_files(requests: DataFrame, files: DataFrame, wrappers: DataFrame, con
     keyed = stored(c.dedupe_assets(found, order), "requests")
     whole = F.struct(*order)
     firsts = first_wins(keyed.where(whole == F.col("asset")).select("course_id", "key", "asset", "parts", "disposition", F.coalesce("final_url", "url").alias("url"), "mime"), ["course_id", "asset"], ["key"])
-    firsts = firsts.withColumn("ord", F.row_number().over(Window.partitionBy("course_id").orderBy("asset")))
-    assets = c.place_assets(firsts.drop("asset", "key")).join(firsts.select("course_id", "ord", "asset"), ["course_id", "ord"])
+    firsts = stored(firsts.withColumn("ord", F.row_number().over(Window.partitionBy("course_id").orderBy("asset"))), "firsts")
+    assets = c.place_assets(dealt(firsts.drop("asset", "key"))).join(firsts.select("course_id", "ord", "asset"), ["course_id", "ord"])
     if converted is not None:
         assets = assets.join(converted.select("course_id", "path", "md_path"), ["course_id", "path"], "left")
     else:
         assets = assets.withColumn("md_path", _null())
+    assets = stored(assets, "assets")
     lines = c.asset_line(assets).select("course_id", "asset", "name", "path", "media", "md_path", "line")
     return assets, keyed.join(lines, ["course_id", "asset"]), lost
 
@@ -138,18 +139,19 @@ def course_export(captures: DataFrame, now: Column, cfg: SiteConfig = SiteConfig
     """
     allowed, refused = urls.split_guarded(captures.withColumn("_u", F.coalesce("final_url", "url")), "_u", cfg)
     pages = p.html_pages(allowed).select("course_id", F.col("_u").alias("url"), "html")
+    # small pages are dealt out wherever they are parsed: a split or a coalesced partition holds too many of them
     outline = F.col("url").rlike(r"/course/(view|section)\.php|/mod/subsection/")
-    rows, parts = stored(c.parse_course(pages.where(outline)), "rows"), stored(c.parse_pages(pages.where(~outline & F.col("url").contains("/mod/"))), "parts")
+    rows, parts = stored(c.parse_course(dealt(pages.where(outline))), "rows"), stored(c.parse_pages(dealt(pages.where(~outline & F.col("url").contains("/mod/")))), "parts")
     tree, acts, notes = course_tree(rows)
     forum, plan = stored(c.forum_posts(parts), "forum"), stored(c.lesson_plan(parts, cfg), "plan")
     acts = stored(c.page_common(acts, parts), "activities")
-    fragments = stored(_fragments(tree, acts, parts, forum, plan), "fragments")
-    links = p.extract_links(fragments, ["course_id", "fid"]).join(fragments.select("course_id", "fid", "owner", "priority", "place", "parts"), ["course_id", "fid"])
+    fragments = stored(dealt(_fragments(tree, acts, parts, forum, plan)), "fragments")
+    links = stored(p.extract_links(fragments, ["course_id", "fid"]).join(fragments.select("course_id", "fid", "owner", "priority", "place", "parts"), ["course_id", "fid"]), "links")
     assets, files, lost = placed_files(_requests(acts, parts, forum, plan, links, cfg), p.file_captures(allowed), c.resource_link(parts), converted)
-    assets, files = stored(assets, "assets"), stored(files, "files")
+    files = stored(files, "files")
     local = first_wins(files.select("course_id", urls.norm_url(F.col("url")).alias("key"), "path").where("path is not null"), ["course_id", "key"], ["path"])
     mapped = fragments.join(p.asset_map(links.drop("owner", "place", "parts"), local, ["course_id", "fid"]), ["course_id", "fid"], "left")
-    md = p.pages_to_markdown(mapped, ["course_id", "fid"], min_heading="heading", url_map="paths").select("course_id", "fid", "md", "error")
+    md = p.pages_to_markdown(dealt(mapped), ["course_id", "fid"], min_heading="heading", url_map="paths").select("course_id", "fid", "md", "error")
     made = stored(fragments.drop("html").join(md, ["course_id", "fid"]), "markdown")
 
     lines, meta = _facts(acts, parts, made, plan, forum, files)

@@ -1,9 +1,12 @@
 """Captured pages and files to the course's tables and document."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import course, course_export, pages
+from lectern.operators.stored import shared_folder
 
 from .course_fixture import captures
 
@@ -70,6 +73,18 @@ def test_document_in_order(export):
     assert "8811" not in text and "in the index only" not in text and text.count("Tree key\n") == 1
 
 
+def test_pages_of_one_split_are_parsed_by_many_tasks(spark):
+    """Small pages that lie in one split are dealt out before they are parsed, and read for links, and rendered; names are worked out once."""
+    rows = [("1", f"https://campus.example.org/mod/page/view.php?id={i}", None, 200, "text/html", "", f"<div role='main'><div class='generalbox'>{i}</div></div>", None) for i in range(40)]
+    course_page = ("1", "https://campus.example.org/course/view.php?id=1", None, 200, "text/html", "", "<h1>C</h1><div id='region-main'><ul><li class='section' data-for='section' data-id='1'><h3 class='sectionname'>S</h3><ul>" + "".join(f"<li class='activity modtype_page' data-id='{i}'><a class='aalink' href='/mod/page/view.php?id={i}'>p{i}</a></li>" for i in range(40)) + "</ul></li></ul></div>", None)
+    before = {name: set(glob.glob(f"{shared_folder(spark)}/lectern/*/{name}")) for name in ("parts", "fragments", "markdown", "named")}
+    course_export.course_export(spark.createDataFrame([*rows, course_page], pages.CAPTURE).coalesce(1), F.lit("2030-02-03 12:00:00").cast("timestamp_ntz"))
+    for name, old in before.items():
+        (new,) = set(glob.glob(f"{shared_folder(spark)}/lectern/*/{name}")) - old
+        if name in ("parts", "fragments"):
+            assert len(glob.glob(f"{new}/part-*")) > 1, name
+
+
 def test_section_paths_of_any_depth(spark):
     deep = [("c", str(i), str(i - 1) if i else None, f"t{i}") for i in range(40)] + [("c", "lone", "gone", "x"), ("c", "kid", "lone", "y"), ("c", "a", "b", "A"), ("c", "b", "a", "B")]
     got = {r.section_id: r for r in course.section_paths(spark.createDataFrame(deep, "course_id string, section_id string, parent_section_id string, title string")).collect()}
