@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 
 from lectern.operators.timetable import dedupe_events
@@ -106,3 +107,38 @@ def test_a_run_that_stopped_before_its_commit_is_done_again(spark, feed):
     assert json.loads(open(f"{feed.folder}/state/metadata").read())["id"]
     feed.run([("c", "20", 0, 0, "z")])
     assert feed.rows() == sorted([*whole, ("c", "20", 0, 0, "z", ["z", None], None, None)], key=repr)
+
+
+def test_many_ids_cost_no_call_of_python_each(spark, feed):
+    """Spark's own deduplication keeps the state; copies of an id in several tasks and Arrow batches are still put in order."""
+    rows = spark.range(60000).selectExpr("'c' calendar", "cast(id % 20000 as string) id", "cast(2 - id div 20000 as int) chunk", "id pos", "cast(id as string) what", "array('t') tags", "cast(id as decimal(20,0)) n", "cast(null as timestamp_ntz) at")
+    rows.repartition(5).write.parquet(f"{feed.folder}/in")
+    q = feed.run([("c", "0", 9, 0, "late")])
+    (state,) = q.lastProgress.stateOperators
+    assert (state.operatorName, state.numRowsTotal) == ("dedupe", 20000)
+    got = spark.read.schema(SCHEMA).parquet(f"{feed.folder}/out").agg({"chunk": "max", "pos": "min", "*": "count"}).first()
+    assert sorted(got.asDict().values()) == [0, 20000, 40000]
+
+
+def test_buckets_of_one_id_and_of_many_batches():
+    """A bucket is cut whenever as many rows came as are held; the first row of each id is left in the end."""
+    batch = lambda ids, at: pa.RecordBatch.from_arrays([pa.array([0] * len(ids)), pa.array(ids), pa.array([at] * len(ids), pa.int64())], ["bucket", "id", "at"])
+    cut = events._first_of_buckets(["id"], ["at"], pa.schema({"id": pa.string(), "at": pa.int64()}))
+    some = [batch([str(i % 7000) for i in range(k, k + 5000)], 9 - k // 5000) for k in range(0, 45000, 5000)]
+    got = pa.Table.from_batches(cut(iter([*some, batch(["6999"], None)])))
+    firsts = {str(i % 7000): 9 - i // 5000 for i in range(45000)} | {"6999": None}
+    assert got.column_names == ["id", "at"] and dict(zip(*got.to_pydict().values())) == firsts and got.num_rows == 7000
+
+
+def test_times_in_another_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        rows = spark.sql("select 'c' calendar, string(id % 2) id, timestamp'2030-07-01 10:00:00' + make_interval(0, 0, 0, 0, 0, id) at, named_struct('a', 1, 'b', array(id)) s, map('k', id) m, binary('x') b, date'2030-01-01' d from range(10)")
+        rows.write.parquet(f"{tmp_path}/in")
+        q = events.write_first_wins(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", ["at"])
+        q.awaitTermination()
+        got = spark.read.schema(rows.schema).parquet(f"{tmp_path}/out").orderBy("id").selectExpr("id", "string(at)", "s.b[0]", "m['k']", "string(b)", "string(d)").collect()
+        assert [tuple(r) for r in got] == [("0", "2030-07-01 10:00:00", 0, 0, "x", "2030-01-01"), ("1", "2030-07-01 10:01:00", 1, 1, "x", "2030-01-01")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
