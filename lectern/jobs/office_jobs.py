@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.jobs.registry import query
 from lectern.jobs.sources import read
 from lectern.operators import office
-from lectern.operators.stored import dealt, shared_folder, stored
+from lectern.operators.stored import dealt, gathered, shared_folder, stored
 from lectern.streaming.events import dedupe_stream, write_first_wins
 
 
@@ -86,7 +86,7 @@ ITEMS = "select l_orderkey as path, 1 as num_id, (l_linenumber - 1) % 3 as ilvl,
 @query(f"""with x as ({ITEMS}), r as (select a.*, (select coalesce(max(b.ord), 0) from x b where b.path = a.path and b.ord < a.ord and b.ordered and b.ilvl < a.ilvl) as reset from x a)
  select path, ord, case when ordered then (select count(*) from x b where b.path = r.path and b.ilvl = r.ilvl and b.ordered and b.ord > r.reset and b.ord <= r.ord) end as number from r""")
 def o04_number_lists(spark, d):
-    items = read(spark, d, "lineitem").selectExpr("l_orderkey as path", "1 as num_id", "(l_linenumber - 1) % 3 as ilvl", "l_linenumber <> 7 as ordered", "cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice) as bigint) as ord")
+    items = gathered(read(spark, d, "lineitem"), "l_orderkey").selectExpr("l_orderkey as path", "1 as num_id", "(l_linenumber - 1) % 3 as ilvl", "l_linenumber <> 7 as ordered", "cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice) as bigint) as ord")
     return office.number_lists(items).select("path", "ord", F.col("number").cast("bigint").alias("number"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from lectern.functions.naming import unique_names
 from lectern.functions.text import clean, present
 from lectern.operators.relational import forward_filled_by_ranges, joined_text, ranked
-from lectern.operators.stored import stored
+from lectern.operators.stored import gathered, stored
 from lectern.sources.office import FIELDS, SLICE, read_package
 
 MAX_BYTES = 80 * 1024 * 1024
@@ -113,6 +113,7 @@ def number_lists(blocks: DataFrame, levels: int = 8) -> DataFrame:
 
     blocks: (path, num_id, ilvl, ordered, ord). One running maximum for each level gives the last reset.
     """
+    blocks = gathered(blocks, "path")  # a num_id that is a literal would drop out of the windows' keys, but not of these
     w = Window.partitionBy("path", "num_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     resets = [F.lit(-1)] + [F.coalesce(F.max(F.when(F.col("ordered") & (F.col("ilvl") < k), F.col("ord"))).over(w), F.lit(-1)) for k in range(1, levels + 1)]
     marked = blocks.withColumn("_reset", F.element_at(F.array(*resets), F.least(F.col("ilvl"), F.lit(levels)) + 1))

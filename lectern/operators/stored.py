@@ -31,3 +31,10 @@ def dealt(df: DataFrame) -> DataFrame:
     """Small rows whose work is large dealt over all tasks: as pages or packages to be made and read, of which a split by bytes holds too many."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together for windows over them, in 16 small tasks a core or more: a window's own shuffle makes
+    tasks as few as spark.sql.shuffle.partitions says, each of which sorts its rows in memory."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, 16 * df.sparkSession.sparkContext.defaultParallelism), *keys)
