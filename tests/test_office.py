@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import office
+from lectern.sources.office import read_package
 
 DECK = '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId id="1" r:id="r1"/></p:sldIdLst></p:presentation>'
 RELS = '<Relationships><Relationship Id="{}" Target="{}"/></Relationships>'
@@ -212,3 +213,19 @@ def test_pictures_read_packages_once(spark):
     named, _ = office.office_images(rows.mapInPandas(count, rows.schema))
     assert [(r.path, r.unique_name, bytes(r.data)) for r in named.collect()] == [("a.docx", "i.png", b"x")]
     assert reads.value == 1
+
+
+def test_open_document_tables_are_whole():
+    row = lambda cells, times=1: f'<t:table-row t:number-rows-repeated="{times}">{cells}</t:table-row>'
+    cell = lambda x, times=1: f'<t:table-cell t:number-columns-repeated="{times}"><x:p>{x}</x:p></t:table-cell>'
+    made = lambda kind, rows: package({"content.xml": f'<o:c xmlns:o="o" xmlns:t="t" xmlns:x="x"><o:body><o:{kind}><t:table t:name="S">{rows}</t:table></o:{kind}></o:body></o:c>'})
+    read = lambda name, data: [r for rows in read_package(name, name[-3:], data) for r in rows]
+    body = row(cell("a", 40) + cell("", 3) + cell("z") + cell("", 9000), 60) + row(cell("", 16384), 1000) + "".join(row(cell(f"r{i}")) for i in range(310))
+    got = [(r["row"], r["col"], r["text"]) for r in read("x.ods", made("spreadsheet", body)) if r["kind"] == "cell"]
+    assert got == [(i, k, "a" if k <= 40 else "z") for i in range(1, 61) for k in [*range(1, 41), 44]] + [(61 + i, 1, f"r{i}") for i in range(310)]
+    [text] = [r["text"] for r in read("x.odt", made("text", body))]
+    wide = "| " + " | ".join(["a"] * 40 + [""] * 3 + ["z"]) + " |"
+    assert text.split("\n") == [wide, "|" + " --- |" * 44, *[wide] * 59, *(f"| r{i} |" + "  |" * 43 for i in range(310))]
+    # what can't be a row's number or a text is an issue of the file, not a part of it
+    assert [(r["kind"], r["text"]) for r in read("x.ods", made("spreadsheet", row(cell("a", 1 << 40))))] == [("issue", "ValueError: more rows or columns than can be numbered")]
+    assert [(r["kind"], r["text"]) for r in read("x.odt", made("text", row(cell("a", 20000), 20000)))] == [("issue", "ValueError: a table is too large")]
