@@ -1,12 +1,15 @@
 """Pages to trees, Markdown, links and warnings: literal cases, broken markup, hostile pages."""
 
 import time
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import course_pages, pages
-from lectern.sources.html import parse
+from lectern.operators.course_pages import page_rows
+from lectern.operators.pages import resolve
+from lectern.sources.html import Node, parse
 
 SITE = "https://campus.example.org"
 
@@ -117,3 +120,20 @@ def test_rows_of_pages_leave_in_slices(spark, monkeypatch):
     assert [len(set(b.column("course_id").to_pylist())) for b in out] == [3, 3, 2]
     rows = [(r["course_id"], r["ord"]) for b in out for r in b.to_pylist()]
     assert rows == [(str(i), k) for i in range(1, 9) for k in range(i)]
+
+
+@pytest.mark.parametrize("kind", ["lesson", "assign", "page", "folder", "quiz"])
+def test_a_page_is_walked_once_for_all_its_parts(monkeypatch, kind):
+    """Each kind of part looks at the elements as a list; the tree is walked for all, for the main part, and inside what was found."""
+    root = parse('<html><body><section id="region-main"><div role="main">' + '<p>x <a href="/a?b=1">y</a></p>' * 50 + "</div></section></body></html>")
+    seen = []
+    walk = Node.walk
+    monkeypatch.setattr(Node, "walk", lambda self: (seen.append(n) or n for n in walk(self)))
+    list(page_rows(root, f"https://c.example.org/mod/{kind}/view.php?id=1"))
+    assert len(seen) <= 2 * (4 + 100)
+
+
+@pytest.mark.parametrize("base", ["https://c.example.org/mod/x?y#z", "http://h:80", "http://h?x", "https://H/x", "ftp://h/x", "", "https://u@h/x", "http://h\n"])
+def test_plain_addresses_are_joined_as_others(base):
+    for href in ("/a/b.php?x=1&y=2", "/a/../b", "/a/./b", "//h/x", "/a;b", "/a?", "/a..b/c.d", "/é", "/%2e/x", "/a?b=/c", "/.x", "/", "a/b", "?x"):
+        assert resolve(href, base) == urljoin(base, href)
