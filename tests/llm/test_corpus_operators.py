@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import near_dup, rlz, templates
 
@@ -308,3 +310,19 @@ def test_pipeline(spark):
     encoded = corpus_pipeline.STAGES[-1][1](spark, after, d)
     assert {r.doc_id: r.text for r in pieces.decoded(encoded).collect()} == new
     assert ids(corpus_pipeline.run(spark, d)) == ids(after)
+
+
+@pytest.mark.parametrize("hashes", [0, 1_000_000])
+def test_shuffled_windows_carry_their_own_words(spark, monkeypatch, hashes):
+    item = "Anna buys twelve kg of apples and then sells thirty of the apples to Bert near the old bridge of the town."
+    rows = [(1, item), (2, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" for i in range(300)) + " " + item), (3, "nothing of that kind is said in here, not a word " * 9)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = sorted(templates.contaminated(docs, items).collect())
+    assert [(r.doc_id, r.n_matched) for r in want] == [(1, want[0].n_windows), (2, want[0].n_windows)]
+    monkeypatch.setattr(templates, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(templates, "BROADCAST_HASHES", hashes)
+    assert sorted(templates.contaminated(docs, items).collect()) == want
+    indexed, widths, small = templates._indexed(items)
+    cut = docs.select(F.col("doc_id").alias("key"), templates.words(F.col("text")).alias("w"))
+    moved = templates._own_words(templates.windows(cut, "key", widths), indexed).select(F.max(F.size("w")).alias("w"), F.max(F.size("f")).alias("f"), F.count("*").alias("n")).first()
+    assert not small and moved.w <= templates.WINDOW and moved.f <= templates.WINDOW and (moved.n < 100) == (hashes > 0)
